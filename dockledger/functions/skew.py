@@ -76,24 +76,28 @@ def skew_join(
     right columns that are not keys.
     """
     first, rest = on[0], list(on[1:])
-    missing = F.col(first).isNull()
+    key = F.col(first).cast("string").alias("_key")
+    unmatched = F.col(first).isNull()
     if not blank_matches:
-        missing = missing | (F.col(first) == "")
-    key = F.col(first).cast("string")
-    stand_in = F.concat(F.lit(_SEPARATOR), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in spread_by])
-    join_on = ["_key", *rest]
+        unmatched = unmatched | (F.col(first) == "")
     if how in ("left", "left_anti"):
-        left = left.withColumn("_key", F.when(missing, stand_in).otherwise(key))
+        stand_in = F.concat(F.lit(_SEPARATOR), F.concat_ws(_SEPARATOR, *spread_by))
+        left_columns = [F.when(unmatched, stand_in).otherwise(F.col(first).cast("string")).alias("_key")]
     else:
-        left = left.withColumn("_key", key).filter(~missing)
+        left_columns = [key]
+        if not blank_matches:
+            left = left.filter(~unmatched)
+    right_columns = [key, *[name for name in right.columns if name != first]]
+    join_on = ["_key", *rest]
     if hot:
-        salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")
-        left = left.withColumn("_salt", F.when(is_hot(on, hot), salt).otherwise(F.lit(0)))
+        one_salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")
         all_salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
-        right = right.withColumn("_salt", F.explode(F.when(is_hot(on, hot), all_salts).otherwise(F.array(F.lit(0)))))
+        heavy = is_hot(on, hot)
+        left_columns.append(F.when(heavy, one_salt).otherwise(F.lit(0)).alias("_salt"))
+        right_columns.append(F.explode(F.when(heavy, all_salts).otherwise(F.array(F.lit(0)))).alias("_salt"))
         join_on.append("_salt")
-    right = right.withColumn("_key", F.col(first).cast("string")).drop(first)
-    return left.join(right, join_on, how).drop("_key", "_salt")
+    joined = left.select("*", *left_columns).join(right.select(*right_columns), join_on, how)
+    return joined.drop("_key", "_salt")
 
 
 def fan_out_join(

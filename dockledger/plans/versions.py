@@ -8,6 +8,8 @@ writer at a time.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +48,11 @@ def load_version(spark: SparkSession, root: str, version: int | None = None) ->
         version = current_version(spark, root)
     listed = _list_rows(spark, root).filter(F.col("version") == version)
     folders = {row["table"]: row["folder"] for row in listed.collect()}  # one row per table
-    return Tables(**{name: conform(spark.read.parquet(f"{root}/{folders[name]}"), name) for name in TABLE_NAMES})
+
+    def open_table(name: str) -> DataFrame:
+        return conform(spark.read.parquet(f"{root}/{folders[name]}"), name)
+
+    return Tables({name: partial(open_table, name) for name in TABLE_NAMES})
 
 
 def publish_version(spark: SparkSession, tables: dict[str, DataFrame], root: str, base: int = 0) -> int:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,12 +36,12 @@ def conform(df: DataFrame, table: str, *, source_names: bool = False, clean: boo
 
 def load_parquet(spark: SparkSession, root: str, *, source_names: bool = False, clean: bool = True) -> Tables:
     """Tables from `root/<table>`, or `root/<source table>` with the source's column names."""
-    tables = {}
-    for name in TABLE_NAMES:
+
+    def open_table(name: str) -> DataFrame:
         folder = LAYOUTS[name].source if source_names else name
-        df = spark.read.parquet(f"{root}/{folder}")
-        tables[name] = conform(df, name, source_names=source_names, clean=clean)
-    return Tables(**tables)
+        return conform(spark.read.parquet(f"{root}/{folder}"), name, source_names=source_names, clean=clean)
+
+    return Tables({name: partial(open_table, name) for name in TABLE_NAMES})
 
 
 def load_jdbc(
@@ -51,9 +53,10 @@ def load_jdbc(
 ) -> Tables:
     """Tables over JDBC. `split` gives, per table, Spark's `partitionColumn`,
     `lowerBound`, `upperBound` and `numPartitions`, so that it is read in parallel."""
-    tables = {}
-    for name in TABLE_NAMES:
+
+    def open_table(name: str) -> DataFrame:
         reader = spark.read.format("jdbc").option("url", url).option("dbtable", LAYOUTS[name].source)
         df = reader.options(**(options or {}), **(split or {}).get(name, {})).load()
-        tables[name] = conform(df, name, source_names=True, clean=True)
-    return Tables(**tables)
+        return conform(df, name, source_names=True, clean=True)
+
+    return Tables({name: partial(open_table, name) for name in TABLE_NAMES})

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import cached_property
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dockledger.functions import skew
 from dockledger.functions.columns import line_key
-from dockledger.tables import QUANTITY, Tables
+from dockledger.tables import QUANTITY, TABLE_NAMES, Tables
 
 # Item type and unit codes of the test data, with their names.
 ITEM_TYPES = {"ECONOMY": "21", "STANDARD": "22", "PROMO": "23", "SMALL": "29", "MEDIUM": "11", "LARGE": "11"}
@@ -37,117 +39,169 @@ def _codes(item: DataFrame, group: str, column: str, names: dict[str, str]) -> D
     return used.select(F.lit(group).alias("code_group"), "code", _mapped("code", names).alias("name"))
 
 
-def sample_tables(spark: SparkSession, sf_dir: str, hot_rows: int = skew.HOT_ROWS) -> Tables:
-    def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-    part, orders, lineitem = read("part"), read("orders"), read("lineitem")
-
-    item = part.select(
-        _item_code(F.col("p_partkey")).alias("item_code"),
-        F.concat("p_brand", F.lit("-"), F.col("p_partkey").cast("string")).alias("part_no"),
-        F.col("p_name").alias("item_name"),
-        F.col("p_brand").alias("item_group"),
-        _mapped("p_type", ITEM_TYPES).alias("item_type"),
-        F.when(F.col("p_size") <= 15, "Q1").when(F.col("p_size") <= 30, "Q2").otherwise("Q9").alias("unit_code"),
-    )
-    code = _codes(item, "item_gubn", "item_type", ITEM_TYPE_NAMES).unionByName(
-        _codes(item, "qnty_code", "unit_code", UNIT_NAMES)
-    )
-    po_header = orders.select(
-        _po_no("o_orderkey").alias("po_no"),
-        F.col("o_custkey").alias("supplier_code"),
-        F.to_date("o_orderdate").alias("po_date"),
-    )
-
-    min_part = F.min("l_partkey")
-    stray = (F.col("l_linenumber") == 3) & (F.col("min_part") % 10 == 0)
-    po_line = (
-        lineitem.groupBy("l_orderkey", "l_linenumber")
-        .agg(
-            min_part.alias("min_part"),
+def _line_key() -> Column:
+    return F.concat(_po_no("l_orderkey"), _padded(F.col("l_linenumber"), 4))
+
+
+def _delivered_item() -> Column:
+    """A returned line was delivered with another part than ordered."""
+    returned = F.col("l_returnflag") == "R"
+    return _item_code(F.when(returned, F.col("l_partkey")).otherwise(F.col("min_part")))
+
+
+def _actual_no() -> Column:
+    return F.concat(F.lit("I"), _padded(F.col("l_suppkey"), 6))
+
+
+def _receipt_no(customer: Column, year: Column) -> Column:
+    return F.concat(F.lit("G"), _padded(customer, 6), year.cast("string"))
+
+
+_LINE_ID = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+
+
+class _Sample:
+    """One folder of test data; every method derives one table or a shared step."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, hot_rows: int) -> None:
+        self.spark, self.sf_dir, self.hot_rows = spark, sf_dir, hot_rows
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    @cached_property
+    def part(self) -> DataFrame:
+        return self._read("part")
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return self._read("orders")
+
+    @cached_property
+    def lineitem(self) -> DataFrame:
+        return self._read("lineitem")
+
+    @cached_property
+    def line_count(self) -> int:
+        return self.lineitem.count()
+
+    def rows_at_most(self, table: str) -> int:
+        if table in ("item", "code"):
+            return self.part.count()
+        return self.orders.count() if table == "po_header" else self.line_count
+
+    def item(self) -> DataFrame:
+        size = F.col("p_size")
+        return self.part.select(
+            _item_code(F.col("p_partkey")).alias("item_code"),
+            F.concat("p_brand", F.lit("-"), F.col("p_partkey").cast("string")).alias("part_no"),
+            F.col("p_name").alias("item_name"),
+            F.col("p_brand").alias("item_group"),
+            _mapped("p_type", ITEM_TYPES).alias("item_type"),
+            F.when(size <= 15, "Q1").when(size <= 30, "Q2").otherwise("Q9").alias("unit_code"),
+        )
+
+    def code(self) -> DataFrame:
+        item = self.item()
+        types = _codes(item, "item_gubn", "item_type", ITEM_TYPE_NAMES)
+        return types.unionByName(_codes(item, "qnty_code", "unit_code", UNIT_NAMES))
+
+    def po_header(self) -> DataFrame:
+        return self.orders.select(
+            _po_no("o_orderkey").alias("po_no"),
+            F.col("o_custkey").alias("supplier_code"),
+            F.to_date("o_orderdate").alias("po_date"),
+        )
+
+    def po_line(self) -> DataFrame:
+        grouped = self.lineitem.groupBy("l_orderkey", "l_linenumber").agg(
+            F.min("l_partkey").alias("min_part"),
             F.max("l_quantity").alias("qty"),
             F.max("l_shipdate").alias("last_ship"),
             F.max(F.when(F.col("l_linestatus") == "F", 0).otherwise(1)).alias("any_open"),
         )
-        .select(
+        stray_blank = (F.col("l_linenumber") == 3) & (F.col("min_part") % 10 == 0)
+        lines = grouped.select(
             _po_no("l_orderkey").alias("po_no"),
             _padded(F.col("l_linenumber"), 4).alias("line_seq"),
-            F.concat(F.when(stray, " ").otherwise(""), _item_code(F.col("min_part"))).alias("item_code"),
+            F.concat(F.when(stray_blank, " ").otherwise(""), _item_code(F.col("min_part"))).alias("item_code"),
             F.col("qty").cast(QUANTITY).alias("qty"),
             F.to_date("last_ship").alias("delivery_date"),
             F.when(F.col("any_open") == 1, "N").otherwise("Y").alias("status"),
         )
-        .withColumn("po_line_key", line_key("po_no", "line_seq"))
-    )
+        return lines.withColumn("po_line_key", line_key("po_no", "line_seq"))
+
+    @cached_property
+    def customers(self) -> DataFrame:
+        return self.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+
+    @cached_property
+    def shipments(self) -> DataFrame:
+        """Lines with their customer and the smallest part of their order line."""
+        hot_orders, hot_lines = [], []
+        if self.line_count >= self.hot_rows:
+            keys = [["l_orderkey"], ["l_orderkey", "l_linenumber"]]
+            hot_orders, hot_lines = skew.find_hot_keys(self.lineitem, keys, self.hot_rows)
+        if not hot_orders:
+            lines = self.lineitem.join(self.customers, "l_orderkey")
+            smallest = F.min("l_partkey").over(Window.partitionBy("l_orderkey", "l_linenumber"))
+            return lines.withColumn("min_part", smallest)
+        lines = skew.skew_join(
+            self.lineitem, self.customers, ["l_orderkey"], "inner", spread_by=_LINE_ID, hot=hot_orders
+        )
+        smallest = self.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("min_part"))
+        return skew.skew_join(lines, smallest, ["l_orderkey", "l_linenumber"], spread_by=_LINE_ID, hot=hot_lines)
+
+    def receipt_line(self) -> DataFrame:
+        return self.shipments.filter(F.col("l_linestatus") == "F").select(
+            _line_key().alias("po_line_key"),
+            _delivered_item().alias("item_code"),
+            F.col("l_quantity").cast(QUANTITY).alias("qty"),
+            _actual_no().alias("actual_no"),
+        )
 
-    hot_orders, hot_lines, hot_receipts = [], [], []
-    line_rows: list[int] = []
+    def receipt_header(self) -> DataFrame:
+        received = self.lineitem.filter(F.col("l_linestatus") == "F").join(self.customers, "l_orderkey", "left_semi")
+        suppliers = received.select("l_suppkey").distinct()
+        return suppliers.select(_actual_no().alias("actual_no"), F.lit("1").alias("receipt_type"))
 
-    def rows_at_most(table: str) -> int:
-        if table in ("item", "code"):
-            return part.count()
-        if table == "po_header":
-            return orders.count()
-        if not line_rows:
-            line_rows.append(lineitem.count())
-        return line_rows[0]
-
-    customers = orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    if rows_at_most("po_line") >= hot_rows:
-        keys = [["l_orderkey"], ["l_orderkey", "l_linenumber"]]
-        hot_orders, hot_lines = skew.find_hot_keys(lineitem, keys, hot_rows)
-    line_id = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
-    if hot_orders:
-        li = skew.skew_join(lineitem, customers, ["l_orderkey"], "inner", spread_by=line_id, hot=hot_orders)
-        smallest = lineitem.groupBy("l_orderkey", "l_linenumber").agg(min_part.alias("min_part"))
-        li = skew.skew_join(li, smallest, ["l_orderkey", "l_linenumber"], "left", spread_by=line_id, hot=hot_lines)
-    else:
-        li = lineitem.join(customers, "l_orderkey")
-        li = skew.with_group_min(li, ["l_orderkey", "l_linenumber"], F.col("l_partkey"), "min_part", spread_by=line_id)
-    received_part = F.when(F.col("l_returnflag") == "R", F.col("l_partkey")).otherwise(F.col("min_part"))
-    key = F.concat(_po_no("l_orderkey"), _padded(F.col("l_linenumber"), 4))
-    actual_no = F.concat(F.lit("I"), _padded(F.col("l_suppkey"), 6))
-    receipt_no = F.concat(F.lit("G"), _padded(F.col("o_custkey"), 6), F.year("l_shipdate").cast("string"))
-
-    received = li.filter(F.col("l_linestatus") == "F")
-    receipt_line = received.select(
-        key.alias("po_line_key"),
-        _item_code(received_part).alias("item_code"),
-        F.col("l_quantity").cast(QUANTITY).alias("qty"),
-        actual_no.alias("actual_no"),
-    )
-    # The order join above only matters for lines of unknown orders.
-    in_orders = lineitem.filter(F.col("l_linestatus") == "F").join(customers, "l_orderkey", "left_semi")
-    receipt_header = (
-        in_orders.select("l_suppkey").distinct().select(actual_no.alias("actual_no"), F.lit("1").alias("receipt_type"))
-    )
-
-    shipped = li.withColumn("receipt_no", receipt_no)
-    if rows_at_most("prov_line") >= hot_rows:
-        [hot_receipts] = skew.find_hot_keys(shipped, [["receipt_no"]], hot_rows)
-    shipped = skew.number_within(shipped, ["receipt_no"], ["l_orderkey", *line_id], "position", hot=hot_receipts)
-    orphan = (F.col("l_linenumber") == 7) & (F.col("l_returnflag") == "R")
-    prov_line = shipped.select(
-        "receipt_no",
-        _padded(F.col("position"), 4).alias("line_seq"),
-        F.when(orphan, "").otherwise(key).alias("po_line_key"),
-        _item_code(received_part).alias("item_code"),
-        F.col("l_quantity").cast(QUANTITY).alias("qty"),
-        F.when(F.col("l_linestatus") == "F", "Y").otherwise("N").alias("status"),
-        F.when(F.col("l_returnflag") != "A", F.to_date("l_shipdate")).alias("updated_on"),
-    )
-    prov_header = (
-        lineitem.join(customers, "l_orderkey")
-        .groupBy(receipt_no.alias("receipt_no"), F.col("o_custkey").alias("supplier_code"))
-        .agg(F.to_date(F.min("l_shipdate")).alias("saved_on"), F.to_date(F.max("l_shipdate")).alias("due_date"))
-    )
-    prov_contact = prov_header.select(
-        "receipt_no",
-        F.concat(F.lit("D"), F.col("supplier_code").cast("string")).alias("contact_name"),
-        F.lit("").alias("contact_phone"),
-    )
-    return Tables(
-        item, code, po_header, po_line, receipt_header, receipt_line, prov_header, prov_line, prov_contact,
-        row_bound=rows_at_most, hot_rows=hot_rows,
-    )
+    def prov_line(self) -> DataFrame:
+        lines = self.shipments.withColumn(
+            "receipt_no", _receipt_no(F.col("o_custkey"), F.year("l_shipdate"))
+        )
+        hot = []
+        if self.line_count >= self.hot_rows:
+            [hot] = skew.find_hot_keys(lines, [["receipt_no"]], self.hot_rows)
+        lines = skew.number_within(lines, ["receipt_no"], ["l_orderkey", *_LINE_ID], "position", hot=hot)
+        orphan = (F.col("l_linenumber") == 7) & (F.col("l_returnflag") == "R")
+        return lines.select(
+            "receipt_no",
+            _padded(F.col("position"), 4).alias("line_seq"),
+            F.when(orphan, "").otherwise(_line_key()).alias("po_line_key"),
+            _delivered_item().alias("item_code"),
+            F.col("l_quantity").cast(QUANTITY).alias("qty"),
+            F.when(F.col("l_linestatus") == "F", "Y").otherwise("N").alias("status"),
+            F.when(F.col("l_returnflag") != "A", F.to_date("l_shipdate")).alias("updated_on"),
+        )
+
+    def prov_header(self) -> DataFrame:
+        grouped = self.lineitem.join(self.customers, "l_orderkey").groupBy(
+            F.col("o_custkey").alias("supplier_code"), F.year("l_shipdate").alias("year")
+        )
+        dates = grouped.agg(
+            F.to_date(F.min("l_shipdate")).alias("saved_on"), F.to_date(F.max("l_shipdate")).alias("due_date")
+        )
+        number = _receipt_no(F.col("supplier_code"), F.col("year"))
+        return dates.select(number.alias("receipt_no"), "supplier_code", "saved_on", "due_date")
+
+    def prov_contact(self) -> DataFrame:
+        return self.prov_header().select(
+            "receipt_no",
+            F.concat(F.lit("D"), F.col("supplier_code").cast("string")).alias("contact_name"),
+            F.lit("").alias("contact_phone"),
+        )
+
+
+def sample_tables(spark: SparkSession, sf_dir: str, hot_rows: int = skew.HOT_ROWS) -> Tables:
+    sample = _Sample(spark, sf_dir, hot_rows)
+    return Tables({name: getattr(sample, name) for name in TABLE_NAMES}, sample.rows_at_most, hot_rows)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field, fields, replace
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -96,37 +96,50 @@ LAYOUTS: dict[str, Layout] = {
 }
 
 
-@dataclass(frozen=True)
+TABLE_NAMES = tuple(LAYOUTS)
+Source = DataFrame | Callable[[], DataFrame]
+
+
 class Tables:
-    """Lazy DataFrames of the logical tables. `po_line` also carries `po_line_key`.
+    """The logical tables, each opened when it is first used: `t.item`, `t.po_line`, ...
 
-    `row_bound` gives an upper bound of a table's rows; the default counts it, which
-    Parquet answers from file footers. Tables below `hot_rows` are not searched for
-    heavy keys.
+    `po_line` also carries `po_line_key`. `row_bound` gives an upper bound of a
+    table's rows; the default counts it, which Parquet answers from file footers.
+    Tables below `hot_rows` are not searched for heavy keys.
     """
 
-    item: DataFrame
-    code: DataFrame
-    po_header: DataFrame
-    po_line: DataFrame
-    receipt_header: DataFrame
-    receipt_line: DataFrame
-    prov_header: DataFrame
-    prov_line: DataFrame
-    prov_contact: DataFrame
-    row_bound: Callable[[str], int] | None = None
-    hot_rows: int = skew.HOT_ROWS
-    _hot: dict[str, dict[tuple[str, ...], list[str]]] = field(default_factory=dict, repr=False)
+    def __init__(
+        self,
+        sources: Mapping[str, Source],
+        row_bound: Callable[[str], int] | None = None,
+        hot_rows: int = skew.HOT_ROWS,
+    ) -> None:
+        missing = set(TABLE_NAMES) - set(sources)
+        if missing:
+            raise ValueError(f"missing tables: {sorted(missing)}")
+        self.hot_rows = hot_rows
+        self._sources = dict(sources)
+        self._opened: dict[str, DataFrame] = {}
+        self._row_bound = row_bound
+        self._hot: dict[str, dict[tuple[str, ...], list[str]]] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
-        return getattr(self, name)
+        if name not in self._opened:
+            source = self._sources[name]
+            self._opened[name] = source if isinstance(source, DataFrame) else source()
+        return self._opened[name]
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in LAYOUTS:
+            raise AttributeError(name)
+        return self[name]
 
     def changed(self, **tables: DataFrame) -> Tables:
-        """Same record with some tables replaced; heavy keys are searched anew."""
-        return replace(self, row_bound=None, _hot={}, **tables)
+        """Same tables with some replaced; heavy keys are searched anew."""
+        return Tables({**self._sources, **self._opened, **tables}, hot_rows=self.hot_rows)
 
     def rows_at_most(self, table: str) -> int:
-        return self[table].count() if self.row_bound is None else self.row_bound(table)
+        return self[table].count() if self._row_bound is None else self._row_bound(table)
 
     def hot(self, table: str, *columns: str) -> list[str]:
         """Heavy values of a key of a table; all keys of the table share one pass."""
@@ -140,8 +153,6 @@ class Tables:
         return self._hot[table][columns]
 
 
-TABLE_NAMES = tuple(f.name for f in fields(Tables) if f.name in LAYOUTS)
-
 # Keys by which the line tables are joined or grouped.
 _HOT_KEYS: dict[str, tuple[tuple[str, ...], ...]] = {
     "po_line": (("po_no",), ("item_code",)),

@@ -14,16 +14,18 @@ from dockledger.sources import requests
 from dockledger.sources.sample import sample_tables
 from dockledger.tables import Tables
 
-FIRST_DAY, LAST_DAY = "1995-01-01", "2001-12-31"
+ALL_YEARS = ("1995-01-01", "2001-12-31")
 YEAR = ("1997-01-01", "1997-12-31")
 AS_OF = "1997-07-15"
 SEARCH = "red"
 
+ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(make: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
     """Registers a function of the tables under its name."""
+    ON_TABLES[make.__name__] = make
     QUERIES[make.__name__] = lambda spark, sf_dir: make(sample_tables(spark, sf_dir))
     return make
 
@@ -64,7 +66,7 @@ def item_type_list(t: Tables) -> DataFrame:
 
 @query
 def po_picker(t: Tables) -> DataFrame:
-    return reads.po_picker(t, date_from=FIRST_DAY, date_to=LAST_DAY, search=SEARCH)
+    return reads.po_picker(t, search=SEARCH)
 
 
 @query
@@ -94,7 +96,7 @@ def po_line_status_supplier(t: Tables) -> DataFrame:
 
 @query
 def receipt_history(t: Tables) -> DataFrame:
-    return reads.receipt_history(t, date_from=FIRST_DAY, date_to=LAST_DAY)
+    return reads.receipt_history(t)
 
 
 @query
@@ -107,6 +109,12 @@ def receipt_history_search(t: Tables) -> DataFrame:
     return reads.receipt_history(t, search=SEARCH)
 
 
+@query
+def receipt_history_range(t: Tables) -> DataFrame:
+    """The range covers all receipts, so the rows are those of `receipt_history`."""
+    return reads.receipt_history(t, date_from=ALL_YEARS[0], date_to=ALL_YEARS[1])
+
+
 @query
 def receipt_history_year(t: Tables) -> DataFrame:
     return reads.receipt_history(t, date_from=YEAR[0], date_to=YEAR[1], summary_scope="group_first")
@@ -136,7 +144,7 @@ def receipt_detail_batch(t: Tables) -> DataFrame:
 
 @query
 def po_history(t: Tables) -> DataFrame:
-    return reads.po_history(t, date_from=FIRST_DAY, date_to=LAST_DAY)
+    return reads.po_history(t)
 
 
 @query

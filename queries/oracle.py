@@ -205,7 +205,7 @@ SELECT c.code, item_code, part_no, item_name, item_type, item_group
 FROM (SELECT trim(item_code) AS code FROM po_line UNION SELECT trim(part_no) FROM item) c
 JOIN item i ON i.item_code = c.code OR i.part_no = c.code""",
     "item_type_list": "SELECT code, name FROM type_name WHERE code LIKE '2%'",
-    "po_picker": _picker(f"po_date {_SPAN} AND {_RED_ORDER}"),
+    "po_picker": _picker(_RED_ORDER),
     "po_picker_all": _picker("true"),
     "po_picker_year": _picker(f"po_date {_YEAR} AND {_RED_ORDER}", " 외 "),
     "po_line_status": f"SELECT {_LINE_STATUS}, po_line_key FROM line_status",
@@ -214,7 +214,8 @@ SELECT {_LINE_STATUS}, s.po_line_key
 FROM line_status s LEFT JOIN (SELECT po_line_key AS received_key, actual_no FROM receipt_line) r ON received_key = own_key
 LEFT JOIN receipt_header h ON h.actual_no = r.actual_no""",
     "po_line_status_supplier": f"SELECT {_LINE_STATUS}, po_line_key FROM line_status WHERE supplier_code = 7",
-    "receipt_history": _history(f"due_date {_SPAN}"),
+    "receipt_history": _history("true"),
+    "receipt_history_range": _history(f"due_date {_SPAN}"),
     "receipt_history_open": _history("status = 'N'"),
     "receipt_history_search": _history(
         "(contains(receipt_no, 'red') OR contains(po_no, 'red') OR contains(item_name, 'red'))"
@@ -225,7 +226,7 @@ LEFT JOIN receipt_header h ON h.actual_no = r.actual_no""",
     "receipt_detail_open": "SELECT * FROM detail WHERE status = 'N'",
     "receipt_detail_batch": """
 SELECT * FROM detail WHERE receipt_no IN (SELECT receipt_no FROM receipt_status WHERE status = 'N')""",
-    "po_history": _po_history(f"po_date {_SPAN}"),
+    "po_history": _po_history("true"),
     "po_history_closed": _po_history("status = 'Y'"),
     "po_history_search": _po_history(f"po_date {_YEAR} AND (contains(h.po_no, 'red') OR contains(item_name, 'red'))"),
     "first_item_per_po": "SELECT po_no, first_item_code, line_count FROM po_roll",
