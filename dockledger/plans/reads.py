@@ -154,13 +154,17 @@ def _balance(po_lines: DataFrame, receipt_lines: DataFrame) -> DataFrame:
     return balance.withColumn("balance_key", F.col("po_line_key")).drop("item_code")
 
 
-def po_line_status(t: Tables, supplier: Any = None, pos: DataFrame | None = None) -> DataFrame:
+def po_line_status(
+    t: Tables, supplier: Any = None, pos: DataFrame | None = None, narrow: bool = True
+) -> DataFrame:
     """Every PO line with what was ordered, received, is outstanding and was announced.
 
     One row per PO line; a header without lines gives one row. `pos` selects
-    purchase orders by its column `po_no`.
+    purchase orders by its column `po_no`. `narrow` adds up quantities for the
+    selected lines only; a selection of most orders is faster without.
     """
     headers, lines, restrict = _po_lines(t, supplier, pos)
+    restrict = restrict and narrow
     hot_pos, hot_items = t.hot("po_line", "po_no"), t.hot("po_line", "item_code")
     shown = lines.select("po_no", "po_line_key", "item_code", "status")
     rows = fan_out_join(headers.select("po_no", "po_date"), shown, "po_no", spread_by=["po_line_key"], hot=hot_pos)
@@ -264,12 +268,16 @@ def receipt_history(
 
 
 def receipt_detail(
-    t: Tables, supplier: Any = None, receipts: DataFrame | None = None, status: str | None = "all"
+    t: Tables,
+    supplier: Any = None,
+    receipts: DataFrame | None = None,
+    status: str | None = "all",
+    narrow: bool = True,
 ) -> DataFrame:
     """Lines of provisional receipts with ordered, outstanding and open announced quantity.
 
     A header without lines gives one row. `receipts` selects receipts by its column
-    `receipt_no`; any number of them is one job.
+    `receipt_no`; any number of them is one job. `narrow` is as in `po_line_status`.
     """
     headers = _selected(t.prov_header, supplier)
     if receipts is not None:
@@ -282,6 +290,7 @@ def receipt_detail(
     rows = fan_out_join(headers.select("receipt_no", "due_date"), lines, "receipt_no", spread_by=["line_seq"], hot=hot)
     if status_code(status) is not None:
         rows = rows.filter(has_status("status", status))
+    restrict = restrict and narrow
     po_lines = _of_keys(t.po_line, lines, restrict, ["line_seq", "item_code"], [])
     received = _of_keys(t.receipt_line, lines, restrict, _RECEIPT_ID, t.hot("receipt_line", "po_line_key"))
     announced = _of_keys(t.prov_line, lines, restrict, _PROV_ID, hot_keys)

@@ -13,6 +13,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dockledger.functions.skew import cut_lineage
 from dockledger.operators import writes
 from dockledger.sources.loading import conform
 from dockledger.sources.requests import explode_requests
@@ -97,7 +98,8 @@ def run_register(
 ) -> DataFrame:
     """Registers request documents; returns receipt number and line count per request."""
     base, t = _start(spark, root)
-    items = explode_requests(raw_requests)
+    # Stored once: headers, lines and contacts must agree on the numbers given.
+    items = cut_lineage(explode_requests(raw_requests))
     _require(items, "no items to register")
     new = writes.register_receipts(t, items, rule)
     after = writes.with_registration(t, new)

@@ -226,6 +226,8 @@ LEFT JOIN receipt_header h ON h.actual_no = r.actual_no""",
     "receipt_detail_open": "SELECT * FROM detail WHERE status = 'N'",
     "receipt_detail_batch": """
 SELECT * FROM detail WHERE receipt_no IN (SELECT receipt_no FROM receipt_status WHERE status = 'N')""",
+    "receipt_detail_closed": """
+SELECT * FROM detail WHERE receipt_no IN (SELECT receipt_no FROM receipt_status WHERE status = 'Y')""",
     "po_history": _po_history("true"),
     "po_history_closed": _po_history("status = 'Y'"),
     "po_history_search": _po_history(f"po_date {_YEAR} AND (contains(h.po_no, 'red') OR contains(item_name, 'red'))"),
