@@ -40,14 +40,15 @@ def find_hot_keys(df: DataFrame, key_sets: Sequence[Sequence[str]], min_rows: in
         F.count(F.lit(1)).alias("rows"),
         *[F.expr(f"approx_top_k_accumulate({name}, {_TRACKED})").alias(name) for name in names],
     )
-    merged = partial.agg(
+    # Grouped by a constant, so that no rows give no result instead of a sketch of nothing.
+    merged = partial.groupBy(F.lit(0).alias("all")).agg(
         F.sum("rows").alias("rows"),
         *[F.expr(f"approx_top_k_combine({name}, {_TRACKED})").alias(name) for name in names],
     )
     found = merged.select(
         "rows", *[F.expr(f"approx_top_k_estimate({name}, {MAX_HOT_KEYS})").alias(name) for name in names]
     ).first()
-    if not found["rows"]:
+    if found is None:
         return [[] for _ in names]
     floor = max(min_rows, found["rows"] // MAX_HOT_KEYS)
     return [[k["item"] for k in found[name] if k["item"] is not None and k["count"] >= floor] for name in names]

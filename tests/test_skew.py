@@ -1,0 +1,123 @@
+"""Data in which single keys hold a third of the rows, with thresholds low enough to notice."""
+
+import os
+
+import pytest
+from compare import TABLES, connect, duck_rows, spark_rows
+from conftest import SMALL
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from dockledger.functions import skew
+from dockledger.sources.sample import sample_tables
+from queries.catalog import ON_TABLES
+from queries.oracle import ORACLE
+
+HOT = 60
+
+
+@pytest.fixture(scope="module")
+def skewed(tmp_path_factory):
+    """The small data with a third of the lines on one order line and a third on one part."""
+    root = tmp_path_factory.mktemp("skewed")
+    connect(SMALL).execute(f"""
+        COPY (SELECT CASE n % 3 WHEN 0 THEN 77 ELSE l_orderkey END AS l_orderkey,
+                     CASE n % 3 WHEN 1 THEN 42 ELSE l_partkey END AS l_partkey, l_suppkey,
+                     CAST(CASE n % 3 WHEN 0 THEN 7 ELSE l_linenumber END AS INTEGER) AS l_linenumber, l_quantity,
+                     l_extendedprice + n AS l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate
+              FROM (SELECT *, row_number() OVER () AS n FROM lineitem))
+        TO '{root}/lineitem.parquet' (FORMAT parquet)""")
+    for name in TABLES:
+        if name != "lineitem":
+            os.symlink(f"{SMALL}/{name}.parquet", f"{root}/{name}.parquet")
+    return str(root)
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["po_picker", "po_line_status_raw", "receipt_history", "receipt_detail_closed", "delivery_sheet",
+     "register_receipts", "edit_receipt_lines", "delete_receipts"],
+)
+def test_hot_keys_do_not_change_results(spark, skewed, name):
+    t = sample_tables(spark, skewed, hot_rows=HOT)
+    columns, rows = spark_rows(ON_TABLES[name](t))
+    found = [key for keys in t._hot.values() for hot in keys.values() for key in hot]
+    assert found, "the query met no hot key"
+    assert (columns, rows) == duck_rows(connect(skewed), ORACLE[name])
+
+
+def test_hot_keys_are_found_exactly(spark):
+    df = spark.range(30000).select(
+        F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 7 == 0, None).otherwise(F.col("id").cast("string")).alias("k"),
+        (F.col("id") % 2).alias("j"),
+    )
+    found = skew.find_hot_keys(df, [["k"], ["j"], ["k", "j"]], 1000)
+    both = [f"\0{k}\0{j}" for k, j in (("", 0), ("", 1))]
+    assert [sorted(keys) for keys in found] == [[""], ["0", "1"], both]
+    assert skew.find_hot_keys(df, [["k"]], 20000) == [[]]
+    assert skew.find_hot_keys(df.limit(0), [["k"]], 1) == [[]]
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+@pytest.mark.parametrize("hot", [[], ["h", "missing"]])
+def test_join_equals_plain_join(spark, how, hot):
+    left = spark.range(2000).select(
+        F.col("id"),
+        F.when(F.col("id") % 3 == 0, "h").when(F.col("id") % 5 == 0, None).when(F.col("id") % 7 == 0, "")
+        .otherwise((F.col("id") % 50).cast("string")).alias("k"),
+    )
+    right = spark.createDataFrame(
+        [("h", 1), ("h", 2), ("1", 3), ("2", 4), ("2", 5), ("99", 6), (None, 7), ("", 8)], "k string, v int"
+    )
+    expected = left.join(right, "k", how)
+    found = skew.skew_join(left, right, ["k"], how, spread_by=["id"], hot=hot)
+    order = sorted(expected.columns)
+    assert sorted(found.columns) == order
+    assert sorted(map(repr, found.select(order).collect())) == sorted(map(repr, expected.select(order).collect()))
+
+
+@pytest.mark.parametrize("hot", [[], ["h", "gone"]])
+def test_fan_out_keeps_documents_without_lines(spark, hot):
+    one = spark.createDataFrame([("h", 1), ("a", 2), ("gone", 3), ("none", 4), (None, 5)], "k string, n int")
+    many = spark.range(900).select(F.when(F.col("id") % 3 == 0, "a").otherwise("h").alias("k"), "id")
+    found = skew.fan_out_join(one, many, "k", spread_by=["id"], missing_by=["n"], hot=hot)
+    expected = one.join(many, "k", "left")
+    assert sorted(map(repr, found.select("k", "n", "id").collect())) == sorted(
+        map(repr, expected.select("k", "n", "id").collect())
+    )
+
+
+def test_group_minimum(spark):
+    df = spark.range(1000).select("id", F.when(F.col("id") % 3 == 0, "h").otherwise((F.col("id") % 9).cast("string")).alias("k"))
+    plain = skew.with_group_min(df, ["k"], F.col("id"), "low", spread_by=["id"])
+    dealt = skew.with_group_min(df, ["k"], F.col("id"), "low", spread_by=["id"], hot=["h"])
+    assert sorted(map(tuple, plain.select("id", "low").collect())) == sorted(map(tuple, dealt.select("id", "low").collect()))
+
+
+def test_numbering_over_many_tasks(spark):
+    df = spark.range(5000).select(
+        F.when(F.col("id") % 3 == 0, "h").when(F.col("id") % 3 == 1, "i").otherwise((F.col("id") % 40).cast("string")).alias("k"),
+        F.xxhash64("id").alias("v"),
+    ).repartition(5)
+    w = Window.partitionBy("k")
+    expected = df.select(
+        "k", "v", F.row_number().over(w.orderBy("v")).cast("long").alias("n"),
+        (F.row_number().over(w.orderBy("v")) == F.count(F.lit(1)).over(w)).alias("last"),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = skew.number_within(df, ["k"], ["v"], "n", hot=["h", "i"], last="last")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_numbering_spreads_one_group_over_tasks(spark):
+    df = spark.range(4000).select(F.lit("h").alias("k"), F.col("id").alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        numbered = skew.number_within(df, ["k"], ["v"], "n", hot=["h"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in numbered.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 2000
