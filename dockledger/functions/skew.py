@@ -76,6 +76,8 @@ def skew_join(
     rows of that key go to each of them. The result has the left columns and the
     right columns that are not keys.
     """
+    if not hot and blank_matches and how in ("inner", "left_semi"):
+        return left.join(right, list(on), how)  # Spark drops left rows without a key before the shuffle
     first, rest = on[0], list(on[1:])
     key = F.col(first).cast("string").alias("_key")
     unmatched = F.col(first).isNull()

@@ -160,7 +160,10 @@ def edit_receipt_lines(t: Tables, edits: DataFrame) -> DataFrame:
 def edit_match_count(t: Tables, edits: DataFrame) -> DataFrame:
     """Lines changed per receipt, counted once for every edit that matches them."""
     sent = _clean_edits(edits).groupBy(*_LINE).agg(F.count(F.lit(1)).alias("edits"))
-    matched = t.prov_line.groupBy(*_LINE).agg(F.count(F.lit(1)).alias("lines"))
+    lines = t.prov_line.select("line_seq", *_LINE)
+    hot = t.hot("prov_line", *_LINE)
+    lines = skew_join(lines, sent.select(*_LINE), _LINE, "left_semi", spread_by=["line_seq"], hot=hot)
+    matched = lines.groupBy(*_LINE).agg(F.count(F.lit(1)).alias("lines"))
     counted = sent.join(matched, _LINE, "left")
     updates = F.sum(F.col("edits") * F.coalesce("lines", F.lit(0)))
     return counted.groupBy("receipt_no").agg(updates.alias("updated_count"))

@@ -74,7 +74,8 @@ def item_by_code(t: Tables, codes: DataFrame) -> DataFrame:
     by_code = t.item.withColumn("code", F.col("item_code")).join(wanted, "code").select(*found)
     # An item found by its code is not listed again for an equal part number.
     others = t.item.filter(~F.col("part_no").eqNullSafe(F.col("item_code"))).withColumn("code", F.col("part_no"))
-    return by_code.unionByName(others.join(wanted, "code").select(*found))
+    by_part = skew_join(others, wanted, ["code"], "inner", spread_by=["item_code"], hot=t.hot("item", "part_no"))
+    return by_code.unionByName(by_part.select(*found))
 
 
 def item_type_list(t: Tables, type_prefix: str = blocks.BOUGHT_TYPES, ordered: bool = True) -> DataFrame:

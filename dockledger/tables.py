@@ -155,6 +155,7 @@ class Tables:
 
 # Keys by which the line tables are joined or grouped.
 _HOT_KEYS: dict[str, tuple[tuple[str, ...], ...]] = {
+    "item": (("part_no",),),
     "po_line": (("po_no",), ("item_code",)),
     "receipt_line": (("po_line_key",), ("actual_no",)),
     "prov_line": (

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dockledger.functions import columns as c
+from dockledger.functions.skew import skew_join
 from dockledger.operators import blocks, grid, sheet, worksheet, writes
 from dockledger.plans import reads
 from dockledger.sources import requests
@@ -236,7 +237,9 @@ def receiving_worksheet(t: Tables) -> DataFrame:
 def worksheet_add_items(t: Tables) -> DataFrame:
     """Every worksheet with its order's first item added by hand."""
     found = reads.item_search(t, ordered=False)
-    return worksheet.worksheet_add_items(_worksheet(t), _first_items(t).join(found, "item_code"), AS_OF)
+    hot = t.hot("po_line", "item_code")
+    picked = skew_join(_first_items(t), found, ["item_code"], "inner", spread_by=["po_no"], hot=hot)
+    return worksheet.worksheet_add_items(_worksheet(t), picked, AS_OF)
 
 
 @query
