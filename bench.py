@@ -20,7 +20,7 @@ from pyspark.sql import SparkSession
 from dockledger.plans.versions import load_version, publish_version
 from dockledger.sources.sample import sample_tables
 from dockledger.tables import TABLE_NAMES
-from queries.catalog import ON_TABLES
+from dockledger.catalog.queries import ON_TABLES
 
 HEADLINE = [
     "item_search", "item_by_code", "po_picker", "po_history", "po_line_status", "po_line_status_raw",

@@ -9,7 +9,7 @@ from dockledger.plans import reads
 from dockledger.plans.versions import load_version, publish_version
 from dockledger.sources.sample import sample_tables
 from dockledger.tables import TABLE_NAMES
-from queries.catalog import ON_TABLES
+from dockledger.catalog.queries import ON_TABLES
 
 
 @pytest.fixture(scope="module")

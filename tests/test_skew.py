@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from dockledger.functions import skew
 from dockledger.sources.sample import sample_tables
-from queries.catalog import ON_TABLES
-from queries.oracle import ORACLE
+from dockledger.catalog.queries import ON_TABLES
+from dockledger.catalog.oracle import ORACLE
 
 HOT = 60
 
