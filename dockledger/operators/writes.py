@@ -92,8 +92,9 @@ def register_receipts(
     created = known.groupBy("receipt_no").agg(first.alias("head")).select("receipt_no", "head.*")
     created = created.join(t.prov_header.select("receipt_no"), "receipt_no", "left_anti")
     created = created.unionByName(new.select(*created.columns))
+    supplier = F.col("supplier_code").cast(t.prov_header.schema["supplier_code"].dataType)
     headers = created.select(
-        "receipt_no", "supplier_code", business_date("due_date").alias("saved_on"),
+        "receipt_no", supplier.alias("supplier_code"), business_date("due_date").alias("saved_on"),
         business_date("due_date").alias("due_date"),
     )
     contacts = created.select("receipt_no", "contact_name", "contact_phone")

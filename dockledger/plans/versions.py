@@ -1,9 +1,9 @@
 """Table versions: a write flow stores what it changed, then makes it current.
 
-Every changed table goes to a folder of its own. The list of folders of a version
-is appended last, as one file, so readers see the old version or the new one and a
-failed job leaves the old one. Tables that did not change are not copied. One
-writer at a time.
+Stored rows go to a folder of their own; a table is one folder or several. New rows
+add a folder, changed tables get a new one, the others keep theirs. The list of
+folders of a version is appended last, as one file, so readers see the old version
+or the new one and a failed job leaves the old one. One writer at a time.
 """
 
 from __future__ import annotations
@@ -39,6 +39,14 @@ def _list_rows(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema("version long, table string, folder string").parquet(f"{root}/{_LIST}")
 
 
+def _folders(spark: SparkSession, root: str, version: int) -> dict[str, list[str]]:
+    """Folders per table: one, and one for every registration since the table was last stored whole."""
+    folders: dict[str, list[str]] = {}
+    for row in _list_rows(spark, root).filter(F.col("version") == version).collect():
+        folders.setdefault(row["table"], []).append(row["folder"])
+    return folders
+
+
 def current_version(spark: SparkSession, root: str) -> int:
     return _list_rows(spark, root).agg(F.max("version")).first()[0]
 
@@ -47,34 +55,37 @@ def load_version(spark: SparkSession, root: str, version: int | None = None) ->
     """Tables of a version, the current one by default."""
     if version is None:
         version = current_version(spark, root)
-    listed = _list_rows(spark, root).filter(F.col("version") == version)
-    folders = {row["table"]: row["folder"] for row in listed.collect()}  # one row per table
+    folders = _folders(spark, root, version)
 
     def open_table(name: str) -> DataFrame:
-        return conform(spark.read.parquet(f"{root}/{folders[name]}"), name)
+        return conform(spark.read.parquet(*[f"{root}/{folder}" for folder in folders[name]]), name)
 
     return Tables({name: partial(open_table, name) for name in TABLE_NAMES})
 
 
-def publish_version(spark: SparkSession, tables: dict[str, DataFrame], root: str, base: int = 0) -> int:
-    """Stores the given tables as the version after `base` and makes it current.
+def publish_version(
+    spark: SparkSession,
+    tables: dict[str, DataFrame],
+    root: str,
+    base: int = 0,
+    added: dict[str, DataFrame] | None = None,
+) -> int:
+    """Stores whole tables and added rows as the version after `base` and makes it current.
 
     Version 1 has all tables; later ones take what they do not store from `base`.
     """
     version = base + 1
-    folders = {}
-    if base:
-        listed = _list_rows(spark, root).filter(F.col("version") == base)
-        folders = {row["table"]: row["folder"] for row in listed.collect()}
+    folders = _folders(spark, root, base) if base else {}
     missing = set(TABLE_NAMES) - set(folders) - set(tables)
     if missing:
         raise ValueError(f"version {version} would lack {sorted(missing)}")
-    for name, df in tables.items():
-        folders[name] = f"{name}/v{version:06d}"
+    for name, df in {**tables, **(added or {})}.items():
+        folder = f"{name}/v{version:06d}"
+        folders[name] = [folder] if name in tables else [*folders[name], folder]
         columns = [f.name for f in LAYOUTS[name].fields]
         ranged = df.select(*columns).repartitionByRange(*_STORED_BY[name]).sortWithinPartitions(*_STORED_BY[name])
-        ranged.write.mode("overwrite").parquet(f"{root}/{folders[name]}")
-    rows = [(version, name, folder) for name, folder in folders.items()]
+        ranged.write.mode("overwrite").parquet(f"{root}/{folder}")
+    rows = [(version, name, folder) for name, stored in folders.items() for folder in stored]
     listed = spark.createDataFrame(rows, "version long, table string, folder string").coalesce(1)
     listed.write.mode("append").parquet(f"{root}/{_LIST}")
     return version
@@ -102,8 +113,8 @@ def run_register(
     items = cut_lineage(explode_requests(raw_requests))
     _require(items, "no items to register")
     new = writes.register_receipts(t, items, rule)
-    after = writes.with_registration(t, new)
-    publish_version(spark, {name: after[name] for name in _PROV}, root, base)
+    added = {"prov_header": new.headers, "prov_line": new.lines, "prov_contact": new.contacts}
+    publish_version(spark, {}, root, base, added)
     return new.summary
 
 
