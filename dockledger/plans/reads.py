@@ -212,12 +212,14 @@ def receipt_history(
     summary_scope: str = "receipt_first",
     mode: str = "literal",
     ordered: bool = True,
+    narrow: bool = True,
 ) -> DataFrame:
     """Provisional receipts, one row per receipt and purchase order it delivers for.
 
     Lines without a PO line form a row without PO number. With `receipt_first` only
     the row that holds the receipt's first line has a summary, as in the source
-    query; with `group_first` every row summarises its own first line.
+    query; with `group_first` every row summarises its own first line. `narrow`
+    reads only the order lines that the selected receipts touch.
     """
     if summary_scope not in ("receipt_first", "group_first"):
         raise ValueError(f"unknown summary scope {summary_scope!r}")
@@ -225,11 +227,17 @@ def receipt_history(
     restrict = any(x is not None for x in (supplier, date_from, date_to))
     hot = t.hot("prov_line", "receipt_no")
     lines = _lines_of(t.prov_line, headers, "receipt_no", restrict, hot)
-    po_lines = skew_join(
-        lines, t.po_line.select("po_line_key", "po_no"), ["po_line_key"],
+    restrict = restrict and narrow
+    # The outer join and the roll-up would shuffle every order line; the semi-joins
+    # only send the few selected keys to where the order lines are read.
+    po_lines = _of_keys(t.po_line, lines, restrict, ["line_seq", "item_code"], []).select("po_line_key", "po_no")
+    orders = po_lines.select("po_no").distinct() if restrict else po_lines
+    po_all = _lines_of(t.po_line, orders, "po_no", restrict, t.hot("po_line", "po_no"))
+    of_orders = skew_join(
+        lines, po_lines, ["po_line_key"],
         spread_by=_PROV_ID, hot=t.hot("prov_line", "po_line_key"), blank_matches=False,
     )
-    groups = po_lines.groupBy("receipt_no", "po_no").agg(
+    groups = of_orders.groupBy("receipt_no", "po_no").agg(
         F.min(F.struct("line_seq", "item_code")).alias("first"),
         F.count(F.lit(1)).alias("line_count"),
         F.max("updated_on").alias("last_update"),
@@ -253,7 +261,7 @@ def receipt_history(
     )
     if search:
         named = named.filter(contains_any(["receipt_no", "po_no", "item_name"], search, mode))
-    po_status = blocks.status_rollup(t.po_line, "po_no").withColumnRenamed("status", "po_status")
+    po_status = blocks.status_rollup(po_all, "po_no").withColumnRenamed("status", "po_status")
     rows = skew_join(named, po_status, ["po_no"], spread_by=spread)
     result = rows.select(
         "receipt_no",
