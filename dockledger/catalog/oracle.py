@@ -252,8 +252,9 @@ SELECT w.* FROM worksheet w LEFT JOIN po_roll r ON r.po_no = w.po_no
 WHERE w.item_code IS NULL OR w.item_code <> trim(r.first_item_code)""",
     "submit_lines": "SELECT * FROM submitted",
     "month_options": """
-SELECT po_date AS as_of, strftime(date_trunc('month', po_date) + to_months(CAST(i AS INTEGER)), '%Y%m') AS month
-FROM (SELECT DISTINCT po_date FROM po_header), range(-5, 6) r(i)""",
+SELECT po_date AS as_of, strftime(day, '%Y%m') AS month, strftime(day, '%Y-%m') AS label
+FROM (SELECT po_date, date_trunc('month', po_date) + to_months(CAST(i AS INTEGER)) AS day
+      FROM (SELECT DISTINCT po_date FROM po_header), range(-5, 6) r(i))""",
     "status_label": """
 SELECT h.po_no, status,
        CASE WHEN status = 'N' THEN '진행중' ELSE '종결' END AS label_closed,

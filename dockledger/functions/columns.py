@@ -110,10 +110,14 @@ def wildcard_regex(text: str) -> str:
     return "(?s)" + "".join(parts)
 
 
-def contains_any(columns: list[Column | str], text: str, mode: str = "literal", ignore_case: bool = False) -> Column:
-    """True where one of the columns contains the text; a NULL column never does."""
+def _check_mode(mode: str) -> None:
     if mode not in ("literal", "pattern"):
         raise ValueError(f"mode must be 'literal' or 'pattern', not {mode!r}")
+
+
+def contains_any(columns: list[Column | str], text: str, mode: str = "literal", ignore_case: bool = False) -> Column:
+    """True where one of the columns contains the text; a NULL column never does."""
+    _check_mode(mode)
     tests = []
     for column in map(_col, columns):
         if mode == "literal":
@@ -124,6 +128,14 @@ def contains_any(columns: list[Column | str], text: str, mode: str = "literal",
     return reduce(or_, tests)
 
 
+def equals(column: Column | str, text: str, mode: str = "literal") -> Column:
+    """True where the column is the text, or in pattern mode where all of it fits the text."""
+    _check_mode(mode)
+    if mode == "literal":
+        return _col(column) == text
+    return _col(column).rlike(wildcard_regex(text).replace("(?s)", "(?s)^") + r"\z")
+
+
 def status_code(status: str | None) -> str | None:
     """Status argument of a query as its code; None stands for all."""
     if status in (None, "", "all", "ALL", ALL_LABEL):

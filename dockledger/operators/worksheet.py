@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dockledger.functions.columns import DEFAULT_UNIT, OPEN, compact_date, month_code, text_or, typed_quantity
+from dockledger.functions.columns import DEFAULT_UNIT, OPEN, compact_date, month_code, month_label, text_or, typed_quantity
 from dockledger.functions.skew import number_within, skew_join
 from dockledger.sources.requests import DEFAULT_STORE
 
@@ -100,7 +100,8 @@ def month_options(days: DataFrame, as_of: str, before: int = 5, after: int = 5)
     """For each day of a column, the months that can be chosen around it."""
     offset = F.explode(F.sequence(F.lit(-before), F.lit(after))).alias("offset")
     months = days.select(F.col(as_of).alias("as_of")).distinct().select("as_of", offset)
-    return months.select("as_of", month_code(F.add_months(F.trunc("as_of", "MM"), F.col("offset"))).alias("month"))
+    months = months.select("as_of", month_code(F.add_months(F.trunc("as_of", "MM"), F.col("offset"))).alias("month"))
+    return months.withColumn("label", month_label("month"))
 
 
 def default_window(as_of: dt.date, days: int) -> tuple[dt.date, dt.date]:

@@ -18,6 +18,7 @@ from dockledger.functions.columns import (
     SUMMARY_SEPARATOR,
     compact_date,
     contains_any,
+    equals,
     has_status,
     item_summary,
     rolled_status,
@@ -130,11 +131,15 @@ def _lines_with_hits(lines: DataFrame, hit: Column) -> DataFrame:
     return per_po.select("po_no", F.col("first.item_code").alias("first_item_code"), "line_count", "hits")
 
 
-def _po_lines(t: Tables, supplier: Any, pos: DataFrame | None) -> tuple[DataFrame, DataFrame, bool]:
+def _po_lines(
+    t: Tables, supplier: Any, pos: DataFrame | None, number: str | None, mode: str
+) -> tuple[DataFrame, DataFrame, bool]:
     headers = _selected(t.po_header, supplier)
+    if number is not None:
+        headers = headers.filter(equals("po_no", number.strip(), mode))
     if pos is not None:
         headers = headers.join(pos.select(F.trim("po_no").alias("po_no")).distinct(), "po_no", "left_semi")
-    restrict = supplier is not None or pos is not None
+    restrict = any(x is not None for x in (supplier, pos, number))
     return headers, _lines_of(t.po_line, headers, "po_no", restrict, t.hot("po_line", "po_no")), restrict
 
 
@@ -156,15 +161,21 @@ def _balance(po_lines: DataFrame, receipt_lines: DataFrame) -> DataFrame:
 
 
 def po_line_status(
-    t: Tables, supplier: Any = None, pos: DataFrame | None = None, narrow: bool = True
+    t: Tables,
+    supplier: Any = None,
+    pos: DataFrame | None = None,
+    number: str | None = None,
+    mode: str = "literal",
+    narrow: bool = True,
 ) -> DataFrame:
     """Every PO line with what was ordered, received, is outstanding and was announced.
 
     One row per PO line; a header without lines gives one row. `pos` selects
-    purchase orders by its column `po_no`. `narrow` adds up quantities for the
+    purchase orders by its column `po_no`, `number` one by its number, or several
+    where `mode="pattern"` gives it wildcards. `narrow` adds up quantities for the
     selected lines only; a selection of most orders is faster without.
     """
-    headers, lines, restrict = _po_lines(t, supplier, pos)
+    headers, lines, restrict = _po_lines(t, supplier, pos, number, mode)
     restrict = restrict and narrow
     hot_pos, hot_items = t.hot("po_line", "po_no"), t.hot("po_line", "item_code")
     shown = lines.select("po_no", "po_line_key", "item_code", "status")
@@ -280,19 +291,24 @@ def receipt_detail(
     t: Tables,
     supplier: Any = None,
     receipts: DataFrame | None = None,
+    number: str | None = None,
+    mode: str = "literal",
     status: str | None = "all",
     narrow: bool = True,
 ) -> DataFrame:
     """Lines of provisional receipts with ordered, outstanding and open announced quantity.
 
     A header without lines gives one row. `receipts` selects receipts by its column
-    `receipt_no`; any number of them is one job. `narrow` is as in `po_line_status`.
+    `receipt_no`; any number of them is one job. `number` selects all receipts whose
+    number contains it. `narrow` is as in `po_line_status`.
     """
     headers = _selected(t.prov_header, supplier)
+    if number is not None:
+        headers = headers.filter(contains_any(["receipt_no"], number.strip(), mode))
     if receipts is not None:
         wanted = receipts.select(F.trim("receipt_no").alias("receipt_no")).distinct()
         headers = headers.join(wanted, "receipt_no", "left_semi")
-    restrict = supplier is not None or receipts is not None
+    restrict = any(x is not None for x in (supplier, receipts, number))
     hot = t.hot("prov_line", "receipt_no")
     hot_keys, hot_pairs = t.hot("prov_line", "po_line_key"), t.hot("prov_line", "po_line_key", "item_code")
     lines = _lines_of(t.prov_line, headers, "receipt_no", restrict, hot).drop("updated_on")

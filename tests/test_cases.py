@@ -189,6 +189,15 @@ def test_selection_does_not_change_rows(spark, t):
         assert found == rows(status.filter("po_no = 'S1'"), *status.columns)
 
 
+def test_document_numbers(t):
+    assert rows(reads.po_line_status(t, number=" S2 "), "po_no") == [("S2",)]
+    assert rows(reads.po_line_status(t, number="S_"), "po_no") == []
+    assert rows(reads.po_line_status(t, number="S[24]", mode="pattern"), "po_no") == [("S2",), ("S4",)]
+    assert rows(reads.po_line_status(t, number="%", mode="pattern"), "po_no") == rows(reads.po_line_status(t), "po_no")
+    assert {r[0] for r in rows(reads.receipt_detail(t, number="2"), "receipt_no")} == {"G2"}
+    assert {r[0] for r in rows(reads.receipt_detail(t, number="G"), "receipt_no")} == {"G1", "G2", "G3"}
+
+
 def test_trailing_blanks_go_on_load_and_leading_ones_only_in_summaries(spark):
     raw = spark.createDataFrame([("A1  ", " P1 ", "n", "g", "21 ", "Q1")], LAYOUTS["item"].schema)
     assert rows(conform(raw, "item", clean=True), "item_code", "part_no", "item_type") == [("A1", " P1", "21")]
