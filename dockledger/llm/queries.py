@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockledger.llm import mixing, repetition, simhash
-from dockledger.llm.common import documents
+from dockledger.llm import mixing, repetition, simhash, warc
+from dockledger.llm.common import documents, scratch
 
 
 def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,10 +26,17 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(documents(spark, sf_dir), keep=["doc_id"])
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch(spark)}/archive-{uuid.uuid4().hex}"
+    warc.write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    return warc.resolved(warc.transactions(warc.read_archive(spark, path)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mix": op1_entropy_mix,
     "op6_simhash": op6_simhash,
     "op7_quality_rules": op7_quality_rules,
+    "op9_warc": op9_warc,
 }
 
 ORACLE: dict[str, str] = {}
