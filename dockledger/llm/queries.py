@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockledger.llm import mixing, repetition, simhash, warc
+from dockledger.llm import language_mixture, mixing, quality_model, repetition, simhash, warc
 from dockledger.llm.common import documents, scratch
 
 
@@ -17,6 +17,18 @@ def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    weights = quality_model.fit(quality_model.labelled_sample(docs, labels))
+    return quality_model.score(docs, weights, threshold=0.3)
+
+
+def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    langs, like = language_mixture.fit(language_mixture.training_rows(docs))
+    return language_mixture.identify(docs, langs, like)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir), ["doc_id"], length=3, bits=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -34,6 +46,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mix": op1_entropy_mix,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op5_language_mixture": op5_language_mixture,
     "op6_simhash": op6_simhash,
     "op7_quality_rules": op7_quality_rules,
     "op9_warc": op9_warc,
