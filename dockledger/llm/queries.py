@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockledger.llm import language_mixture, line_templates, mixing, quality_model, repetition, simhash, warc
+from dockledger.llm import decontaminate, language_mixture, line_templates, mixing, quality_model, repetition, simhash, warc
 from dockledger.llm.common import documents, scratch
 
 
@@ -23,6 +23,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(docs, weights, threshold=0.3)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.decontaminate(documents(spark, sf_dir), items, ["doc_id"])
+
+
 def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept, lines, dropped = line_templates.drop_templates(documents(spark, sf_dir).select("doc_id", "text"))
     return kept.select("doc_id", F.col(lines).alias("n_lines"), F.col(dropped).alias("n_dropped"), F.md5("text").alias("kept_md5"))
@@ -52,6 +57,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mix": op1_entropy_mix,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_decontamination": op3_decontamination,
     "op4_line_templates": op4_line_templates,
     "op5_language_mixture": op5_language_mixture,
     "op6_simhash": op6_simhash,
