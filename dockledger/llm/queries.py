@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockledger.llm import decontaminate, language_mixture, line_templates, mixing, quality_model, repetition, simhash, warc
+from dockledger.llm import backoff, decontaminate, language_mixture, line_templates, mixing, quality_model, repetition, simhash, warc
 from dockledger.llm.common import documents, scratch
 
 
@@ -54,6 +54,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved(warc.transactions(warc.read_archive(spark, path)))
 
 
+def op10_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = backoff.score(documents(spark, sf_dir), ["doc_id"])
+    rounded = [F.round(c, 6).alias(c) for c in ("log_score", "mean_log_score")]
+    return scored.select("doc_id", "n_words", *rounded)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mix": op1_entropy_mix,
     "op2_quality_classifier": op2_quality_classifier,
@@ -63,8 +69,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_quality_rules": op7_quality_rules,
     "op9_warc": op9_warc,
+    "op10_backoff": op10_backoff,
 }
 
 ORACLE: dict[str, str] = {
     "op4_line_templates": line_templates.ORACLE_SQL,
+    "op10_backoff": backoff.ORACLE_SQL,
 }
