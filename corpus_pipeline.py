@@ -5,15 +5,54 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dockledger.llm.common import documents, stored
+from dockledger.llm.decontaminate import decontaminate
+from dockledger.llm.line_templates import drop_templates
 from dockledger.llm.mixing import mix_sources
 from dockledger.llm.repetition import quality_rules
+from dockledger.llm.simhash import near_duplicates
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-STAGES: list[tuple[str, Stage]] = []
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_rules(docs, keep=docs.columns).filter("kept").select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines of recurring templates; n_chars is that of the text that is left."""
+    kept, _, dropped = drop_templates(docs)
+    chars = F.when(F.col(dropped) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", chars).select(*docs.columns)
+
+
+def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near-duplicates."""
+    return near_duplicates(docs, docs.columns, length=3, bits=2).filter("keeper").select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an item of the benchmark."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate(docs, items, docs.columns).filter(~F.col("contaminated")).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix itself: each document as often as it has copies, numbered from 1; with its source's target."""
+    mixed = mix_sources(docs, weights=(1.0, 2.0, 3.0), most=3.0).filter("copies > 0")
+    return mixed.select(*docs.columns, "target", "copies", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", keep_good),
+    ("line dedup", drop_lines),
+    ("simhash near-dedup", keep_one_of_near),
+    ("benchmark decontamination", drop_leaks),
+    ("mixing sources", mix),
+]
 
 #: Rates come from Newton steps and fingerprints from a hash that SQL does not have.
 ORACLE_SQL: str | None = None
