@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockledger.llm import backoff, decontaminate, language_mixture, line_templates, mixing, quality_model, repetition, simhash, warc
+from dockledger.llm import backoff, decontaminate, language_mixture, line_templates, mixing, quality_model, repeats, repetition, simhash, warc
 from dockledger.llm.common import documents, scratch
 
 
@@ -48,6 +48,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(documents(spark, sf_dir), keep=["doc_id"])
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.dedup_repeats(documents(spark, sf_dir), ["doc_id"])
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch(spark)}/archive-{uuid.uuid4().hex}"
     warc.write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_mixture": op5_language_mixture,
     "op6_simhash": op6_simhash,
     "op7_quality_rules": op7_quality_rules,
+    "op8_repeats": op8_repeats,
     "op9_warc": op9_warc,
     "op10_backoff": op10_backoff,
 }
