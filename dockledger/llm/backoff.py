@@ -179,6 +179,8 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     values, starts = np.unique(bucket[order], return_index=True)
     for v, part in zip(values.tolist(), np.split(order, starts[1:]), strict=True):
