@@ -266,9 +266,10 @@ def near_duplicates(
 
     component_id is the smallest doc_id that can be reached over links, null only if no row of the component has one.
     keeper is true for one row of a component: the one with the smallest doc_id, of repeated rows an arbitrary but
-    fixed one. Null, empty and blank texts have fingerprint 0 and are linked like any other; texts with fewer words
+    fixed one. Columns of carry with the name of a result column are replaced. Null, empty and blank texts have fingerprint 0 and are linked like any other; texts with fewer words
     than a shingle are one shingle. Rows with equal doc_id are judged by their texts. An empty table gives no rows.
     """
+    carry = [c for c in carry if c.lower() not in ("fingerprint", "component_id", "keeper")]
     print_, row = fresh(docs, "fingerprint"), fresh(docs, "simhash_row")
     columns = list(dict.fromkeys([*carry, "doc_id"]))
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
