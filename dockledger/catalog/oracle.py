@@ -173,7 +173,7 @@ FROM po_header h LEFT JOIN po_named n ON n.po_no = h.po_no WHERE {condition}"""
 _RED_ORDER = """(contains(h.po_no, 'red') OR h.po_no IN (
   SELECT l.po_no FROM po_line l LEFT JOIN item i ON trim(i.item_code) = trim(l.item_code)
   WHERE contains(i.item_name, 'red') OR contains(l.item_code, 'red')))"""
-_SPAN = "BETWEEN DATE '1995-01-01' AND DATE '2001-12-31'"
+_SPAN = "BETWEEN DATE '1996-12-20' AND DATE '1997-12-28'"
 _YEAR = "BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'"
 _LINE_STATUS = """po_no, po_date, item_code, status, part_no, item_name, item_group, ordered_qty, received_qty,
   outstanding_qty, provisional_qty, unit"""
@@ -262,7 +262,7 @@ SELECT h.po_no, status,
        CASE status WHEN 'Y' THEN '종결' WHEN 'N' THEN '진행중' ELSE '-' END AS label_value
 FROM po_header h LEFT JOIN po_roll r ON r.po_no = h.po_no""",
     "bulk_status_change": """
-SELECT line_seq AS seq, receipt_no, item_code, qty, CASE WHEN updated_on IS NULL THEN 'Y' ELSE status END AS status
+SELECT CAST(line_seq AS BIGINT) AS seq, receipt_no, item_code, qty, CASE WHEN updated_on IS NULL THEN 'Y' ELSE status END AS status
 FROM prov_line""",
     "grid_filter_sort": f"""
 SELECT * FROM ({_po_history("true")})
@@ -273,6 +273,33 @@ SELECT receipt_no, line_no, coalesce(item_code, '-') AS item_code, coalesce(item
 FROM sheet_line UNION ALL
 SELECT receipt_no, i, NULL, NULL, NULL, NULL, NULL
 FROM (SELECT receipt_no, max(line_no) AS n FROM sheet_line GROUP BY receipt_no), range(1, 16) r(i) WHERE i > n""",
+    "delivery_sheet_nested": """
+SELECT *, sum(part_qty) OVER w AS total_qty, max(part) OVER w AS part_count,
+  format('{:,}', CAST(sum(part_qty) OVER w AS BIGINT)) AS total_text
+FROM (
+  SELECT receipt_no, CAST((line_no - 1) // 1000 + 1 AS BIGINT) AS part, sum(qty) AS part_qty,
+    string_agg(concat_ws('|', line_no, coalesce(item_code, ''), CAST(qty AS BIGINT)), ';' ORDER BY line_no) AS lines
+  FROM (
+    SELECT receipt_no, line_no, coalesce(item_code, '-') AS item_code, coalesce(qty, 0) AS qty FROM sheet_line UNION ALL
+    SELECT receipt_no, i, NULL, NULL
+    FROM (SELECT receipt_no, max(line_no) AS n FROM sheet_line GROUP BY receipt_no), range(1, 16) r(i) WHERE i > n)
+  GROUP BY ALL)
+WINDOW w AS (PARTITION BY receipt_no)""",
+    "register_rejected": """
+SELECT po_no AS request_id, ['unreadable document', 'no custCode', 'no items', 'empty items', 'item without itemCode',
+  'item without gaipQnty', 'quantity is no number', 'ipgoDate is no date', 'no userName'][CAST(substr(po_no, 2) AS BIGINT) % 11 + 1]
+  AS reason
+FROM po_header WHERE CAST(substr(po_no, 2) AS BIGINT) % 11 < 9""",
+    "register_accepted": """
+SELECT po_no AS request_id, 1 AS seq, '19970715' AS due_date, 'P1' AS item_code, CAST(5 AS DOUBLE) AS qty
+FROM po_header WHERE CAST(substr(po_no, 2) AS BIGINT) % 11 >= 9""",
+    "explode_edits": """
+SELECT receipt_no || '/' || line_seq AS request_id, CAST(i AS INTEGER) AS position, receipt_no, item_code, qty + i + 1 AS qty,
+       CASE i WHEN 0 THEN 'N' ELSE 'Y' END AS status
+FROM prov_line, range(2) r(i)""",
+    "explode_deletes": """
+SELECT receipt_no AS request_id, CAST(i AS INTEGER) AS position, CASE i WHEN 0 THEN '' ELSE 'X' END || receipt_no AS receipt_no
+FROM prov_header, range(2) r(i)""",
     "delivery_sheet_totals": """
 SELECT receipt_no, sum(coalesce(qty, 0)) AS total_qty, format('{:,}', CAST(sum(coalesce(qty, 0)) AS BIGINT)) AS total_text
 FROM sheet_line GROUP BY receipt_no""",
@@ -292,7 +319,7 @@ SELECT n.receipt_no, lpad(CAST(s.seq AS VARCHAR), 4, '0') AS line_seq, s.po_line
        CAST(NULL AS DATE) AS updated_on
 FROM submitted s JOIN numbered n ON n.request_id = s.request_id""",
     "register_receipts_headers": """
-SELECT receipt_no, supplier_code, CAST(strptime(due_date, '%Y%m%d') AS DATE) AS saved_on,
+SELECT receipt_no, supplier_code, DATE '1997-07-15' AS saved_on,
        CAST(strptime(due_date, '%Y%m%d') AS DATE) AS due_date, contact_name, '' AS contact_phone
 FROM numbered""",
     "register_receipts_summary": "SELECT request_id, receipt_no, inserted_count FROM numbered",

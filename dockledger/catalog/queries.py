@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dockledger.functions import columns as c
@@ -15,7 +15,7 @@ from dockledger.sources import requests
 from dockledger.sources.sample import sample_tables
 from dockledger.tables import Tables
 
-ALL_YEARS = ("1995-01-01", "2001-12-31")
+DUE = ("1996-12-20", "1997-12-28")
 YEAR = ("1997-01-01", "1997-12-31")
 AS_OF = "1997-07-15"
 SEARCH = "red"
@@ -112,8 +112,8 @@ def receipt_history_search(t: Tables) -> DataFrame:
 
 @query
 def receipt_history_range(t: Tables) -> DataFrame:
-    """The range covers all receipts, so the rows are those of `receipt_history`."""
-    return reads.receipt_history(t, date_from=ALL_YEARS[0], date_to=ALL_YEARS[1])
+    """Receipts due in the days around two turns of a year."""
+    return reads.receipt_history(t, date_from=DUE[0], date_to=DUE[1])
 
 
 @query
@@ -291,8 +291,7 @@ def status_label(t: Tables) -> DataFrame:
 def bulk_status_change(t: Tables) -> DataFrame:
     """Closes all lines that were never updated."""
     keys = t.prov_line.filter(F.col("updated_on").isNull())
-    hot = t.hot("prov_line", "receipt_no")
-    return grid.bulk_status_change(t.prov_line, keys, c.CLOSED, hot=hot)
+    return grid.bulk_status_change(t.prov_line, keys, c.CLOSED)
 
 
 @query
@@ -320,13 +319,17 @@ def delivery_sheet_header(t: Tables) -> DataFrame:
 
 @query
 def delivery_sheet_nested(t: Tables) -> DataFrame:
-    return sheet.delivery_sheet_nested(t)
+    """The nested sheets with their rows as text."""
+    row = lambda x: F.concat_ws("|", x["line_no"], F.coalesce(x["item_code"], F.lit("")), x["qty"].cast("long"))
+    nested = sheet.delivery_sheet_nested(t)
+    rows = F.array_join(F.transform("lines", row), ";")
+    return nested.withColumn("lines", rows)
 
 
 # Writes
 
 def _request_documents(t: Tables) -> DataFrame:
-    """Request documents for all PO lines, at most 100 lines of an order in each."""
+    """Request documents for all PO lines; documents of 100 lines, since the test data has orders of any length."""
     part = F.floor(F.col("line_seq").cast("long") / 100).alias("part")
     item = F.struct(
         F.col("line_seq"),
@@ -357,8 +360,64 @@ def explode_requests(t: Tables) -> DataFrame:
     return requests.explode_requests(_request_documents(t))
 
 
+def _odd_documents(t: Tables) -> DataFrame:
+    """A document for each order; each has one of nine faults, or none and its quantity as a number or as text."""
+    kind = F.pmod(F.substring("po_no", 2, 20).cast("long"), F.lit(11))
+    head = '{"ipgoDate":"%s","custCode":"7","userName":"Kim","ordrNumb":"S1"'
+    item = '{"itemCode":"P1","ordrDetl":"",%s"gaipQnty":%s}'
+    day = head % "19970715"
+    texts = [
+        day, day.replace('"custCode":"7",', "") + ',"items":[' + item % ("", "1") + "]}", day + "}", day + ',"items":[]}',
+        day + ',"items":[' + (item % ("", "1")).replace('"itemCode":"P1",', "") + "]}",
+        day + ',"items":[' + (item % ("", "1")).replace(',"gaipQnty":1', "") + "]}",
+        day + ',"items":[' + item % ("", '"abc"') + "]}", head % "20301301" + ',"items":[' + item % ("", "1") + "]}",
+        day.replace('"userName":"Kim",', "") + ',"items":[]}', day + ',"items":[' + item % ("", "5") + "]}",
+        day + ',"items":[' + item % ("", '"5"') + "]}",
+    ]
+    payload = F.element_at(F.array(*[F.lit(text) for text in texts]), (kind + 1).cast("int"))
+    return t.po_header.select(F.col("po_no").alias("request_id"), payload.alias("payload"))
+
+
+@query
+def register_rejected(t: Tables) -> DataFrame:
+    return requests.rejected_requests(_odd_documents(t)).drop("payload")
+
+
+@query
+def register_accepted(t: Tables) -> DataFrame:
+    accepted = requests.explode_requests(requests.accepted_requests(_odd_documents(t)))
+    return accepted.select("request_id", "seq", "due_date", "item_code", "qty")
+
+
+def _edit_documents(t: Tables) -> DataFrame:
+    """A document for each provisional line, with two edits of its item."""
+    def item(more: int, status: str) -> Column:
+        code = F.concat("item_code", F.lit(" ")).alias("itemCode")
+        return F.struct(code, (F.col("qty") + more).alias("gaipQnty"), F.lit(status).alias("statType"))
+
+    items = F.array(item(1, c.OPEN), item(2, c.CLOSED)).alias("items")
+    return t.prov_line.select(
+        F.concat("receipt_no", F.lit("/"), F.col("line_seq")).alias("request_id"),
+        F.concat("receipt_no", F.lit(" ")).alias("receipt_no"),
+        F.to_json(F.struct(items)).alias("payload"),
+    )
+
+
+@query
+def explode_edits(t: Tables) -> DataFrame:
+    return requests.explode_edits(_edit_documents(t)).select("seq.*", "receipt_no", "item_code", "qty", "status")
+
+
+@query
+def explode_deletes(t: Tables) -> DataFrame:
+    """A document for each receipt: its number, and one that does not exist."""
+    numbers = F.array("receipt_no", F.concat(F.lit("X"), F.col("receipt_no"))).alias("ipgoNumbs")
+    raw = t.prov_header.select(F.col("receipt_no").alias("request_id"), F.to_json(F.struct(numbers)).alias("payload"))
+    return requests.explode_deletes(raw)
+
+
 def _register(t: Tables) -> writes.Registration:
-    return writes.register_receipts(t, _registrations(t), rows_at_most=t.rows_at_most("po_line"))
+    return writes.register_receipts(t, _registrations(t), as_of=AS_OF)
 
 
 @query

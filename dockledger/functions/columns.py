@@ -59,8 +59,9 @@ def long_date(column: Column | str) -> Column:
 
 
 def quantity_text(column: Column | str) -> Column:
-    """Thousands separators and at most three decimals."""
-    return F.call_function("format_number", _col(column), F.lit("#,##0.###"))
+    """Thousands separators and at most three decimals, halves away from zero; no minus before a zero."""
+    rounded = F.round(_col(column).cast("decimal(38,12)"), 3)
+    return F.call_function("format_number", rounded, F.lit("#,##0.###"))
 
 
 def typed_quantity(column: Column | str) -> Column:
@@ -104,7 +105,8 @@ def wildcard_regex(text: str) -> str:
         elif token == "_":
             parts.append(".")
         elif len(token) > 1:
-            parts.append(token.replace("\\", r"\\").replace("&&", r"&\&"))
+            inner = re.sub(r"([\[\\&])", r"\\\1", token[1:-1])
+            parts.append(f"[{inner}]")
         else:
             parts.append(re.escape(token))
     return "(?s)" + "".join(parts)

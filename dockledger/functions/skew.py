@@ -1,26 +1,56 @@
-"""Joins and numbering that stay balanced when one key holds a large share of the rows.
+"""Joins and numbering that stay balanced when keys hold very many rows.
 
-A sketch finds the few keys that matter (their number is bounded by the sketch, so
-they travel as literals). Without such keys every function here is the plain Spark
-operation; with them only their rows take another way. Results are always the same.
+Keys with more than `HEAVY_ROWS` rows are counted exactly when a table is stored, and kept in a small table beside it:
+key, rows. A join deals the rows of such a key over salts in proportion to their number; numbering gives such a group
+to many tasks. The limit is a number of rows that one task can hold, so it does not move with the size of the tables,
+and there is no limit to the number of heavy keys. Results are always the same.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 2_000_000  # a key with fewer rows fits one task and is left alone
-MAX_HOT_KEYS = 500  # keys above 1/500 of the rows; there cannot be more of them
-SALTS = 512  # tasks over which the rows of one hot key spread
-_TRACKED = 4096
-_SKETCHES = 64
+from dockledger.functions.storage import stored
+
+HEAVY_ROWS = 2_000_000
+SALT_ROWS = 500_000  # rows of a heavy key for each salt
+BROADCAST_KEYS = 500_000  # heavy keys up to this number are broadcast, about 50 bytes each
 _SEPARATOR = "\u0000"
 
 
+class HeavyKeys:
+    """The heavy keys of one key of a table: a DataFrame (key, rows) and how many there are."""
+
+    def __init__(self, keys: DataFrame, count: int, heavy_rows: int = HEAVY_ROWS) -> None:
+        self.keys, self.count = keys, count
+        self.salt_rows = max(1, min(SALT_ROWS, heavy_rows))
+
+    def salts(self, key: str, salts: str) -> DataFrame:
+        """Key and number of salts, broadcast only while their number is small."""
+        named = self.keys.select(F.col("key").alias(key), F.ceil(F.col("rows") / self.salt_rows).cast("int").alias(salts))
+        return F.broadcast(named) if self.count <= BROADCAST_KEYS else named
+
+    def trimmed(self) -> HeavyKeys:
+        """The same for a key from which blanks are cut off."""
+        keys = self.keys.groupBy(F.trim("key").alias("key")).agg(F.sum("rows").alias("rows"))
+        return HeavyKeys(keys, self.count, self.salt_rows)
+
+    def through(self, pairs: DataFrame) -> HeavyKeys:
+        """The same for another key that goes with this one: pairs of (key, other)."""
+        found = pairs.join(self.salts("key", "_salts"), "key").groupBy(F.col("other").alias("key"))
+        rows = found.agg((F.sum("_salts") * self.salt_rows).alias("rows"))
+        return HeavyKeys(rows, self.count, self.salt_rows)
+
+
+def count_heavy_keys(df: DataFrame, columns: Sequence[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """Every key of the columns with more rows than the limit: key, rows. Rows without a key do not count."""
+    keys = df.select(joined_key(columns).alias("key")).filter(F.col("key").isNotNull())
+    return keys.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > heavy_rows)
+
+
 def joined_key(columns: Sequence[str]) -> Column:
     """One text for the key columns; NULL if one of them is."""
     if len(columns) == 1:
@@ -28,36 +58,6 @@ def joined_key(columns: Sequence[str]) -> Column:
     return F.concat(*[part for name in columns for part in (F.lit(_SEPARATOR), F.col(name).cast("string"))])
 
 
-def find_hot_keys(df: DataFrame, key_sets: Sequence[Sequence[str]], min_rows: int = HOT_ROWS) -> list[list[str]]:
-    """Heavy keys of each key set, found in one pass over the key columns.
-
-    Sketches are merged in two steps so that no task reads one per input split.
-    At most `MAX_HOT_KEYS` keys per set reach the driver.
-    """
-    names = [f"k{i}" for i in range(len(key_sets))]
-    keys = df.select(*[joined_key(key).alias(name) for key, name in zip(key_sets, names)])
-    partial = keys.groupBy(F.pmod(F.spark_partition_id(), F.lit(_SKETCHES)).alias("part")).agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.expr(f"approx_top_k_accumulate({name}, {_TRACKED})").alias(name) for name in names],
-    )
-    # Grouped by a constant, so that no rows give no result instead of a sketch of nothing.
-    merged = partial.groupBy(F.lit(0).alias("all")).agg(
-        F.sum("rows").alias("rows"),
-        *[F.expr(f"approx_top_k_combine({name}, {_TRACKED})").alias(name) for name in names],
-    )
-    found = merged.select(
-        "rows", *[F.expr(f"approx_top_k_estimate({name}, {MAX_HOT_KEYS})").alias(name) for name in names]
-    ).first()
-    if found is None:
-        return [[] for _ in names]
-    floor = max(min_rows, found["rows"] // MAX_HOT_KEYS)
-    return [[k["item"] for k in found[name] if k["item"] is not None and k["count"] >= floor] for name in names]
-
-
-def is_hot(columns: Sequence[str], hot: Sequence[str]) -> Column:
-    return F.coalesce(joined_key(columns).isin(list(hot)), F.lit(False))
-
-
 def skew_join(
     left: DataFrame,
     right: DataFrame,
@@ -65,18 +65,18 @@ def skew_join(
     how: str = "left",
     *,
     spread_by: Sequence[str],
-    hot: Sequence[str] = (),
+    hot: HeavyKeys | None = None,
     blank_matches: bool = True,
 ) -> DataFrame:
     """Equi-join whose left side may have heavy, missing or blank keys.
 
     Left rows without a key match nothing, yet would all meet in one task: they get
     a stand-in key made of `spread_by`, which starts with a NUL character that no
-    real key has. The rows of a hot key are dealt over `SALTS` tasks, and the right
+    real key has. The rows of a heavy key are dealt over its salts, and the right
     rows of that key go to each of them. The result has the left columns and the
     right columns that are not keys.
     """
-    if not hot and blank_matches and how in ("inner", "left_semi"):
+    if hot is None and blank_matches and how in ("inner", "left_semi"):
         return left.join(right, list(on), how)  # Spark drops left rows without a key before the shuffle
     first, rest = on[0], list(on[1:])
     key = F.col(first).cast("string").alias("_key")
@@ -92,15 +92,17 @@ def skew_join(
             left = left.filter(~unmatched)
     right_columns = [key, *[name for name in right.columns if name != first]]
     join_on = ["_key", *rest]
-    if hot:
-        one_salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")
-        all_salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
-        heavy = is_hot(on, hot)
-        left_columns.append(F.when(heavy, one_salt).otherwise(F.lit(0)).alias("_salt"))
-        right_columns.append(F.explode(F.when(heavy, all_salts).otherwise(F.array(F.lit(0)))).alias("_salt"))
+    left, right = left.select("*", *left_columns), right.select(*right_columns)
+    if hot is not None:
+        known = hot.salts("_heavy", "_salts")
+        left = left.withColumn("_joined", joined_key(on)).join(known, F.col("_joined") == F.col("_heavy"), "left")
+        dealt = F.pmod(F.xxhash64(*spread_by), F.coalesce("_salts", F.lit(1))).cast("int")
+        left = left.withColumn("_salt", dealt).drop("_joined", "_heavy", "_salts")
+        right = right.withColumn("_joined", joined_key(join_on)).join(known, F.col("_joined") == F.col("_heavy"), "left")
+        every = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+        right = right.withColumn("_salt", F.explode(every)).drop("_joined", "_heavy", "_salts")
         join_on.append("_salt")
-    joined = left.select("*", *left_columns).join(right.select(*right_columns), join_on, how)
-    return joined.drop("_key", "_salt")
+    return left.join(right, join_on, how).drop("_key", "_salt")
 
 
 def fan_out_join(
@@ -109,7 +111,7 @@ def fan_out_join(
     key: str,
     *,
     spread_by: Sequence[str],
-    hot: Sequence[str] = (),
+    hot: HeavyKeys | None = None,
     missing_by: Sequence[str] = (),
 ) -> DataFrame:
     """Left join of documents with their lines, where one document may hold most lines.
@@ -121,13 +123,13 @@ def fan_out_join(
     def join(one: DataFrame, many: DataFrame) -> DataFrame:
         return skew_join(one, many, [key], spread_by=missing_by) if missing_by else one.join(many, key, "left")
 
-    if not hot:
+    if hot is None:
         return join(one, many)
-    heavy = is_hot([key], hot)
-    one_hot, many_hot = one.filter(heavy), many.filter(heavy)
+    known = hot.salts(key, "_salts").select(key)
+    one_hot, many_hot = one.join(known, key, "left_semi"), many.join(known, key, "left_semi")
     dealt = skew_join(many_hot, one_hot, [key], "inner", spread_by=spread_by, hot=hot)
     lonely = one_hot.join(many_hot.select(key).distinct(), key, "left_anti")
-    cold = join(one.filter(~heavy), many.filter(~heavy))
+    cold = join(one.join(known, key, "left_anti"), many.join(known, key, "left_anti"))
     return cold.unionByName(dealt).unionByName(lonely, allowMissingColumns=True)
 
 
@@ -135,7 +137,7 @@ def with_group_min(
     df: DataFrame, group: Sequence[str], value: Column, name: str, *, spread_by: Sequence[str], hot: Sequence[str] = ()
 ) -> DataFrame:
     """Adds the smallest value of each row's group."""
-    if not hot:
+    if hot is None:
         return df.withColumn(name, F.min(value).over(Window.partitionBy(*group)))
     smallest = df.groupBy(*group).agg(F.min(value).alias(name))
     return skew_join(df, smallest, group, "left", spread_by=spread_by, hot=hot)
@@ -144,16 +146,16 @@ def with_group_min(
 def number_within(
     df: DataFrame,
     group: Sequence[str],
-    order: Sequence[str],
+    order: Sequence[str | Column],
     name: str,
     *,
-    hot: Sequence[str] = (),
+    hot: HeavyKeys | None = None,
     last: str | None = None,
 ) -> DataFrame:
     """Numbers the rows of each group 1..n in order; `last` flags the row numbered n.
 
-    Hot groups are range-partitioned, so that many tasks share one group. Their rows
-    are numbered by position in the task plus the number of rows in earlier tasks.
+    Heavy groups are range-partitioned, so that many tasks share one group, and stored in the shared folder, since the
+    ranges belong to one run. Their rows are numbered within (group, range), plus the rows of earlier ranges.
     """
     window = Window.partitionBy(*group).orderBy(*order)
 
@@ -161,40 +163,21 @@ def number_within(
         rows = rows.withColumn(name, F.row_number().over(window).cast("long"))
         return rows if last is None else rows.withColumn(last, F.lead(F.lit(1)).over(window).isNull())
 
-    if not hot:
+    if hot is None:
         return in_window(df)
-    heavy = is_hot(group, hot)
-    ranged = (
-        df.filter(heavy)
-        .repartitionByRange(*group, *order)
-        .sortWithinPartitions(*group, *order)
-        .withColumn("_id", F.monotonically_increasing_id())
-        .withColumn("_task", F.shiftright("_id", 33))
-    )
-    # The ids depend on the partitions of this very run, so they are stored before use.
-    ranged = cut_lineage(ranged)
-    runs = ranged.groupBy(*group, "_task").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-    earlier = Window.partitionBy(*group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    known = hot.salts("_heavy", "_salts")
+    marked = df.withColumn("_joined", joined_key(group)).join(known, F.col("_joined") == F.col("_heavy"), "left")
+    marked = marked.withColumn("_is_heavy", F.col("_heavy").isNotNull()).drop("_joined", "_heavy", "_salts")
+    ranged = marked.filter("_is_heavy").drop("_is_heavy").repartitionByRange(*group, *order)
+    ranged = stored(ranged.withColumn("_range", F.spark_partition_id()), "numbered")
+    runs = ranged.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
     runs = runs.withColumn("_all", F.sum("_rows").over(Window.partitionBy(*group))).drop("_rows")
-    # One row per task and hot group: bounded by partitions + MAX_HOT_KEYS.
-    numbered = ranged.join(F.broadcast(runs), [*group, "_task"])
-    numbered = numbered.withColumn(name, F.col("_id") - F.col("_first") + F.col("_before") + 1)
+    within = Window.partitionBy(*group, "_range").orderBy(*order)
+    numbered = ranged.withColumn("_nth", F.row_number().over(within)).join(runs, [*group, "_range"])
+    numbered = numbered.withColumn(name, (F.col("_nth") + F.col("_before")).cast("long"))
     if last is not None:
         numbered = numbered.withColumn(last, F.col(name) == F.col("_all"))
-    numbered = numbered.drop("_id", "_task", "_first", "_before", "_all")
-    return in_window(df.filter(~heavy)).unionByName(numbered)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a folder of our own only in local runs."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="dockledger-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
+    numbered = numbered.drop("_range", "_nth", "_before", "_all")
+    return in_window(marked.filter(~F.col("_is_heavy")).drop("_is_heavy")).unionByName(numbered)

@@ -2,40 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dockledger.functions.columns import OPEN, rolled_status
-from dockledger.functions.skew import skew_join
-from dockledger.tables import Tables
+from dockledger.functions.skew import HeavyKeys, skew_join
+from dockledger.tables import Tables, no_quantity
 
 # Code groups and the item types that are bought.
 ITEM_TYPE_GROUP = "item_gubn"
 UNIT_GROUP = "qnty_code"
 BOUGHT_TYPES = "2"
 
+CODE_SALTS = 256  # tasks over which the rows of one code spread
+
+
+def number_order(column: str) -> list[Column]:
+    """Order of numbers kept as text: by length, then as text, so 10000 comes after 9999."""
+    return [F.length(column), F.col(column)]
+
 
 def code_by_group(t: Tables, group: str) -> DataFrame:
     """Codes of one group; the group's name is compared without regard to case."""
     return t.code.filter(F.lower("code_group") == group.lower()).select("code", "name")
 
 
+def with_code_name(df: DataFrame, codes: DataFrame, code: str, spread_by: str) -> DataFrame:
+    """Left join with a code list on a column of few values; each code's rows are dealt over many tasks.
+
+    The list goes to each of them: it has a row for each code of one group.
+    """
+    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(CODE_SALTS)).cast("int"))
+    every = codes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(CODE_SALTS - 1))))
+    return dealt.join(every, [code, "_salt"], "left").drop("_salt")
+
+
 def item_with_unit(t: Tables, type_prefix: str = BOUGHT_TYPES) -> DataFrame:
     """Items of the bought types with their unit: its name, or its code where it has none."""
     units = code_by_group(t, UNIT_GROUP).select(F.col("code").alias("unit_code"), F.col("name").alias("unit_name"))
-    items = t.item.filter(F.col("item_type").startswith(type_prefix)).join(units, "unit_code", "left")
+    items = with_code_name(t.item.filter(F.col("item_type").startswith(type_prefix)), units, "unit_code", "item_code")
     return items.select(
         "item_code", "part_no", "item_name", "item_group", F.coalesce("unit_name", "unit_code").alias("unit")
     )
 
 
 def trim_join_items(
-    df: DataFrame, column: str, t: Tables, *, spread_by: list[str], hot: list[str] = ()
+    df: DataFrame, column: str, t: Tables, *, spread_by: list[str], hot: HeavyKeys | None = None
 ) -> DataFrame:
     """Adds the name of the item whose code equals the column, blanks around both ignored."""
     names = t.item.select(F.trim("item_code").alias("_item"), "item_name")
     coded = df.withColumn("_item", F.trim(F.col(column)))
-    return skew_join(coded, names, ["_item"], spread_by=spread_by, hot=[h.strip(" ") for h in hot]).drop("_item")
+    return skew_join(coded, names, ["_item"], spread_by=spread_by, hot=hot and hot.trimmed()).drop("_item")
 
 
 def first_item(lines: DataFrame, document: str, *extra: str) -> DataFrame:
@@ -45,7 +62,7 @@ def first_item(lines: DataFrame, document: str, *extra: str) -> DataFrame:
     (sequence, item, ...) struct is a partial aggregate: no document is ever sorted
     or held in one task.
     """
-    first = F.min(F.struct("line_seq", "item_code", *extra)).alias("first")
+    first = F.min(F.struct(F.length("line_seq").alias("digits"), "line_seq", "item_code", *extra)).alias("first")
     rolled = lines.groupBy(document).agg(
         first, F.count(F.lit(1)).alias("line_count"), rolled_status("status").alias("status")
     )
@@ -65,13 +82,13 @@ def status_rollup(lines: DataFrame, document: str) -> DataFrame:
 def ordered_qty(po_lines: DataFrame) -> DataFrame:
     """Ordered quantity per PO line and item; a missing quantity counts as 0."""
     return po_lines.groupBy("po_line_key", "item_code").agg(
-        F.sum(F.coalesce("qty", F.lit(0.0))).alias("ordered_qty")
+        F.sum(F.coalesce("qty", no_quantity())).alias("ordered_qty")
     )
 
 
 def received_qty(receipt_lines: DataFrame) -> DataFrame:
     return receipt_lines.groupBy("po_line_key", "item_code").agg(
-        F.sum(F.coalesce("qty", F.lit(0.0))).alias("received_qty")
+        F.sum(F.coalesce("qty", no_quantity())).alias("received_qty")
     )
 
 
@@ -81,7 +98,7 @@ def po_line_balance(po_lines: DataFrame, receipt_lines: DataFrame) -> DataFrame:
     Receipts of another item do not count; outstanding is negative after over-delivery.
     """
     both = ordered_qty(po_lines).join(received_qty(receipt_lines), ["po_line_key", "item_code"], "left")
-    received = F.coalesce("received_qty", F.lit(0.0))
+    received = F.coalesce("received_qty", no_quantity())
     return both.select(
         "po_line_key",
         "item_code",
@@ -97,7 +114,7 @@ def cumulative_provisional(prov_lines: DataFrame) -> DataFrame:
     The open quantity is NULL, not 0, where no line is open. Hand-added lines share
     the blank key and add up per item.
     """
-    qty = F.coalesce("qty", F.lit(0.0))
+    qty = F.coalesce("qty", no_quantity())
     return prov_lines.groupBy("po_line_key", "item_code").agg(
         F.sum(qty).alias("provisional_qty"),
         F.sum(F.when(F.col("status") == OPEN, qty)).alias("open_provisional_qty"),

@@ -16,17 +16,17 @@ def grid_filter_sort(df: DataFrame, filters: dict[str, str], order: list[tuple[s
     return df.orderBy(*[F.asc(column) if ascending else F.desc(column) for column, ascending in order])
 
 
-def bulk_status_change(detail: DataFrame, keys: DataFrame, status: str, hot: list[str] = ()) -> DataFrame:
+def bulk_status_change(detail: DataFrame, keys: DataFrame, status: str) -> DataFrame:
     """Edits for all shown detail rows, with the status changed on the selected ones.
 
     `keys` selects rows by `receipt_no` and `line_seq`. Rows without an item are headers
-    without lines; there is nothing to edit in them. `seq` is the row's line sequence.
+    without lines; there is nothing to edit in them. `seq` is the row's line sequence, as a number.
     """
     chosen = keys.select("receipt_no", "line_seq").distinct().withColumn("chosen", F.lit(True))
     rows = detail.filter(F.col("item_code").isNotNull())
-    rows = skew_join(rows, chosen, ["receipt_no", "line_seq"], spread_by=["line_seq", "item_code"], hot=hot)
+    rows = skew_join(rows, chosen, ["receipt_no", "line_seq"], spread_by=["line_seq", "item_code"])
     return rows.select(
-        F.col("line_seq").alias("seq"),
+        F.col("line_seq").try_cast("long").alias("seq"),
         "receipt_no",
         "item_code",
         "qty",

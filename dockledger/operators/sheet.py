@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from dockledger.functions.columns import DEFAULT_UNIT, NO_TEXT, long_date, quantity_text, text_or
 from dockledger.functions.skew import fan_out_join, number_within, skew_join
-from dockledger.operators.blocks import item_with_unit
-from dockledger.tables import Tables
+from dockledger.operators.blocks import item_with_unit, number_order
+from dockledger.tables import Tables, no_quantity
 
 ROWS_PER_SHEET = 15
 ROWS_PER_PART = 1000
@@ -36,7 +36,7 @@ def delivery_sheet(t: Tables, receipts: DataFrame | None = None, rows: int = ROW
     """
     hot = t.hot("prov_line", "receipt_no")
     lines = number_within(
-        _sheet_rows(t, receipts), ["receipt_no"], ["line_seq", "item_code", "qty"], "line_no", hot=hot, last="is_last"
+        _sheet_rows(t, receipts), ["receipt_no"], [*number_order("line_seq"), "item_code", "qty"], "line_no", hot=hot, last="is_last"
     )
     units = item_with_unit(t).select("item_code", "item_name", "unit")
     lines = skew_join(
@@ -46,7 +46,7 @@ def delivery_sheet(t: Tables, receipts: DataFrame | None = None, rows: int = ROW
     numbers = F.when(short, F.sequence("line_no", F.lit(rows).cast("long"))).otherwise(F.array("line_no"))
     padded = lines.withColumn("sheet_row", F.explode(numbers))
     filled = F.col("sheet_row") == F.col("line_no")
-    qty = F.coalesce("qty", F.lit(0.0))
+    qty = F.coalesce("qty", no_quantity())
     return padded.select(
         "receipt_no",
         F.col("sheet_row").alias("line_no"),
@@ -60,7 +60,7 @@ def delivery_sheet(t: Tables, receipts: DataFrame | None = None, rows: int = ROW
 
 def delivery_sheet_totals(t: Tables, receipts: DataFrame | None = None) -> DataFrame:
     """The total row of each sheet."""
-    total = _sheet_rows(t, receipts).groupBy("receipt_no").agg(F.sum(F.coalesce("qty", F.lit(0.0))).alias("total_qty"))
+    total = _sheet_rows(t, receipts).groupBy("receipt_no").agg(F.sum(F.coalesce("qty", no_quantity())).alias("total_qty"))
     return total.withColumn("total_text", quantity_text("total_qty"))
 
 
@@ -77,14 +77,18 @@ def delivery_sheet_header(history: DataFrame, as_of: dt.date | str) -> DataFrame
 def delivery_sheet_nested(
     t: Tables, receipts: DataFrame | None = None, rows: int = ROWS_PER_SHEET, rows_per_part: int = ROWS_PER_PART
 ) -> DataFrame:
-    """Sheets with their rows as one sorted array.
+    """Sheets with their rows as sorted arrays, and on every part the receipt's total and number of parts.
 
     A receipt of more than `rows_per_part` rows gives several parts, numbered from 1,
-    so that no array grows with the receipt.
+    so that no array grows with the receipt. One part is the usual case.
     """
     lines = delivery_sheet(t, receipts, rows).drop("qty_text")
     part = (F.floor((F.col("line_no") - 1) / rows_per_part) + 1).cast("long")
     line = F.struct("line_no", "item_code", "item_name", "qty", "unit")
-    return lines.groupBy("receipt_no", part.alias("part")).agg(
+    parts = lines.groupBy("receipt_no", part.alias("part")).agg(
         F.sort_array(F.collect_list(line)).alias("lines"), F.sum("qty").alias("part_qty")
     )
+    whole = parts.groupBy("receipt_no").agg(
+        F.sum("part_qty").alias("total_qty"), F.max("part").alias("part_count")
+    )
+    return parts.join(whole, "receipt_no").withColumn("total_text", quantity_text("total_qty"))

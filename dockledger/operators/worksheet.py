@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dockledger.functions.columns import DEFAULT_UNIT, OPEN, compact_date, month_code, month_label, text_or, typed_quantity
-from dockledger.functions.skew import number_within, skew_join
+from dockledger.functions.skew import HeavyKeys, number_within, skew_join
 from dockledger.sources.requests import DEFAULT_STORE
 
 DEFAULT_DELIVERY = 10
@@ -57,7 +57,7 @@ def worksheet_add_items(worksheet: DataFrame, items: DataFrame, as_of: dt.date |
     return worksheet.select(*_COLUMNS).unionByName(added)
 
 
-def worksheet_remove_items(worksheet: DataFrame, codes: DataFrame, hot: list[str] = ()) -> DataFrame:
+def worksheet_remove_items(worksheet: DataFrame, codes: DataFrame, hot: HeavyKeys | None = None) -> DataFrame:
     """Drops all rows of the given item codes; with a `po_no` column, only on that worksheet."""
     keys = [c for c in ("item_code", "po_no") if c in codes.columns]
     return skew_join(
@@ -65,7 +65,7 @@ def worksheet_remove_items(worksheet: DataFrame, codes: DataFrame, hot: list[str
     )
 
 
-def submit_lines(worksheet: DataFrame, requests: DataFrame, as_of: dt.date | str, hot: list[str] = ()) -> DataFrame:
+def submit_lines(worksheet: DataFrame, requests: DataFrame, as_of: dt.date | str, hot: HeavyKeys | None = None) -> DataFrame:
     """Registration lines of the worksheet rows with a delivery quantity above 0.
 
     `requests` has `po_no`, `supplier_code`, `due_date` (date), `contact_name`,
@@ -75,7 +75,8 @@ def submit_lines(worksheet: DataFrame, requests: DataFrame, as_of: dt.date | str
     lines = worksheet.withColumn("qty", typed_quantity("delivery_qty"))
     lines = lines.filter((F.col("qty") > 0) & F.col("item_code").isNotNull())
     lines = lines.withColumn("po_line_key", F.coalesce("po_line_key", F.lit("")))
-    lines = number_within(lines, ["po_no"], ["po_line_key", "item_code"], "seq", hot=hot)
+    # Hand-added rows of one item differ in quantity and month, or give equal lines.
+    lines = number_within(lines, ["po_no"], ["po_line_key", "item_code", "qty", "month"], "seq", hot=hot)
     lines = skew_join(lines, requests, ["po_no"], "inner", spread_by=["seq"], hot=hot)
     return lines.select(
         F.col("po_no").alias("request_id"),

@@ -1,18 +1,21 @@
 """The write flows as set operations: new rows, changed rows, remaining rows.
 
-Every function is lazy and reads one table version; `dockledger.plans.versions`
-stores the result as the next one.
+Functions read one table version; `dockledger.plans.versions` stores the result as the
+next one. They are lazy, but for numbering in groups that are heavy (see `number_within`).
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dockledger.functions.columns import business_date
-from dockledger.functions.skew import find_hot_keys, number_within, skew_join
+from dockledger.functions import skew
+from dockledger.functions.skew import HeavyKeys, number_within, skew_join
+from dockledger.functions.storage import stored
 from dockledger.tables import Tables
 
 
@@ -27,37 +30,51 @@ class NumberRule:
 
 @dataclass(frozen=True)
 class Registration:
-    """Rows to add to the three tables, and number and line count per request."""
+    """Rows to add to the three tables, number and line count per request, and requests that cannot be registered."""
 
     headers: DataFrame
     lines: DataFrame
     contacts: DataFrame
     summary: DataFrame
+    rejected: DataFrame
+
+
+_KEYS = {"owner": ["owner"], "request": ["request_id"], "day": ["day"]}
 
 
 def register_receipts(
-    t: Tables, registrations: DataFrame, rule: NumberRule = NumberRule(), rows_at_most: int | None = None
+    t: Tables,
+    registrations: DataFrame,
+    rule: NumberRule = NumberRule(),
+    *,
+    as_of: dt.date | str,
+    hot: dict[str, HeavyKeys] | None = None,
 ) -> Registration:
     """Registers requests given as one row per item (see `explode_requests`).
 
     A request without receipt number gets the next free number of its due day, in
     the order of request ids; one with a number adds lines to that receipt. Line
-    sequences continue after the receipt's last one. `rows_at_most` bounds the
-    registrations where it is known; they are counted otherwise.
+    sequences continue after the receipt's last one. A request with a due date that is
+    none, or with a line without item or quantity, is rejected as a whole: no receipt
+    without a number can arise. `as_of` is the day of saving; `hot` the heavy keys of
+    the registrations (see `heavy_registrations`).
     """
-    owner = F.when(F.col("receipt_no") != "", F.concat(F.lit("R"), F.col("receipt_no"))).otherwise(
-        F.concat(F.lit("Q"), F.col("request_id").cast("string"))
-    )
-    items = registrations.withColumn("receipt_no", F.trim(F.coalesce("receipt_no", F.lit(""))))
-    day = F.date_format(business_date("due_date"), rule.day_format)
-    items = items.withColumn("owner", owner).withColumn("day", day)
-    hot_owners, hot_requests, hot_days = _hot_registrations(items, t, rows_at_most)
+    hot = hot or {}
+    hot_owners, hot_requests, hot_days = (hot.get(k) for k in _KEYS)
+    items = _with_keys(registrations, rule)
 
     head = ["receipt_no", "day", "due_date", "supplier_code", "contact_name", "contact_phone"]
+    no_day, no_line = F.col("day").isNull(), F.col("qty").isNull() | F.coalesce(F.col("item_code") == "", F.lit(True))
     requests = items.groupBy("request_id").agg(
-        F.min(F.struct("seq", *head)).alias("head"), F.count(F.lit(1)).alias("line_count")
+        F.min(F.struct("seq", *head)).alias("head"),
+        F.count(F.lit(1)).alias("line_count"),
+        F.max(no_day).alias("no_day"),
+        F.max(no_line).alias("no_line"),
     )
-    requests = requests.select("request_id", "line_count", *[F.col(f"head.{c}").alias(c) for c in head])
+    reason = F.when(F.col("no_day"), F.lit("due date")).when(F.col("no_line"), F.lit("item or quantity"))
+    requests = requests.select("request_id", "line_count", reason.alias("reason"), *[F.col(f"head.{c}").alias(c) for c in head])
+    rejected = requests.filter(F.col("reason").isNotNull()).select("request_id", "reason")
+    requests = requests.filter(F.col("reason").isNull()).drop("reason")
 
     new = requests.filter(F.col("receipt_no") == "").drop("receipt_no")
     new = number_within(new, ["day"], ["request_id"], "nth", hot=hot_days)
@@ -69,13 +86,11 @@ def register_receipts(
     requests = new.unionByName(known)
 
     numbers = requests.select("request_id", F.col("receipt_no").alias("number"))
-    lines = number_within(items, ["owner"], ["request_id", "seq", "item_code", "po_line_key"], "nth", hot=hot_owners)
-    lines = skew_join(lines.drop("receipt_no"), numbers, ["request_id"], "inner", spread_by=["seq"], hot=hot_requests)
+    lines = skew_join(items.drop("receipt_no"), numbers, ["request_id"], "inner", spread_by=["seq"], hot=hot_requests)
+    lines = number_within(lines, ["owner"], ["request_id", "seq", "item_code", "po_line_key", "qty"], "nth", hot=hot_owners)
+    last = _last_sequences(t, known).select(F.concat(F.lit("R"), F.col("receipt_no")).alias("owner"), "last_sequence")
+    lines = skew_join(lines, last, ["owner"], spread_by=["request_id", "seq"], hot=hot_owners)
     lines = lines.withColumnRenamed("number", "receipt_no")
-    hot_receipts = [owner[1:] for owner in hot_owners if owner.startswith("R")]
-    lines = skew_join(
-        lines, _last_sequences(t, known), ["receipt_no"], spread_by=["request_id", "seq"], hot=hot_receipts
-    )
     sequence = F.coalesce("last_sequence", F.lit(0)) + F.col("nth")
     lines = lines.select(
         "receipt_no",
@@ -94,18 +109,34 @@ def register_receipts(
     created = created.unionByName(new.select(*created.columns))
     supplier = F.col("supplier_code").cast(t.prov_header.schema["supplier_code"].dataType)
     headers = created.select(
-        "receipt_no", supplier.alias("supplier_code"), business_date("due_date").alias("saved_on"),
+        "receipt_no", supplier.alias("supplier_code"), F.lit(as_of).cast("date").alias("saved_on"),
         business_date("due_date").alias("due_date"),
     )
     contacts = created.select("receipt_no", "contact_name", "contact_phone")
     summary = requests.select("request_id", "receipt_no", F.col("line_count").alias("inserted_count"))
-    return Registration(headers, lines, contacts, summary)
+    return Registration(headers, lines, contacts, summary, rejected)
 
 
-def _hot_registrations(items: DataFrame, t: Tables, rows_at_most: int | None) -> list[list[str]]:
-    if (items.count() if rows_at_most is None else rows_at_most) < t.hot_rows:
-        return [[], [], []]
-    return find_hot_keys(items, [["owner"], ["request_id"], ["day"]], t.hot_rows)
+def _with_keys(registrations: DataFrame, rule: NumberRule) -> DataFrame:
+    owner = F.when(F.col("receipt_no") != "", F.concat(F.lit("R"), F.col("receipt_no"))).otherwise(
+        F.concat(F.lit("Q"), F.col("request_id").cast("string"))
+    )
+    items = registrations.withColumn("receipt_no", F.trim(F.coalesce("receipt_no", F.lit(""))))
+    day = F.date_format(business_date("due_date"), rule.day_format)
+    return items.withColumn("owner", owner).withColumn("day", day)
+
+
+def heavy_registrations(
+    registrations: DataFrame, rule: NumberRule = NumberRule(), heavy_rows: int = skew.HEAVY_ROWS
+) -> dict[str, HeavyKeys]:
+    """Heavy owners, requests and days of stored registrations; one exact pass over them, none over the tables."""
+    items, found = _with_keys(registrations, rule), {}
+    for name, columns in _KEYS.items():
+        keys = stored(skew.count_heavy_keys(items, columns, heavy_rows), f"heavy-{name}")
+        count, least = keys.agg(F.count(F.lit(1)), F.min("rows")).first()
+        if count:
+            found[name] = HeavyKeys(keys, count, least)
+    return found
 
 
 def _last_numbers(t: Tables, rule: NumberRule) -> DataFrame:

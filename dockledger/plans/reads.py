@@ -24,7 +24,7 @@ from dockledger.functions.columns import (
     rolled_status,
     status_code,
 )
-from dockledger.functions.skew import fan_out_join, skew_join, with_group_min
+from dockledger.functions.skew import HeavyKeys, fan_out_join, skew_join, with_group_min
 from dockledger.operators import blocks
 from dockledger.tables import Tables
 
@@ -41,7 +41,9 @@ def _selected(headers: DataFrame, supplier: Any, date: str | None = None, lo: Da
     return headers
 
 
-def _lines_of(lines: DataFrame, headers: DataFrame, document: str, restrict: bool, hot: list[str]) -> DataFrame:
+def _lines_of(
+    lines: DataFrame, headers: DataFrame, document: str, restrict: bool, hot: HeavyKeys | None
+) -> DataFrame:
     if not restrict:
         return lines
     return skew_join(lines, headers.select(document), [document], "left_semi", spread_by=["line_seq"], hot=hot)
@@ -61,7 +63,7 @@ def item_search(
     items = items.filter(contains_any(["item_code", "part_no", "item_name"], search, mode))
     if item_type:
         items = items.filter(F.col("item_type") == item_type)
-    found = items.join(types, "item_type", "left").select(
+    found = blocks.with_code_name(items, types, "item_type", "item_code").select(
         "item_code", "part_no", "item_name", "item_group", "item_type", "item_type_name", "unit_code"
     )
     # The item code only breaks ties, and lets the few types spread over many sort tasks.
@@ -102,9 +104,9 @@ def po_picker(
     if search:
         names = t.item.filter(contains_any(["item_name"], search, mode))
         names = names.select(F.trim("item_code").alias("item")).distinct().withColumn("named", F.lit(True))
-        hot = [code.strip(" ") for code in t.hot("po_line", "item_code")]
+        hot = t.hot("po_line", "item_code")
         marked = lines.withColumn("item", F.trim("item_code"))
-        marked = skew_join(marked, names, ["item"], spread_by=["po_no", "line_seq"], hot=hot)
+        marked = skew_join(marked, names, ["item"], spread_by=["po_no", "line_seq"], hot=hot and hot.trimmed())
         hit = F.col("named").isNotNull() | contains_any(["item_code"], search, mode)
         summary = _lines_with_hits(marked, hit)
         picked = headers.join(summary, "po_no", "left").filter(by_number | (F.col("hits") > 0))
@@ -124,7 +126,7 @@ def po_picker(
 def _lines_with_hits(lines: DataFrame, hit: Column) -> DataFrame:
     """First item and line count per purchase order, with the number of lines that match a search."""
     per_po = lines.groupBy("po_no").agg(
-        F.min(F.struct("line_seq", "item_code")).alias("first"),
+        F.min(F.struct(F.length("line_seq").alias("digits"), "line_seq", "item_code")).alias("first"),
         F.count(F.lit(1)).alias("line_count"),
         F.sum(F.when(hit, 1).otherwise(0)).alias("hits"),
     )
@@ -143,7 +145,9 @@ def _po_lines(
     return headers, _lines_of(t.po_line, headers, "po_no", restrict, t.hot("po_line", "po_no")), restrict
 
 
-def _of_keys(lines: DataFrame, keys: DataFrame, restrict: bool, spread_by: list[str], hot: list[str]) -> DataFrame:
+def _of_keys(
+    lines: DataFrame, keys: DataFrame, restrict: bool, spread_by: list[str], hot: HeavyKeys | None
+) -> DataFrame:
     """Lines of the selected PO lines only; all lines of a key stay, whoever's they are."""
     if not restrict:
         return lines
@@ -194,17 +198,26 @@ def po_line_status(
     )
 
 
-def po_line_status_raw(t: Tables, supplier: Any = None, pos: DataFrame | None = None) -> DataFrame:
+def po_line_status_raw(
+    t: Tables,
+    supplier: Any = None,
+    pos: DataFrame | None = None,
+    number: str | None = None,
+    mode: str = "literal",
+    narrow: bool = True,
+) -> DataFrame:
     """`po_line_status` with each line repeated once per actual receipt of it.
 
     This is the row count of the source query, which joins receipts without showing
     them. Its quantities repeat as well, so sums over it are wrong.
     """
-    status = po_line_status(t, supplier, pos)
-    actual = t.receipt_line.select("po_line_key", "actual_no", F.col("item_code").alias("_item"), "qty")
+    status = po_line_status(t, supplier, pos, number, mode, narrow)
+    _, lines, restrict = _po_lines(t, supplier, pos, number, mode)
+    hot = t.hot("receipt_line", "po_line_key")
+    actual = _of_keys(t.receipt_line, lines, restrict and narrow, _RECEIPT_ID, hot).select("po_line_key", "actual_no", F.col("item_code").alias("_item"), "qty")
     rows = fan_out_join(
         status, actual, "po_line_key",
-        spread_by=["actual_no", "_item", "qty"], missing_by=["po_no"], hot=t.hot("receipt_line", "po_line_key"),
+        spread_by=["actual_no", "_item", "qty"], missing_by=["po_no"], hot=hot,
     )
     headers = t.receipt_header.select("actual_no")
     rows = skew_join(
@@ -241,7 +254,7 @@ def receipt_history(
     restrict = restrict and narrow
     # The outer join and the roll-up would shuffle every order line; the semi-joins
     # only send the few selected keys to where the order lines are read.
-    po_lines = _of_keys(t.po_line, lines, restrict, ["line_seq", "item_code"], []).select("po_line_key", "po_no")
+    po_lines = _of_keys(t.po_line, lines, restrict, ["line_seq", "item_code"], None).select("po_line_key", "po_no")
     orders = po_lines.select("po_no").distinct() if restrict else po_lines
     po_all = _lines_of(t.po_line, orders, "po_no", restrict, t.hot("po_line", "po_no"))
     of_orders = skew_join(
@@ -249,7 +262,7 @@ def receipt_history(
         spread_by=_PROV_ID, hot=t.hot("prov_line", "po_line_key"), blank_matches=False,
     )
     groups = of_orders.groupBy("receipt_no", "po_no").agg(
-        F.min(F.struct("line_seq", "item_code")).alias("first"),
+        F.min(F.struct(F.length("line_seq").alias("digits"), "line_seq", "item_code")).alias("first"),
         F.count(F.lit(1)).alias("line_count"),
         F.max("updated_on").alias("last_update"),
         rolled_status("status").alias("status"),
@@ -273,7 +286,10 @@ def receipt_history(
     if search:
         named = named.filter(contains_any(["receipt_no", "po_no", "item_name"], search, mode))
     po_status = blocks.status_rollup(po_all, "po_no").withColumnRenamed("status", "po_status")
-    rows = skew_join(named, po_status, ["po_no"], spread_by=spread)
+    hot_lines = t.hot("prov_line", "po_line_key")
+    # A blanket order that very many receipts deliver for: its lines are heavy among the receipts' lines.
+    order_of = t.po_line.select(F.col("po_line_key").alias("key"), F.col("po_no").alias("other"))
+    rows = skew_join(named, po_status, ["po_no"], spread_by=spread, hot=hot_lines and hot_lines.through(order_of))
     result = rows.select(
         "receipt_no",
         "due_date",
@@ -316,7 +332,7 @@ def receipt_detail(
     if status_code(status) is not None:
         rows = rows.filter(has_status("status", status))
     restrict = restrict and narrow
-    po_lines = _of_keys(t.po_line, lines, restrict, ["line_seq", "item_code"], [])
+    po_lines = _of_keys(t.po_line, lines, restrict, ["line_seq", "item_code"], None)
     received = _of_keys(t.receipt_line, lines, restrict, _RECEIPT_ID, t.hot("receipt_line", "po_line_key"))
     announced = _of_keys(t.prov_line, lines, restrict, _PROV_ID, hot_keys)
     announced = blocks.cumulative_provisional(announced.filter(has_status("status", "N"))).drop("provisional_qty")

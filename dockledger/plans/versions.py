@@ -1,25 +1,34 @@
 """Table versions: a write flow stores what it changed, then makes it current.
 
-Stored rows go to a folder of their own; a table is one folder or several. New rows
-add a folder, changed tables get a new one, the others keep theirs. The list of
-folders of a version is appended last, as one file, so readers see the old version
-or the new one and a failed job leaves the old one. One writer at a time.
+Stored rows go to a folder of their own name, never to one that exists; a table is one folder or several. New rows add
+a folder, changed tables get a new one, the others keep theirs. A version is one list, written last: what it stores
+and on which version it builds. Readers see the old version or the new one, and a failed job leaves the old one. A
+writer that built on a version that is no longer current is refused; if two write at once, the second finds the
+list of its version taken and fails, and what it stored belongs to no version. `compact` joins small folders.
+
+Heavy keys (see `dockledger.functions.skew`) are counted for each stored folder and listed with it.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Mapping
 from functools import partial
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockledger.functions.skew import cut_lineage
+from dockledger.functions import skew
+from dockledger.functions.columns import line_key
+from dockledger.functions.storage import stored
 from dockledger.operators import writes
 from dockledger.sources.loading import conform
-from dockledger.sources.requests import explode_requests
-from dockledger.tables import LAYOUTS, TABLE_NAMES, Tables
+from dockledger.sources.requests import accepted_requests, explode_requests, rejected_requests
+from dockledger.tables import HEAVY_KEYS, LAYOUTS, TABLE_NAMES, Tables
 
-_LIST = "versions"
+_LIST_SCHEMA = "version long, table string, folder string, replaces boolean"
+_HEAVY_SCHEMA = "table string, columns string, key string, rows long"
 
 # Rows are stored in these ranges, so that date filters and document lookups skip row groups.
 _STORED_BY = {
@@ -35,60 +44,122 @@ _STORED_BY = {
 }
 
 
-def _list_rows(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema("version long, table string, folder string").parquet(f"{root}/{_LIST}")
+def _lists(spark: SparkSession, root: str) -> list:
+    """What each version stored. A version adds a row for each folder it stored, so the lists grow with the writes."""
+    try:
+        found = spark.read.schema(_LIST_SCHEMA).parquet(f"{root}/versions/*")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return found.collect()
 
 
-def _folders(spark: SparkSession, root: str, version: int) -> dict[str, list[str]]:
-    """Folders per table: one, and one for every registration since the table was last stored whole."""
+def _folders(lists: list, version: int) -> dict[str, list[str]]:
+    """Folders per table: the last that stored it whole, and those that added to it since."""
     folders: dict[str, list[str]] = {}
-    for row in _list_rows(spark, root).filter(F.col("version") == version).collect():
-        folders.setdefault(row["table"], []).append(row["folder"])
+    for row in sorted((r for r in lists if r["version"] <= version), key=lambda r: r["version"]):
+        if row["replaces"]:
+            folders[row["table"]] = [row["folder"]]
+        else:
+            folders[row["table"]].append(row["folder"])
     return folders
 
 
 def current_version(spark: SparkSession, root: str) -> int:
-    return _list_rows(spark, root).agg(F.max("version")).first()[0]
+    """Number of the current version, 0 if there is none."""
+    return max((row["version"] for row in _lists(spark, root)), default=0)
 
 
 def load_version(spark: SparkSession, root: str, version: int | None = None) -> Tables:
     """Tables of a version, the current one by default."""
-    if version is None:
-        version = current_version(spark, root)
-    folders = _folders(spark, root, version)
+    lists = _lists(spark, root)
+    known = max((row["version"] for row in lists), default=0)
+    if not 0 < (known if version is None else version) <= known:
+        raise ValueError(f"there is no version {version} under {root}")
+    folders = _folders(lists, known if version is None else version)
 
     def open_table(name: str) -> DataFrame:
-        return conform(spark.read.parquet(*[f"{root}/{folder}" for folder in folders[name]]), name)
+        paths = [f"{root}/{folder}" for folder in folders[name]]
+        df = spark.read.schema(spark.read.parquet(paths[0]).schema).parquet(*paths)
+        return df.withColumn("po_line_key", line_key("po_no", "line_seq")) if name == "po_line" else df
+
+    return Tables({name: partial(open_table, name) for name in TABLE_NAMES}, _heavy(spark, root, folders))
+
 
-    return Tables({name: partial(open_table, name) for name in TABLE_NAMES})
+def _heavy(spark: SparkSession, root: str, folders: Mapping[str, list[str]]) -> dict:
+    """Heavy keys by table and columns, from the lists beside the folders; only their numbers reach the driver."""
+    paths = [f"{root}/heavy/{folder}" for name in HEAVY_KEYS for folder in folders[name]]
+    keys = spark.read.schema(_HEAVY_SCHEMA).parquet(*paths)
+    keys = keys.groupBy("table", "columns", "key").agg(F.sum("rows").alias("rows"))
+    found = {}
+    for row in keys.groupBy("table", "columns").agg(F.count(F.lit(1)).alias("n"), F.min("rows").alias("least")).collect():
+        own = keys.filter((F.col("table") == row["table"]) & (F.col("columns") == row["columns"])).select("key", "rows")
+        found[row["table"], tuple(row["columns"].split(","))] = skew.HeavyKeys(own, row["n"], row["least"])
+    return found
 
 
 def publish_version(
     spark: SparkSession,
-    tables: dict[str, DataFrame],
+    tables: Mapping[str, DataFrame],
     root: str,
     base: int = 0,
-    added: dict[str, DataFrame] | None = None,
+    added: Mapping[str, DataFrame] | None = None,
+    heavy_rows: int = skew.HEAVY_ROWS,
 ) -> int:
     """Stores whole tables and added rows as the version after `base` and makes it current.
 
-    Version 1 has all tables; later ones take what they do not store from `base`.
+    Version 1 has all tables; later ones take what they do not store from `base`, which must be the current version.
+    Columns are cast to the types of the layout, keys to the type they are stored with.
     """
-    version = base + 1
-    folders = _folders(spark, root, base) if base else {}
+    lists = _lists(spark, root)
+    current = max((row["version"] for row in lists), default=0)
+    if base != current:
+        raise ValueError(f"version {base} is not current, {current} is: read it and try again")
+    folders = _folders(lists, base)
     missing = set(TABLE_NAMES) - set(folders) - set(tables)
     if missing:
-        raise ValueError(f"version {version} would lack {sorted(missing)}")
+        raise ValueError(f"version {base + 1} would lack {sorted(missing)}")
+    rows = []
     for name, df in {**tables, **(added or {})}.items():
-        folder = f"{name}/v{version:06d}"
-        folders[name] = [folder] if name in tables else [*folders[name], folder]
-        columns = [f.name for f in LAYOUTS[name].fields]
-        ranged = df.select(*columns).repartitionByRange(*_STORED_BY[name]).sortWithinPartitions(*_STORED_BY[name])
-        ranged.write.mode("overwrite").parquet(f"{root}/{folder}")
-    rows = [(version, name, folder) for name, stored in folders.items() for folder in stored]
-    listed = spark.createDataFrame(rows, "version long, table string, folder string").coalesce(1)
-    listed.write.mode("append").parquet(f"{root}/{_LIST}")
-    return version
+        folder = f"{name}/{uuid.uuid4().hex}"
+        df = conform(df, name)
+        if name in folders:
+            stored_as = spark.read.parquet(f"{root}/{folders[name][0]}").schema
+            df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in stored_as.fields])
+        else:
+            df = df.select(*[f.name for f in LAYOUTS[name].fields])
+        ranged = df.repartitionByRange(*_STORED_BY[name]).sortWithinPartitions(*_STORED_BY[name])
+        ranged.write.mode("error").parquet(f"{root}/{folder}")
+        if name in HEAVY_KEYS:
+            _store_heavy(spark, root, name, folder, heavy_rows)
+        rows.append((base + 1, name, folder, name in tables))
+    listed = spark.createDataFrame(rows, _LIST_SCHEMA).coalesce(1)
+    listed.write.mode("error").parquet(f"{root}/versions/v{base + 1:08d}")
+    return base + 1
+
+
+def _store_heavy(spark: SparkSession, root: str, name: str, folder: str, heavy_rows: int) -> None:
+    rows = spark.read.parquet(f"{root}/{folder}")
+    if name == "po_line":
+        rows = rows.withColumn("po_line_key", line_key("po_no", "line_seq"))
+    found = None
+    for columns in HEAVY_KEYS[name]:
+        keys = skew.count_heavy_keys(rows, columns, heavy_rows)
+        keys = keys.select(F.lit(name).alias("table"), F.lit(",".join(columns)).alias("columns"), "key", "rows")
+        found = keys if found is None else found.unionByName(keys)
+    found.write.mode("error").parquet(f"{root}/heavy/{folder}")
+
+
+def compact(spark: SparkSession, root: str, most: int = 20, heavy_rows: int = skew.HEAVY_ROWS) -> int:
+    """A version in which tables of more than `most` folders are stored as one; without such tables the current one."""
+    lists = _lists(spark, root)
+    base = max((row["version"] for row in lists), default=0)
+    many = [name for name, stored_in in _folders(lists, base).items() if len(stored_in) > most]
+    if not many:
+        return base
+    t = load_version(spark, root, base)
+    return publish_version(spark, {name: t[name] for name in many}, root, base, heavy_rows=heavy_rows)
 
 
 def _require(rows: DataFrame, message: str) -> None:
@@ -105,21 +176,30 @@ _PROV = ("prov_header", "prov_line", "prov_contact")
 
 
 def run_register(
-    spark: SparkSession, root: str, raw_requests: DataFrame, rule: writes.NumberRule = writes.NumberRule()
+    spark: SparkSession, root: str, raw_requests: DataFrame, as_of: str, rule: writes.NumberRule = writes.NumberRule()
 ) -> DataFrame:
-    """Registers request documents; returns receipt number and line count per request."""
+    """Registers request documents on day `as_of`: request_id, receipt_no, inserted_count, reason.
+
+    A request that cannot be registered stores nothing; it has a reason and no receipt number.
+    """
     base, t = _start(spark, root)
     # Stored once: headers, lines and contacts must agree on the numbers given.
-    items = cut_lineage(explode_requests(raw_requests))
+    raw = stored(raw_requests, "requests")
+    rejected = rejected_requests(raw)
+    items = stored(explode_requests(accepted_requests(raw)), "requested-items")
     _require(items, "no items to register")
-    new = writes.register_receipts(t, items, rule)
+    new = writes.register_receipts(t, items, rule, as_of=as_of, hot=writes.heavy_registrations(items))
     added = {"prov_header": new.headers, "prov_line": new.lines, "prov_contact": new.contacts}
     publish_version(spark, {}, root, base, added)
-    return new.summary
+    accepted = new.summary.withColumn("reason", F.lit(None).cast("string"))
+    refused = rejected.select("request_id", F.lit(None).cast("string").alias("receipt_no"),
+                              F.lit(0).cast("long").alias("inserted_count"), "reason")
+    return stored(accepted.unionByName(refused), "registered")
 
 
 def run_edit(spark: SparkSession, root: str, edits: DataFrame) -> DataFrame:
     """Applies edits; returns the number of updates per receipt."""
+    edits = stored(edits, "edits")
     _require(edits, "no items to edit")
     base, t = _start(spark, root)
     publish_version(spark, {"prov_line": writes.edit_receipt_lines(t, edits)}, root, base)
@@ -128,6 +208,7 @@ def run_edit(spark: SparkSession, root: str, edits: DataFrame) -> DataFrame:
 
 def run_delete(spark: SparkSession, root: str, ids: DataFrame) -> DataFrame:
     """Deletes receipts; returns how many ids were sent and how many receipts existed."""
+    ids = stored(ids, "deletes")
     _require(ids, "no receipts to delete")
     base, t = _start(spark, root)
     after = writes.delete_receipts(t, ids)

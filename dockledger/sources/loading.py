@@ -27,8 +27,8 @@ def conform(df: DataFrame, table: str, *, source_names: bool = False, clean: boo
             column = F.rtrim(column)
         if isinstance(spec.type, T.DateType) and isinstance(found, T.StringType):
             column = business_date(column)
-        elif not spec.is_key and found != spec.type and not isinstance(spec.type, T.DateType):
-            column = column.cast(spec.type)
+        elif not spec.is_key and found != spec.type:
+            column = column.cast(spec.type)  # date-times become days, numbers the quantity type
         columns.append(column.alias(spec.name))
     df = df.select(*columns)
     return df.withColumn("po_line_key", line_key("po_no", "line_seq")) if table == "po_line" else df
@@ -52,7 +52,11 @@ def load_jdbc(
     split: dict[str, dict[str, str]] | None = None,
 ) -> Tables:
     """Tables over JDBC. `split` gives, per table, Spark's `partitionColumn`,
-    `lowerBound`, `upperBound` and `numPartitions`, so that it is read in parallel."""
+    `lowerBound`, `upperBound` and `numPartitions`, so that it is read in parallel.
+    The line tables must have it: without, one task would read such a table."""
+    unsplit = {"po_line", "receipt_line", "prov_line"} - set(split or {})
+    if unsplit:
+        raise ValueError(f"split is needed for {sorted(unsplit)}")
 
     def open_table(name: str) -> DataFrame:
         reader = spark.read.format("jdbc").option("url", url).option("dbtable", LAYOUTS[name].source)

@@ -1,12 +1,14 @@
-"""Registration requests: JSON documents with an array of items."""
+"""Request documents: registrations, edits and deletes as JSON with an array of items."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dockledger.functions.columns import CLOSED, client_address, text_or
+from dockledger.functions.columns import CLOSED, business_date, client_address, text_or, typed_quantity
 
 DEFAULT_STORE = "E010"
 
@@ -24,17 +26,58 @@ REQUEST_SCHEMA = T.StructType([
     T.StructField("items", T.ArrayType(T.StructType([
         T.StructField("itemCode", T.StringType()),
         T.StructField("ordrDetl", T.StringType()),
-        T.StructField("gaipQnty", T.DoubleType()),
+        T.StructField("gaipQnty", T.StringType()),  # numbers may be sent as text
         T.StructField("gaipYmmm", T.StringType()),
         T.StructField("memoXxxx", T.StringType()),
     ]))),
 ])
 
+EDIT_SCHEMA = T.StructType([
+    T.StructField("items", T.ArrayType(T.StructType([
+        T.StructField("itemCode", T.StringType()),
+        T.StructField("gaipQnty", T.StringType()),
+        T.StructField("statType", T.StringType()),
+    ]))),
+])
+DELETE_SCHEMA = T.StructType([T.StructField("ipgoNumbs", T.ArrayType(T.StringType()))])
+# Fields that a registration must have, in the document and in each item.
+REQUIRED = ["ipgoDate", "custCode", "userName", "ordrNumb"]
+REQUIRED_IN_ITEM = ["itemCode", "ordrDetl", "gaipQnty"]
+
 
 def _parsed(raw: DataFrame) -> DataFrame:
     return raw.withColumn("request", F.from_json("payload", REQUEST_SCHEMA))
 
 
+def _lacks(name: str) -> Callable[[Column], Column]:
+    return lambda item: item.isNull() | item[name].isNull()
+
+
+def _reason() -> Column:
+    """Why the parsed request cannot be registered; NULL if it can."""
+    items = F.col("request.items")
+    unreadable = F.col("payload").isNull() | F.try_parse_json("payload").isNull()
+    reason = F.when(unreadable, F.lit("unreadable document"))
+    for name in REQUIRED:
+        reason = reason.when(F.col(f"request.{name}").isNull(), F.lit(f"no {name}"))
+    reason = reason.when(items.isNull(), F.lit("no items")).when(F.size(items) == 0, F.lit("empty items"))
+    for name in REQUIRED_IN_ITEM:
+        reason = reason.when(F.exists(items, _lacks(name)), F.lit(f"item without {name}"))
+    no_number = F.exists(items, lambda item: typed_quantity(item["gaipQnty"]).isNull())
+    reason = reason.when(no_number, F.lit("quantity is no number"))
+    return reason.when(business_date(F.col("request.ipgoDate")).isNull(), F.lit("ipgoDate is no date"))
+
+
+def accepted_requests(raw: DataFrame) -> DataFrame:
+    """The requests that can be registered, as they came."""
+    return _parsed(raw).filter(_reason().isNull()).select(*raw.columns)
+
+
+def rejected_requests(raw: DataFrame) -> DataFrame:
+    """The others: request_id, payload and the first reason that holds."""
+    return _parsed(raw).select("request_id", "payload", _reason().alias("reason")).filter(F.col("reason").isNotNull())
+
+
 def explode_requests(raw: DataFrame) -> DataFrame:
     """One row per requested item, from rows of `request_id`, `payload` and, where
     known, `forwarded_for` and `peer`. The item's own memo is ignored, the header's counts."""
@@ -56,12 +99,28 @@ def explode_requests(raw: DataFrame) -> DataFrame:
         text_or(request["statType"], CLOSED).alias("status"),
         item["itemCode"].alias("item_code"),
         F.trim(item["ordrDetl"]).alias("po_line_key"),
-        item["gaipQnty"].alias("qty"),
+        typed_quantity(item["gaipQnty"]).alias("qty"),
         text_or(item["gaipYmmm"], "").alias("month"),
         client_address(forwarded, peer).alias("client_address"),
     )
 
 
-def rejected_requests(raw: DataFrame) -> DataFrame:
-    """Requests that cannot be registered because their item list is empty or unreadable."""
-    return _parsed(raw).filter(F.coalesce(F.size("request.items"), F.lit(0)) <= 0).select("request_id", "payload")
+def explode_edits(raw: DataFrame) -> DataFrame:
+    """One row per edited item, from rows of `request_id`, `receipt_no` (the document is sent to its address) and
+    `payload`. `seq` orders all edits: by request, then by place in the document, so later ones win."""
+    parsed = raw.withColumn("request", F.from_json("payload", EDIT_SCHEMA))
+    items = parsed.select("request_id", "receipt_no", F.posexplode("request.items").alias("position", "item"))
+    item = F.col("item")
+    return items.select(
+        F.struct("request_id", F.col("position").alias("position")).alias("seq"),
+        F.trim("receipt_no").alias("receipt_no"),
+        F.trim(item["itemCode"]).alias("item_code"),
+        typed_quantity(item["gaipQnty"]).alias("qty"),
+        item["statType"].alias("status"),
+    )
+
+
+def explode_deletes(raw: DataFrame) -> DataFrame:
+    """One row per receipt number in delete documents: rows of `request_id` and `payload`."""
+    numbers = F.from_json("payload", DELETE_SCHEMA)["ipgoNumbs"]
+    return raw.select("request_id", F.posexplode(numbers).alias("position", "receipt_no"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dockledger.functions import skew
@@ -63,8 +63,8 @@ _LINE_ID = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedp
 class _Sample:
     """One folder of test data; every method derives one table or a shared step."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, hot_rows: int) -> None:
-        self.spark, self.sf_dir, self.hot_rows = spark, sf_dir, hot_rows
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
 
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -81,15 +81,6 @@ class _Sample:
     def lineitem(self) -> DataFrame:
         return self._read("lineitem")
 
-    @cached_property
-    def line_count(self) -> int:
-        return self.lineitem.count()
-
-    def rows_at_most(self, table: str) -> int:
-        if table in ("item", "code"):
-            return self.part.count()
-        return self.orders.count() if table == "po_header" else self.line_count
-
     def item(self) -> DataFrame:
         size = F.col("p_size")
         return self.part.select(
@@ -138,19 +129,9 @@ class _Sample:
     @cached_property
     def shipments(self) -> DataFrame:
         """Lines with their customer and the smallest part of their order line."""
-        hot_orders, hot_lines = [], []
-        if self.line_count >= self.hot_rows:
-            keys = [["l_orderkey"], ["l_orderkey", "l_linenumber"]]
-            hot_orders, hot_lines = skew.find_hot_keys(self.lineitem, keys, self.hot_rows)
-        if not hot_orders:
-            lines = self.lineitem.join(self.customers, "l_orderkey")
-            smallest = F.min("l_partkey").over(Window.partitionBy("l_orderkey", "l_linenumber"))
-            return lines.withColumn("min_part", smallest)
-        lines = skew.skew_join(
-            self.lineitem, self.customers, ["l_orderkey"], "inner", spread_by=_LINE_ID, hot=hot_orders
-        )
         smallest = self.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("min_part"))
-        return skew.skew_join(lines, smallest, ["l_orderkey", "l_linenumber"], spread_by=_LINE_ID, hot=hot_lines)
+        lines = self.lineitem.join(self.customers, "l_orderkey")
+        return lines.join(smallest, ["l_orderkey", "l_linenumber"])
 
     def receipt_line(self) -> DataFrame:
         return self.shipments.filter(F.col("l_linestatus") == "F").select(
@@ -169,10 +150,7 @@ class _Sample:
         lines = self.shipments.withColumn(
             "receipt_no", _receipt_no(F.col("o_custkey"), F.year("l_shipdate"))
         )
-        hot = []
-        if self.line_count >= self.hot_rows:
-            [hot] = skew.find_hot_keys(lines, [["receipt_no"]], self.hot_rows)
-        lines = skew.number_within(lines, ["receipt_no"], ["l_orderkey", *_LINE_ID], "position", hot=hot)
+        lines = skew.number_within(lines, ["receipt_no"], ["l_orderkey", *_LINE_ID], "position")
         orphan = (F.col("l_linenumber") == 7) & (F.col("l_returnflag") == "R")
         return lines.select(
             "receipt_no",
@@ -202,6 +180,6 @@ class _Sample:
         )
 
 
-def sample_tables(spark: SparkSession, sf_dir: str, hot_rows: int = skew.HOT_ROWS) -> Tables:
-    sample = _Sample(spark, sf_dir, hot_rows)
-    return Tables({name: getattr(sample, name) for name in TABLE_NAMES}, sample.rows_at_most, hot_rows)
+def sample_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    sample = _Sample(spark, sf_dir)
+    return Tables({name: getattr(sample, name) for name in TABLE_NAMES})

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dockledger.functions import skew
@@ -13,6 +14,11 @@ from dockledger.functions import skew
 QUANTITY = T.DoubleType()
 
 
+def no_quantity() -> Column:
+    """Zero of the quantity type, so that sums keep that type."""
+    return F.lit(0).cast(QUANTITY)
+
+
 @dataclass(frozen=True)
 class Field:
     """A column: its name here, its name in the source database, its type."""
@@ -103,25 +109,21 @@ Source = DataFrame | Callable[[], DataFrame]
 class Tables:
     """The logical tables, each opened when it is first used: `t.item`, `t.po_line`, ...
 
-    `po_line` also carries `po_line_key`. `row_bound` gives an upper bound of a
-    table's rows; the default counts it, which Parquet answers from file footers.
-    Tables below `hot_rows` are not searched for heavy keys.
+    `po_line` also carries `po_line_key`. `heavy` has the heavy keys of the tables by table and columns, as stored with a
+    version; tables without it get plain joins, which adaptive execution may still split.
     """
 
     def __init__(
         self,
         sources: Mapping[str, Source],
-        row_bound: Callable[[str], int] | None = None,
-        hot_rows: int = skew.HOT_ROWS,
+        heavy: Mapping[tuple[str, tuple[str, ...]], skew.HeavyKeys] | None = None,
     ) -> None:
         missing = set(TABLE_NAMES) - set(sources)
         if missing:
             raise ValueError(f"missing tables: {sorted(missing)}")
-        self.hot_rows = hot_rows
         self._sources = dict(sources)
         self._opened: dict[str, DataFrame] = {}
-        self._row_bound = row_bound
-        self._hot: dict[str, dict[tuple[str, ...], list[str]]] = {}
+        self._heavy = dict(heavy or {})
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._opened:
@@ -135,29 +137,22 @@ class Tables:
         return self[name]
 
     def changed(self, **tables: DataFrame) -> Tables:
-        """Same tables with some replaced; heavy keys are searched anew."""
-        return Tables({**self._sources, **self._opened, **tables}, hot_rows=self.hot_rows)
-
-    def rows_at_most(self, table: str) -> int:
-        return self[table].count() if self._row_bound is None else self._row_bound(table)
+        """Same tables with some replaced; a changed table keeps its heavy keys, which only deal out its rows."""
+        return Tables({**self._sources, **self._opened, **tables}, self._heavy)
 
-    def hot(self, table: str, *columns: str) -> list[str]:
-        """Heavy values of a key of a table; all keys of the table share one pass."""
-        if table not in self._hot:
-            keys = _HOT_KEYS[table]
-            if self.rows_at_most(table) < self.hot_rows:
-                found = [[] for _ in keys]
-            else:
-                found = skew.find_hot_keys(self[table], keys, self.hot_rows)
-            self._hot[table] = dict(zip(keys, found))
-        return self._hot[table][columns]
+    def hot(self, table: str, *columns: str) -> skew.HeavyKeys | None:
+        """Heavy values of a key of a table, None if it has none. No pass over the table."""
+        if columns not in HEAVY_KEYS[table]:
+            raise KeyError((table, columns))
+        return self._heavy.get((table, columns))
 
 
 # Keys by which the line tables are joined or grouped.
-_HOT_KEYS: dict[str, tuple[tuple[str, ...], ...]] = {
+HEAVY_KEYS: dict[str, tuple[tuple[str, ...], ...]] = {
     "item": (("part_no",),),
-    "po_line": (("po_no",), ("item_code",)),
+    "po_line": (("po_no",), ("po_line_key",), ("item_code",)),
     "receipt_line": (("po_line_key",), ("actual_no",)),
+    "prov_header": (("receipt_no",),),
     "prov_line": (
         ("receipt_no",), ("po_line_key",), ("item_code",), ("po_line_key", "item_code"), ("receipt_no", "item_code"),
     ),

@@ -9,7 +9,8 @@ from dockledger.functions import columns as c
 from dockledger.operators import blocks, grid, sheet, worksheet, writes
 from dockledger.plans import reads
 from dockledger.sources.loading import conform
-from dockledger.sources.requests import explode_requests, rejected_requests
+from dockledger.sources.loading import load_jdbc
+from dockledger.sources.requests import explode_edits, explode_requests, rejected_requests
 from dockledger.tables import LAYOUTS, Tables
 
 
@@ -297,6 +298,7 @@ def test_sheet_length(spark, t, lines, expected):
     assert [len(p["lines"]) for p in parts] == ([10, 5] if expected == 15 else [10, 10, 2])
     assert [x["line_no"] for p in parts for x in p["lines"]] == list(range(1, expected + 1))
     assert sum(p["part_qty"] or 0 for p in parts) == total
+    assert {(p["total_qty"], p["part_count"], p["total_text"]) for p in parts} == {(total, len(parts), f"{int(total):,}")}
 
 
 def test_sheet_head(t):
@@ -330,7 +332,7 @@ def test_bulk_status_change(spark, t):
     keys = spark.createDataFrame([("G2", "0001")], "receipt_no string, line_seq string")
     shown = reads.receipt_detail(t, receipts=spark.createDataFrame([("G2",), ("G3",)], "receipt_no string"))
     found = rows(grid.bulk_status_change(shown, keys, "Y"), "seq", "item_code", "status")
-    assert found == [("0001", "A1", "Y"), ("0002", "A3", None), ("0003", "A1", "Y")]
+    assert found == [(1, "A1", "Y"), (2, "A3", None), (3, "A1", "Y")]
 
 
 def test_delete_removes_from_all_three_tables(spark, t):
@@ -368,13 +370,13 @@ def test_requests_are_exploded_and_empty_ones_rejected(requests):
         (2, 2, "A2", "", 2.5, "Y", "head", "E010", "S1"),
         (3, 1, "A2", "", 2.5, "Y", "head", "E010", "S1"),
     ]
-    assert rows(rejected_requests(requests), "request_id") == [(4,), (5,)]
+    assert rows(rejected_requests(requests), "request_id", "reason") == [(4, "empty items"), (5, "unreadable document")]
 
 
 def test_registration_numbers_and_sequences(spark, t, requests):
     used = spark.createDataFrame([("G2607270041", "7", None, day("2026-07-27"))], LAYOUTS["prov_header"].schema)
     busy = t.changed(prov_header=t.prov_header.unionByName(used))
-    new = writes.register_receipts(busy, explode_requests(requests))
+    new = writes.register_receipts(busy, explode_requests(requests), as_of="2026-07-01")
     assert rows(new.summary, "request_id", "receipt_no", "inserted_count") == [
         (10, "G2607270043", 1), (2, "G2607270042", 2), (3, "G2", 1),
     ]
@@ -382,8 +384,8 @@ def test_registration_numbers_and_sequences(spark, t, requests):
         ("G2", "0004", "A2"), ("G2607270042", "0001", "A1"), ("G2607270042", "0002", "A2"),
         ("G2607270043", "0001", "A1"),
     ]
-    assert rows(new.headers, "receipt_no", "due_date") == [
-        ("G2607270042", day("2026-07-27")), ("G2607270043", day("2026-07-27")),
+    assert rows(new.headers, "receipt_no", "due_date", "saved_on") == [
+        ("G2607270042", day("2026-07-27"), day("2026-07-01")), ("G2607270043", day("2026-07-27"), day("2026-07-01")),
     ]
     assert rows(new.contacts, "receipt_no", "contact_name", "contact_phone") == [
         ("G2607270042", "Kim", ""), ("G2607270043", "Kim", ""),
@@ -400,3 +402,71 @@ def test_blocks(t):
     assert rows(blocks.code_by_group(t, "qnty_code"), "code", "name") == [("Q1", "EA")]
     assert rows(blocks.cumulative_provisional(t.prov_line).filter("po_line_key = ''"), "item_code", "provisional_qty", "open_provisional_qty") == [("A1", 7.0, 6.0)]
     assert rows(reads.item_type_list(t), "code") == [("21",), ("22",)]
+
+
+def test_a_sheet_of_more_lines_than_four_digits_keeps_their_order(spark, t):
+    headers = spark.createDataFrame([("G1", "7", None, None)], LAYOUTS["prov_header"].schema)
+    number = F.when(F.col("id") < 10_000, F.lpad(F.col("id").cast("string"), 4, "0")).otherwise(F.col("id").cast("string"))
+    body = spark.range(1, 10_003).select(
+        F.lit("G1").alias("receipt_no"), number.alias("line_seq"), F.lit("").alias("po_line_key"),
+        F.lit("A1").alias("item_code"), F.col("id").cast("double").alias("qty"), F.lit("N").alias("status"),
+        F.lit(None).cast("date").alias("updated_on"),
+    )
+    small = t.changed(prov_header=headers, prov_line=body)
+    assert sheet.delivery_sheet(small).filter("line_no <> qty").count() == 0
+    parts = sheet.delivery_sheet_nested(small).orderBy("part").collect()
+    assert len(parts) == 11 and {(p["total_qty"], p["part_count"]) for p in parts} == {(10_002 * 10_003 / 2, 11)}
+    first = blocks.first_item(small.prov_line.filter("qty >= 9999"), "receipt_no", "qty").first()
+    assert first["qty"] == 9999.0
+
+
+def test_number_text_rounds_halves_up(spark):
+    df = spark.createDataFrame([(0.0625,), (-0.0625,), (-0.0,), (1234.0005,), (None,)], "q double")
+    assert [r[0] for r in df.select(c.quantity_text("q")).collect()] == ["0.063", "-0.063", "0", "1,234.001", None]
+
+
+@pytest.mark.parametrize(
+    "pattern, found", [("[[]", ["a[b"]), ("[&]", ["x&&y"]), ("[&&x]", ["x&&y"]), ("a[[x]b", ["a[b"]), ("[^a]b", ["a[b"]), ("\\", ["p\\q"])]
+)
+def test_signs_in_pattern_classes(spark, pattern, found):
+    df = spark.createDataFrame([("a[b",), ("x&&y",), ("ab",), ("p\\q",)], "s string")
+    assert rows(df.filter(c.contains_any(["s"], pattern, "pattern")), "s") == [(x,) for x in found]
+
+
+def test_equal_hand_added_rows_are_numbered_in_a_total_order(spark):
+    worksheet_rows = spark.createDataFrame(
+        [("S1", "A1", qty, month, None) for qty, month in (("5", "202601"), ("3", "202602"), ("3", "202601"))],
+        "po_no string, item_code string, delivery_qty string, month string, po_line_key string",
+    )
+    orders = spark.createDataFrame(
+        [("S1", "7", day("2026-01-01"), "", "")],
+        "po_no string, supplier_code string, due_date date, contact_name string, contact_phone string",
+    )
+    for n in (1, 3):
+        lines = worksheet.submit_lines(worksheet_rows.repartition(n), orders, "2026-01-01")
+        assert rows(lines, "seq", "qty", "month") == [(1, 3.0, "202601"), (2, 3.0, "202602"), (3, 5.0, "202601")]
+
+
+def test_the_later_edit_wins_across_requests(spark, t):
+    document = '{"items":[{"itemCode":"%s","gaipQnty":%s,"statType":"%s"},{"itemCode":"%s","gaipQnty":"abc","statType":"N"}]}'
+    line = t.prov_line.filter("item_code = 'A1'").first()
+    raw = spark.createDataFrame(
+        [(i, line.receipt_no, document % ("A1 ", qty, status, "none")) for i, qty, status in ((1, 9, "Y"), (2, '"4"', "N"))],
+        "request_id int, receipt_no string, payload string",
+    )
+    edits = explode_edits(raw)
+    assert rows(edits, "qty", "item_code") == [(4.0, "A1"), (9.0, "A1"), (None, "none"), (None, "none")]
+    after = writes.edit_receipt_lines(t, edits).filter((F.col("receipt_no") == line.receipt_no) & (F.col("item_code") == "A1"))
+    assert {(r.qty, r.status) for r in after.collect()} == {(4.0, "N")}
+
+
+def test_raw_line_status_of_one_order(t):
+    every = reads.po_line_status_raw(t)
+    number = every.first()["po_no"]
+    wanted = sorted(map(repr, every.filter(F.col("po_no") == number).collect()))
+    assert sorted(map(repr, reads.po_line_status_raw(t, number=number).collect())) == wanted
+
+
+def test_line_tables_of_a_database_must_be_split(spark):
+    with pytest.raises(ValueError, match="split"):
+        load_jdbc(spark, "jdbc:none")

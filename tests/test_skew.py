@@ -1,4 +1,4 @@
-"""Data in which single keys hold a third of the rows, with thresholds low enough to notice."""
+"""Data in which single keys hold a third of the rows, with a limit low enough to notice."""
 
 import os
 
@@ -9,11 +9,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dockledger.functions import skew
+from dockledger.operators import writes
+from dockledger.plans import reads
+from dockledger.plans.versions import load_version, publish_version
 from dockledger.sources.sample import sample_tables
+from dockledger.tables import TABLE_NAMES
 from dockledger.catalog.queries import ON_TABLES
 from dockledger.catalog.oracle import ORACLE
 
-HOT = 60
+HEAVY = 60
 
 
 @pytest.fixture(scope="module")
@@ -33,34 +37,76 @@ def skewed(tmp_path_factory):
     return str(root)
 
 
-@pytest.mark.parametrize(
-    "name",
-    ["po_picker", "po_line_status_raw", "receipt_history", "receipt_detail_closed", "delivery_sheet",
-     "register_receipts", "edit_receipt_lines", "delete_receipts"],
-)
-def test_hot_keys_do_not_change_results(spark, skewed, name):
-    t = sample_tables(spark, skewed, hot_rows=HOT)
-    columns, rows = spark_rows(ON_TABLES[name](t))
-    found = [key for keys in t._hot.values() for hot in keys.values() for key in hot]
-    assert found, "the query met no hot key"
-    assert (columns, rows) == duck_rows(connect(skewed), ORACLE[name])
+@pytest.fixture(scope="module")
+def heavy(spark, skewed, tmp_path_factory):
+    """The skewed tables as a version with its heavy keys."""
+    root = str(tmp_path_factory.mktemp("heavy"))
+    t = sample_tables(spark, skewed)
+    publish_version(spark, {name: t[name] for name in TABLE_NAMES}, root, heavy_rows=HEAVY)
+    return load_version(spark, root)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_heavy_keys_do_not_change_results(heavy, skewed, name):
+    assert heavy.hot("prov_line", "receipt_no") and heavy.hot("po_line", "item_code") is None
+    assert spark_rows(ON_TABLES[name](heavy)) == duck_rows(connect(skewed), ORACLE[name])
+
+
+def test_heavy_registrations_do_not_change_results(heavy, skewed):
+    items = ON_TABLES["submit_lines"](heavy)
+    hot = writes.heavy_registrations(items, heavy_rows=1)
+    assert set(hot) == {"owner", "request", "day"}
+    new = writes.register_receipts(heavy, items, as_of="1997-07-15", hot=hot)
+    assert spark_rows(new.lines) == duck_rows(connect(skewed), ORACLE["register_receipts"])
+    assert spark_rows(new.summary) == duck_rows(connect(skewed), ORACLE["register_receipts_summary"])
 
 
-def test_hot_keys_are_found_exactly(spark):
+def test_heavy_keys_are_counted_exactly(spark):
     df = spark.range(30000).select(
         F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 7 == 0, None).otherwise(F.col("id").cast("string")).alias("k"),
         (F.col("id") % 2).alias("j"),
     )
-    found = skew.find_hot_keys(df, [["k"], ["j"], ["k", "j"]], 1000)
-    both = [f"\0{k}\0{j}" for k, j in (("", 0), ("", 1))]
-    assert [sorted(keys) for keys in found] == [[""], ["0", "1"], both]
-    assert skew.find_hot_keys(df, [["k"]], 20000) == [[]]
-    assert skew.find_hot_keys(df.limit(0), [["k"]], 1) == [[]]
+    found = lambda columns, limit: sorted(map(tuple, skew.count_heavy_keys(df, columns, limit).collect()))
+    assert found(["k"], 1000) == [("", 10000)]
+    assert found(["j"], 1000) == [("0", 15000), ("1", 15000)]
+    assert found(["k", "j"], 1000) == [("\0\0" + j, 5000) for j in "01"]
+    assert found(["k"], 20000) == []
+
+
+def test_a_thousand_even_keys_are_all_split(spark):
+    """No key has more than 1/1000 of the rows; above the limit each is dealt over several tasks."""
+    rows = spark.range(100_000).select((F.col("id") % 1000).cast("string").alias("k"), "id")
+    keys = skew.count_heavy_keys(rows, ["k"], 50)
+    assert keys.count() == 1000
+    hot = skew.HeavyKeys(keys, 1000, 50)
+    assert hot.salts("k", "n").filter("n < 2").count() == 0
+    names = rows.select("k", F.concat(F.lit("n"), F.col("k")).alias("name")).distinct()
+    joined = skew.skew_join(rows, names, ["k"], spread_by=["id"], hot=hot)
+    assert joined.count() == 100_000 and joined.filter("name <> concat('n', k)").count() == 0
+
+
+def test_building_a_plan_runs_no_job(spark, heavy):
+    spark.sparkContext.setJobGroup("planning", "")
+    for t in (heavy,):
+        reads.po_line_status(t, supplier=7)
+        reads.receipt_history(t, supplier=7)
+        reads.receipt_detail(t, number="G1")
+        reads.po_history(t)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+    spark.sparkContext.setJobGroup("other", "")
+    assert list(jobs) == []
+
+
+def _hot(spark, keys):
+    if not keys:
+        return None
+    return skew.HeavyKeys(spark.createDataFrame([(k, 100) for k in keys], "key string, rows long"), len(keys), 10)
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
 @pytest.mark.parametrize("hot", [[], ["h", "missing"]])
 def test_join_equals_plain_join(spark, how, hot):
+    hot = _hot(spark, hot)
     left = spark.range(2000).select(
         F.col("id"),
         F.when(F.col("id") % 3 == 0, "h").when(F.col("id") % 5 == 0, None).when(F.col("id") % 7 == 0, "")
@@ -78,6 +124,7 @@ def test_join_equals_plain_join(spark, how, hot):
 
 @pytest.mark.parametrize("hot", [[], ["h", "gone"]])
 def test_fan_out_keeps_documents_without_lines(spark, hot):
+    hot = _hot(spark, hot)
     one = spark.createDataFrame([("h", 1), ("a", 2), ("gone", 3), ("none", 4), (None, 5)], "k string, n int")
     many = spark.range(900).select(F.when(F.col("id") % 3 == 0, "a").otherwise("h").alias("k"), "id")
     found = skew.fan_out_join(one, many, "k", spread_by=["id"], missing_by=["n"], hot=hot)
@@ -90,7 +137,7 @@ def test_fan_out_keeps_documents_without_lines(spark, hot):
 def test_group_minimum(spark):
     df = spark.range(1000).select("id", F.when(F.col("id") % 3 == 0, "h").otherwise((F.col("id") % 9).cast("string")).alias("k"))
     plain = skew.with_group_min(df, ["k"], F.col("id"), "low", spread_by=["id"])
-    dealt = skew.with_group_min(df, ["k"], F.col("id"), "low", spread_by=["id"], hot=["h"])
+    dealt = skew.with_group_min(df, ["k"], F.col("id"), "low", spread_by=["id"], hot=_hot(spark, ["h"]))
     assert sorted(map(tuple, plain.select("id", "low").collect())) == sorted(map(tuple, dealt.select("id", "low").collect()))
 
 
@@ -106,7 +153,7 @@ def test_numbering_over_many_tasks(spark):
     )
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        found = skew.number_within(df, ["k"], ["v"], "n", hot=["h", "i"], last="last")
+        found = skew.number_within(df, ["k"], ["v"], "n", hot=_hot(spark, ["h", "i"]), last="last")
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
@@ -116,7 +163,7 @@ def test_numbering_spreads_one_group_over_tasks(spark):
     df = spark.range(4000).select(F.lit("h").alias("k"), F.col("id").alias("v"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        numbered = skew.number_within(df, ["k"], ["v"], "n", hot=["h"])
+        numbered = skew.number_within(df, ["k"], ["v"], "n", hot=_hot(spark, ["h"]))
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     sizes = [r["count"] for r in numbered.groupBy(F.spark_partition_id()).count().collect()]

@@ -23,10 +23,19 @@ def test_flows_make_versions(spark, root):
         '"items":[{"itemCode":"P000000001","ordrDetl":"","gaipQnty":3}]}'
     )
     raw = spark.createDataFrame([(1, payload), (2, payload)], "request_id int, payload string")
-    numbers = [r.receipt_no for r in versions.run_register(spark, root, raw).orderBy("request_id").collect()]
-    assert numbers == ["G3001010001", "G3001010002"]
+    bad = [(3, payload.replace("20300101", "20301301")), (4, payload[:-3]), (5, payload.replace(':3}', ':"x"}'))]
+    raw = raw.unionByName(spark.createDataFrame(bad, raw.schema))
+    answers = versions.run_register(spark, root, raw, "2029-12-30").orderBy("request_id").collect()
+    assert [(r.inserted_count, r.reason) for r in answers] == [
+        (1, None), (1, None), (0, "ipgoDate is no date"), (0, "unreadable document"), (0, "quantity is no number"),
+    ]
+    numbers = [r.receipt_no for r in answers[:2]]
+    assert numbers == ["G3001010001", "G3001010002"] and answers[2].receipt_no is None
     second = versions.load_version(spark, root)
     assert second.prov_line.count() == lines + 2
+    assert second.prov_header.filter("receipt_no is null").count() == 0
+    saved = second.prov_header.filter(F.col("receipt_no") == numbers[0]).first()
+    assert (str(saved.saved_on), str(saved.due_date)) == ("2029-12-30", "2030-01-01")
 
     edits = spark.createDataFrame(
         [(1, numbers[0], "P000000001", 9.0, "Y")], "seq int, receipt_no string, item_code string, qty double, status string"
@@ -44,14 +53,13 @@ def test_flows_make_versions(spark, root):
     # Older versions stay readable, and tables that no flow changes are stored once.
     assert versions.load_version(spark, root, 2).prov_line.count() == lines + 2
     assert versions.current_version(spark, root) == 4
-    listed = versions._list_rows(spark, root)
-    assert listed.filter("table = 'po_line'").select("folder").distinct().count() == 1
+    assert len({r["folder"] for r in versions._lists(spark, root) if r["table"] == "po_line"}) == 1
 
 
 def test_empty_input_is_refused_and_changes_nothing(spark, root):
     before = versions.current_version(spark, root)
     with pytest.raises(ValueError, match="no items to register"):
-        versions.run_register(spark, root, spark.createDataFrame([(1, '{"items":[]}')], "request_id int, payload string"))
+        versions.run_register(spark, root, spark.createDataFrame([(1, '{"items":[]}')], "request_id int, payload string"), "2030-01-01")
     with pytest.raises(ValueError, match="no items to edit"):
         versions.run_edit(spark, root, spark.createDataFrame([], "seq int, receipt_no string"))
     with pytest.raises(ValueError, match="no receipts to delete"):
@@ -63,3 +71,74 @@ def test_incomplete_first_version_is_refused(spark, tmp_path):
     t = sample_tables(spark, SMALL)
     with pytest.raises(ValueError, match="would lack"):
         versions.publish_version(spark, {"item": t.item}, str(tmp_path))
+
+
+def _small(spark):
+    t = sample_tables(spark, SMALL)
+    return {name: t[name] for name in TABLE_NAMES}
+
+
+def _request(i, day="20300101", qty="3"):
+    return (
+        i,
+        f'{{"ipgoDate":"{day}","custCode":"7","userName":"Kim","ordrNumb":"S1",'
+        f'"items":[{{"itemCode":"P000000001","ordrDetl":"","gaipQnty":{qty}}}]}}',
+    )
+
+
+@pytest.fixture
+def few(spark, tmp_path):
+    """A version of few rows, so that many writes are quick; its dates come as date-times."""
+    folder = str(tmp_path / "few")
+    tables = {name: df.limit(5) for name, df in _small(spark).items()}
+    for name, column in (("prov_header", "saved_on"), ("prov_header", "due_date"), ("prov_line", "updated_on")):
+        tables[name] = tables[name].withColumn(column, F.col(column).cast("timestamp"))
+    versions.publish_version(spark, tables, folder)
+    return folder
+
+
+def test_a_stale_or_repeated_base_is_refused(spark, few):
+    before = sorted(versions.load_version(spark, few).prov_line.collect(), key=repr)
+    with pytest.raises(ValueError, match="not current"):
+        versions.publish_version(spark, _small(spark), few)
+    assert versions.current_version(spark, few) == 1
+    edits = spark.createDataFrame([(1, "none", "none", 9.0, "Y")], "seq int, receipt_no string, item_code string, qty double, status string")
+    versions.run_edit(spark, few, edits)
+    with pytest.raises(ValueError, match="not current"):
+        versions.publish_version(spark, {"prov_line": _small(spark)["prov_line"]}, few, base=1)
+    assert versions.current_version(spark, few) == 2
+    for version in (1, 2):
+        assert sorted(versions.load_version(spark, few, version).prov_line.collect(), key=repr) == before
+    with pytest.raises(ValueError, match="no version"):
+        versions.load_version(spark, few, 3)
+
+
+def test_the_second_of_two_writers_fails_and_changes_nothing(spark, few, monkeypatch):
+    real, rows = versions._lists, versions.load_version(spark, few).item.count()
+    seen = real(spark, few)
+    versions.publish_version(spark, {"item": _small(spark)["item"].limit(3)}, few, base=1)
+    monkeypatch.setattr(versions, "_lists", lambda *_: seen)  # a writer that looked before
+    with pytest.raises(Exception, match="(?i)already exists"):
+        versions.publish_version(spark, {"item": _small(spark)["item"].limit(4)}, few, base=1)
+    monkeypatch.setattr(versions, "_lists", real)
+    assert versions.load_version(spark, few).item.count() == 3
+    assert versions.load_version(spark, few, 1).item.count() == rows
+
+
+def test_date_times_become_days_and_many_registrations_are_joined(spark, few):
+    assert dict(versions.load_version(spark, few).prov_header.dtypes)["saved_on"] == "date"
+    first = sorted(versions.load_version(spark, few).prov_line.collect(), key=repr)
+    for i in range(4):
+        raw = spark.createDataFrame([_request(i), _request(-i - 1, qty='"5"')], "request_id int, payload string")
+        versions.run_register(spark, few, raw, "2030-01-01")
+    t = versions.load_version(spark, few)
+    header, lines = sorted(t.prov_header.collect(), key=repr), sorted(t.prov_line.collect(), key=repr)
+    assert len(lines) == 5 + 8 and len({r.receipt_no for r in header}) == 5 + 8
+    assert {r.qty for r in lines if r.receipt_no.startswith("G300101")} == {3.0, 5.0}
+    assert versions.compact(spark, few, most=3) == 6
+    folders = versions._folders(versions._lists(spark, few), 6)
+    assert all(len(folders[name]) == 1 for name in TABLE_NAMES)
+    t = versions.load_version(spark, few)
+    assert sorted(t.prov_header.collect(), key=repr) == header and sorted(t.prov_line.collect(), key=repr) == lines
+    assert versions.compact(spark, few, most=3) == 6
+    assert sorted(versions.load_version(spark, few, 1).prov_line.collect(), key=repr) == first
