@@ -134,7 +134,7 @@ def fan_out_join(
 
 
 def with_group_min(
-    df: DataFrame, group: Sequence[str], value: Column, name: str, *, spread_by: Sequence[str], hot: Sequence[str] = ()
+    df: DataFrame, group: Sequence[str], value: Column, name: str, *, spread_by: Sequence[str], hot: HeavyKeys | None = None
 ) -> DataFrame:
     """Adds the smallest value of each row's group."""
     if hot is None:
