@@ -31,17 +31,26 @@ def _lines(docs: DataFrame, text: str) -> DataFrame:
     lines = docs.select(
         F.col("doc_id"), F.xxhash64("doc_id", value).alias("doc"), F.posexplode(F.split(value, "\n")).alias("at", "line")
     )
-    lines = lines.withColumn("n", F.regexp_count("line", F.lit(WORD))).filter(F.col("n") >= MIN_TOKENS)
-    first = F.regexp_extract("line", rf"^[{SPACES}]*({WORD}(?:[{SPACES}]+{WORD}){{{DEPTH - 1}}})", 1)
-    masked = F.regexp_replace(first, rf"[^{SPACES}]*[0-9][^{SPACES}]*", FIELD)
-    return lines.withColumn("leaf", F.xxhash64("n", F.regexp_replace(masked, rf"[{SPACES}]+", " ")))
+    # Most lines have single spaces between tokens only; they are counted and cut without regular expressions.
+    line = F.col("line")
+    odd = line.startswith(" ") | line.endswith(" ")
+    for gap in ("  ", "\t", "\x0b", "\f", "\r"):
+        odd = odd | line.contains(gap)
+    spaces = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    n = F.when(odd, F.regexp_count(line, F.lit(WORD))).otherwise(spaces + 1)
+    lines = lines.withColumn("n", n).filter(F.col("n") >= MIN_TOKENS)
+    first = F.regexp_extract(line, rf"^[{SPACES}]*({WORD}(?:[{SPACES}]+{WORD}){{{DEPTH - 1}}})", 1)
+    first = F.when(odd, F.regexp_replace(first, rf"[{SPACES}]+", " ")).otherwise(F.substring_index(line, " ", DEPTH))
+    masked = F.when(first.rlike("[0-9]"), F.regexp_replace(first, r"[^ ]*[0-9][^ ]*", FIELD)).otherwise(first)
+    return lines.withColumn("leaf", F.xxhash64("n", masked))
 
 
 def recurring(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc, dropped): for each document that loses lines, their places from 0."""
     lines = _lines(docs, text)
     leaves = lines.select("leaf", "doc").distinct().groupBy("leaf").count().filter(F.col("count") >= MIN_DOCS)
-    held = lines.join(leaves.select("leaf"), "leaf").withColumn("own", F.xxhash64("line"))
+    leaves = stored(leaves.select("leaf"), "leaves")  # a plain table, so that a join with a heavy leaf can be split
+    held = lines.join(leaves, "leaf").withColumn("own", F.xxhash64("line"))
     held = stored(held.select("leaf", "own", "line", "n", "doc_id", "doc", "at"), "lines")
     distinct = held.groupBy("leaf", "own", "doc").agg(F.min("line").alias("line"), F.min("n").alias("n"))
     distinct = distinct.groupBy("leaf", "own").agg(
