@@ -3,6 +3,11 @@
 A supplier or date filter sits on document headers, and Catalyst does not carry it
 below the per-document aggregates, so the lines are restricted to the selected
 documents first (`_lines_of`). That is exact: every such aggregate is per document.
+
+A selection is settled step by step while its plan is built: the selected headers, then their lines, are stored in the
+shared folder. Spark then knows their true size and sends a small selection to where a fact table is read, instead of
+shuffling the table to the selection; a large one is joined by shuffle as usual. Queries over everything, and those
+with `narrow=False`, run nothing before they are asked for rows.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from dockledger.functions.columns import (
     status_code,
 )
 from dockledger.functions.skew import HeavyKeys, fan_out_join, skew_join, with_group_min
+from dockledger.functions.storage import stored
 from dockledger.operators import blocks
 from dockledger.tables import Tables
 
@@ -46,7 +52,12 @@ def _lines_of(
 ) -> DataFrame:
     if not restrict:
         return lines
-    return skew_join(lines, headers.select(document), [document], "left_semi", spread_by=["line_seq"], hot=hot)
+    chosen = skew_join(lines, headers.select(document), [document], "left_semi", spread_by=["line_seq"], hot=hot)
+    return stored(chosen, "selected-lines")
+
+
+def _settled(selection: DataFrame, restrict: bool) -> DataFrame:
+    return stored(selection, "selected") if restrict else selection
 
 
 def item_search(
@@ -97,8 +108,8 @@ def po_picker(
     ordered: bool = True,
 ) -> DataFrame:
     """Purchase orders whose number, or any of whose lines' item, contains the text."""
-    headers = _selected(t.po_header, supplier, "po_date", date_from, date_to)
     restrict = any(x is not None for x in (supplier, date_from, date_to))
+    headers = _settled(_selected(t.po_header, supplier, "po_date", date_from, date_to), restrict)
     lines = _lines_of(t.po_line, headers, "po_no", restrict, t.hot("po_line", "po_no"))
     by_number = contains_any(["po_no"], search, mode)
     if search:
@@ -142,6 +153,7 @@ def _po_lines(
     if pos is not None:
         headers = headers.join(pos.select(F.trim("po_no").alias("po_no")).distinct(), "po_no", "left_semi")
     restrict = any(x is not None for x in (supplier, pos, number))
+    headers = _settled(headers, restrict)
     return headers, _lines_of(t.po_line, headers, "po_no", restrict, t.hot("po_line", "po_no")), restrict
 
 
@@ -179,7 +191,11 @@ def po_line_status(
     where `mode="pattern"` gives it wildcards. `narrow` adds up quantities for the
     selected lines only; a selection of most orders is faster without.
     """
-    headers, lines, restrict = _po_lines(t, supplier, pos, number, mode)
+    return _line_status(t, _po_lines(t, supplier, pos, number, mode), narrow)
+
+
+def _line_status(t: Tables, selection: tuple[DataFrame, DataFrame, bool], narrow: bool) -> DataFrame:
+    headers, lines, restrict = selection
     restrict = restrict and narrow
     hot_pos, hot_items = t.hot("po_line", "po_no"), t.hot("po_line", "item_code")
     shown = lines.select("po_no", "po_line_key", "item_code", "status")
@@ -211,8 +227,9 @@ def po_line_status_raw(
     This is the row count of the source query, which joins receipts without showing
     them. Its quantities repeat as well, so sums over it are wrong.
     """
-    status = po_line_status(t, supplier, pos, number, mode, narrow)
-    _, lines, restrict = _po_lines(t, supplier, pos, number, mode)
+    selection = _po_lines(t, supplier, pos, number, mode)
+    status = _line_status(t, selection, narrow)
+    _, lines, restrict = selection
     hot = t.hot("receipt_line", "po_line_key")
     actual = _of_keys(t.receipt_line, lines, restrict and narrow, _RECEIPT_ID, hot).select("po_line_key", "actual_no", F.col("item_code").alias("_item"), "qty")
     rows = fan_out_join(
@@ -247,14 +264,14 @@ def receipt_history(
     """
     if summary_scope not in ("receipt_first", "group_first"):
         raise ValueError(f"unknown summary scope {summary_scope!r}")
-    headers = _selected(t.prov_header, supplier, "due_date", date_from, date_to)
     restrict = any(x is not None for x in (supplier, date_from, date_to))
+    headers = _settled(_selected(t.prov_header, supplier, "due_date", date_from, date_to), restrict)
     hot = t.hot("prov_line", "receipt_no")
     lines = _lines_of(t.prov_line, headers, "receipt_no", restrict, hot)
     restrict = restrict and narrow
-    # The outer join and the roll-up would shuffle every order line; the semi-joins
-    # only send the few selected keys to where the order lines are read.
+    # The outer join and the roll-up would shuffle every order line; the semi-joins keep those of the selection.
     po_lines = _of_keys(t.po_line, lines, restrict, ["line_seq", "item_code"], None).select("po_line_key", "po_no")
+    po_lines = _settled(po_lines, restrict)
     orders = po_lines.select("po_no").distinct() if restrict else po_lines
     po_all = _lines_of(t.po_line, orders, "po_no", restrict, t.hot("po_line", "po_no"))
     of_orders = skew_join(
@@ -325,9 +342,13 @@ def receipt_detail(
         wanted = receipts.select(F.trim("receipt_no").alias("receipt_no")).distinct()
         headers = headers.join(wanted, "receipt_no", "left_semi")
     restrict = any(x is not None for x in (supplier, receipts, number))
+    headers = _settled(headers, restrict and narrow)
     hot = t.hot("prov_line", "receipt_no")
     hot_keys, hot_pairs = t.hot("prov_line", "po_line_key"), t.hot("prov_line", "po_line_key", "item_code")
-    lines = _lines_of(t.prov_line, headers, "receipt_no", restrict, hot).drop("updated_on")
+    lines = t.prov_line
+    if restrict:
+        lines = skew_join(lines, headers.select("receipt_no"), ["receipt_no"], "left_semi", spread_by=["line_seq"], hot=hot)
+    lines = _settled(lines.drop("updated_on"), restrict and narrow)
     rows = fan_out_join(headers.select("receipt_no", "due_date"), lines, "receipt_no", spread_by=["line_seq"], hot=hot)
     if status_code(status) is not None:
         rows = rows.filter(has_status("status", status))
@@ -363,8 +384,8 @@ def po_history(
 
     Orders without lines have no status and are dropped, also when all are asked for.
     """
-    headers = _selected(t.po_header, supplier, "po_date", date_from, date_to)
     restrict = any(x is not None for x in (supplier, date_from, date_to))
+    headers = _settled(_selected(t.po_header, supplier, "po_date", date_from, date_to), restrict)
     lines = _lines_of(t.po_line, headers, "po_no", restrict, t.hot("po_line", "po_no"))
     rolled = blocks.first_item(lines, "po_no", "delivery_date").filter(has_status("status", status))
     rows = headers.select("po_no", "po_date").join(rolled, "po_no")

@@ -44,11 +44,49 @@ def test_shuffle_counts(stored, large):
     assert shuffles(reads.receipt_history(stored, ordered=False)) <= 9
 
 
+@pytest.mark.parametrize("build", [
+    lambda t: reads.receipt_history(t, supplier=7, ordered=False), lambda t: reads.po_line_status(t, supplier=7),
+    lambda t: reads.po_line_status_raw(t, supplier=7), lambda t: reads.receipt_detail(t, supplier=7),
+])
+def test_a_small_selection_shuffles_little(spark, stored, build):
+    """With a broadcast limit below the line tables, only the selected rows are shuffled, and no fact table."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        df = build(stored)
+        found = len(df.collect())
+        written = _shuffled_rows(df)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found
+    # items and their few codes are no part of the selection
+    assert written < 0.05 * stored.po_line.count() + 3 * stored.item.count()
+
+
+def _shuffled_rows(df):
+    """Rows written to shuffles by the plan that ran."""
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStage"):
+            todo.append(node.plan())
+            continue
+        if name == "Exchange":
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return total
+
+
 def test_filters_and_columns_reach_the_scan(stored, large):
-    plan = plan_of(reads.po_history(stored, supplier=7, date_from="1997-01-01", date_to="1997-12-31"))
+    plan = plan_of(reads._selected(stored.po_header, 7, "po_date", "1997-01-01", "1997-12-31"))
     pushed = [line for line in plan.splitlines() if "PushedFilters" in line]
     assert any("EqualTo(supplier_code,7)" in line and "GreaterThanOrEqual(po_date,1997-01-01)" in line for line in pushed)
-    lines = re.findall(r"FileScan parquet \[([^\]]*)\]", plan)
+    lines = re.findall(r"FileScan parquet \[([^\]]*)\]", plan_of(reads.po_history(stored)))
+    assert lines
     assert not any("qty" in columns for columns in lines)
 
 
