@@ -32,9 +32,29 @@ def grouped(text: np.ndarray) -> tuple[list[int], list[int], list[int]]:
     end = n
     while end > 0:
         begin = last[end - 1]
+        if end - begin == 1:  # a single member moves at most one position, alone
+            i = order[begin]
+            j = i - 1
+            while j >= 0 and group[j] >= begin:
+                j = before[j]
+            before[i] = j
+            end = begin
+            if j >= 0:
+                g = group[j]
+                k = size[g] - 1
+                if k:
+                    size[g] = k
+                    new, at = g + k, place[j]
+                    if new != at:
+                        other = order[new]
+                        order[at], order[new] = other, j
+                        place[other], place[j] = at, new
+                    size[new] = 1
+                    last[new - 1], last[new] = g, new
+                    group[j] = new
+            continue
         members = order[begin:end]
-        if end - begin > 1:
-            members.sort()
+        members.sort()
         counts: dict[int, int] = {}
         for i in members:
             j = i - 1
