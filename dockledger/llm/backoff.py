@@ -25,7 +25,7 @@ from dockledger.llm.common import WORD, fresh, joined, mix, pieces, span_hashes,
 ALPHA, MIN_COUNT = 0.4, 2
 FREQUENT = 1e-5
 #: Words packed together, and mean bigrams in a bucket.
-FLUSH_WORDS, BUCKET_WORDS = 1 << 20, 1 << 22
+FLUSH_WORDS, BUCKET_WORDS = 1 << 19, 1 << 21
 #: Stands for the word before the first one; no hash of a word is 0 in practice.
 START = np.uint64(0)
 _SUMS, _OPEN, _COUNTS = 0, 1, 2
@@ -210,15 +210,21 @@ def postings(batches: Iterator[pa.RecordBatch], column: str, key: str, known: Fr
 def count_and_score(rows: list[dict], bucket: int, known: Frequent, buckets: int) -> Iterator[tuple]:
     """Joins the bigrams of a bucket with their counts; what needs the count of its first word goes to that bucket."""
     parts = [unpack(r) for r in rows]
+    rows.clear()  # the packed rows are as large as the entries
     b, a, docs = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    del parts
+    _, pair, n_pair = np.unique(bigram(a, b), return_inverse=True, return_counts=True)
+    n_ab = n_pair.astype(np.int32)[pair]
+    del pair, n_pair
     own, word, n_word = np.unique(b, return_inverse=True, return_counts=True)
+    del b
     n_often = known.of_words(own)
     n_b = np.where(n_often > 0, n_often, n_word)
-    _, pair, n_pair = np.unique(bigram(a, b), return_inverse=True, return_counts=True)
-    n_ab = n_pair[pair]
     inner = a != START
     seen = inner & (n_ab >= MIN_COUNT)
-    value = np.log(n_b / known.total)[word] + np.where(inner, np.log(ALPHA), 0.0)
+    value = np.log(n_b / known.total)[word]
+    del word
+    value[inner] += np.log(ALPHA)
     n_a = known.of_words(a)
     value[seen] = np.log(n_ab[seen] / np.maximum(n_a[seen], 1))
     yield _sum_row(bucket, docs, value)
@@ -274,7 +280,7 @@ def score(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
         out = [tuple(r.values()) for r in rows if r["kind"] == _SUMS]
         rows = [r for r in rows if r["kind"] == _OPEN]
         if rows:
-            out += count_and_score(rows, rows[0]["bucket"], shared.value, buckets)
+            out += count_and_score(rows, rows[0]["bucket"], shared.value, buckets)  # empties rows
         return pa.Table.from_batches([_rows(out)])
 
     def join_firsts(table: pa.Table) -> pa.Table:

@@ -80,5 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op4_line_templates": line_templates.ORACLE_SQL,
+    "op7_quality_rules": repetition.ORACLE_SQL,
+    "op9_warc": warc.ORACLE_SQL,
     "op10_backoff": backoff.ORACLE_SQL,
 }

@@ -14,7 +14,7 @@ import pyarrow.compute  # noqa: F401  makes pa.compute available
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from dockledger.llm.common import fresh, joined, mix, pieces, span_hashes, word_spans
+from dockledger.llm.common import WORD, fresh, joined, mix, pieces, span_hashes, word_spans
 
 #: Largest share of word characters inside repeated n-grams, by n-gram length. A short clean text may hold one line
 #: twice, which is a third of it; texts that mainly repeat themselves are far above.
@@ -149,3 +149,55 @@ def quality_rules(docs: DataFrame, text: str = "text", keep: list[str] | None =
                 )
 
     return source.mapInArrow(apply, schema)
+
+
+_LENGTHS = list(NGRAM_LIMITS)
+
+
+def _words(n: int) -> str:
+    return ", ".join(f"w{k}" for k in range(n))
+
+
+ORACLE_SQL = rf"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents
+), words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM t
+), led AS (
+  SELECT doc_id, i, word AS w0, {", ".join(f"lead(word, {k}) OVER o AS w{k}" for k in range(1, max(_LENGTHS)))}
+  FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), grams AS (
+  {" UNION ALL ".join(f"SELECT doc_id, {n} AS n, i, concat_ws(' ', {_words(n)}) AS g FROM led WHERE w{n - 1} IS NOT NULL" for n in _LENGTHS)}
+), again AS (
+  SELECT doc_id, n, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, n, g) AS c FROM grams) WHERE c > 1
+), under AS (
+  SELECT DISTINCT doc_id, n, again.i + k AS i FROM again, range({max(_LENGTHS)}) offsets(k) WHERE k < n
+), inside AS (
+  SELECT doc_id, n, count(*) AS words, sum(length(word)) AS chars FROM under JOIN words USING (doc_id, i) GROUP BY doc_id, n
+), lines AS (
+  SELECT doc_id, line, count(*) AS c, list_sum(list_transform(regexp_extract_all(line, '{WORD}'), lambda x: length(x))) AS chars
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t)
+  WHERE regexp_matches(line, '{WORD}') GROUP BY doc_id, line
+), by_line AS (
+  SELECT doc_id, sum(c - 1) AS n_dup_lines, sum(c * chars) FILTER (WHERE c > 1) AS dup_line_chars FROM lines GROUP BY doc_id
+), counted AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols
+  FROM t
+), pivoted AS (
+  SELECT doc_id, max(words) FILTER (WHERE n = 5) AS n_repeat_words,
+    {", ".join(f"max(chars) FILTER (WHERE n = {n}) AS dup_chars_{n}" for n in _LENGTHS)}
+  FROM inside GROUP BY doc_id
+), measured AS (
+  SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(dup_line_chars, 0) AS dup_line_chars,
+    {", ".join(f"coalesce(dup_chars_{n}, 0) AS dup_chars_{n}" for n in _LENGTHS)}
+  FROM counted LEFT JOIN by_line USING (doc_id) LEFT JOIN pivoted USING (doc_id)
+), judged AS (
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed FROM measured
+)
+SELECT doc_id, {", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in MEASURES if c not in ("base_failed", "kept"))}, base_failed,
+  NOT base_failed AND dup_line_chars <= {LINE_LIMIT} * word_chars AND n_symbols <= {SYMBOL_LIMIT} * n_words
+  AND {" AND ".join(f"dup_chars_{n} <= {limit} * word_chars" for n, limit in NGRAM_LIMITS.items())} AS kept
+FROM judged
+"""

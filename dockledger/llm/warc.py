@@ -212,3 +212,22 @@ def resolved(captures: DataFrame) -> DataFrame:
 
     own = first.select(*row(F.col("payload_bytes"), F.col("payload_digest"), F.lit(None).cast("long")))
     return own.unionByName(again.select(*row(F.col("first_bytes"), F.col("first_digest"), F.col("first_page"))))
+
+
+_DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> (5 * (7 - j))) & 31 AS INTEGER) + 1, 1)"
+ORACLE_SQL = rf"""
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex,
+    regexp_replace(coalesce(url, 'urn:x-none'), '[\x00-\x20\x7F]', '%20', 'g') AS uri
+  FROM pages
+), firsts AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload) AS first FROM payloads
+)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: list_transform(
+    [struct_pack(v := CAST('0x' || substr(hex, CAST(k // 8 * 10 + 1 AS INTEGER), 10) AS BIGINT), j := CAST(k % 8 AS INTEGER))],
+    lambda x: {_DIGIT.replace("(v ", "(x.v ").replace(" j)", " x.j)")})[1]), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to, uri, true AS has_request, true AS digest_agrees
+FROM firsts
+"""
