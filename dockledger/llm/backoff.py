@@ -1,305 +1,128 @@
 """Stupid-backoff scores of documents under the bigram counts of the corpus itself, computed by joins.
 
 log S(b | a) is log(n(ab) / n(a)) for a bigram seen at least twice, else log(alpha * n(b) / N); a document's first word
-has log(n(b) / N). N-grams travel as packed rows: the bigrams of a few million words that fall in one hash bucket, words
-written once with an index for each bigram. A bucket holds all bigrams that end in the same word, so n(ab) and n(b) are
-counted and joined there; n(a) is joined in the bucket of a, where it was counted. Sums for each document come last.
-
-Words and bigrams with over 1/100,000 of all words are counted exactly beforehand and sent to every task, at most
-100,000 of each. A frequent bigram is scored where its document is read; the bigrams that end in a frequent word are
-dealt over all buckets. So the largest bucket has about BUCKET_WORDS bigrams or 1/100,000 of all.
+has log(n(b) / N). Documents are dealt over blocks of about two million words. A block sends each of its different words
+and bigrams once, with its count, to the hash bucket of the n-gram. A bucket adds up the counts of all blocks and answers
+each block with the totals in the order it asked, so answers need no keys. The block joins them to its n-grams and sums
+for each document. An n-gram that is everywhere arrives once from each block, so no key is heavy, and no document's sum
+travels. Text crosses the network once, by block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  makes pa.compute available
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from dockledger.llm.common import WORD, fresh, joined, mix, pieces, span_hashes, word_spans
+from dockledger.llm.common import WORD, fresh, joined, mix, span_hashes, word_spans
 
 ALPHA, MIN_COUNT = 0.4, 2
-FREQUENT = 1e-5
-#: Words packed together, and mean bigrams in a bucket.
-FLUSH_WORDS, BUCKET_WORDS = 1 << 19, 1 << 21
-#: Stands for the word before the first one; no hash of a word is 0 in practice.
-START = np.uint64(0)
-_SUMS, _OPEN, _COUNTS = 0, 1, 2
-_ROW = "bucket int, kind int, words binary, runs binary, firsts binary, picks binary, docs binary, of binary"
-
-
-def bigram(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(mix(a + np.uint64(0x51)) + b)
-
-
-def read(batches: Iterator[pa.RecordBatch], column: str, key: str | None) -> Iterator[tuple]:
-    """(document keys, index of the document, word before, word) for about FLUSH_WORDS words at a time."""
-    held, size = [], 0
-
-    def flush() -> tuple:
-        of = np.cumsum([0, *(len(h[0]) for h in held)])[:-1]
-        parts = [(h[1] + o, h[2], h[3]) for h, o in zip(held, of, strict=True)]
-        return np.concatenate([h[0] for h in held]), *(np.concatenate([p[i] for p in parts]) for i in range(3))
-
-    for batch in batches:
-        for a, b, texts in pieces(batch, column):
-            buf, starts = joined([t.lower() for t in texts])
-            begin, end = word_spans(buf)
-            if not len(begin):
-                continue
-            at = np.searchsorted(begin, starts)
-            words = span_hashes(buf, begin, end)
-            before = np.concatenate([[START], words[:-1]])
-            before[at[:-1][at[:-1] < at[1:]]] = START
-            keys = batch.column(key).slice(a, b - a).to_numpy() if key else np.zeros(b - a, np.int64)
-            held.append((keys, np.repeat(np.arange(b - a), np.diff(at)), before, words))
-            size += len(words)
-            if size >= FLUSH_WORDS:
-                yield flush()
-                held, size = [], 0
-    if held:
-        yield flush()
-
-
-class Frequent:
-    """Exact counts of the frequent words and bigrams, and the number of all words."""
-
-    def __init__(self, words: dict[int, int], bigrams: dict[int, int], total: int):
-        self.total = total
-        self.words, self.word_counts = self._sorted(words)
-        self.bigrams, self.bigram_counts = self._sorted(bigrams)
-
-    @staticmethod
-    def _sorted(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.array(list(counts), np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        return keys[order], np.array(list(counts.values()), np.int64)[order]
-
-    @staticmethod
-    def _look_up(keys: np.ndarray, counts: np.ndarray, values: np.ndarray) -> np.ndarray:
-        if not len(keys):
-            return np.zeros(len(values), np.int64)
-        at = np.searchsorted(keys, values).clip(max=len(keys) - 1)
-        return np.where(keys[at] == values, counts[at], 0)
-
-    def of_words(self, words: np.ndarray) -> np.ndarray:
-        """The count of each word, 0 if it is not frequent."""
-        return self._look_up(self.words, self.word_counts, words)
-
-    def of_bigrams(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return self._look_up(self.bigrams, self.bigram_counts, bigram(a, b))
-
-
-def frequent(texts: DataFrame, column: str) -> Frequent:
-    """Two passes: the first finds what is frequent in some part of the texts, the second counts what may be overall."""
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, before, words in read(batches, column, None):
-            inner = before != START
-            for kind, values in (("word", words), ("bigram", bigram(before[inner], words[inner]))):
-                own, n = np.unique(values, return_counts=True)
-                often = n >= max(2, FREQUENT * len(words))
-                yield _counted(kind, own[often], n[often])
-
-    schema = "kind string, h long, n long"
-    found = texts.select(column).mapInArrow(find, schema).groupBy("kind", "h").agg(F.sum("n").alias("n"))
-    total = texts.select(F.sum(F.regexp_count(column, F.lit(WORD)).cast("long"))).first()[0] or 0
-    # What reaches the share in the parts where it was frequent: at most 1 / FREQUENT of each kind.
-    rows = found.filter(F.col("n") >= FREQUENT * total).collect()
-    sets = {k: np.sort(np.array([r.h for r in rows if r.kind == k], np.int64).view(np.uint64)) for k in ("word", "bigram")}
-    shared = texts.sparkSession.sparkContext.broadcast(sets)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {k: np.zeros(len(v), np.int64) for k, v in shared.value.items()}
-        for _, _, before, words in read(batches, column, None):
-            inner = before != START
-            for kind, values in (("word", words), ("bigram", bigram(before[inner], words[inner]))):
-                keys = shared.value[kind]
-                if len(keys):
-                    at = np.searchsorted(keys, values).clip(max=len(keys) - 1)
-                    sums[kind] += np.bincount(at[keys[at] == values], minlength=len(keys))
-        for kind, n in sums.items():
-            yield _counted(kind, shared.value[kind], n)
-
-    counted = texts.select(column).mapInArrow(count, schema).groupBy("kind", "h").agg(F.sum("n").alias("n")).collect()
-    split = {k: {r.h: r.n for r in counted if r.kind == k} for k in ("word", "bigram")}
-    return Frequent(split["word"], split["bigram"], total)
-
-
-def _counted(kind: str, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array([kind] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))]
-    return pa.RecordBatch.from_arrays(columns, ["kind", "h", "n"])
-
-
-def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(values + np.uint64(0x77)) % np.uint64(buckets)).astype(np.int64)
-
-
-def _narrow(index: np.ndarray, n: int) -> bytes:
-    return index.astype(np.uint16 if n <= 1 << 16 else np.uint32).tobytes()
-
-
-def _wide(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, np.uint16 if n <= 1 << 16 else np.uint32).astype(np.int64)
-
-
-def pack(bucket: int, kind: int, b: np.ndarray, a: np.ndarray, docs: np.ndarray) -> tuple:
-    """A row of entries (b, a, doc): distinct b with the length of their runs, distinct a and docs with indexes."""
-    order = np.argsort(b, kind="stable")
-    words, runs = np.unique(b[order], return_counts=True)
-    firsts, picks = np.unique(a[order], return_inverse=True)
-    keys, of = np.unique(docs[order], return_inverse=True)
-    return (
-        bucket, kind, words.tobytes(), runs.astype(np.uint32).tobytes(), firsts.tobytes(), _narrow(picks, len(firsts)),
-        keys.tobytes(), _narrow(of, len(keys)),
-    )
-
-
-def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    words, firsts = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["firsts"], np.uint64)
-    keys = np.frombuffer(row["docs"], np.int64)
-    b = np.repeat(words, np.frombuffer(row["runs"], np.uint32))
-    return b, firsts[_wide(row["picks"], len(firsts))], keys[_wide(row["of"], len(keys))]
-
-
-def _sum_row(bucket: int, docs: np.ndarray, values: np.ndarray) -> tuple:
-    keys, of = np.unique(docs, return_inverse=True)
-    sums = np.bincount(of, values, len(keys))
-    return bucket, _SUMS, sums.tobytes(), b"", b"", b"", keys.tobytes(), b""
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
-    names = [c.split(" ")[0] for c in _ROW.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
-
-
-def _split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    if not len(bucket):
-        return
-    order = np.argsort(bucket, kind="stable")
-    values, starts = np.unique(bucket[order], return_index=True)
-    for v, part in zip(values.tolist(), np.split(order, starts[1:]), strict=True):
-        yield v, part
-
-
-def postings(batches: Iterator[pa.RecordBatch], column: str, key: str, known: Frequent, buckets: int):
-    for docs, of, a, b in read(batches, column, key):
-        n_a, n_b = known.of_words(a), known.of_words(b)
-        n_ab = np.where((n_a > 0) & (n_b > 0), known.of_bigrams(a, b), 0)
-        done = n_ab >= MIN_COUNT
-        rows = []
-        if done.any():
-            rows.append(_sum_row(int(docs[0]) % buckets, docs[of[done]], np.log(n_ab[done] / n_a[done])))
-        left = ~done
-        a, b, of = a[left], b[left], of[left]
-        target = _bucket(np.where(n_b[left] > 0, bigram(a, b), b), buckets)
-        for bucket, part in _split(target):
-            rows.append(pack(bucket, _OPEN, b[part], a[part], docs[of[part]]))
-            if len(rows) >= 64:
-                yield _rows(rows)
-                rows = []
-        if rows:
-            yield _rows(rows)
-
-
-def count_and_score(rows: list[dict], bucket: int, known: Frequent, buckets: int) -> Iterator[tuple]:
-    """Joins the bigrams of a bucket with their counts; what needs the count of its first word goes to that bucket."""
-    parts = [unpack(r) for r in rows]
-    rows.clear()  # the packed rows are as large as the entries
-    b, a, docs = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    del parts
-    _, pair, n_pair = np.unique(bigram(a, b), return_inverse=True, return_counts=True)
-    n_ab = n_pair.astype(np.int32)[pair]
-    del pair, n_pair
-    own, word, n_word = np.unique(b, return_inverse=True, return_counts=True)
-    del b
-    n_often = known.of_words(own)
-    n_b = np.where(n_often > 0, n_often, n_word)
-    inner = a != START
-    seen = inner & (n_ab >= MIN_COUNT)
-    value = np.log(n_b / known.total)[word]
-    del word
-    value[inner] += np.log(ALPHA)
-    n_a = known.of_words(a)
-    value[seen] = np.log(n_ab[seen] / np.maximum(n_a[seen], 1))
-    yield _sum_row(bucket, docs, value)
-    keep = (n_often == 0) & (n_word >= MIN_COUNT)  # the first word of a bigram seen twice was seen twice
-    yield bucket, _COUNTS, own[keep].tobytes(), n_word[keep].astype(np.uint64).tobytes(), b"", b"", b"", b""
-    open_ = np.flatnonzero(seen & (n_a == 0))
-    for target, part in _split(_bucket(a[open_], buckets)):
-        at = open_[part]
-        yield pack(target, _OPEN, a[at], np.zeros(len(at), np.uint64), docs[at])
-
-
-def resolve(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """(document keys, sums) of a bucket: the sums so far, less the logarithms of the counts of first words."""
-    docs, values = [np.zeros(0, np.int64)], [np.zeros(0)]
-    tables = [r for r in rows if r["kind"] == _COUNTS]
-    words = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["words"], np.uint64) for r in tables)])
-    counts = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["runs"], np.uint64) for r in tables)])
-    order = np.argsort(words)
-    words, counts = words[order], counts[order]
-    for r in rows:
-        if r["kind"] == _SUMS:
-            docs.append(np.frombuffer(r["docs"], np.int64))
-            values.append(np.frombuffer(r["words"], np.float64))
-        elif r["kind"] == _OPEN:
-            a, _, keys = unpack(r)
-            docs.append(keys)
-            values.append(-np.log(counts[np.searchsorted(words, a)].astype(np.float64)))
-    keys, of = np.unique(np.concatenate(docs), return_inverse=True)
-    return keys, np.bincount(of, np.concatenate(values), len(keys))
+#: Mean words of a block, and of what arrives in a bucket.
+BLOCK_WORDS, BUCKET_WORDS = 1 << 21, 1 << 22
+_RESULT = {"n_words": pa.int64(), "log_score": pa.float64(), "mean_log_score": pa.float64()}
+
+
+class Block:
+    """The words and bigrams of some texts: distinct n-grams with counts, and for each word and bigram which one it is."""
+
+    def __init__(self, texts: list[bytes], buckets: int):
+        buf, starts = joined([t.lower() for t in texts])  # of bytes: A-Z only
+        begin, end = word_spans(buf)
+        self.at = np.searchsorted(begin, starts)
+        words = span_hashes(buf, begin, end)
+        self.inner = np.ones(len(words), bool)  # words with a word before them in their text
+        self.inner[self.at[:-1][self.at[:-1] < self.at[1:]]] = False
+        follows = np.flatnonzero(self.inner)
+        pairs = mix(mix(words[follows - 1] + np.uint64(0x51)) + words[follows])
+        self.grams, index, self.counts = np.unique(
+            np.concatenate([words, pairs]), return_inverse=True, return_counts=True
+        )
+        self.words, self.pairs = index[: len(words)], index[len(words) :]
+        bucket = (mix(self.grams + np.uint64(0x77)) % np.uint64(buckets)).astype(np.int64)
+        self.order = np.argsort(bucket, kind="stable")
+        self.buckets, first = np.unique(bucket[self.order], return_index=True)
+        self.parts = np.split(self.order, first[1:]) if len(first) else []
+
+    def scores(self, totals: np.ndarray, all_words: int) -> np.ndarray:
+        """The sum for each text, from the total count of each distinct n-gram."""
+        n_b = totals[self.words].astype(np.float64)
+        value = np.log(n_b / all_words) if len(n_b) else n_b
+        value[self.inner] += np.log(ALPHA)
+        n_ab = totals[self.pairs].astype(np.float64)
+        follows = np.flatnonzero(self.inner)
+        seen = n_ab >= MIN_COUNT
+        value[follows[seen]] = np.log(n_ab[seen] / n_b[follows[seen] - 1])
+        owner = np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
+        return np.bincount(owner, value, len(self.at) - 1).astype(np.float64)
+
+
+def _texts(table: pa.Table, column: str) -> list[bytes]:
+    return [t or b"" for t in table.column(column).cast(pa.binary()).to_pylist()]
+
+
+def ask(table: pa.Table, column: str, block: str, buckets: int) -> pa.Table:
+    """The n-grams of a block as one row a bucket."""
+    own = Block(_texts(table, column), buckets)
+    number = table.column(block)[0].as_py()
+    rows = [
+        (int(b), number, own.grams[part].tobytes(), zlib.compress(own.counts[part].astype(np.uint32).tobytes(), 1))
+        for b, part in zip(own.buckets, own.parts, strict=True)
+    ]
+    kinds = {"bucket": pa.int32(), "block": pa.int32(), "grams": pa.binary(), "counts": pa.binary()}
+    return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(kinds.items())})
+
+
+def answer(table: pa.Table) -> pa.Table:
+    """For each row of a bucket the total counts of its n-grams, in their order."""
+    grams = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("grams")])
+    counts = [np.frombuffer(zlib.decompress(x.as_py()), np.uint32) for x in table.column("counts")]
+    ends = np.cumsum([len(c) for c in counts])
+    distinct, index = np.unique(grams, return_inverse=True)
+    sums = np.bincount(index, np.concatenate(counts), len(distinct)).astype(np.uint64)  # exact up to 2**53
+    replies = [zlib.compress(x.tobytes(), 1) for x in np.split(sums[index], ends[:-1])]
+    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "totals": pa.array(replies, pa.binary())})
+
+
+def score_block(docs: pa.Table, replies: pa.Table, column: str, keep: list[str], buckets: int, all_words: int) -> pa.Table:
+    own = Block(_texts(docs, column), buckets)
+    totals = np.zeros(len(own.grams), np.uint64)
+    found = dict(zip(replies.column("bucket").to_pylist(), replies.column("totals"), strict=True))
+    for bucket, part in zip(own.buckets.tolist(), own.parts, strict=True):
+        totals[part] = np.frombuffer(zlib.decompress(found.pop(bucket).as_py()), np.uint64)
+    n, sums = np.diff(own.at), own.scores(totals, all_words)
+    mean = pa.array(sums / np.maximum(n, 1), mask=n == 0)
+    return pa.table([*(docs.column(c) for c in keep), pa.array(n), pa.array(sums), mean], names=[*keep, *_RESULT])
 
 
 def score(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns `keep` of docs, then n_words, log_score (sum over the words) and mean_log_score, a row for each row.
 
     Words are lower-cased in A-Z. Every word of every row counts, repeated rows as often as they occur; rows with equal
-    doc_id and text get equal scores. A null, empty or blank text has no words, log_score 0 and a null mean. The counts
-    include the document itself, so a word is never unknown.
+    texts get equal scores. A null, empty or blank text has no words, log_score 0 and a null mean. The counts include the
+    document itself, so a word is never unknown. Columns of keep with the name of a result column are replaced.
     """
-    name, key = fresh(docs, "backoff_text"), fresh(docs, "backoff_key")
-    own = ["n_words", "log_score", "mean_log_score"]
-    keep = [c for c in keep if c.lower() not in own]
+    name, block, kept = fresh(docs, "backoff_text"), fresh(docs, "backoff_block"), [c for c in keep if c.lower() not in _RESULT]
     value = docs[text].cast("string")
-    keyed = docs.select(F.xxhash64("doc_id", value).alias(key), value.alias(name))
-    known = frequent(keyed, name)
-    buckets = max(1, -(-known.total // BUCKET_WORDS))
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from postings(batches, name, key, shared.value, buckets)
-
-    def join_counts(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        out = [tuple(r.values()) for r in rows if r["kind"] == _SUMS]
-        rows = [r for r in rows if r["kind"] == _OPEN]
-        if rows:
-            out += count_and_score(rows, rows[0]["bucket"], shared.value, buckets)  # empties rows
-        return pa.Table.from_batches([_rows(out)])
-
-    def join_firsts(table: pa.Table) -> pa.Table:
-        keys, sums = resolve(table.to_pylist())
-        return pa.table({"key": pa.array(keys), "sum": pa.array(sums)})
-
-    rows = keyed.mapInArrow(spread, _ROW).groupBy("bucket").applyInArrow(join_counts, _ROW)
-    sums = rows.groupBy("bucket").applyInArrow(join_firsts, "key long, sum double")
-    sums = sums.groupBy("key").agg(F.sum("sum").alias("sum"))
-    words = F.coalesce(F.regexp_count(value, F.lit(WORD)), F.lit(0)).cast("long")
-    left = docs.select(*(docs[c] for c in keep), F.xxhash64("doc_id", value).alias(key), words.alias("n_words"))
-    # Equal rows share a key; its sum is over all of them.
-    rows_of = left.groupBy(key).agg(F.count("*").alias("rows"))
-    per_key = rows_of.join(sums, rows_of[key] == sums["key"], "left").select(
-        F.col(key).alias("key"), (F.coalesce("sum", F.lit(0.0)) / F.col("rows")).alias("log_score")
+    all_words = docs.select(F.sum(F.regexp_count(value, F.lit(WORD)).cast("long"))).first()[0] or 0
+    blocks, buckets = max(1, -(-all_words // BLOCK_WORDS)), max(1, -(-all_words // BUCKET_WORDS))
+    # The row number keeps repeated rows from meeting in one block.
+    dealt = F.pmod(F.xxhash64(value, F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+    base = docs.select(*(docs[c] for c in kept), value.alias(name), dealt.alias(block))
+    asked = base.groupBy(block).applyInArrow(
+        lambda table: ask(table, name, block, buckets), "bucket int, block int, grams binary, counts binary"
+    )
+    replies = asked.groupBy("bucket").applyInArrow(answer, "block int, bucket int, totals binary")
+    schema = T.StructType([docs.schema[c] for c in kept] + [
+        T.StructField(c, T.LongType() if k == pa.int64() else T.DoubleType()) for c, k in _RESULT.items()
+    ])
+    return base.groupBy(block).cogroup(replies.groupBy("block")).applyInArrow(
+        lambda left, right: score_block(left, right, name, kept, buckets, all_words), schema
     )
-    out = left.join(per_key, left[key] == per_key["key"])
-    mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
-    return out.select(*keep, "n_words", "log_score", mean.alias("mean_log_score"))
 
 
 ORACLE_SQL = rf"""

@@ -235,12 +235,13 @@ def backoff_by_hand(texts):
         yield len(t), s
 
 
-@pytest.mark.parametrize("frequent", [1e-5, 0.004, 0.2, 2.0])
-def test_backoff(odd, none, docs, monkeypatch, frequent):
-    """Whatever is held as frequent, and however many buckets there are, the scores are the same."""
-    monkeypatch.setattr(backoff, "FREQUENT", frequent)
-    monkeypatch.setattr(backoff, "BUCKET_WORDS", 20_000)
-    monkeypatch.setattr(backoff, "FLUSH_WORDS", 10_000)
+@pytest.mark.parametrize("words", [1 << 21, 20_000, 300])
+def test_backoff(odd, none, docs, monkeypatch, words):
+    """However many blocks and buckets there are, the scores are the same."""
+    monkeypatch.setattr(backoff, "BLOCK_WORDS", words)
+    monkeypatch.setattr(backoff, "BUCKET_WORDS", 3 * words)
+    if words < 1000:
+        docs = docs.limit(30)
     for table in (odd, docs):
         texts = [r.text for r in table.collect()]
         rows = backoff.score(table, ["doc_id", "text"]).collect()
