@@ -1,8 +1,8 @@
 """Line dedup by a tree of line templates, in DataFrame operations only.
 
 The tree has a fixed depth: the number of tokens of a line, then its first tokens, where a token with a digit is a
-variable field. In a leaf, a token is constant at its place if enough documents have it there; other tokens become
-variable fields. A line whose constant part is too small stands for itself. Templates that enough documents share are
+variable field. In a leaf, a token is constant at its place if enough documents and a large enough share of the leaf's
+lines have it there; other tokens become variable fields. A line whose constant part is too small stands for itself. Templates that enough documents share are
 dropped everywhere but in the document with the smallest doc_id, so shared text stays once.
 
 Only leaves that enough documents share are looked into, and there only distinct lines are taken apart.
@@ -20,6 +20,9 @@ DEPTH = 3
 MIN_TOKENS = 4
 #: Documents that make a token constant and a template recurring.
 MIN_DOCS = 5
+#: Least share of a leaf's lines that makes a token constant. A field whose values are each rarer stays a field however
+#: large the leaf is, and a place has at most 1 / MIN_SHARE constants.
+MIN_SHARE = 0.01
 #: Least share of constant tokens in a template.
 MIN_CONSTANT = 0.6
 FIELD = "<*>"
@@ -63,6 +66,8 @@ def recurring(docs: DataFrame, text: str = "text") -> DataFrame:
     tokens = distinct.select("leaf", "own", "docs", "n", F.posexplode(tokens).alias("place", "token"))
     support = tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("support"))
     support = support.filter((F.col("support") >= MIN_DOCS) & (F.col("token") != FIELD))
+    total = tokens.filter("place = 0").groupBy("leaf").agg(F.sum("docs").alias("total"))
+    support = support.join(total, "leaf").filter(F.col("support") >= MIN_SHARE * F.col("total")).drop("total")
     known = tokens.join(support, ["leaf", "place", "token"], "left")
     constant = F.col("support").isNotNull()
     shape = F.sort_array(F.collect_list(F.struct("place", F.when(constant, F.col("token")).otherwise(FIELD).alias("t"))))

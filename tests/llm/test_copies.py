@@ -131,6 +131,16 @@ def test_templates_drop_recurring_lines(spark, odd, none):
     assert line_templates.drop_templates(none)[0].count() == 0
 
 
+@pytest.mark.parametrize("n", [400, 4000])
+def test_a_template_with_words_as_fields_recurs_at_any_size(spark, n):
+    """However often each of 200 names and 200 cities stands in the leaf, they are fields."""
+    word = lambda kind, i: kind + "".join("abcdefghij"[int(c)] for c in str(i))
+    lines = [f"We sent a parcel to {word('n', i % 200)} in {word('c', (7 * i + i // 200) % 200)}" for i in range(n)]
+    table = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    kept, _, dropped = line_templates.drop_templates(table)
+    assert {r.doc_id: r[dropped] for r in kept.collect()} == {i: int(i > 0) for i in range(n)}
+
+
 def test_suffix_array():
     rng = np.random.default_rng(3)
     for _ in range(400):
