@@ -2,8 +2,9 @@
 
 The tree has a fixed depth: the number of tokens of a line, then its first tokens, where a token with a digit is a
 variable field. In a leaf, a token is constant at its place if enough documents and a large enough share of the leaf's
-lines have it there; other tokens become variable fields. A line whose constant part is too small stands for itself. Templates that enough documents share are
-dropped everywhere but in the document with the smallest doc_id, so shared text stays once.
+lines have it there; other tokens become variable fields. A line whose constant part is too small, in all or behind the
+first tokens, stands for itself. Templates that enough documents share are dropped everywhere but in the document with
+the smallest doc_id, so shared text stays once.
 
 Only leaves that enough documents share are looked into, and there only distinct lines are taken apart.
 """
@@ -23,7 +24,8 @@ MIN_DOCS = 5
 #: Least share of a leaf's lines that makes a token constant. A field whose values are each rarer stays a field however
 #: large the leaf is, and a place has at most 1 / MIN_SHARE constants.
 MIN_SHARE = 0.01
-#: Least share of constant tokens in a template.
+#: Least share of constant tokens in a template, and again of constants among the words behind the leaf's tokens: these are
+#: alike in all of the leaf, and would make short lines with rare endings alike.
 MIN_CONSTANT = 0.6
 FIELD = "<*>"
 
@@ -71,9 +73,10 @@ def recurring(docs: DataFrame, text: str = "text") -> DataFrame:
     known = tokens.join(support, ["leaf", "place", "token"], "left")
     constant = F.col("support").isNotNull()
     shape = F.sort_array(F.collect_list(F.struct("place", F.when(constant, F.col("token")).otherwise(FIELD).alias("t"))))
-    lines_of = known.groupBy("leaf", "own").agg(
-        (F.sum(constant.cast("int")) >= MIN_CONSTANT * F.min("n")).alias("alike"), F.xxhash64(shape).alias("shape")
-    )
+    word = (F.col("place") >= DEPTH) & (F.col("token") != FIELD)
+    alike = F.sum(constant.cast("int")) >= MIN_CONSTANT * F.min("n")
+    alike &= F.count_if(word & constant) >= MIN_CONSTANT * F.count_if(word)
+    lines_of = known.groupBy("leaf", "own").agg(alike.alias("alike"), F.xxhash64(shape).alias("shape"))
     template = F.when(F.col("alike"), F.xxhash64("leaf", "shape")).otherwise(F.xxhash64("leaf", "own", F.lit(0)))
     held = held.join(lines_of.select("leaf", "own", template.alias("template")), ["leaf", "own"])
     held = held.select("template", "doc_id", "doc", "at")

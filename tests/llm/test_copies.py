@@ -141,6 +141,16 @@ def test_a_template_with_words_as_fields_recurs_at_any_size(spark, n):
     assert {r.doc_id: r[dropped] for r in kept.collect()} == {i: int(i > 0) for i in range(n)}
 
 
+def test_lines_with_one_opening_and_other_endings_stay(spark):
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    texts = [f"It was the {word(i)}\nIt was the {word(i)} {word(i + 50)}\nPosted at time {i}:30\nUser of id {i} {i}" for i in range(20)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept, _, dropped = line_templates.drop_templates(table)
+    found = {r.doc_id: (r.text, r[dropped]) for r in kept.collect()}
+    # Lines that differ in numbers only are one template as before.
+    assert found == {i: ("\n".join(t.split("\n")[: 2 if i else 4]), 2 if i else 0) for i, t in enumerate(texts)}
+
+
 def test_suffix_array():
     rng = np.random.default_rng(3)
     for _ in range(400):
