@@ -67,15 +67,15 @@ def question_and_answer(text: str) -> tuple[str, str]:
 
 
 def segments(items: DataFrame) -> DataFrame:
-    """(item_id, terms, question, answer, lengths) for each segment of the items that are long enough.
+    """(item, item_id, terms, question, answer, lengths) for each segment of the items that are long enough.
 
-    lengths: of the shingles of question and answer, less than usual where a part has fewer words.
+    item: a number of its own for each different (item_id, text); lengths: of the shingles of question and answer, less than usual where a part has fewer words.
     """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for item, item_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 (words, _), parts = word_hashes([text.encode()]), question_and_answer(text)
                 if len(words) < MIN_WORDS:
                     continue
@@ -84,15 +84,14 @@ def segments(items: DataFrame) -> DataFrame:
                 lengths = [min(SHINGLE, len(p)) for p in parts]
                 count = -(-len(words) // SEGMENT)
                 for part in np.array_split(words, count):
-                    rows.append((item, part.view(np.int64), *sets, lengths))
-            lists = [pa.array([r[i] for r in rows], pa.list_(pa.int64())) for i in (1, 2, 3, 4)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), *lists], ["item_id", "terms", "question", "answer", "lengths"]
-            )
+                    rows.append((item, item_id, part.view(np.int64), *sets, lengths))
+            ids = [pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)]
+            lists = [pa.array([r[i] for r in rows], pa.list_(pa.int64())) for i in (2, 3, 4, 5)]
+            yield pa.RecordBatch.from_arrays([*ids, *lists], ["item", "item_id", "terms", "question", "answer", "lengths"])
 
     source = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text is not null")
-    return source.distinct().mapInArrow(
-        apply, "item_id long, terms array<long>, question array<long>, answer array<long>, lengths array<long>"
+    return source.distinct().select(F.monotonically_increasing_id().alias("item"), "item_id", "text").mapInArrow(
+        apply, "item long, item_id long, terms array<long>, question array<long>, answer array<long>, lengths array<long>"
     )
 
 
@@ -108,7 +107,7 @@ class Shard:
             term.append(own)
             segment.append(np.full(len(own), i))
             weight.append(w / w.sum())
-        self.items = np.array([-1 if item is None else item for item, _ in rows], np.int64)
+        self.items = np.array([item for item, _ in rows], np.int64)
         self.terms, place = np.unique(np.concatenate(term), return_inverse=True)
         segment, weight = np.concatenate(segment), np.concatenate(weight).astype(np.float32)
         blocks = -(-len(rows) // BLOCK)
@@ -198,7 +197,8 @@ def decontaminate(
     """The columns `keep` of docs, then contaminated, item_ids (sorted) and retrieved, a row for each row.
 
     Null, empty and short texts are passages like any other; without words they are clean. Null item texts and items of
-    fewer than five words are left out; an item with a null id counts but is not listed; repeated items count once.
+    fewer than five words are left out; an item with a null id counts but is not listed; repeated items count once, and
+    different texts with one id (or none) are items of their own.
     Without items nothing is contaminated. Names that clash with a result column are replaced.
     """
     own = ["contaminated", "item_ids", "retrieved"]
@@ -215,7 +215,7 @@ def decontaminate(
     )
     frequency = index.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").count()
     for i in range(passes):
-        part = index.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == i)
+        part = index.filter(F.pmod(F.xxhash64("item"), F.lit(passes)) == i)
         terms = part.select(F.explode("terms").alias("term")).distinct().join(frequency, "term").collect()
         idf = {r.term: float(np.log(1 + (total[0] - r["count"] + 0.5) / (r["count"] + 0.5))) for r in terms}
         rows = part.collect()  # at most about PASS_SEGMENTS
@@ -230,27 +230,27 @@ def _query(state: DataFrame, name: str, rows: list, idf: dict, mean: float, thre
     """One pass: queries the index of rows with every passage and adds what it finds to the state's columns."""
 
     shards, sets = [], {}
+    ids = {r.item: r.item_id for r in rows}
     for a in range(0, len(rows), SHARD_SEGMENTS):
-        shards.append(Shard([(r.item_id, r.terms) for r in rows[a : a + SHARD_SEGMENTS]], idf, mean))
+        shards.append(Shard([(r.item, r.terms) for r in rows[a : a + SHARD_SEGMENTS]], idf, mean))
     for r in rows:
-        key = -1 if r.item_id is None else r.item_id
-        length = sets.get(key, ((), (), 0))[2] + len(r.terms)
+        length = sets.get(r.item, ((), (), 0))[2] + len(r.terms)
         parts = [np.asarray(x, np.int64).view(np.uint64) for x in (r.question, r.answer)]
-        sets[key] = *zip(parts, r.lengths, strict=True), length
-    shared = state.sparkSession.sparkContext.broadcast((shards, sets))
+        sets[r.item] = *zip(parts, r.lengths, strict=True), length
+    shared = state.sparkSession.sparkContext.broadcast((shards, sets, ids))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards, sets = shared.value
+        shards, sets, ids = shared.value
         for batch in batches:
             names = batch.schema.names
             for a, b, texts in pieces(batch, name):
                 retrieved, found = contaminations(texts, shards, sets, threshold, overlap)
                 part = batch.slice(a, b - a)
                 before = part.column(names.index("item_ids")).to_pylist()
-                ids = [sorted({*x, *(i for i in y if i != -1)}) for x, y in zip(before, found, strict=True)]
+                listed = [sorted({*x, *(ids[i] for i in y)} - {None}) for x, y in zip(before, found, strict=True)]
                 bad = [bool(y) or x for x, y in zip(part.column(names.index("contaminated")).to_pylist(), found, strict=True)]
                 sums = part.column(names.index("retrieved")).to_numpy() + retrieved
-                new = {"item_ids": pa.array(ids, pa.list_(pa.int64())), "retrieved": pa.array(sums), "contaminated": pa.array(bad)}
+                new = {"item_ids": pa.array(listed, pa.list_(pa.int64())), "retrieved": pa.array(sums), "contaminated": pa.array(bad)}
                 yield pa.RecordBatch.from_arrays([new.get(n, part.column(i)) for i, n in enumerate(names)], names)
 
     return state.mapInArrow(apply, state.schema)

@@ -216,6 +216,19 @@ def test_leaks(spark, docs, items, odd, none):
     assert not nothing.filter("contaminated").count()
 
 
+@pytest.mark.parametrize("segments", [1 << 14, 2])
+def test_different_texts_with_one_id_are_all_verified(spark, monkeypatch, segments):
+    monkeypatch.setattr(decontaminate, "PASS_SEGMENTS", segments)
+    words = lambda kind: " ".join(f"{kind}{i}" for i in range(20)) + f". The answer is {kind} here now."
+    pairs = [(7, "a"), (7, "b"), (None, "c"), (None, "d"), (-1, "e"), (-1, "f")]
+    items = spark.createDataFrame([(i, words(k)) for i, k in pairs], "item_id long, text string")
+    table = spark.createDataFrame([(k, words(k)) for _, k in pairs], "doc_id string, text string")
+    rows = decontaminate.decontaminate(table, items, ["doc_id"]).collect()
+    assert {r.doc_id: (r.contaminated, r.item_ids) for r in rows} == {
+        k: (True, [] if i is None else [i]) for i, k in pairs
+    }
+
+
 def test_several_passes_find_the_same(docs, items, monkeypatch):
     one = sorted(decontaminate.decontaminate(docs, items, ["doc_id"]).collect())
     monkeypatch.setattr(decontaminate, "PASS_SEGMENTS", 15)
