@@ -21,6 +21,8 @@ from dockledger.llm.common import WORD, fresh, joined, mix, pieces, span_hashes,
 NGRAM_LIMITS = {5: 0.36, 6: 0.35, 7: 0.34, 8: 0.33, 9: 0.32, 10: 0.31}
 #: Largest share of word characters inside repeated lines, and of symbol characters for each word.
 LINE_LIMIT = 0.70
+#: The lower limit for lines where more than so many lines equal an earlier one, as a menu between unique lines does.
+FEW_LINES, LINES_LIMIT = 3, 0.30
 SYMBOL_LIMIT = 0.25
 MIN_WORDS = 10
 #: Largest percentage of words in repeated five-word windows.
@@ -104,7 +106,7 @@ def measure(text: bytes, hashes: np.ndarray, chars: np.ndarray, n_symbols: int)
     kept = (
         not base_failed
         and all(inside <= limit * total for inside, limit in zip(by_length, NGRAM_LIMITS.values(), strict=True))
-        and line_chars <= LINE_LIMIT * total
+        and line_chars <= (LINE_LIMIT if dup_lines <= FEW_LINES else LINES_LIMIT) * total
         and n_symbols <= SYMBOL_LIMIT * n
     )
     return n, total, n_symbols, dup_lines, repeat_words, base_failed, kept, line_chars, *by_length

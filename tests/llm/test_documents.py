@@ -111,6 +111,14 @@ def test_rules_reject_texts_that_repeat_themselves(spark):
     assert [r.kept for r in sorted(rows.collect())] == [True, False, False, False]
 
 
+def test_rules_reject_interleaved_repeated_lines(spark):
+    menu = "\n".join(f"Home About News Contact\nword{i} other{i} third{i} last{i}" for i in range(8))
+    short = "one short clean line\nthat has another one\none short clean line"  # two thirds of it, held twice
+    table = spark.createDataFrame([(0, menu), (1, short)], "doc_id long, text string")
+    rows = sorted(repetition.quality_rules(table).collect())
+    assert [(r.n_repeat_words, r.base_failed, r.kept) for r in rows] == [(0, False, False), (0, False, True)]
+
+
 def test_classifier(spark, docs, labels, odd, none):
     scores = QUERIES["op2_quality_classifier"](spark, SMALL).join(labels, "doc_id").filter("held_out").collect()
     good = [r.score for r in scores if r.quality == 1]
