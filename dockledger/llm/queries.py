@@ -8,7 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockledger.llm import backoff, decontaminate, language_mixture, line_templates, mixing, quality_model, repeats, repetition, simhash, warc
+from dockledger.llm import (
+    backoff,
+    decontaminate,
+    language_mixture,
+    line_templates,
+    lookup_clusters,
+    mixing,
+    quality_model,
+    repeats,
+    repetition,
+    simhash,
+    warc,
+)
 from dockledger.llm.common import documents, scratch
 
 
@@ -65,6 +77,15 @@ def op10_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", *rounded)
 
 
+CLUSTERS = {"k": 40, "rounds": 5, "dims": 64, "scale": 256, "salt": "2:"}
+
+
+def op11_lookup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lookup_clusters.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", **CLUSTERS)
+    digest = F.sha2(F.concat_ws(",", F.col("centroid").cast("array<string>")), 256).alias("centroid_sha256")
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", digest)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mix": op1_entropy_mix,
     "op2_quality_classifier": op2_quality_classifier,
@@ -76,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_warc": op9_warc,
     "op10_backoff": op10_backoff,
+    "op11_lookup_clusters": op11_lookup_clusters,
 }
 
 ORACLE: dict[str, str] = {
@@ -83,4 +105,5 @@ ORACLE: dict[str, str] = {
     "op7_quality_rules": repetition.ORACLE_SQL,
     "op9_warc": warc.ORACLE_SQL,
     "op10_backoff": backoff.ORACLE_SQL,
+    "op11_lookup_clusters": lookup_clusters.oracle_sql(**CLUSTERS),
 }
