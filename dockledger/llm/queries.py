@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from dockledger.llm import (
     backoff,
+    conversation_repair,
     decontaminate,
     language_mixture,
     line_templates,
@@ -86,6 +87,11 @@ def op11_lookup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", digest)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversation_repair.repair(rows).withColumn("repaired_sha256", F.sha2("repaired", 256)).drop("repaired")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mix": op1_entropy_mix,
     "op2_quality_classifier": op2_quality_classifier,
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_backoff": op10_backoff,
     "op11_lookup_clusters": op11_lookup_clusters,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE: dict[str, str] = {
@@ -106,4 +113,5 @@ ORACLE: dict[str, str] = {
     "op9_warc": warc.ORACLE_SQL,
     "op10_backoff": backoff.ORACLE_SQL,
     "op11_lookup_clusters": lookup_clusters.oracle_sql(**CLUSTERS),
+    "op13_conversation_repair": conversation_repair.ORACLE_SQL,
 }
