@@ -20,6 +20,7 @@ from dockledger.llm import (
     repeats,
     repetition,
     simhash,
+    token_machine,
     warc,
 )
 from dockledger.llm.common import documents, scratch
@@ -87,6 +88,14 @@ def op11_lookup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", digest)
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    counted = token_machine.token_counts(documents(spark, sf_dir), ["doc_id"], "text", path)
+    return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = conversation_repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return conversation_repair.repair(rows).withColumn("repaired_sha256", F.sha2("repaired", 256)).drop("repaired")
@@ -104,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_backoff": op10_backoff,
     "op11_lookup_clusters": op11_lookup_clusters,
+    "op12_token_counts": op12_token_counts,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
