@@ -287,12 +287,42 @@ FROM (
 WINDOW w AS (PARTITION BY receipt_no)""",
     "register_rejected": """
 SELECT po_no AS request_id, ['unreadable document', 'no custCode', 'no items', 'empty items', 'item without itemCode',
-  'item without gaipQnty', 'quantity is no number', 'ipgoDate is no date', 'no userName'][CAST(substr(po_no, 2) AS BIGINT) % 11 + 1]
+  'item without gaipQnty', 'quantity is no number', 'ipgoDate is no date', 'no userName', NULL, NULL,
+  'item without itemCode', 'unreadable document'][CAST(substr(po_no, 2) AS BIGINT) % 13 + 1]
   AS reason
-FROM po_header WHERE CAST(substr(po_no, 2) AS BIGINT) % 11 < 9""",
+FROM po_header WHERE CAST(substr(po_no, 2) AS BIGINT) % 13 NOT IN (9, 10)""",
     "register_accepted": """
 SELECT po_no AS request_id, 1 AS seq, '19970715' AS due_date, 'P1' AS item_code, CAST(5 AS DOUBLE) AS qty
-FROM po_header WHERE CAST(substr(po_no, 2) AS BIGINT) % 11 >= 9""",
+FROM po_header WHERE CAST(substr(po_no, 2) AS BIGINT) % 13 IN (9, 10)""",
+    "request_outcomes": """
+SELECT po_no AS request_id, NULL AS receipt_no, CAST(0 AS BIGINT) AS inserted_count,
+  ['unreadable document', 'no custCode', 'no items', 'empty items', 'item without itemCode',
+  'item without gaipQnty', 'quantity is no number', 'ipgoDate is no date', 'no userName', NULL, NULL,
+  'item without itemCode', 'unreadable document'][CAST(substr(po_no, 2) AS BIGINT) % 13 + 1] AS reason
+FROM po_header WHERE CAST(substr(po_no, 2) AS BIGINT) % 13 NOT IN (9, 10)
+UNION ALL
+SELECT po_no, 'G970715' || format('{:04d}', row_number() OVER (ORDER BY po_no) + coalesce((
+  SELECT max(CAST(substr(receipt_no, 8) AS BIGINT)) FROM prov_header WHERE receipt_no LIKE 'G970715%'), 0)), 1, NULL
+FROM po_header WHERE CAST(substr(po_no, 2) AS BIGINT) % 13 IN (9, 10)""",
+    "rejected_edits": """
+SELECT receipt_no AS request_id, CASE kind WHEN 9 THEN ' ' ELSE receipt_no END AS receipt_no, reason
+FROM (SELECT receipt_no, CAST(substr(receipt_no, 2) AS BIGINT) % 11 AS kind,
+  ['unreadable document', 'no items', 'item without itemCode', 'item without itemCode', 'item without gaipQnty',
+   'quantity is no number', 'item without statType', 'item without itemCode', 'item without gaipQnty',
+   'no receipt number', NULL][CAST(substr(receipt_no, 2) AS BIGINT) % 11 + 1] AS reason FROM edited_item)
+WHERE reason IS NOT NULL""",
+    "edit_outcomes": """
+SELECT receipt_no AS request_id, CASE kind WHEN 9 THEN ' ' ELSE receipt_no END AS receipt_no,
+  CASE WHEN reason IS NULL THEN lines ELSE 0 END AS updated_count, reason
+FROM (SELECT e.receipt_no, CAST(substr(e.receipt_no, 2) AS BIGINT) % 11 AS kind, count(l.receipt_no) AS lines,
+  ['unreadable document', 'no items', 'item without itemCode', 'item without itemCode', 'item without gaipQnty',
+   'quantity is no number', 'item without statType', 'item without itemCode', 'item without gaipQnty',
+   'no receipt number', NULL][CAST(substr(e.receipt_no, 2) AS BIGINT) % 11 + 1] AS reason
+  FROM edited_item e LEFT JOIN prov_line l ON e.receipt_no = l.receipt_no AND e.item_code = l.item_code GROUP BY e.receipt_no)""",
+    "rejected_deletes": """
+SELECT receipt_no AS request_id, ['unreadable document', 'no receipt numbers', 'empty receipt numbers', 'blank receipt number',
+  'blank receipt number'][CAST(substr(receipt_no, 2) AS BIGINT) % 7 + 1] AS reason
+FROM prov_header WHERE CAST(substr(receipt_no, 2) AS BIGINT) % 7 < 5""",
     "explode_edits": """
 SELECT receipt_no || '/' || line_seq AS request_id, CAST(i AS INTEGER) AS position, receipt_no, item_code, qty + i + 1 AS qty,
        CASE i WHEN 0 THEN 'N' ELSE 'Y' END AS status

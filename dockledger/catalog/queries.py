@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dockledger.functions import columns as c
 from dockledger.functions.skew import skew_join
 from dockledger.operators import blocks, grid, sheet, worksheet, writes
-from dockledger.plans import reads
+from dockledger.plans import reads, versions
 from dockledger.sources import requests
 from dockledger.sources.sample import sample_tables
 from dockledger.tables import Tables
@@ -361,8 +361,8 @@ def explode_requests(t: Tables) -> DataFrame:
 
 
 def _odd_documents(t: Tables) -> DataFrame:
-    """A document for each order; each has one of nine faults, or none and its quantity as a number or as text."""
-    kind = F.pmod(F.substring("po_no", 2, 20).cast("long"), F.lit(11))
+    """A document for each order; each has one of eleven faults, or none and its quantity as a number or as text."""
+    kind = F.pmod(F.substring("po_no", 2, 20).cast("long"), F.lit(13))
     head = '{"ipgoDate":"%s","custCode":"7","userName":"Kim","ordrNumb":"S1"'
     item = '{"itemCode":"P1","ordrDetl":"",%s"gaipQnty":%s}'
     day = head % "19970715"
@@ -373,6 +373,7 @@ def _odd_documents(t: Tables) -> DataFrame:
         day + ',"items":[' + item % ("", '"abc"') + "]}", head % "20301301" + ',"items":[' + item % ("", "1") + "]}",
         day.replace('"userName":"Kim",', "") + ',"items":[]}', day + ',"items":[' + item % ("", "5") + "]}",
         day + ',"items":[' + item % ("", '"5"') + "]}",
+        day + ',"items":[' + (item % ("", "1")).replace('"P1"', '" "') + "]}", None,
     ]
     payload = F.element_at(F.array(*[F.lit(text) for text in texts]), (kind + 1).cast("int"))
     return t.po_header.select(F.col("po_no").alias("request_id"), payload.alias("payload"))
@@ -389,6 +390,52 @@ def register_accepted(t: Tables) -> DataFrame:
     return accepted.select("request_id", "seq", "due_date", "item_code", "qty")
 
 
+@query
+def request_outcomes(t: Tables) -> DataFrame:
+    """What every one of the documents is answered: number and count, or the reason why not."""
+    documents = _odd_documents(t)
+    items = requests.explode_requests(requests.accepted_requests(documents))
+    rejected = requests.rejected_requests(documents).select("request_id", "reason")
+    return versions.outcomes(writes.register_receipts(t, items, as_of=AS_OF), rejected)
+
+
+def _odd_edits(t: Tables) -> DataFrame:
+    """A document for each receipt, on its first line's item; each has one of ten faults, or none."""
+    kind = F.pmod(F.substring("receipt_no", 2, 20).cast("long"), F.lit(11))
+    fit = '{"itemCode":"ITEM","gaipQnty":7,"statType":"Y"}'
+    items = [
+        fit.replace('"itemCode":"ITEM",', ""), fit.replace("ITEM", " "), fit.replace('"gaipQnty":7,', ""), fit.replace("7", '"abc"'),
+        fit.replace(',"statType":"Y"', ""), f"{fit},null", f"{fit},{fit.replace('7', 'null')}", fit, fit,
+    ]
+    texts = ["{", "{}", *[f'{{"items":[{x}]}}' for x in items]]
+    first = blocks.first_item(t.prov_line, "receipt_no").withColumn("kind", kind)
+    payload = F.replace(F.element_at(F.array(*[F.lit(x) for x in texts]), (F.col("kind") + 1).cast("int")), F.lit("ITEM"), F.trim("first_item_code"))
+    sent_to = F.when(F.col("kind") == 9, F.lit(" ")).otherwise(F.col("receipt_no"))
+    return first.select(F.col("receipt_no").alias("request_id"), sent_to.alias("receipt_no"), payload.alias("payload"))
+
+
+@query
+def rejected_edits(t: Tables) -> DataFrame:
+    return requests.rejected_edits(_odd_edits(t))
+
+
+@query
+def edit_outcomes(t: Tables) -> DataFrame:
+    """What every edit document is answered: the number of lines it changes, or the reason why not."""
+    documents = _odd_edits(t)
+    accepted = requests.explode_edits(requests.accepted_edits(documents))
+    return versions.edit_outcomes(t, accepted, requests.rejected_edits(documents))
+
+
+@query
+def rejected_deletes(t: Tables) -> DataFrame:
+    """A delete document for each receipt; five of seven are refused."""
+    kind = F.pmod(F.substring("receipt_no", 2, 20).cast("long"), F.lit(7))
+    texts = ['{"ipgoNumbs":["X"]', "{}", '{"ipgoNumbs":[]}', '{"ipgoNumbs":["X"," "]}', '{"ipgoNumbs":[null]}', '{"ipgoNumbs":["X"]}', '{"ipgoNumbs":["X","Y"]}']
+    payload = F.element_at(F.array(*[F.lit(x) for x in texts]), (kind + 1).cast("int")).alias("payload")
+    return requests.rejected_deletes(t.prov_header.select(F.col("receipt_no").alias("request_id"), payload))
+
+
 def _edit_documents(t: Tables) -> DataFrame:
     """A document for each provisional line, with two edits of its item."""
     def item(more: int, status: str) -> Column:

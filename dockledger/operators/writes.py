@@ -7,6 +7,7 @@ next one. They are lazy, but for numbering in groups that are heavy (see `number
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -28,17 +29,47 @@ class NumberRule:
     digits: int = 4
 
 
+_NEW_LINE = ["receipt_no", "line_seq", "po_line_key", "item_code", "qty", "status", "updated_on"]
+#: What a registration says beside the lines; kept with the version that stores them.
+DETAILS = (
+    "receipt_no string, line_seq string, request_id string, po_no string, store_code string, memo string, month string, "
+    "client_address string"
+)
+EDITS = "receipt_no string, item_code string, qty double, status string"
+
+
 @dataclass(frozen=True)
 class Registration:
-    """Rows to add to the three tables, number and line count per request, and requests that cannot be registered."""
+    """Rows to add to the tables, number and line count per request, and requests that cannot be registered."""
 
-    headers: DataFrame
-    lines: DataFrame
-    contacts: DataFrame
+    registered: DataFrame
+    created: DataFrame
     summary: DataFrame
     rejected: DataFrame
 
+    @property
+    def lines(self) -> DataFrame:
+        return self.registered.select(*_NEW_LINE)
+
+    @property
+    def details(self) -> DataFrame:
+        return self.registered.select(*[name.split()[0] for name in DETAILS.split(", ")])
+
+    @property
+    def headers(self) -> DataFrame:
+        return self.created.select("receipt_no", "supplier_code", "saved_on", "due_date")
+
+    @property
+    def contacts(self) -> DataFrame:
+        return self.created.select("receipt_no", "contact_name", "contact_phone")
+
+    def settled(self) -> Registration:
+        """The same, stored: all that is read from it agrees."""
+        parts = {name: stored(getattr(self, name), f"registered-{name}") for name in ("registered", "created", "summary", "rejected")}
+        return Registration(**parts)
+
 
+_SAID = ["po_no", "store_code", "memo", "month", "client_address"]
 _KEYS = {"owner": ["owner"], "request": ["request_id"], "day": ["day"]}
 
 
@@ -49,6 +80,7 @@ def register_receipts(
     *,
     as_of: dt.date | str,
     hot: dict[str, HeavyKeys] | None = None,
+    settle: bool = False,
 ) -> Registration:
     """Registers requests given as one row per item (see `explode_requests`).
 
@@ -57,9 +89,11 @@ def register_receipts(
     sequences continue after the receipt's last one. A request with a due date that is
     none, or with a line without item or quantity, is rejected as a whole: no receipt
     without a number can arise. `as_of` is the day of saving; `hot` the heavy keys of
-    the registrations (see `heavy_registrations`).
+    the registrations (see `heavy_registrations`). `settle` stores the requests before and after they are numbered,
+    so that they are grouped and numbered once; without, the result is lazy.
     """
     hot = hot or {}
+    keep = stored if settle else lambda df, _: df
     hot_owners, hot_requests, hot_days = (hot.get(k) for k in _KEYS)
     items = _with_keys(registrations, rule)
 
@@ -73,6 +107,7 @@ def register_receipts(
     )
     reason = F.when(F.col("no_day"), F.lit("due date")).when(F.col("no_line"), F.lit("item or quantity"))
     requests = requests.select("request_id", "line_count", reason.alias("reason"), *[F.col(f"head.{c}").alias(c) for c in head])
+    requests = keep(requests, "checked-requests")
     rejected = requests.filter(F.col("reason").isNotNull()).select("request_id", "reason")
     requests = requests.filter(F.col("reason").isNull()).drop("reason")
 
@@ -82,8 +117,8 @@ def register_receipts(
     running = F.coalesce("last_number", F.lit(0)) + F.col("nth")
     number = F.concat(F.lit(rule.prefix), F.col("day"), F.format_string(f"%0{rule.digits}d", running))
     new = new.withColumn("receipt_no", number).drop("nth", "last_number")
-    known = requests.filter(F.col("receipt_no") != "")
-    requests = new.unionByName(known)
+    requests = keep(new.withColumn("known", F.lit(False)).unionByName(requests.filter(F.col("receipt_no") != "").withColumn("known", F.lit(True))), "numbered-requests")
+    new, known = requests.filter(~F.col("known")).drop("known"), requests.filter("known").drop("known")
 
     numbers = requests.select("request_id", F.col("receipt_no").alias("number"))
     lines = skew_join(items.drop("receipt_no"), numbers, ["request_id"], "inner", spread_by=["seq"], hot=hot_requests)
@@ -100,21 +135,23 @@ def register_receipts(
         "qty",
         "status",
         F.lit(None).cast("date").alias("updated_on"),
+        F.col("request_id").cast("string").alias("request_id"),
+        *[(F.col(c) if c in lines.columns else F.lit(None)).cast("string").alias(c) for c in _SAID],
     )
 
     # A receipt that requests add to exists already, or is created by the first of them.
     first = F.min_by(F.struct("due_date", "supplier_code", "contact_name", "contact_phone"), "request_id")
     created = known.groupBy("receipt_no").agg(first.alias("head")).select("receipt_no", "head.*")
-    created = created.join(t.prov_header.select("receipt_no"), "receipt_no", "left_anti")
+    there = t.marks.receipts().filter("has_header") if t.marks else t.prov_header
+    created = created.join(there.select("receipt_no"), "receipt_no", "left_anti")
     created = created.unionByName(new.select(*created.columns))
     supplier = F.col("supplier_code").cast(t.prov_header.schema["supplier_code"].dataType)
-    headers = created.select(
+    created = created.select(
         "receipt_no", supplier.alias("supplier_code"), F.lit(as_of).cast("date").alias("saved_on"),
-        business_date("due_date").alias("due_date"),
+        business_date("due_date").alias("due_date"), "contact_name", "contact_phone",
     )
-    contacts = created.select("receipt_no", "contact_name", "contact_phone")
     summary = requests.select("request_id", "receipt_no", F.col("line_count").alias("inserted_count"))
-    return Registration(headers, lines, contacts, summary, rejected)
+    return Registration(lines, created, summary, rejected)
 
 
 def _with_keys(registrations: DataFrame, rule: NumberRule) -> DataFrame:
@@ -139,24 +176,33 @@ def heavy_registrations(
     return found
 
 
-def _last_numbers(t: Tables, rule: NumberRule) -> DataFrame:
+def last_numbers(headers: DataFrame, rule: NumberRule) -> DataFrame:
     """Highest running number in use per day."""
     start = len(rule.prefix) + 1
     day_length = len(rule.day_format)
-    used = t.prov_header.filter(F.col("receipt_no").startswith(rule.prefix)).select(
+    used = headers.filter(F.col("receipt_no").startswith(rule.prefix)).select(
         F.substring("receipt_no", start, day_length).alias("day"),
         F.expr(f"substring(receipt_no, {start + day_length})").try_cast("long").alias("number"),
     )
     return used.groupBy("day").agg(F.max("number").alias("last_number"))
 
 
+def last_sequences(lines: DataFrame) -> DataFrame:
+    """Highest line sequence per receipt."""
+    return lines.groupBy("receipt_no").agg(F.max(F.col("line_seq").try_cast("long")).alias("last_sequence"))
+
+
+def _last_numbers(t: Tables, rule: NumberRule) -> DataFrame:
+    return t.marks.days() if t.marks and t.marks.rule == rule else last_numbers(t.prov_header, rule)
+
+
 def _last_sequences(t: Tables, known: DataFrame) -> DataFrame:
     """Highest line sequence of the receipts that requests add to."""
-    lines = skew_join(
-        t.prov_line, known.select("receipt_no").distinct(), ["receipt_no"], "left_semi",
-        spread_by=["line_seq"], hot=t.hot("prov_line", "receipt_no"),
-    )
-    return lines.groupBy("receipt_no").agg(F.max(F.col("line_seq").try_cast("long")).alias("last_sequence"))
+    wanted = known.select("receipt_no").distinct()
+    if t.marks:
+        return t.marks.receipts().join(wanted, "receipt_no", "left_semi").select("receipt_no", "last_sequence")
+    hot = t.hot("prov_line", "receipt_no")
+    return last_sequences(skew_join(t.prov_line, wanted, ["receipt_no"], "left_semi", spread_by=["line_seq"], hot=hot))
 
 
 def with_registration(t: Tables, new: Registration) -> Tables:
@@ -174,14 +220,28 @@ def _clean_edits(edits: DataFrame) -> DataFrame:
     return edits.withColumns({name: F.trim(F.col(name)) for name in _LINE})
 
 
+def latest_edits(edits: DataFrame) -> DataFrame:
+    """The edit that counts of each receipt and item: the last by `seq`."""
+    edit = F.max(F.struct("seq", "qty", "status")).alias("edit")
+    return _clean_edits(edits).groupBy(*_LINE).agg(edit).select(*_LINE, "edit.qty", "edit.status")
+
+
+def unfit_edits(edits: DataFrame) -> DataFrame:
+    """Edits that would overwrite data with nothing, and what they lack."""
+    lacks = F.lit(None).cast("string")
+    for name in ("status", "qty", "item_code", "receipt_no"):
+        none = F.col(name).isNull() if name == "qty" else F.coalesce(F.trim(name) == "", F.lit(True))
+        lacks = F.when(none, F.lit(name)).otherwise(lacks)
+    return edits.select("receipt_no", "item_code", lacks.alias("lacks")).filter(F.col("lacks").isNotNull())
+
+
 def edit_receipt_lines(t: Tables, edits: DataFrame) -> DataFrame:
     """All provisional lines after the edits: quantity and status by receipt and item.
 
     Every line of that item changes. Of several edits of one item the last (by `seq`)
     wins. The update date stays as it is.
     """
-    edit = F.max(F.struct("seq", "qty", "status")).alias("edit")
-    latest = _clean_edits(edits).groupBy(*_LINE).agg(edit)
+    latest = latest_edits(edits).select(*_LINE, F.struct("qty", "status").alias("edit"))
     lines = skew_join(t.prov_line, latest, _LINE, spread_by=["line_seq"], hot=t.hot("prov_line", *_LINE))
     edited = F.col("edit").isNotNull()
     return lines.withColumns(
@@ -189,21 +249,26 @@ def edit_receipt_lines(t: Tables, edits: DataFrame) -> DataFrame:
     ).drop("edit").select(*t.prov_line.columns)
 
 
-def edit_match_count(t: Tables, edits: DataFrame) -> DataFrame:
-    """Lines changed per receipt, counted once for every edit that matches them."""
-    sent = _clean_edits(edits).groupBy(*_LINE).agg(F.count(F.lit(1)).alias("edits"))
+def edit_match_count(t: Tables, edits: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Lines changed per receipt (and further columns), counted once for every edit that matches them."""
+    sent = _clean_edits(edits).groupBy(*by, *_LINE).agg(F.count(F.lit(1)).alias("edits"))
     lines = t.prov_line.select("line_seq", *_LINE)
     hot = t.hot("prov_line", *_LINE)
-    lines = skew_join(lines, sent.select(*_LINE), _LINE, "left_semi", spread_by=["line_seq"], hot=hot)
+    wanted = sent.select(*_LINE).distinct() if by else sent.select(*_LINE)
+    lines = skew_join(lines, wanted, _LINE, "left_semi", spread_by=["line_seq"], hot=hot)
     matched = lines.groupBy(*_LINE).agg(F.count(F.lit(1)).alias("lines"))
     counted = sent.join(matched, _LINE, "left")
     updates = F.sum(F.col("edits") * F.coalesce("lines", F.lit(0)))
-    return counted.groupBy("receipt_no").agg(updates.alias("updated_count"))
+    return counted.groupBy(*by, "receipt_no").agg(updates.alias("updated_count"))
+
+
+def deleted_numbers(ids: DataFrame) -> DataFrame:
+    return ids.select(F.rtrim("receipt_no").alias("receipt_no")).distinct()
 
 
 def delete_receipts(t: Tables, ids: DataFrame) -> Tables:
     """Tables without the lines, contacts and headers of the given receipts (column `receipt_no`)."""
-    gone = ids.select(F.rtrim("receipt_no").alias("receipt_no")).distinct()
+    gone = deleted_numbers(ids)
     hot = t.hot("prov_line", "receipt_no")
     return t.changed(
         prov_line=skew_join(t.prov_line, gone, ["receipt_no"], "left_anti", spread_by=["line_seq"], hot=hot),

@@ -43,6 +43,7 @@ DELETE_SCHEMA = T.StructType([T.StructField("ipgoNumbs", T.ArrayType(T.StringTyp
 # Fields that a registration must have, in the document and in each item.
 REQUIRED = ["ipgoDate", "custCode", "userName", "ordrNumb"]
 REQUIRED_IN_ITEM = ["itemCode", "ordrDetl", "gaipQnty"]
+REQUIRED_IN_EDIT = ["itemCode", "gaipQnty", "statType"]
 
 
 def _parsed(raw: DataFrame) -> DataFrame:
@@ -50,21 +51,30 @@ def _parsed(raw: DataFrame) -> DataFrame:
 
 
 def _lacks(name: str) -> Callable[[Column], Column]:
-    return lambda item: item.isNull() | item[name].isNull()
+    """Whether an item has no such field; a line without order line is sent with an empty text for it."""
+    if name == "ordrDetl":
+        return lambda item: item.isNull() | item[name].isNull()
+    return lambda item: item.isNull() | F.coalesce(F.trim(item[name]) == "", F.lit(True))
+
+
+def _unreadable() -> Column:
+    return F.col("payload").isNull() | F.try_parse_json("payload").isNull()
+
+
+def _items_reason(reason: Column, items: Column, required: list[str]) -> Column:
+    """Adds the reasons that lie in the items of a document."""
+    reason = reason.when(items.isNull(), F.lit("no items")).when(F.size(items) == 0, F.lit("empty items"))
+    for name in required:
+        reason = reason.when(F.exists(items, _lacks(name)), F.lit(f"item without {name}"))
+    return reason.when(F.exists(items, lambda item: typed_quantity(item["gaipQnty"]).isNull()), F.lit("quantity is no number"))
 
 
 def _reason() -> Column:
     """Why the parsed request cannot be registered; NULL if it can."""
-    items = F.col("request.items")
-    unreadable = F.col("payload").isNull() | F.try_parse_json("payload").isNull()
-    reason = F.when(unreadable, F.lit("unreadable document"))
+    reason = F.when(_unreadable(), F.lit("unreadable document"))
     for name in REQUIRED:
         reason = reason.when(F.col(f"request.{name}").isNull(), F.lit(f"no {name}"))
-    reason = reason.when(items.isNull(), F.lit("no items")).when(F.size(items) == 0, F.lit("empty items"))
-    for name in REQUIRED_IN_ITEM:
-        reason = reason.when(F.exists(items, _lacks(name)), F.lit(f"item without {name}"))
-    no_number = F.exists(items, lambda item: typed_quantity(item["gaipQnty"]).isNull())
-    reason = reason.when(no_number, F.lit("quantity is no number"))
+    reason = _items_reason(reason, F.col("request.items"), REQUIRED_IN_ITEM)
     return reason.when(business_date(F.col("request.ipgoDate")).isNull(), F.lit("ipgoDate is no date"))
 
 
@@ -105,6 +115,24 @@ def explode_requests(raw: DataFrame) -> DataFrame:
     )
 
 
+def _checked_edits(raw: DataFrame) -> DataFrame:
+    """Edit documents with `request` and the first reason why one cannot be applied, NULL if it can."""
+    parsed = raw.withColumn("request", F.from_json("payload", EDIT_SCHEMA))
+    reason = F.when(_unreadable(), F.lit("unreadable document"))
+    reason = reason.when(F.coalesce(F.trim("receipt_no") == "", F.lit(True)), F.lit("no receipt number"))
+    return parsed.withColumn("reason", _items_reason(reason, F.col("request.items"), REQUIRED_IN_EDIT))
+
+
+def accepted_edits(raw: DataFrame) -> DataFrame:
+    """The edit documents that can be applied, as they came."""
+    return _checked_edits(raw).filter(F.col("reason").isNull()).select(*raw.columns)
+
+
+def rejected_edits(raw: DataFrame) -> DataFrame:
+    """The others: request_id, receipt_no and the first reason that holds. One unfit item refuses its document."""
+    return _checked_edits(raw).filter(F.col("reason").isNotNull()).select("request_id", "receipt_no", "reason")
+
+
 def explode_edits(raw: DataFrame) -> DataFrame:
     """One row per edited item, from rows of `request_id`, `receipt_no` (the document is sent to its address) and
     `payload`. `seq` orders all edits: by request, then by place in the document, so later ones win."""
@@ -120,6 +148,24 @@ def explode_edits(raw: DataFrame) -> DataFrame:
     )
 
 
+def _checked_deletes(raw: DataFrame) -> DataFrame:
+    numbers = F.from_json("payload", DELETE_SCHEMA)["ipgoNumbs"]
+    reason = F.when(_unreadable(), F.lit("unreadable document")).when(numbers.isNull(), F.lit("no receipt numbers"))
+    reason = reason.when(F.size(numbers) == 0, F.lit("empty receipt numbers"))
+    blank = F.exists(numbers, lambda x: F.coalesce(F.trim(x) == "", F.lit(True)))
+    return raw.withColumn("reason", reason.when(blank, F.lit("blank receipt number")))
+
+
+def accepted_deletes(raw: DataFrame) -> DataFrame:
+    """The delete documents that can be applied, as they came."""
+    return _checked_deletes(raw).filter(F.col("reason").isNull()).select(*raw.columns)
+
+
+def rejected_deletes(raw: DataFrame) -> DataFrame:
+    """The others: request_id and the first reason that holds."""
+    return _checked_deletes(raw).filter(F.col("reason").isNotNull()).select("request_id", "reason")
+
+
 def explode_deletes(raw: DataFrame) -> DataFrame:
     """One row per receipt number in delete documents: rows of `request_id` and `payload`."""
     numbers = F.from_json("payload", DELETE_SCHEMA)["ipgoNumbs"]

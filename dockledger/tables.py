@@ -102,6 +102,18 @@ LAYOUTS: dict[str, Layout] = {
 }
 
 
+@dataclass(frozen=True)
+class Marks:
+    """High-water marks of the stored tables, opened when used.
+
+    `days`: (day, last_number) of the receipts numbered by `rule`; `receipts`: (receipt_no, last_sequence, has_header).
+    """
+
+    days: Callable[[], DataFrame]
+    receipts: Callable[[], DataFrame]
+    rule: object
+
+
 TABLE_NAMES = tuple(LAYOUTS)
 Source = DataFrame | Callable[[], DataFrame]
 
@@ -110,13 +122,15 @@ class Tables:
     """The logical tables, each opened when it is first used: `t.item`, `t.po_line`, ...
 
     `po_line` also carries `po_line_key`. `heavy` has the heavy keys of the tables by table and columns, as stored with a
-    version; tables without it get plain joins, which adaptive execution may still split.
+    version; tables without it get plain joins, which adaptive execution may still split. `marks` are those stored with
+    a version; without them numbers and sequences in use are looked up in the tables.
     """
 
     def __init__(
         self,
         sources: Mapping[str, Source],
         heavy: Mapping[tuple[str, tuple[str, ...]], skew.HeavyKeys] | None = None,
+        marks: Marks | None = None,
     ) -> None:
         missing = set(TABLE_NAMES) - set(sources)
         if missing:
@@ -124,6 +138,7 @@ class Tables:
         self._sources = dict(sources)
         self._opened: dict[str, DataFrame] = {}
         self._heavy = dict(heavy or {})
+        self.marks = marks
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._opened:
@@ -138,7 +153,8 @@ class Tables:
 
     def changed(self, **tables: DataFrame) -> Tables:
         """Same tables with some replaced; a changed table keeps its heavy keys, which only deal out its rows."""
-        return Tables({**self._sources, **self._opened, **tables}, self._heavy)
+        marks = None if {"prov_header", "prov_line"} & set(tables) else self.marks
+        return Tables({**self._sources, **self._opened, **tables}, self._heavy, marks)
 
     def hot(self, table: str, *columns: str) -> skew.HeavyKeys | None:
         """Heavy values of a key of a table, None if it has none. No pass over the table."""

@@ -1,8 +1,14 @@
+import threading
+from pathlib import Path
+
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
+from dockledger.functions.storage import create_once, names_in, text_of
+from dockledger.operators import writes
 from dockledger.plans import versions
+from dockledger.sources.requests import explode_requests
 from dockledger.sources.sample import sample_tables
 from dockledger.tables import TABLE_NAMES
 
@@ -53,7 +59,7 @@ def test_flows_make_versions(spark, root):
     # Older versions stay readable, and tables that no flow changes are stored once.
     assert versions.load_version(spark, root, 2).prov_line.count() == lines + 2
     assert versions.current_version(spark, root) == 4
-    assert len({r["folder"] for r in versions._lists(spark, root) if r["table"] == "po_line"}) == 1
+    assert len(versions._state(spark, root, None).tables["po_line"]) == 1
 
 
 def test_empty_input_is_refused_and_changes_nothing(spark, root):
@@ -113,16 +119,176 @@ def test_a_stale_or_repeated_base_is_refused(spark, few):
         versions.load_version(spark, few, 3)
 
 
-def test_the_second_of_two_writers_fails_and_changes_nothing(spark, few, monkeypatch):
-    real, rows = versions._lists, versions.load_version(spark, few).item.count()
-    seen = real(spark, few)
-    versions.publish_version(spark, {"item": _small(spark)["item"].limit(3)}, few, base=1)
-    monkeypatch.setattr(versions, "_lists", lambda *_: seen)  # a writer that looked before
-    with pytest.raises(Exception, match="(?i)already exists"):
-        versions.publish_version(spark, {"item": _small(spark)["item"].limit(4)}, few, base=1)
-    monkeypatch.setattr(versions, "_lists", real)
+@pytest.mark.parametrize("remains", ["folder", "empty", "half", "data"])
+def test_what_a_dead_writer_leaves_is_passed_over(spark, few, remains):
+    before = versions.load_version(spark, few).item.count()
+    left = Path(few) / "versions" / "v00000002.json"
+    if remains == "folder":
+        (left / "_temporary").mkdir(parents=True)
+    elif remains == "data":
+        (left.parent / "_new-0123").write_text("{")
+        versions.load_version(spark, few).item.limit(1).write.parquet(f"{few}/item/v00000002-{'0' * 32}")
+    else:
+        whole = next((Path(few) / "versions").glob("v*.json")).read_text()
+        left.write_text("" if remains == "empty" else whole[: len(whole) // 2])
+    assert versions.current_version(spark, few) == 1
+    number = versions.publish_version(spark, {"item": _small(spark)["item"].limit(3)}, few, base=1)
+    assert number == (2 if remains == "data" else 3)
+    assert versions.current_version(spark, few) == number
     assert versions.load_version(spark, few).item.count() == 3
-    assert versions.load_version(spark, few, 1).item.count() == rows
+    assert versions.load_version(spark, few, 1).item.count() == before
+    if number == 3:
+        with pytest.raises(ValueError, match="no version 2"):
+            versions.load_version(spark, few, 2)
+    assert versions.publish_version(spark, {"item": _small(spark)["item"].limit(4)}, few, base=number) == number + 1
+
+
+def test_of_writers_at_the_same_time_one_succeeds(spark, few, monkeypatch):
+    """All pass the check of their base before any of them commits."""
+    real, gate, results = versions.create_once, threading.Barrier(4), []
+
+    def at_once(*arguments):
+        gate.wait(60)
+        return real(*arguments)
+
+    def write(n):
+        try:
+            results.append((n, versions.publish_version(spark, {"item": _small(spark)["item"].limit(n)}, few, base=1)))
+        except ValueError as error:
+            results.append((n, str(error)))
+
+    monkeypatch.setattr(versions, "create_once", at_once)
+    writers = [threading.Thread(target=write, args=(n,)) for n in (1, 2, 3, 4)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    won = [n for n, r in results if r == 2]
+    assert len(won) == 1 and all("another writer" in r for n, r in results if n not in won)
+    assert versions.current_version(spark, few) == 2
+    assert versions.load_version(spark, few).item.count() == won[0]
+
+
+def test_files_appear_once_elsewhere_too(spark, tmp_path):
+    """By rename without overwriting, as on a distributed file system."""
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.shelf.link./in", f"file://{tmp_path}")
+    path = "viewfs://shelf/in/made/v1.json"
+    assert create_once(spark, path, "first") and not create_once(spark, path, "second")
+    assert text_of(spark, path) == "first" and names_in(spark, "viewfs://shelf/in/made") == ["v1.json"]
+    assert names_in(spark, "viewfs://shelf/in/none") == []
+
+
+def _files(root):
+    return {str(p.relative_to(root)): p.stat().st_size for p in Path(root).rglob("*.parquet")}
+
+
+def _all_rows(t):
+    return {name: sorted(t[name].collect(), key=repr) for name in ("prov_header", "prov_line", "prov_contact")}
+
+
+def test_small_changes_store_little_and_are_worked_in(spark, tmp_path):
+    root = str(tmp_path / "whole")
+    versions.publish_version(spark, _small(spark), root)
+    t = versions.load_version(spark, root)
+    want, files = t, _files(root)
+    schema = "seq int, receipt_no string, item_code string, qty double, status string"
+    lines = t.prov_line.orderBy("receipt_no", "line_seq").limit(40).collect()
+    steps = [
+        [(1, lines[0].receipt_no, lines[0].item_code, 77.0, "Y"), (2, lines[0].receipt_no, lines[0].item_code + " ", 78.0, "N")],
+        [lines[-1].receipt_no],
+        [(1, lines[0].receipt_no, lines[0].item_code, 79.0, "Y"), (1, lines[-1].receipt_no, lines[-1].item_code, 5.0, "Y")],
+        [(1, lines[5].receipt_no, lines[5].item_code, 1.5, "Y")],
+    ]
+    for step in steps:
+        if isinstance(step[0], tuple):
+            edits = spark.createDataFrame(step, schema)
+            want = want.changed(prov_line=writes.edit_receipt_lines(want, edits))
+            versions.run_edit(spark, root, edits)
+        else:
+            ids = spark.createDataFrame([(x,) for x in step], "receipt_no string")
+            want = writes.delete_receipts(want, ids)
+            versions.run_delete(spark, root, ids)
+    new = set(_files(root)) - set(files)
+    assert {name.split("/")[0] for name in new} == {"edits", "deletes"}
+    assert spark.read.parquet(*{f"{root}/{name.rsplit('/', 1)[0]}" for name in new if name.startswith("edits")}).count() == 4
+    changed = versions.load_version(spark, root)
+    assert _all_rows(changed) == _all_rows(want) != _all_rows(t)
+    assert _all_rows(versions.load_version(spark, root, 1)) == _all_rows(t)
+    assert versions.compact(spark, root, most=4) == 5
+    assert versions.compact(spark, root, most=3) == 6
+    assert versions._state(spark, root, None).changes() == 0
+    assert _all_rows(versions.load_version(spark, root)) == _all_rows(want)
+
+
+def test_a_receipt_made_after_its_deletion_stays(spark, few):
+    """Changes apply to rows that were there; marks stay, so numbers and lines of deleted receipts are not given again."""
+    raw = lambda i, more="": spark.createDataFrame([(i, _request(i)[1].replace('"ipgoDate"', more + '"ipgoDate"'))], "request_id int, payload string")
+    [first] = versions.run_register(spark, few, raw(1), "2030-01-01").collect()
+    versions.run_delete(spark, few, spark.createDataFrame([(first.receipt_no,)], "receipt_no string"))
+    [second] = versions.run_register(spark, few, raw(2), "2030-01-01").collect()
+    assert (first.receipt_no, second.receipt_no) == ("G3001010001", "G3001010002")
+    [again] = versions.run_register(spark, few, raw(3, f'"ipgoNumb":"{first.receipt_no}",'), "2030-01-02").collect()
+    assert again.receipt_no == first.receipt_no
+    t = versions.load_version(spark, few)
+    mine = F.col("receipt_no") == first.receipt_no
+    assert [(r.line_seq, r.qty) for r in t.prov_line.filter(mine).collect()] == [("0002", 3.0)]
+    assert t.prov_header.filter(mine).count() == t.prov_contact.filter(mine).count() == 1
+    [more] = versions.run_register(spark, few, raw(4, f'"ipgoNumb":"{first.receipt_no}",'), "2030-01-03").collect()
+    t = versions.load_version(spark, few)
+    assert sorted(r.line_seq for r in t.prov_line.filter(mine).collect()) == ["0002", "0003"]
+    assert t.prov_header.filter(mine).count() == 1
+
+
+def test_registering_scans_no_header_and_no_line(spark, few):
+    t = versions.load_version(spark, few)
+    raw = spark.createDataFrame([(i, _request(i)[1]) for i in range(3)], "request_id int, payload string")
+    new = writes.register_receipts(t, explode_requests(raw), as_of="2030-01-01")
+    for df in (new.lines, new.headers, new.contacts, new.summary):
+        read = [path.split("/few/")[1] for path in df.inputFiles() if "/few/" in path]
+        assert not [path for path in read if not path.startswith("marks/")]
+    assert any("/few/marks/" in path for path in new.lines.inputFiles())
+    other = writes.register_receipts(t, explode_requests(raw), writes.NumberRule(prefix="H"), as_of="2030-01-01")
+    assert {r.receipt_no for r in other.summary.collect()} == {f"H300101000{i}" for i in (1, 2, 3)}
+
+
+def test_every_request_has_an_outcome_and_its_words_are_kept(spark, few):
+    good = _request(1)[1].replace('"items"', '"storCode":"W1","memoXxxx":"by noon","items"').replace('"gaipQnty"', '"gaipYmmm":"203001","gaipQnty"')
+    bad = [good.replace("P000000001", x) for x in ("", "  ")] + [good[:-4], good.replace("20300101", "soon"), None]
+    raw = spark.createDataFrame([(i, p, "10.1.2.3, 10.9.9.9") for i, p in enumerate([good, *bad])], "request_id int, payload string, forwarded_for string")
+    out = {r.request_id: r for r in versions.run_register(spark, few, raw, "2030-01-01").collect()}
+    assert set(out) == set(range(6))
+    assert [out[i].reason for i in range(6)] == [None, "item without itemCode", "item without itemCode", "unreadable document", "ipgoDate is no date", "unreadable document"]
+    assert versions.load_details(spark, few).collect() == [(out[0].receipt_no, "0001", "0", "S1", "W1", "by noon", "203001", "10.1.2.3")]
+    assert versions.load_details(spark, few, 1).collect() == []
+
+
+def test_edit_documents_change_all_or_nothing(spark, tmp_path):
+    root = str(tmp_path / "whole")
+    versions.publish_version(spark, _small(spark), root)
+    first, second = versions.load_version(spark, root).prov_line.orderBy("receipt_no", "line_seq").limit(2).collect()
+    item = '{"itemCode":"%s","gaipQnty":%s,"statType":"%s"}'
+    fit = item % (first.item_code, '"4"', "Y")
+    documents = [
+        (1, first.receipt_no, f'{{"items":[{fit}]}}'), (2, first.receipt_no, f'{{"items":[{fit},{item % (second.item_code, chr(34) + "abc" + chr(34), "Y")}]}}'),
+        (3, first.receipt_no, '{"items":[{"itemCode":"x","gaipQnty":1}]}'), (4, "none", f'{{"items":[{fit}]}}'), (5, " ", f'{{"items":[{fit}]}}'), (6, "x", None),
+    ]
+    raw = spark.createDataFrame(documents, "request_id int, receipt_no string, payload string")
+    out = {r.request_id: (r.updated_count, r.reason) for r in versions.run_edit_documents(spark, root, raw).collect()}
+    assert out == {
+        1: (out[1][0], None), 2: (0, "quantity is no number"), 3: (0, "item without statType"), 4: (0, None),
+        5: (0, "no receipt number"), 6: (0, "unreadable document"),
+    }
+    assert out[1][0] >= 1
+    t = versions.load_version(spark, root)
+    assert t.prov_line.filter("qty is null or status is null").count() == 0
+    edited = t.prov_line.filter((F.col("receipt_no") == first.receipt_no) & (F.col("item_code") == first.item_code))
+    assert {(r.qty, r.status) for r in edited.collect()} == {(4.0, "Y")}
+    before = versions.current_version(spark, root)
+    nothing = spark.createDataFrame([(1, first.receipt_no, first.item_code, None, "Y")], "seq int, receipt_no string, item_code string, qty double, status string")
+    with pytest.raises(ValueError, match="no qty"):
+        versions.run_edit(spark, root, nothing)
+    versions.run_edit_documents(spark, root, raw.filter("request_id > 4"))
+    assert versions.current_version(spark, root) == before
 
 
 def test_date_times_become_days_and_many_registrations_are_joined(spark, few):
@@ -136,8 +302,7 @@ def test_date_times_become_days_and_many_registrations_are_joined(spark, few):
     assert len(lines) == 5 + 8 and len({r.receipt_no for r in header}) == 5 + 8
     assert {r.qty for r in lines if r.receipt_no.startswith("G300101")} == {3.0, 5.0}
     assert versions.compact(spark, few, most=3) == 6
-    folders = versions._folders(versions._lists(spark, few), 6)
-    assert all(len(folders[name]) == 1 for name in TABLE_NAMES)
+    assert all(len(own) == 1 for own in versions._state(spark, few, 6).tables.values())
     t = versions.load_version(spark, few)
     assert sorted(t.prov_header.collect(), key=repr) == header and sorted(t.prov_line.collect(), key=repr) == lines
     assert versions.compact(spark, few, most=3) == 6
