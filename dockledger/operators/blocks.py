@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dockledger.functions.columns import OPEN, rolled_status
 from dockledger.functions.skew import HeavyKeys, skew_join
-from dockledger.tables import Tables, no_quantity
+from dockledger.tables import QUANTITY, Tables, no_quantity
 
 # Code groups and the item types that are bought.
 ITEM_TYPE_GROUP = "item_gubn"
@@ -119,3 +119,32 @@ def cumulative_provisional(prov_lines: DataFrame) -> DataFrame:
         F.sum(qty).alias("provisional_qty"),
         F.sum(F.when(F.col("status") == OPEN, qty)).alias("open_provisional_qty"),
     )
+
+
+def quantities(po_lines: DataFrame, receipt_lines: DataFrame, prov_lines: DataFrame) -> DataFrame:
+    """Ordered, received, outstanding and provisional quantities per PO line key and item, in one pass over all lines.
+
+    The three kinds of lines are one union and one aggregate, so they are shuffled once, by key and item, already added
+    up in each task. `ordered_qty` is NULL where no PO line has the key and item, the provisional quantities as in
+    `cumulative_provisional`.
+    """
+
+    def tagged(lines: DataFrame, column: str) -> DataFrame:
+        qty = F.coalesce("qty", no_quantity())
+        parts = {"ordered": F.lit(None), "received": F.lit(None), "provisional": F.lit(None), "open": F.lit(None)} | {column: qty}
+        if column == "provisional":
+            parts["open"] = F.when(F.col("status") == OPEN, qty)
+        return lines.select("po_line_key", "item_code", *[x.cast(QUANTITY).alias(c) for c, x in parts.items()])
+
+    every = tagged(po_lines, "ordered").unionByName(tagged(receipt_lines, "received")).unionByName(tagged(prov_lines, "provisional"))
+    added = every.groupBy("po_line_key", "item_code").agg(*[F.sum(c).alias(c) for c in ("ordered", "received", "provisional", "open")])
+    received = F.coalesce("received", no_quantity())
+    return added.select(
+        "po_line_key",
+        "item_code",
+        F.col("ordered").alias("ordered_qty"),
+        received.alias("received_qty"),
+        (F.col("ordered") - received).alias("outstanding_qty"),
+        F.col("provisional").alias("provisional_qty"),
+        F.col("open").alias("open_provisional_qty"),
+    )

@@ -15,7 +15,7 @@ from __future__ import annotations
 import datetime as dt
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dockledger.functions.columns import (
@@ -171,11 +171,6 @@ _RECEIPT_ID = ["actual_no", "item_code", "qty"]
 _PROV_ID = ["receipt_no", "line_seq"]
 
 
-def _balance(po_lines: DataFrame, receipt_lines: DataFrame) -> DataFrame:
-    balance = blocks.po_line_balance(po_lines, receipt_lines)
-    return balance.withColumn("balance_key", F.col("po_line_key")).drop("item_code")
-
-
 def po_line_status(
     t: Tables,
     supplier: Any = None,
@@ -194,19 +189,28 @@ def po_line_status(
     return _line_status(t, _po_lines(t, supplier, pos, number, mode), narrow)
 
 
-def _line_status(t: Tables, selection: tuple[DataFrame, DataFrame, bool], narrow: bool) -> DataFrame:
+def _line_status(
+    t: Tables, selection: tuple[DataFrame, DataFrame, bool], narrow: bool, with_receipts: bool = False
+) -> DataFrame:
     headers, lines, restrict = selection
     restrict = restrict and narrow
     hot_pos, hot_items = t.hot("po_line", "po_no"), t.hot("po_line", "item_code")
-    shown = lines.select("po_no", "po_line_key", "item_code", "status")
-    rows = fan_out_join(headers.select("po_no", "po_date"), shown, "po_no", spread_by=["po_line_key"], hot=hot_pos)
     receipts = _of_keys(t.receipt_line, lines, restrict, _RECEIPT_ID, t.hot("receipt_line", "po_line_key"))
     announced = _of_keys(t.prov_line, lines, restrict, _PROV_ID, t.hot("prov_line", "po_line_key"))
-    announced = blocks.cumulative_provisional(announced).drop("open_provisional_qty")
-    spread = ["po_no", "po_line_key"]
-    rows = skew_join(rows, _balance(lines, receipts), ["po_line_key"], spread_by=spread)
-    rows = skew_join(rows, announced, ["po_line_key", "item_code"], spread_by=spread)
-    rows = skew_join(rows, blocks.item_with_unit(t), ["item_code"], spread_by=spread, hot=hot_items)
+    balance = blocks.quantities(lines, receipts, announced).filter(F.col("ordered_qty").isNotNull())
+    balance = balance.select(F.col("po_line_key").alias("balance_key"), F.col("item_code").alias("balance_item"), "ordered_qty", "received_qty", "outstanding_qty", "provisional_qty")
+    # One key for all that is joined to the lines: they are shuffled by it once. A line without a key has one of its own.
+    spread = F.concat(F.lit("\u0000"), F.concat_ws("\u0000", "po_no", "item_code"))
+    rows = lines.select("po_no", "po_line_key", "item_code", "status", F.coalesce("po_line_key", spread).alias("_key"))
+    rows = rows.join(balance.withColumn("_key", F.col("balance_key")), "_key", "left")
+    # Different lines can have the same glued key: what is announced is of the line's own item, the balance of the key.
+    same = F.when(F.col("balance_item") == F.col("item_code"), F.col("provisional_qty"))
+    rows = rows.withColumn("provisional_qty", F.max(same).over(Window.partitionBy("_key", "item_code"))).drop("balance_item")
+    if with_receipts:
+        rows = _with_receipts(t, rows, receipts)
+    rows = fan_out_join(headers.select("po_no", "po_date"), rows.drop("_key", "po_line_key"), "po_no", spread_by=["balance_key"], hot=hot_pos)
+    spread_by = ["po_no", "balance_key"]
+    rows = skew_join(rows, blocks.item_with_unit(t), ["item_code"], spread_by=spread_by, hot=hot_items)
     return rows.select(
         "po_no", "po_date", "item_code", "status", "part_no", "item_name", "item_group",
         "ordered_qty", "received_qty", "outstanding_qty", "provisional_qty", "unit",
@@ -214,6 +218,16 @@ def _line_status(t: Tables, selection: tuple[DataFrame, DataFrame, bool], narrow
     )
 
 
+def _with_receipts(t: Tables, rows: DataFrame, receipts: DataFrame) -> DataFrame:
+    """Each line once for every actual receipt of it and each of that receipt's headers, once if there is none."""
+    hot = t.hot("receipt_line", "po_line_key")
+    actual = receipts.select(F.col("po_line_key").alias("_key"), "actual_no", F.col("item_code").alias("_item"), F.col("qty").alias("_qty"))
+    rows = fan_out_join(rows, actual, "_key", spread_by=["actual_no", "_item", "_qty"], hot=hot)
+    headers = t.receipt_header.select("actual_no")
+    hot = t.hot("receipt_line", "actual_no")
+    return skew_join(rows, headers, ["actual_no"], spread_by=["_key"], hot=hot).drop("actual_no", "_item", "_qty")
+
+
 def po_line_status_raw(
     t: Tables,
     supplier: Any = None,
@@ -227,20 +241,7 @@ def po_line_status_raw(
     This is the row count of the source query, which joins receipts without showing
     them. Its quantities repeat as well, so sums over it are wrong.
     """
-    selection = _po_lines(t, supplier, pos, number, mode)
-    status = _line_status(t, selection, narrow)
-    _, lines, restrict = selection
-    hot = t.hot("receipt_line", "po_line_key")
-    actual = _of_keys(t.receipt_line, lines, restrict and narrow, _RECEIPT_ID, hot).select("po_line_key", "actual_no", F.col("item_code").alias("_item"), "qty")
-    rows = fan_out_join(
-        status, actual, "po_line_key",
-        spread_by=["actual_no", "_item", "qty"], missing_by=["po_no"], hot=hot,
-    )
-    headers = t.receipt_header.select("actual_no")
-    rows = skew_join(
-        rows, headers, ["actual_no"], spread_by=["po_no", "po_line_key"], hot=t.hot("receipt_line", "actual_no")
-    )
-    return rows.select(*status.columns)
+    return _line_status(t, _po_lines(t, supplier, pos, number, mode), narrow, with_receipts=True)
 
 
 def receipt_history(
@@ -320,6 +321,19 @@ def receipt_history(
     return result.orderBy(F.desc("receipt_no"), F.desc("po_no")) if ordered else result
 
 
+def _with_balances(quantities: DataFrame) -> DataFrame:
+    """Open provisional quantity of each key and item, with the balances of the key: one for each item ordered under it.
+
+    Of the blank key there is no balance; its many items are kept apart.
+    """
+    blank = F.coalesce(F.col("po_line_key") == "", F.lit(True))
+    apart = F.when(blank, F.concat(F.lit("\u0000"), F.coalesce("item_code", F.lit("")))).otherwise(F.col("po_line_key"))
+    balance = F.struct(F.col("po_line_key").alias("balance_key"), "ordered_qty", "outstanding_qty")
+    of_key = F.collect_list(F.when(F.col("ordered_qty").isNotNull() & ~blank, balance))
+    found = quantities.withColumn("_key", apart).withColumn("balances", of_key.over(Window.partitionBy("_key")))
+    return found.select("po_line_key", "item_code", "open_provisional_qty", "balances")
+
+
 def receipt_detail(
     t: Tables,
     supplier: Any = None,
@@ -356,12 +370,12 @@ def receipt_detail(
     po_lines = _of_keys(t.po_line, lines, restrict, ["line_seq", "item_code"], None)
     received = _of_keys(t.receipt_line, lines, restrict, _RECEIPT_ID, t.hot("receipt_line", "po_line_key"))
     announced = _of_keys(t.prov_line, lines, restrict, _PROV_ID, hot_keys)
-    announced = blocks.cumulative_provisional(announced.filter(has_status("status", "N"))).drop("provisional_qty")
-    rows = skew_join(
-        rows, _balance(po_lines, received).drop("received_qty"), ["po_line_key"],
-        spread_by=_PROV_ID, hot=hot_keys, blank_matches=False,
-    )
-    rows = skew_join(rows, announced, ["po_line_key", "item_code"], spread_by=_PROV_ID, hot=hot_pairs)
+    found = _with_balances(blocks.quantities(po_lines, received, announced))
+    item = F.coalesce("item_code", F.lit("\u0000"))
+    rows, found = rows.withColumn("_item", item), found.withColumn("_item", item).drop("item_code")
+    rows = skew_join(rows, found, ["po_line_key", "_item"], spread_by=_PROV_ID, hot=hot_pairs)
+    rows = rows.withColumn("open_provisional_qty", F.when(F.col("item_code").isNotNull(), F.col("open_provisional_qty")))
+    rows = rows.select("*", F.explode_outer("balances").alias("balance")).select("*", "balance.*")
     units = blocks.item_with_unit(t).select("item_code", "item_name", "unit")
     rows = skew_join(rows, units, ["item_code"], spread_by=_PROV_ID, hot=t.hot("prov_line", "item_code"))
     return rows.select(
