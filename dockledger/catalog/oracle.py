@@ -196,6 +196,12 @@ _BODIES = {
     "item_search": _item_search(
         "(contains(item_code, 'red') OR contains(part_no, 'red') OR contains(item_name, 'red'))"
     ),
+    "item_search_indexed": _item_search(
+        "(contains(item_code, 'red') OR contains(part_no, 'red') OR contains(item_name, 'red'))"
+    ),
+    "item_search_indexed_short": _item_search(
+        "(contains(item_code, 're') OR contains(part_no, 're') OR contains(item_name, 're'))"
+    ),
     "item_search_all": _item_search("item_code IS NOT NULL"),
     "item_search_type": _item_search(
         "item_type = '21' AND (item_code LIKE '%r%d%' OR part_no LIKE '%r%d%' OR item_name LIKE '%r%d%')"
@@ -215,6 +221,7 @@ FROM line_status s LEFT JOIN (SELECT po_line_key AS received_key, actual_no FROM
 LEFT JOIN receipt_header h ON h.actual_no = r.actual_no""",
     "po_line_status_supplier": f"SELECT {_LINE_STATUS}, po_line_key FROM line_status WHERE supplier_code = 7",
     "receipt_history": _history("true"),
+    "receipt_history_by_month": f"SELECT *, coalesce(strftime(due_date, '%Y%m'), 'none') AS month FROM ({_history('true')})",
     "receipt_history_range": _history(f"due_date {_SPAN}"),
     "receipt_history_open": _history("status = 'N'"),
     "receipt_history_search": _history(
@@ -330,6 +337,14 @@ FROM prov_line, range(2) r(i)""",
     "explode_deletes": """
 SELECT receipt_no AS request_id, CAST(i AS INTEGER) AS position, CASE i WHEN 0 THEN '' ELSE 'X' END || receipt_no AS receipt_no
 FROM prov_header, range(2) r(i)""",
+    "delivery_sheet_with_totals": """
+SELECT receipt_no, line_no, false AS is_total, coalesce(item_code, '-') AS item_code, coalesce(item_name, '-') AS item_name,
+       coalesce(qty, 0) AS qty, format('{:,}', CAST(coalesce(qty, 0) AS BIGINT)) AS qty_text, coalesce(unit, 'EA') AS unit
+FROM sheet_line UNION ALL
+SELECT receipt_no, i, false, NULL, NULL, NULL, NULL, NULL
+FROM (SELECT receipt_no, max(line_no) AS n FROM sheet_line GROUP BY receipt_no), range(1, 16) r(i) WHERE i > n UNION ALL
+SELECT receipt_no, NULL, true, NULL, NULL, sum(coalesce(qty, 0)), format('{:,}', CAST(sum(coalesce(qty, 0)) AS BIGINT)), NULL
+FROM sheet_line GROUP BY receipt_no""",
     "delivery_sheet_totals": """
 SELECT receipt_no, sum(coalesce(qty, 0)) AS total_qty, format('{:,}', CAST(sum(coalesce(qty, 0)) AS BIGINT)) AS total_text
 FROM sheet_line GROUP BY receipt_no""",

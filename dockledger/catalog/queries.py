@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dockledger.functions import columns as c
 from dockledger.functions.skew import skew_join
-from dockledger.operators import blocks, grid, sheet, worksheet, writes
-from dockledger.plans import reads, versions
+from dockledger.functions.storage import shared_folder
+from dockledger.operators import blocks, grid, search_index, sheet, worksheet, writes
+from dockledger.plans import exports, reads, versions
 from dockledger.sources import requests
 from dockledger.sources.sample import sample_tables
 from dockledger.tables import Tables
@@ -53,6 +56,18 @@ def item_search_type(t: Tables) -> DataFrame:
     return reads.item_search(t, "r%d", item_type="21", mode="pattern")
 
 
+@query
+def item_search_indexed(t: Tables) -> DataFrame:
+    """The item search by the pieces of its text."""
+    return reads.item_search(t, SEARCH, index=search_index.build(t.item, "item_code", reads.ITEM_TEXTS))
+
+
+@query
+def item_search_indexed_short(t: Tables) -> DataFrame:
+    """The same for a text shorter than a piece."""
+    return reads.item_search(t, SEARCH[:2], index=search_index.build(t.item, "item_code", reads.ITEM_TEXTS))
+
+
 @query
 def item_by_code(t: Tables) -> DataFrame:
     """Looks up the code of every ordered item and every part number."""
@@ -217,6 +232,16 @@ def trim_join_items(t: Tables) -> DataFrame:
     return blocks.trim_join_items(lines, "item_code", t, spread_by=["po_no", "line_seq"], hot=hot)
 
 
+@query
+def receipt_history_by_month(t: Tables) -> DataFrame:
+    """The receipt history written by month and read back."""
+    history = reads.receipt_history(t, ordered=False)
+    path = f"{shared_folder(history.sparkSession)}/history-{uuid.uuid4().hex}"
+    exports.write_by_month(history, path, "due_date")
+    schema = T.StructType([*history.schema.fields, T.StructField("month", T.StringType())])
+    return history.sparkSession.read.schema(schema).parquet(path)
+
+
 # Worksheets
 
 def _worksheet(t: Tables) -> DataFrame:
@@ -312,6 +337,11 @@ def delivery_sheet_totals(t: Tables) -> DataFrame:
     return sheet.delivery_sheet_totals(t)
 
 
+@query
+def delivery_sheet_with_totals(t: Tables) -> DataFrame:
+    return sheet.delivery_sheet_with_totals(t)
+
+
 @query
 def delivery_sheet_header(t: Tables) -> DataFrame:
     return sheet.delivery_sheet_header(reads.receipt_history(t, ordered=False), AS_OF)

@@ -64,6 +64,22 @@ def delivery_sheet_totals(t: Tables, receipts: DataFrame | None = None) -> DataF
     return total.withColumn("total_text", quantity_text("total_qty"))
 
 
+def delivery_sheet_with_totals(t: Tables, receipts: DataFrame | None = None, rows: int = ROWS_PER_SHEET) -> DataFrame:
+    """The rows of each sheet and behind them its total row, in one pass: grouping sets over (receipt, row) and (receipt).
+
+    The total row has no line number and no item; it is added up in each task before the shuffle, so a very long receipt
+    is no burden.
+    """
+    row = ["receipt_no", "line_no", "item_code", "item_name", "unit"]
+    lines = delivery_sheet(t, receipts, rows).select(*row, "qty")
+    sums = lines.groupingSets([[F.col(c) for c in row], [F.col("receipt_no")]], *row)
+    both = sums.agg(F.sum("qty").alias("qty"), F.grouping("line_no").alias("is_total"))
+    return both.select(
+        "receipt_no", "line_no", (F.col("is_total") == 1).alias("is_total"), "item_code", "item_name", "qty",
+        quantity_text("qty").alias("qty_text"), "unit",
+    )
+
+
 def delivery_sheet_header(history: DataFrame, as_of: dt.date | str) -> DataFrame:
     """Head of the sheet printed for each row of the receipt history."""
     return history.select(

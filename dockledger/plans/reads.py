@@ -31,10 +31,11 @@ from dockledger.functions.columns import (
 )
 from dockledger.functions.skew import HeavyKeys, fan_out_join, skew_join, with_group_min
 from dockledger.functions.storage import stored
-from dockledger.operators import blocks
+from dockledger.operators import blocks, search_index
 from dockledger.tables import Tables
 
 Day = dt.date | str | None
+ITEM_TEXTS = ["item_code", "part_no", "item_name"]
 
 
 def _selected(headers: DataFrame, supplier: Any, date: str | None = None, lo: Day = None, hi: Day = None) -> DataFrame:
@@ -67,11 +68,20 @@ def item_search(
     type_prefix: str = blocks.BOUGHT_TYPES,
     mode: str = "literal",
     ordered: bool = True,
+    index: DataFrame | None = None,
 ) -> DataFrame:
+    """Items of the bought types whose code, part number or name contains the text.
+
+    `index` is a table of `search_index.build` over these three columns: then only the items that it points to are
+    looked at, with the same result. Wildcards cannot be looked up.
+    """
     types = blocks.code_by_group(t, blocks.ITEM_TYPE_GROUP)
     types = types.select(F.col("code").alias("item_type"), F.col("name").alias("item_type_name"))
     items = t.item.filter(F.col("item_type").startswith(type_prefix))
-    items = items.filter(contains_any(["item_code", "part_no", "item_name"], search, mode))
+    if index is not None and mode == "literal":
+        items = search_index.search(items, index, search, ITEM_TEXTS)
+    else:
+        items = items.filter(contains_any(ITEM_TEXTS, search, mode))
     if item_type:
         items = items.filter(F.col("item_type") == item_type)
     found = blocks.with_code_name(items, types, "item_type", "item_code").select(

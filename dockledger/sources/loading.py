@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,23 +47,86 @@ def load_parquet(spark: SparkSession, root: str, *, source_names: bool = False,
     return Tables({name: partial(open_table, name) for name in TABLE_NAMES})
 
 
+@dataclass(frozen=True)
+class Condition:
+    """A filter on a column of a table, under its name here: one of = < <= > >= with a text, number or date."""
+
+    column: str
+    operator: str
+    value: str | float | dt.date
+
+    def sql(self, table: str) -> str:
+        if self.operator not in ("=", "<", "<=", ">", ">="):
+            raise ValueError(f"unknown operator {self.operator!r}")
+        return f"{_source_name(table, self.column)} {self.operator} {_literal(self.value)}"
+
+
+def _source_name(table: str, column: str) -> str:
+    for spec in LAYOUTS[table].fields:
+        if spec.name == column:
+            return spec.source
+    raise ValueError(f"{table} has no column {column!r}")
+
+
+def _literal(value: str | float | dt.date) -> str:
+    if isinstance(value, dt.date):
+        value = value.isoformat()
+    return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else repr(value)
+
+
+def source_query(table: str, conditions: Sequence[Condition] = ()) -> str:
+    """The table as a query of the source database: names as here, keys without trailing blanks, filters inside.
+
+    Filters stand on the bare columns, whose comparisons ignore trailing blanks there, so that its indexes serve them.
+    """
+    columns = ", ".join(f"RTRIM({f.source}) AS {f.name}" if f.is_key else f"{f.source} AS {f.name}" for f in LAYOUTS[table].fields)
+    where = " AND ".join(c.sql(table) for c in conditions)
+    return f"SELECT {columns} FROM {LAYOUTS[table].source}" + (f" WHERE {where}" if where else "")
+
+
+def split_predicates(column: str, bounds: Sequence[str | float | dt.date]) -> list[str]:
+    """Predicates that share a table out: each row, also one without a value, is in exactly one of them."""
+    marks = sorted(set(bounds))
+    if not marks:
+        return []
+    between = [f"{column} >= {_literal(a)} AND {column} < {_literal(b)}" for a, b in zip(marks, marks[1:])]
+    return [f"{column} < {_literal(marks[0])} OR {column} IS NULL", *between, f"{column} >= {_literal(marks[-1])}"]
+
+
+def jdbc_reads(
+    bounds: Mapping[str, tuple[str, Sequence]], conditions: Mapping[str, Sequence[Condition]] | None = None
+) -> dict[str, tuple[str, list[str]]]:
+    """For each table the derived table to read and the predicates to read it by, one task each."""
+    unsplit = {"po_line", "receipt_line", "prov_line"} - {name for name, (_, marks) in bounds.items() if marks}
+    if unsplit:
+        raise ValueError(f"bounds are needed for {sorted(unsplit)}")
+    reads = {}
+    for name in TABLE_NAMES:
+        column, marks = bounds.get(name, ("", ()))
+        if marks:
+            _source_name(name, column)
+        reads[name] = f"({source_query(name, (conditions or {}).get(name, ()))}) AS {name}", split_predicates(column, marks)
+    return reads
+
+
 def load_jdbc(
     spark: SparkSession,
     url: str,
     *,
+    bounds: Mapping[str, tuple[str, Sequence]] | None = None,
+    conditions: Mapping[str, Sequence[Condition]] | None = None,
     options: dict[str, str] | None = None,
-    split: dict[str, dict[str, str]] | None = None,
 ) -> Tables:
-    """Tables over JDBC. `split` gives, per table, Spark's `partitionColumn`,
-    `lowerBound`, `upperBound` and `numPartitions`, so that it is read in parallel.
-    The line tables must have it: without, one task would read such a table."""
-    unsplit = {"po_line", "receipt_line", "prov_line"} - set(split or {})
-    if unsplit:
-        raise ValueError(f"split is needed for {sorted(unsplit)}")
+    """Tables over JDBC, each as a query with trimmed keys, so that later filters on keys reach the database as well.
+
+    `bounds` gives, per table, a column and the values at which it is split, one task more than values; the line tables
+    must have them: without, one task would read such a table. `conditions` are filters inside the queries.
+    """
+    reads = jdbc_reads(bounds or {}, conditions)
 
     def open_table(name: str) -> DataFrame:
-        reader = spark.read.format("jdbc").option("url", url).option("dbtable", LAYOUTS[name].source)
-        df = reader.options(**(options or {}), **(split or {}).get(name, {})).load()
-        return conform(df, name, source_names=True, clean=True)
+        derived, predicates = reads[name]
+        df = spark.read.jdbc(url, derived, predicates=predicates or ["1 = 1"], properties=options or {})
+        return conform(df, name)
 
     return Tables({name: partial(open_table, name) for name in TABLE_NAMES})

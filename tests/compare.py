@@ -38,7 +38,7 @@ def spark_rows(df):
     return sorted(df.columns), rows_of(df.columns, [tuple(r) for r in df.collect()])
 
 
-_KINDS = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "date": "DATE"}
+_KINDS = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "date": "DATE", "boolean": "BOOLEAN"}
 
 
 def kinds(df, con, sql):

@@ -468,5 +468,5 @@ def test_raw_line_status_of_one_order(t):
 
 
 def test_line_tables_of_a_database_must_be_split(spark):
-    with pytest.raises(ValueError, match="split"):
+    with pytest.raises(ValueError, match="bounds"):
         load_jdbc(spark, "jdbc:none")
