@@ -3,8 +3,10 @@
 import base64
 import collections
 import hashlib
+import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -113,15 +115,15 @@ def test_anchors_cover_and_long_chains_join(spark):
 
 def test_templates_drop_recurring_lines(spark, odd, none):
     footer = "Page {} of the very same footer"
-    rows = [(i, f"own start {i} of text number {i * 7} alpha{i}\n{footer.format(i)}\nThe end.") for i in range(8)]
+    rows = [(i, f"{_spell('o', i)} {_spell('p', i)} {_spell('q', i)}\n{footer.format(i)}\nThe end.") for i in range(8)]
     rows += [(100, "only here is this line found\nThe end."), (101, None), (102, "")]
     kept, lines, dropped = line_templates.drop_templates(spark.createDataFrame(rows, "doc_id long, text string"))
     found = {r.doc_id: (r.text, r[lines], r[dropped]) for r in kept.collect()}
-    # The template "Page <*> of the very same footer" stays in the first document; short lines stay everywhere.
+    # The template "Page <*> of the very same footer" and the short line stay in the first document.
     assert found[0] == (rows[0][1], 3, 0)
     for i in range(1, 8):
-        assert "footer" not in found[i][0] and found[i][0].endswith("The end.")
-    assert found[100][2] == 0 and found[101] == (None, 0, 0) and found[102] == ("", 1, 0)
+        assert found[i][0] == rows[i][1].split("\n")[0] and found[i][2] == 2
+    assert found[100] == ("only here is this line found", 2, 1) and found[101] == (None, 0, 0) and found[102] == ("", 1, 0)
     table, lines, dropped = line_templates.drop_templates(odd)
     rows = table.collect()
     assert len(rows) == odd.count()
@@ -141,6 +143,55 @@ def test_a_template_with_words_as_fields_recurs_at_any_size(spark, n):
     assert {r.doc_id: r[dropped] for r in kept.collect()} == {i: int(i > 0) for i in range(n)}
 
 
+def _dropped(spark, lines):
+    """Which of the documents lose lines; a document for each line."""
+    kept, _, dropped = line_templates.drop_templates(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    return {r.doc_id for r in kept.collect() if r[dropped]}
+
+
+def _spell(kind, i):
+    return kind + "".join("abcdefghij"[int(c)] for c in str(i))
+
+
+@pytest.mark.parametrize("others", [0, 8000])
+def test_a_template_recurs_whatever_else_is_in_its_leaf(spark, others):
+    """Neither unrelated lines of the same length and opening change it, nor another template over the same names."""
+    rng = random.Random(4)
+    lines = [f"We sent a parcel to {_spell('n', i)} in {_spell('c', 3 * i)}" for i in range(50)]
+    mass = [f"We sent a {' '.join(_spell('w', rng.randrange(3000)) for _ in range(5))}" for _ in range(others)]
+    assert _dropped(spark, lines + mass) & set(range(50)) == set(range(1, 50))
+    letters = [f"We sent a letter to {_spell('n', i % 60)} at {_spell('t', i % 45)}" for i in range(others)]
+    dropped = _dropped(spark, lines + mass + letters)
+    assert dropped & set(range(50)) == set(range(1, 50))
+    first = 50 + len(mass)
+    assert {i for i in dropped if i >= first} == set(range(first + 1, first + len(letters)))
+    assert not {i for i in dropped if 50 <= i < first}
+
+
+def test_short_lines_and_scripts_without_spaces_recur(spark):
+    shared = ["Share", "Read more", "All rights reserved.", "次の記事を読むにはこちらをクリックしてください", "Page 7", "12", "3 4"]
+    texts = ["\n".join([f"own{_spell('x', i)}", *shared, f"{i} {i}"]) for i in range(6)]
+    kept, _, dropped = line_templates.drop_templates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    found = {r.doc_id: (r.text, r[dropped]) for r in kept.collect()}
+    assert found[0] == (texts[0], 0)
+    for i in range(1, 6):  # numbers alone are no template: different ones stay
+        assert found[i] == (f"own{_spell('x', i)}\n{i} {i}", len(shared))
+
+
+def test_templates_equal_sql_on_odd_lines(spark):
+    rng = random.Random(12)
+    words = ["red", "blue", "a", "7", "x9", "end.", "日本", "to"]
+    texts = ["\n".join(rng.choice([" ", "", "\t"]) + rng.choice([" ", "  "]).join(rng.choice(words) for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 40))) for _ in range(150)]
+    rows = [*enumerate(texts), (900, None), (901, "")]
+    kept, lines, dropped = line_templates.drop_templates(spark.createDataFrame(rows, "doc_id long, text string"))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = {r[0]: r[1:] for r in con.execute(line_templates.ORACLE_SQL).fetchall()}
+    got = {r.doc_id: (r[lines], r[dropped], None if r.text is None else hashlib.md5(r.text.encode()).hexdigest()) for r in kept.collect()}
+    assert got == want and sum(n for _, n, _ in got.values()) > 300
+
+
 def test_lines_with_one_opening_and_other_endings_stay(spark):
     word = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
     texts = [f"It was the {word(i)}\nIt was the {word(i)} {word(i + 50)}\nPosted at time {i}:30\nUser of id {i} {i}" for i in range(20)]
