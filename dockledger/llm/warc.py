@@ -1,9 +1,13 @@
 """WARC archives: writing captures, reading them back, and assembling their records into one row a capture.
 
 A capture is a request, a response (or a revisit of an earlier response with the same payload) and a metadata record.
-Requests and metadata name their response in WARC-Concurrent-To. Spark's text sink writes the files, so they go to any
-file system Spark knows, and a task that is run again leaves no half file. A record ends with CR LF CR LF; the last of
-these bytes is the sink's line end. Files are compressed as a whole.
+Requests and metadata name their response in WARC-Concurrent-To. Every record is a gzip member of its own, so a reader can
+begin at any of them. Spark's text sink writes the files, so they go to any file system Spark knows, and a task that is run
+again leaves no half file; a member's last byte, zero, is the sink's line end. Files are cut by their bytes.
+
+Read are plain and compressed archives with any number of records a member, names of fields in any case with any blanks
+around their values, continued lines, and several WARC-Concurrent-To of one record. A record that does not end where its
+length says, or lacks its type, identifier or length, raises ValueError.
 """
 
 from __future__ import annotations
@@ -11,7 +15,8 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +26,7 @@ from pyspark.sql import types as T
 from dockledger.llm.common import stored
 
 VERSION = "WARC/1.1"
-#: Bytes of records in a file, about, before compression.
+#: Bytes of a file after which the next one begins.
 FILE_BYTES = 32 << 20
 #: The date of records; the pages do not carry one.
 DATE = "2024-01-01T00:00:00Z"
@@ -42,10 +47,10 @@ def _uuid(*parts) -> F.Column:
 
 
 def _record(fields: list[tuple], body) -> F.Column:
-    """A record as text without its last byte; fields that are null are left out."""
+    """A record as text; fields that are null are left out."""
     lines = [F.concat(F.lit(f"{name}: "), value.cast("string")) for name, value in fields]
     length = F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string"))
-    return F.concat(F.concat_ws("\r\n", F.lit(VERSION), *lines, length), F.lit("\r\n\r\n"), body, F.lit("\r\n\r"))
+    return F.concat(F.concat_ws("\r\n", F.lit(VERSION), *lines, length), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"))
 
 
 def captures_of(pages: DataFrame) -> DataFrame:
@@ -104,42 +109,107 @@ def write_archive(pages: DataFrame, path: str) -> None:
          ("WARC-Concurrent-To", own), *common, ("Content-Type", F.lit("application/warc-fields"))],
         F.coalesce(known, F.lit("")),
     )
-    records = captures.select(F.explode(F.array(request, F.when(is_first, response).otherwise(revisit), metadata)))
-    total = pages.agg(F.count("*"), F.sum(F.octet_length("html"))).first()
-    mean = (total[1] or 0) / max(total[0], 1) / 3 + 400
-    records.write.option("maxRecordsPerFile", max(3, int(FILE_BYTES / mean))).text(path, compression="gzip")
+    records = captures.select(F.explode(F.array(request, F.when(is_first, response).otherwise(revisit), metadata)).alias("record"))
+    members = records.mapInArrow(_members, "member binary, file int")
+    # bytes pass a string column as they are
+    members = members.select(F.col("member").cast("string").alias("value"), "file")
+    members.write.partitionBy("file").option("lineSep", "\x00").text(path)
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each record as a gzip member less its last byte, with the number of the task's file it goes to."""
+    file, size = 0, 0
+    for batch in batches:
+        out, files = [], []
+        for record in batch.column(0):
+            member = gzip.compress(record.as_py().encode(), 6, mtime=0)
+            if member[-1]:  # of a record of 16 MB or more: an empty member ends with zero
+                member += gzip.compress(b"", mtime=0)
+            file, size = (file + 1, 0) if size >= FILE_BYTES else (file, size)
+            size += len(member)
+            out.append(member[:-1])
+            files.append(file)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(files, pa.int32())], ["member", "file"])
 
 
 RECORD = {
-    "record_id": pa.string(), "record_type": pa.string(), "concurrent_to": pa.string(), "refers_to": pa.string(),
+    "record_id": pa.string(), "record_type": pa.string(), "concurrent_to": pa.list_(pa.string()), "refers_to": pa.string(),
     "uri": pa.string(), "date": pa.string(), "stated_digest": pa.string(), "page_id": pa.int64(),
     "payload_bytes": pa.int64(), "payload_digest": pa.string(),
 }
 
 
-def parse(data: bytes, with_payload: bool) -> Iterator[tuple]:
+def unpacked(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """The bytes of a plain archive, or of all members of a compressed one, piece by piece."""
+    view = memoryview(data)
+    if view[:2] != b"\x1f\x8b":
+        yield from (bytes(view[i : i + step]) for i in range(0, len(view), step))
+        return
+    at, left, member = 0, b"", None
+    while left or at < len(view):
+        if not left:
+            left, at = bytes(view[at : at + step]), at + step
+        member = member or zlib.decompressobj(31)
+        yield member.decompress(left)
+        left = member.unused_data
+        if member.eof:
+            member = None
+    if member:
+        raise ValueError("the archive ends inside a member")
+
+
+def fields_of(lines: list[str]) -> dict[str, list[str]]:
+    """Values of named fields by name in lower case, in order; a line that begins with a blank continues the one before."""
+    out: dict[str, list[str]] = {}
+    name = None
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            out[name][-1] += " " + line.strip()
+        elif line:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            out.setdefault(name, []).append(value.strip())
+    return out
+
+
+def parse(pieces: bytes | Iterable[bytes], with_payload: bool) -> Iterator[tuple]:
     """The records of an archive, found by their stated lengths alone, so payloads may hold anything."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split("\r\n")
-        if not lines[0].startswith("WARC/"):
+    pieces = iter([pieces] if isinstance(pieces, bytes) else pieces)
+    data, at = bytearray(), 0
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        data.extend(piece or b"")
+        return piece is not None
+
+    while True:
+        while (end := data.find(b"\r\n\r\n")) < 0:
+            if not more():
+                if data:
+                    raise ValueError(f"no record at byte {at}")
+                return
+        lines = data[:end].decode("utf-8").split("\r\n")
+        fields = fields_of(lines[1:])
+        one = lambda name: fields.get(name, [None])[0]
+        if not lines[0].startswith("WARC/") or None in map(one, ("warc-type", "warc-record-id", "content-length")):
             raise ValueError(f"no record at byte {at}")
-        fields = dict(line.split(": ", 1) for line in lines[1:])
-        block = data[end + 4 : end + 4 + int(fields["Content-Length"])]
-        at = end + 4 + len(block) + 4
-        if data[at - 4 : at] != b"\r\n\r\n":
-            raise ValueError(f"a record of {len(block)} bytes does not end at byte {at}")
-        kind, payload, page = fields["WARC-Type"], None, None
+        stop = end + 4 + int(one("content-length"))
+        while len(data) < stop + 4 and more():
+            pass
+        if data[stop : stop + 4] != b"\r\n\r\n":
+            raise ValueError(f"the record at byte {at} does not end after its {stop - end - 4} bytes")
+        block = bytes(data[end + 4 : stop])
+        del data[: stop + 4]
+        at += stop + 4
+        kind, payload, page = one("warc-type"), None, None
         if kind == "response":
-            payload = block[block.index(b"\r\n\r\n") + 4 :]
+            payload = block[block.index(b"\r\n\r\n") + 4 :] if b"\r\n\r\n" in block else b""
         elif kind == "metadata":
-            named = dict(line.split(": ", 1) for line in block.decode("utf-8").split("\r\n") if line)
-            page = int(named["page-id"]) if "page-id" in named else None
+            named = fields_of(block.decode("utf-8", "replace").split("\r\n")).get("page-id", [""])[0]
+            page = int(named) if named.removeprefix("-").isdecimal() else None
         yield (
-            fields["WARC-Record-ID"], kind, fields.get("WARC-Concurrent-To"), fields.get("WARC-Refers-To"),
-            fields.get("WARC-Target-URI"), fields.get("WARC-Date"),
-            fields.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None, page,
+            one("warc-record-id"), kind, fields.get("warc-concurrent-to", []), one("warc-refers-to"),
+            one("warc-target-uri"), one("warc-date"), (one("warc-payload-digest") or "").removeprefix("sha1:") or None, page,
             None if payload is None else len(payload),
             None if payload is None else base64.b32encode(hashlib.sha1(payload).digest()).decode(),
             *([payload] if with_payload else []),
@@ -149,14 +219,14 @@ def parse(data: bytes, with_payload: bool) -> Iterator[tuple]:
 def read_archive(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """One row a record; of responses also size and digest as found in the archive, and the payload if asked for."""
     kinds = RECORD | ({"payload": pa.binary()} if with_payload else {})
-    types = {pa.string(): T.StringType(), pa.int64(): T.LongType(), pa.binary(): T.BinaryType()}
+    types = {pa.string(): T.StringType(), pa.int64(): T.LongType(), pa.binary(): T.BinaryType(), pa.list_(pa.string()): T.ArrayType(T.StringType())}
     schema = T.StructType([T.StructField(n, types[k]) for n, k in kinds.items()])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 rows, held = [], 0
-                for row in parse(gzip.decompress(content.as_py()), with_payload):
+                for row in parse(unpacked(content.as_py()), with_payload):
                     rows.append(row)
                     held += (row[8] or 0) if with_payload else 0
                     if len(rows) >= 10_000 or held > 1 << 24:
@@ -165,7 +235,7 @@ def read_archive(spark: SparkSession, path: str, with_payload: bool = False) ->
                 if rows:
                     yield _batch(rows, kinds)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("content").mapInArrow(apply, schema)
 
 
@@ -175,23 +245,34 @@ def _batch(rows: list[tuple], kinds: dict) -> pa.RecordBatch:
 
 
 def transactions(records: DataFrame) -> DataFrame:
-    """One nested row a capture: response (or revisit), request and metadata, joined by the identifiers they name."""
-    def nested(kind: str) -> DataFrame:
-        own = records.filter(F.col("record_type") == kind)
-        return own.select(F.col("concurrent_to").alias(f"of_{kind}"), F.struct(*records.columns).alias(kind))
+    """One nested row a capture: response (or revisit), request and metadata, joined by the identifiers they name.
 
-    main = records.filter(F.col("record_type").isin("response", "revisit"))
-    main = main.select(F.col("record_id"), F.struct(*records.columns).alias("response"))
-    request, metadata = nested("request"), nested("metadata")
-    out = main.join(request, F.col("record_id") == F.col("of_request"), "left")
-    out = out.join(metadata, F.col("record_id") == F.col("of_metadata"), "left")
-    return out.select("record_id", "response", "request", "metadata")
+    One pass over the records: each is grouped by the record it is concurrent to, or by itself; one that names several is
+    in the capture of each. A capture has one row however many records it has: of several of a kind the one with the
+    smallest identifier is shown, `n_request` and `n_metadata` tell their number, and `n_response` of repeated responses.
+    Records whose response is not there keep their row, with a null response; other kinds of records have none.
+    """
+    kind = F.col("record_type")
+    main = kind.isin("response", "revisit")
+    parts = records.filter(main | kind.isin("request", "metadata"))
+    own = F.when(main | (F.size("concurrent_to") == 0), F.array("record_id")).otherwise(F.array_distinct("concurrent_to"))
+    parts = parts.select(F.explode(own).alias("_capture"), F.struct(*records.columns).alias("_record"))
+    kind = F.col("_record.record_type")
+    found = {"response": kind.isin("response", "revisit"), "request": kind == "request", "metadata": kind == "metadata"}
+    grouped = parts.groupBy("_capture").agg(
+        *[F.min(F.when(own, F.col("_record"))).alias(name) for name, own in found.items()],
+        *[F.count_if(own).alias(f"n_{name}") for name, own in found.items()],
+    )
+    return grouped.withColumnRenamed("_capture", "record_id")
 
 
 def resolved(captures: DataFrame) -> DataFrame:
-    """One row a capture with the size and digest of the full payload; of revisits, those of what they refer to."""
+    """One row a capture with the size and digest of the full payload; of revisits, those of what they refer to.
+
+    Captures without a response have no payload and no row.
+    """
     flat = stored(
-        captures.select(
+        captures.filter(F.col("response").isNotNull()).select(
             "record_id", "response.record_type", "response.refers_to", "response.payload_bytes",
             "response.payload_digest", "response.stated_digest", "metadata.page_id", "response.uri",
             F.col("request").isNotNull().alias("has_request"),

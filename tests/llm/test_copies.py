@@ -2,12 +2,15 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from compare import connect, duck_rows, spark_rows
@@ -291,8 +294,68 @@ def test_archive_round_trip(spark, tmp_path):
 def test_a_broken_archive_is_reported():
     good = b"WARC/1.1\r\nWARC-Type: request\r\nWARC-Record-ID: <a>\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
     assert len(list(warc.parse(good * 2, False))) == 2
-    with pytest.raises(ValueError):
-        list(warc.parse(good[:-4] + b"x" + good[-4:], False))
+    packed = gzip.compress(good) + gzip.compress(good + good)
+    for step in (1, 7, 1 << 16):
+        assert len(list(warc.parse(warc.unpacked(packed, step), False))) == 3
+        assert len(list(warc.parse(warc.unpacked(good * 2, step), False))) == 2
+    for bad in (good[:-4] + b"x" + good[-4:], good[:-2], good.replace(b"WARC-Type", b"x"), good.replace(b"Content-Length: 2", b"x: 2"), b"x"):
+        with pytest.raises(ValueError):
+            list(warc.parse(bad, False))
+    with pytest.raises((ValueError, zlib.error)):
+        list(warc.parse(warc.unpacked(packed[:-9]), False))
+    assert list(warc.parse(b"", False)) == []
+
+
+def _warc(kind, name, body=b"", *fields):
+    head = [b"WARC/1.0", b"warc-TYPE:" + kind, b"Warc-Record-Id:   <" + name + b">  ", *fields, b"content-length:%d" % len(body)]
+    return b"\r\n".join(head) + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def test_captures_of_foreign_archives(spark, tmp_path):
+    """Names in any case, any blanks, continued lines; several, missing and repeated records of a capture."""
+    to = lambda *names: [b"WARC-CONCURRENT-TO:\t<" + n + b">" for n in names]
+    records = [
+        _warc(b"warcinfo", b"w"), _warc(b"response", b"r1", b"HTTP/1.1 200 OK\r\n\r\nhello", b"warc-target-uri:http://a/", b"  long"),
+        _warc(b"metadata", b"m2", b"PAGE-ID:8", *to(b"r1")), _warc(b"metadata", b"m1", b"page-id :  7 \r\nother: x", *to(b"r1")),
+        _warc(b"request", b"q1", b"GET", *to(b"r1", b"r2")), _warc(b"response", b"r2", b"no head"), _warc(b"request", b"q9", b"", *to(b"gone")),
+        _warc(b"metadata", b"m9", b"page-id: many"), _warc(b"response", b"r3", b"\r\n\r\nagain"), _warc(b"response", b"r3", b"\r\n\r\nagain"),
+    ]
+    (tmp_path / "a.warc").write_bytes(b"".join(records[:5]))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, records[5:])))
+    read = warc.read_archive(spark, str(tmp_path))
+    assert read.count() == len(records)
+    rows = {r.record_id: r for r in warc.transactions(read).collect()}
+    name = lambda x: x and x.record_id
+    shown = {k: (name(r.response), name(r.request), name(r.metadata), r.n_response, r.n_request, r.n_metadata) for k, r in rows.items()}
+    assert shown == {
+        "<r1>": ("<r1>", "<q1>", "<m1>", 1, 1, 2), "<r2>": ("<r2>", "<q1>", None, 1, 1, 0), "<r3>": ("<r3>", None, None, 2, 0, 0),
+        "<gone>": (None, "<q9>", None, 0, 1, 0), "<m9>": (None, None, "<m9>", 0, 0, 1),
+    }
+    first = rows["<r1>"]
+    assert (first.response.uri, first.response.payload_bytes, first.metadata.page_id) == ("http://a/ long", 5, 7)
+    assert rows["<m9>"].metadata.page_id is None and rows["<r2>"].response.payload_bytes == 0
+    assert {r.page_id for r in warc.resolved(warc.transactions(read)).collect()} == {7, None}
+
+
+def test_members_and_files(spark, tmp_path, monkeypatch):
+    """Every record is a member of its own; files are cut by bytes, also in a run of large pages."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    rng = np.random.default_rng(1)
+    noise = lambda n: bytes(rng.integers(33, 126, n, dtype=np.uint8)).decode()
+    pages = [(i, "http://a/", noise(9_000 if i % 50 > 30 else 10)) for i in range(100)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    warc.write_archive(table, str(tmp_path / "x"))
+    found = [f.read_bytes() for f in (tmp_path / "x").rglob("part-*")]
+    assert len(found) >= 10 and max(map(len, found)) < 20_000 + 10_000
+    sizes = []
+    for data in found:
+        while data:
+            member = zlib.decompressobj(31)
+            sizes.append(len(list(warc.parse(member.decompress(data), False))))
+            data = member.unused_data
+    assert sizes == [1] * 300
+    big = next(iter(warc._members(iter([pa.RecordBatch.from_arrays([pa.array(["z" * (1 << 24)])], ["record"])]))))
+    assert gzip.decompress(big.column(0)[0].as_py() + b"\0") == b"z" * (1 << 24)
 
 
 def test_pipeline(spark):
