@@ -26,18 +26,25 @@ K1, B = 1.2, 0.75
 STRIDE, PASSAGE, SEGMENT, BLOCK, SHINGLE = 32, 64, 64, 16, 3
 #: Least share of a segment's own score, and least share of shingles of the question and of the answer.
 THRESHOLD, OVERLAP = 0.5, 0.6
-#: Items with fewer words are left out: they stand in texts by chance.
-MIN_WORDS = 5
-#: Segments in one broadcast, at most about: 64 postings of 12 bytes each. Further ones take further passes.
-PASS_SEGMENTS = 1 << 14
+#: Items with fewer words are not ranked but found whole: all their words in a row, and those of one or two words, which
+#: stand in texts by chance, as a line of their own.
+MIN_WORDS, LINE_WORDS = 5, 2
+#: Segments that the driver takes at a time, about, and bytes of an index in one broadcast; what is more takes further passes.
+PASS_SEGMENTS, PASS_BYTES = 1 << 13, 64 << 20
 SHARD_SEGMENTS = 512
 
-# Words are runs of ASCII letters and digits and of all other characters above ASCII.
+# Words are runs of ASCII letters and digits and of all other characters above ASCII; in scripts that are written without
+# spaces (Thai, Lao, Burmese, Khmer, kana, Han) every character is a word.
 _GAP = bytes(c if c >= 128 or chr(c).isalnum() else 0x20 for c in range(256))
+_SINGLE = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
+_MARKS = re.compile("[\u2000-\u206f\u3000-\u303f\uff00-\uff0f\uff1a-\uff20]")
 
 
 def normal(text: bytes) -> bytes:
-    return text.decode("utf-8", "replace").lower().encode().translate(_GAP)
+    text = text.decode("utf-8", "replace").lower()
+    if not text.isascii() and _SINGLE.search(text):
+        text = _MARKS.sub(" ", _SINGLE.sub(r" \1 ", text))
+    return text.encode().translate(_GAP)
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,16 +65,16 @@ def shingles(words: np.ndarray, length: int = SHINGLE) -> np.ndarray:
 
 def question_and_answer(text: str) -> tuple[str, str]:
     """The answer is the last sentence; of a single sentence, the last quarter of its words."""
-    ends = [m.end() for m in re.finditer(r"[.!?。？！]+\s+(?=\S)", text.strip())]
+    ends = [m.end() for m in re.finditer(r"[.!?]+\s+(?=\S)|[。？！]+\s*(?=\S)", text.strip())]
     if ends:
         return text.strip()[: ends[-1]], text.strip()[ends[-1] :]
-    words = text.split()
+    words = text.split() if not _SINGLE.search(text) else normal(text.encode()).decode().split()
     cut = len(words) - max(1, len(words) // 4)
     return " ".join(words[:cut]), " ".join(words[cut:])
 
 
 def segments(items: DataFrame) -> DataFrame:
-    """(item, item_id, terms, question, answer, lengths) for each segment of the items that are long enough.
+    """(item, item_id, terms, question, answer, lengths) for each segment of the items; short ones have empty lengths.
 
     item: a number of its own for each different (item_id, text); lengths: of the shingles of question and answer, less than usual where a part has fewer words.
     """
@@ -78,6 +85,8 @@ def segments(items: DataFrame) -> DataFrame:
             for item, item_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 (words, _), parts = word_hashes([text.encode()]), question_and_answer(text)
                 if len(words) < MIN_WORDS:
+                    if len(words):
+                        rows.append((item, item_id, words.view(np.int64), [], [], []))
                     continue
                 parts = [word_hashes([p.encode()])[0] for p in parts]
                 sets = [np.unique(shingles(p)).view(np.int64) for p in parts]
@@ -124,6 +133,7 @@ class Shard:
             table[row + 1, segment[at] % BLOCK] = weight[at]
             self.row_of[b, own] = np.arange(1, len(own) + 1)
             self.table.append(table)
+        self.bytes = sum(x.nbytes for x in (self.terms, self.block_max, self.most, self.row_of, *self.table))
 
     def search(self, stride: np.ndarray, words: np.ndarray, follows: np.ndarray, threshold: float) -> list[tuple[int, int]]:
         """(first stride of a passage, segment) for all that reach the threshold.
@@ -160,7 +170,28 @@ class Shard:
         return out
 
 
-def contaminations(texts: list[bytes], shards: list[Shard], sets: dict[int, tuple], threshold: float, overlap: float):
+def whole_items(texts: list[bytes], words: np.ndarray, at: np.ndarray, short: dict[int, dict[int, list[int]]]) -> list[set[int]]:
+    """For each text the short items that stand in it whole. short: hash of all words -> items, by number of words."""
+    found: list[set[int]] = [set() for _ in texts]
+    for length, items in short.items():
+        if length <= LINE_WORDS:
+            for i, text in enumerate(texts):
+                lines = text.split(b"\n")
+                own, starts = word_hashes(lines)
+                for a in starts[:-1][np.diff(starts) == length]:
+                    found[i].update(items.get(int(shingles(own[a : a + length], length)[0]), ()))
+            continue
+        runs = shingles(words, length)
+        owner = np.searchsorted(at, np.arange(len(runs)), "right") - 1
+        for k in np.flatnonzero(np.isin(runs, np.array(list(items), np.uint64))):
+            if k + length <= at[owner[k] + 1]:
+                found[owner[k]].update(items[int(runs[k])])
+    return found
+
+
+def contaminations(
+    texts: list[bytes], shards: list[Shard], sets: dict[int, tuple], threshold: float, overlap: float, short: dict | None = None
+):
     """For each text: how many (passage, segment) pairs were retrieved, and the items that were verified."""
     words, at = word_hashes(texts)
     count = np.diff(at)
@@ -180,7 +211,7 @@ def contaminations(texts: list[bytes], shards: list[Shard], sets: dict[int, tupl
             begin = (s - int(base[text])) * STRIDE
             span = spans.setdefault((text, int(shard.items[segment])), [begin, begin])
             span[0], span[1] = min(span[0], begin), max(span[1], begin)
-    found: list[set[int]] = [set() for _ in texts]
+    found = whole_items(texts, words, at, short or {})
     for (text, item), (low, high) in spans.items():
         question, answer, length = sets[item]
         own = words[at[text] : at[text + 1]][max(0, low - length) : high + PASSAGE + length]
@@ -196,16 +227,18 @@ def decontaminate(
 ) -> DataFrame:
     """The columns `keep` of docs, then contaminated, item_ids (sorted) and retrieved, a row for each row.
 
-    Null, empty and short texts are passages like any other; without words they are clean. Null item texts and items of
-    fewer than five words are left out; an item with a null id counts but is not listed; repeated items count once, and
-    different texts with one id (or none) are items of their own.
+    Null, empty and short texts are passages like any other; without words they are clean. Null item texts and items
+    without a word are left out; items of fewer than five words are found whole (see `whole_items`), the others by rank;
+    an item with a null id counts but is not listed; repeated items count once, and different texts with one id (or none)
+    are items of their own.
     Without items nothing is contaminated. Names that clash with a result column are replaced.
     """
     own = ["contaminated", "item_ids", "retrieved"]
     keep = [c for c in keep if c.lower() not in own]
     index = stored(segments(items), "segments")
-    total = index.agg(F.count("*"), F.sum(F.size("terms"))).first()
-    passes = max(1, -(-total[0] // PASS_SEGMENTS))
+    ranked = index.filter(F.size("lengths") > 0)
+    total = ranked.agg(F.count("*"), F.sum(F.size("terms"))).first()
+    passes = max(1, -(-index.count() // PASS_SEGMENTS))
     mean = (total[1] or 1) / max(total[0], 1)
     name = fresh(docs, "passage_text")
     state = docs.select(
@@ -213,38 +246,59 @@ def decontaminate(
         F.array().cast("array<long>").alias("item_ids"), F.lit(0).cast("long").alias("retrieved"),
         F.lit(False).alias("contaminated"),
     )
-    frequency = index.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").count()
+    frequency = ranked.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").count()
     for i in range(passes):
         part = index.filter(F.pmod(F.xxhash64("item"), F.lit(passes)) == i)
         terms = part.select(F.explode("terms").alias("term")).distinct().join(frequency, "term").collect()
         idf = {r.term: float(np.log(1 + (total[0] - r["count"] + 0.5) / (r["count"] + 0.5))) for r in terms}
-        rows = part.collect()  # at most about PASS_SEGMENTS
-        rows.sort(key=lambda r: (len(r.terms), r.item_id is None, r.item_id, r.terms))  # alike lengths share a block
-        state = _query(state, name, rows, idf, mean, threshold, overlap)
-        if i < passes - 1:
-            state = stored(state, "decontaminated")
+        rows = part.collect()  # about PASS_SEGMENTS
+        for j, (shards, own) in enumerate(_broadcasts(rows, idf, mean)):
+            if i or j:
+                state = stored(state, "decontaminated")
+            state = _query(state, name, shards, own, threshold, overlap)
     return state.select(*keep, "contaminated", "item_ids", "retrieved")
 
 
-def _query(state: DataFrame, name: str, rows: list, idf: dict, mean: float, threshold: float, overlap: float) -> DataFrame:
+def _broadcasts(rows: list, idf: dict, mean: float) -> Iterator[tuple[list[Shard], list]]:
+    """Indexes of some rows each, of at most about PASS_BYTES; the segments of an item stay together."""
+    rows.sort(key=lambda r: (len(r.terms), r.item_id is None, r.item_id or 0, r.terms))  # alike lengths share a block
+    parts: list[list] = [[]]
+    last = {r.item: i for i, r in enumerate(rows)}
+    until, size = 0, 0
+    # a segment of n words takes at most so many bytes of a shard: term, maxima and rows of 32 blocks, table
+    cost = lambda r: len(r.terms) * (8 + 2 * 4 * (SHARD_SEGMENTS // BLOCK) + 4 + 4 * BLOCK)
+    for i, r in enumerate(rows):
+        if size + cost(r) > PASS_BYTES and i > until:
+            parts.append([])
+            size = 0
+        parts[-1].append(r)
+        size, until = size + cost(r), max(until, last[r.item])
+    for own in parts:
+        ranked = [r for r in own if r.lengths]
+        yield [Shard([(r.item, r.terms) for r in ranked[a : a + SHARD_SEGMENTS]], idf, mean) for a in range(0, len(ranked), SHARD_SEGMENTS)], own
+
+
+def _query(state: DataFrame, name: str, shards: list[Shard], rows: list, threshold: float, overlap: float) -> DataFrame:
     """One pass: queries the index of rows with every passage and adds what it finds to the state's columns."""
 
-    shards, sets = [], {}
+    sets, short = {}, {}
     ids = {r.item: r.item_id for r in rows}
-    for a in range(0, len(rows), SHARD_SEGMENTS):
-        shards.append(Shard([(r.item, r.terms) for r in rows[a : a + SHARD_SEGMENTS]], idf, mean))
     for r in rows:
+        if not r.lengths:
+            words = np.asarray(r.terms, np.int64).view(np.uint64)
+            short.setdefault(len(words), {}).setdefault(int(shingles(words, len(words))[0]), []).append(r.item)
+            continue
         length = sets.get(r.item, ((), (), 0))[2] + len(r.terms)
         parts = [np.asarray(x, np.int64).view(np.uint64) for x in (r.question, r.answer)]
         sets[r.item] = *zip(parts, r.lengths, strict=True), length
-    shared = state.sparkSession.sparkContext.broadcast((shards, sets, ids))
+    shared = state.sparkSession.sparkContext.broadcast((shards, sets, ids, short))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards, sets, ids = shared.value
+        shards, sets, ids, short = shared.value
         for batch in batches:
             names = batch.schema.names
             for a, b, texts in pieces(batch, name):
-                retrieved, found = contaminations(texts, shards, sets, threshold, overlap)
+                retrieved, found = contaminations(texts, shards, sets, threshold, overlap, short)
                 part = batch.slice(a, b - a)
                 before = part.column(names.index("item_ids")).to_pylist()
                 listed = [sorted({*x, *(ids[i] for i in y)} - {None}) for x, y in zip(before, found, strict=True)]

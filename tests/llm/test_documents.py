@@ -237,8 +237,32 @@ def test_different_texts_with_one_id_are_all_verified(spark, monkeypatch, segmen
     }
 
 
-def test_several_passes_find_the_same(docs, items, monkeypatch):
+def test_short_items_and_scripts_without_spaces(spark):
+    prose = " ".join(f"clean{i}" for i in range(50))
+    japanese = "日本の首都はどこですか。答えは東京です。"
+    thai = "เมืองหลวงของประเทศไทยคือกรุงเทพมหานคร"
+    items = [(1, "capital of France? Paris"), (2, japanese), (3, "Paris"), (4, "blue whale"), (5, thai), (6, " ?! "), (7, "one two three")]
+    texts = [
+        f"{prose} Capital of France: PARIS, {prose}", f"全く別の話です。{japanese}そして終わりです。", f"{prose} in Paris, {prose} a blue whale {prose}",
+        f"{prose}\nParis.\n{prose}", f"{prose}\n Blue whale! \n{prose}", f"ก่อน {thai} หลัง", prose, "日本の首都は大きいです。東京の話をしましょう。", "capital of Paris",
+        f"one two\nthree {prose}", f"one two {prose} three", "", None,
+    ]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontaminate.decontaminate(table, spark.createDataFrame(items, "item_id long, text string"), ["doc_id"]).collect()
+    assert {r.doc_id: r.item_ids for r in found if r.contaminated} == {0: [1], 1: [2], 3: [3], 4: [4], 5: [5], 9: [7]}
+
+
+def test_several_passes_find_the_same(spark, docs, items, monkeypatch):
+    extra = spark.createDataFrame([(900, "of the"), (901, " ".join(f"term{i}" for i in range(300)))], items.schema)
+    items = items.unionByName(extra)
     one = sorted(decontaminate.decontaminate(docs, items, ["doc_id"]).collect())
+    with monkeypatch.context() as patch:
+        patch.setattr(decontaminate, "PASS_BYTES", 200_000)
+        rows = decontaminate.segments(items).collect()
+        parts = list(decontaminate._broadcasts(rows, collections.defaultdict(lambda: 1.0), 40.0))
+        assert len(parts) >= 3 and max(sum(s.bytes for s in shards) for shards, _ in parts) < 200_000
+        assert sum(len({r.item for r in own}) for _, own in parts) == len({r.item for r in rows})
+        assert sorted(decontaminate.decontaminate(docs, items, ["doc_id"]).collect()) == one
     monkeypatch.setattr(decontaminate, "PASS_SEGMENTS", 15)
     monkeypatch.setattr(decontaminate, "SHARD_SEGMENTS", 4)
     assert sorted(decontaminate.decontaminate(docs, items, ["doc_id"]).collect()) == one
