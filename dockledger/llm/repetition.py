@@ -199,7 +199,8 @@ WITH t AS (
   SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed FROM measured
 )
 SELECT doc_id, {", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in MEASURES if c not in ("base_failed", "kept"))}, base_failed,
-  NOT base_failed AND dup_line_chars <= {LINE_LIMIT} * word_chars AND n_symbols <= {SYMBOL_LIMIT} * n_words
+  NOT base_failed AND dup_line_chars <= CASE WHEN n_dup_lines <= {FEW_LINES} THEN {LINE_LIMIT} ELSE {LINES_LIMIT} END * word_chars
+  AND n_symbols <= {SYMBOL_LIMIT} * n_words
   AND {" AND ".join(f"dup_chars_{n} <= {limit} * word_chars" for n, limit in NGRAM_LIMITS.items())} AS kept
 FROM judged
 """

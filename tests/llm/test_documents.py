@@ -4,6 +4,7 @@ import collections
 import math
 import re
 
+import duckdb
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -119,6 +120,45 @@ def test_rules_reject_interleaved_repeated_lines(spark):
     assert [(r.n_repeat_words, r.base_failed, r.kept) for r in rows] == [(0, False, False), (0, False, True)]
 
 
+def test_each_rule_rejects_rows_of_its_own_and_equals_sql(spark):
+    """A planted table on which base, n-gram, line and symbol rules each decide alone; the query's SQL agrees."""
+    word = lambda kind, i: kind + "".join("abcdefghij"[int(c)] for c in str(i))
+    filler = lambda n, kind="w": " ".join(word(kind, i) for i in range(n))
+    long_run = " ".join(word("x" * 40, i) for i in range(10))  # few words, many characters
+    lines = "\n".join(f"Home About News Contact\n{word('u', i)} {word('v', i)} {word('t', i)}" for i in range(8))
+    five = " ".join(word("y" * 40, i) for i in range(5))
+    texts = {
+        "clean": filler(200), "short": filler(9), "repeats": "same " * 60, "ngrams": f"{long_run} {filler(150)} {long_run}",
+        "five": f"{five} {filler(80)} {five}", "lines": lines, "one line": f"{filler(6, 'l')}\n{filler(9)}\n{filler(6, 'l')}",
+        "symbols": " ".join(f"{word('w', i)}#*" for i in range(60)), "both": f"{lines}\n{long_run} {filler(60)} {long_run}",
+    }
+    table = spark.createDataFrame([(i, t, n) for i, (n, t) in enumerate(texts.items())], "doc_id long, text string, kind string")
+    rows = {r.kind: r for r in repetition.quality_rules(table, keep=["doc_id", "kind"]).collect()}
+
+    def reasons(r):
+        limits = repetition.NGRAM_LIMITS
+        few = r.n_dup_lines <= repetition.FEW_LINES
+        return {
+            "base": r.base_failed, "ngrams": any(r[f"dup_chars_{n}"] > x * r.word_chars for n, x in limits.items()),
+            "lines": r.dup_line_chars > (repetition.LINE_LIMIT if few else repetition.LINES_LIMIT) * r.word_chars,
+            "symbols": r.n_symbols > repetition.SYMBOL_LIMIT * r.n_words,
+        }
+
+    found = {kind: sorted(k for k, v in reasons(r).items() if v) for kind, r in rows.items()}
+    assert found == {
+        "clean": [], "short": ["base"], "repeats": ["base", "ngrams"], "ngrams": ["ngrams"], "five": ["ngrams"], "lines": ["lines"],
+        "one line": found["one line"], "symbols": ["symbols"], "both": ["ngrams"],
+    }
+    assert all(r.kept == (not found[kind]) for kind, r in rows.items())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(r.doc_id, texts[r.kind]) for r in rows.values()])
+    result = con.execute(repetition.ORACLE_SQL)
+    names = [d[0] for d in result.description]
+    want = {r[names.index("doc_id")]: dict(zip(names, r, strict=True)) for r in result.fetchall()}
+    assert {r.doc_id: {n: r[n] for n in names} for r in rows.values()} == want
+
+
 def test_classifier(spark, docs, labels, odd, none):
     scores = QUERIES["op2_quality_classifier"](spark, SMALL).join(labels, "doc_id").filter("held_out").collect()
     good = [r.score for r in scores if r.quality == 1]
