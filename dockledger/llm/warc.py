@@ -57,16 +57,14 @@ def captures_of(pages: DataFrame) -> DataFrame:
     """One row a page: row, page_id, uri, payload, digest, size and the first page with an equal payload.
 
     A null html is an empty payload. Of the pages with equal payloads the one with the smallest page_id is first (null
-    last); of repeated rows an arbitrary but fixed one. Control characters and spaces of a url are written as %20.
+    last); of repeated rows an arbitrary but fixed one: pages are read twice and must come in the same order again, as those
+    of a table do. Control characters and spaces of a url are written as %20.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     uri = F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("urn:x-none")), r"[\x00-\x20\x7F]", "%20")
-    rows = stored(
-        pages.select(
-            F.monotonically_increasing_id().alias("row"), F.col("page_id"), uri.alias("uri"), payload.alias("payload"),
-            F.sha2(payload, 256).alias("same"),
-        ),
-        "captures",
+    rows = pages.select(
+        F.monotonically_increasing_id().alias("row"), F.col("page_id"), uri.alias("uri"), payload.alias("payload"),
+        F.unhex(F.sha2(payload, 256)).alias("same"),
     )
     first = F.min(F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id"), F.col("row")))
     firsts = rows.groupBy("same").agg(first.alias("first"))
