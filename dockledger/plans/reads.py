@@ -120,7 +120,7 @@ def po_picker(
     """Purchase orders whose number, or any of whose lines' item, contains the text."""
     restrict = any(x is not None for x in (supplier, date_from, date_to))
     headers = _settled(_selected(t.po_header, supplier, "po_date", date_from, date_to), restrict)
-    lines = _lines_of(t.po_line, headers, "po_no", restrict, t.hot("po_line", "po_no"))
+    lines = _lines_of(t.of_supplier("po_line", supplier), headers, "po_no", restrict, t.hot("po_line", "po_no"))
     by_number = contains_any(["po_no"], search, mode)
     if search:
         names = t.item.filter(contains_any(["item_name"], search, mode))
@@ -164,7 +164,8 @@ def _po_lines(
         headers = headers.join(pos.select(F.trim("po_no").alias("po_no")).distinct(), "po_no", "left_semi")
     restrict = any(x is not None for x in (supplier, pos, number))
     headers = _settled(headers, restrict)
-    return headers, _lines_of(t.po_line, headers, "po_no", restrict, t.hot("po_line", "po_no")), restrict
+    lines = t.of_supplier("po_line", supplier)
+    return headers, _lines_of(lines, headers, "po_no", restrict, t.hot("po_line", "po_no")), restrict
 
 
 def _of_keys(
@@ -278,7 +279,7 @@ def receipt_history(
     restrict = any(x is not None for x in (supplier, date_from, date_to))
     headers = _settled(_selected(t.prov_header, supplier, "due_date", date_from, date_to), restrict)
     hot = t.hot("prov_line", "receipt_no")
-    lines = _lines_of(t.prov_line, headers, "receipt_no", restrict, hot)
+    lines = _lines_of(t.of_supplier("prov_line", supplier), headers, "receipt_no", restrict, hot)
     restrict = restrict and narrow
     # The outer join and the roll-up would shuffle every order line; the semi-joins keep those of the selection.
     po_lines = _of_keys(t.po_line, lines, restrict, ["line_seq", "item_code"], None).select("po_line_key", "po_no")
@@ -369,7 +370,7 @@ def receipt_detail(
     headers = _settled(headers, restrict and narrow)
     hot = t.hot("prov_line", "receipt_no")
     hot_keys, hot_pairs = t.hot("prov_line", "po_line_key"), t.hot("prov_line", "po_line_key", "item_code")
-    lines = t.prov_line
+    lines = t.of_supplier("prov_line", supplier)
     if restrict:
         lines = skew_join(lines, headers.select("receipt_no"), ["receipt_no"], "left_semi", spread_by=["line_seq"], hot=hot)
     lines = _settled(lines.drop("updated_on"), restrict and narrow)
@@ -410,7 +411,7 @@ def po_history(
     """
     restrict = any(x is not None for x in (supplier, date_from, date_to))
     headers = _settled(_selected(t.po_header, supplier, "po_date", date_from, date_to), restrict)
-    lines = _lines_of(t.po_line, headers, "po_no", restrict, t.hot("po_line", "po_no"))
+    lines = _lines_of(t.of_supplier("po_line", supplier), headers, "po_no", restrict, t.hot("po_line", "po_no"))
     rolled = blocks.first_item(lines, "po_no", "delivery_date").filter(has_status("status", status))
     rows = headers.select("po_no", "po_date").join(rolled, "po_no")
     rows = blocks.trim_join_items(rows, "first_item_code", t, spread_by=["po_no"], hot=t.hot("po_line", "item_code"))

@@ -33,7 +33,7 @@ from dockledger.functions.storage import create_once, names_in, stored, text_of
 from dockledger.operators import writes
 from dockledger.sources import requests
 from dockledger.sources.loading import conform
-from dockledger.tables import HEAVY_KEYS, LAYOUTS, TABLE_NAMES, Marks, Tables
+from dockledger.tables import HEAVY_KEYS, LAYOUTS, SUPPLIED, TABLE_NAMES, Marks, Tables
 
 _HEAVY_SCHEMA = "table string, columns string, key string, rows long"
 _DAYS_SCHEMA = "day string, last_number long"
@@ -41,16 +41,18 @@ _RECEIPTS_SCHEMA = "receipt_no string, last_sequence long, has_header boolean"
 _DELETES_SCHEMA = "receipt_no string"
 _PROV = ("prov_header", "prov_line", "prov_contact")
 
-# Rows are stored in these ranges, so that date filters and document lookups skip row groups.
+# The supplier of a line's document, stored with the line; NULL where a line was added to a document of before.
+_OWNER = "_owner"
+# Rows are stored in these ranges, so that filters on suppliers and dates skip row groups.
 _STORED_BY = {
     "item": ["item_code"],
     "code": ["code_group", "code"],
     "po_header": ["po_date", "po_no"],
-    "po_line": ["po_no", "line_seq"],
+    "po_line": [_OWNER, "po_no", "line_seq"],
     "receipt_header": ["actual_no"],
     "receipt_line": ["po_line_key", "actual_no"],
     "prov_header": ["due_date", "receipt_no"],
-    "prov_line": ["receipt_no", "line_seq"],
+    "prov_line": [_OWNER, "receipt_no", "line_seq"],
     "prov_contact": ["receipt_no"],
 }
 
@@ -120,14 +122,18 @@ def load_version(spark: SparkSession, root: str, version: int | None = None) ->
 def _load(spark: SparkSession, root: str, state: State) -> Tables:
     heavy = _heavy(spark, root, state)
 
-    def open_table(name: str) -> DataFrame:
+    def open_table(name: str, supplier: object = None) -> DataFrame:
         paths = [f"{root}/{folder}" for folder in state.tables[name]]
         df = spark.read.schema(spark.read.parquet(paths[0]).schema).parquet(*paths)
+        if supplier is not None:
+            df = df.filter((F.col(_OWNER) == supplier) | F.col(_OWNER).isNull())
         if name in _PROV and state.changes():
             df = _with_changes(df, name, _changes(spark, root, state), heavy)
+        df = df.drop(_OWNER)
         return df.withColumn("po_line_key", line_key("po_no", "line_seq")) if name == "po_line" else df
 
-    return Tables({name: partial(open_table, name) for name in TABLE_NAMES}, heavy, _marks(spark, root, state))
+    sources = {name: partial(open_table, name) for name in TABLE_NAMES}
+    return Tables(sources, heavy, _marks(spark, root, state), open_table)
 
 
 def load_details(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
@@ -238,14 +244,19 @@ def publish_version(
         return f"{name}/v{number:08d}-{uuid.uuid4().hex}"
 
     folders = {name: list(own) for name, own in state.tables.items()}
-    for name, df in {**tables, **(added or {})}.items():
+    new = {**tables, **(added or {})}
+    for name, df in new.items():
         folder = folder_for(name)
-        df = conform(df, name)
+        df = conform(df, name).select(*[f.name for f in LAYOUTS[name].fields])
+        if name in SUPPLIED:
+            header = SUPPLIED[name][0]
+            if header not in new and name in tables:
+                df = _with_owner(df, name, _load(spark, root, state)[header])
+            else:
+                df = _with_owner(df, name, new.get(header))
         if name in state.tables:
             stored_as = spark.read.parquet(f"{root}/{state.tables[name][0]}").schema
             df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in stored_as.fields])
-        else:
-            df = df.select(*[f.name for f in LAYOUTS[name].fields])
         ranged = df.repartitionByRange(*_STORED_BY[name]).sortWithinPartitions(*_STORED_BY[name])
         ranged.write.mode("error").parquet(f"{root}/{folder}")
         if name in HEAVY_KEYS:
@@ -262,12 +273,22 @@ def publish_version(
             folder = folder_for(what)
             df.write.mode("error").parquet(f"{root}/{folder}")
             kept[what] = [*kept[what], folder]
-    new = State(number, base, folders, **kept, rule=asdict(rule))
-    if not create_once(spark, f"{root}/versions/v{number:08d}.json", json.dumps(asdict(new))):
+    made = State(number, base, folders, **kept, rule=asdict(rule))
+    if not create_once(spark, f"{root}/versions/v{number:08d}.json", json.dumps(asdict(made))):
         raise ValueError(f"version {number} was written by another writer: read it and try again")
     return number
 
 
+def _with_owner(lines: DataFrame, name: str, headers: DataFrame | None) -> DataFrame:
+    """Lines with the supplier of their document; NULL if there are no headers at hand, or several suppliers."""
+    if headers is None:
+        return lines.withColumn(_OWNER, F.lit(None).cast("string"))
+    header, document = SUPPLIED[name]
+    least, most = F.min("supplier_code"), F.max("supplier_code")
+    owners = conform(headers, header).groupBy(document).agg(F.when(least == most, least).alias(_OWNER))
+    return skew.skew_join(lines, owners, [document], spread_by=["line_seq"])
+
+
 def _store_heavy(spark: SparkSession, root: str, name: str, folder: str, heavy_rows: int) -> None:
     rows = spark.read.parquet(f"{root}/{folder}")
     if name == "po_line":

@@ -131,6 +131,7 @@ class Tables:
         sources: Mapping[str, Source],
         heavy: Mapping[tuple[str, tuple[str, ...]], skew.HeavyKeys] | None = None,
         marks: Marks | None = None,
+        of_supplier: Callable[[str, object], DataFrame] | None = None,
     ) -> None:
         missing = set(TABLE_NAMES) - set(sources)
         if missing:
@@ -139,6 +140,7 @@ class Tables:
         self._opened: dict[str, DataFrame] = {}
         self._heavy = dict(heavy or {})
         self.marks = marks
+        self._of_supplier = of_supplier
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._opened:
@@ -154,7 +156,15 @@ class Tables:
     def changed(self, **tables: DataFrame) -> Tables:
         """Same tables with some replaced; a changed table keeps its heavy keys, which only deal out its rows."""
         marks = None if {"prov_header", "prov_line"} & set(tables) else self.marks
-        return Tables({**self._sources, **self._opened, **tables}, self._heavy, marks)
+        of_supplier = None if set(SUPPLIED) & set(tables) else self._of_supplier
+        return Tables({**self._sources, **self._opened, **tables}, self._heavy, marks, of_supplier)
+
+    def of_supplier(self, name: str, supplier: object) -> DataFrame:
+        """Lines of a table that may belong to the supplier's documents, from the part of the table where they are
+        stored; all lines if no supplier is given or the table is not stored by supplier."""
+        if supplier is None or self._of_supplier is None:
+            return self[name]
+        return self._of_supplier(name, supplier)
 
     def hot(self, table: str, *columns: str) -> skew.HeavyKeys | None:
         """Heavy values of a key of a table, None if it has none. No pass over the table."""
@@ -163,6 +173,9 @@ class Tables:
         return self._heavy.get((table, columns))
 
 
+# Line tables that are stored by the supplier of their documents: header table and document number.
+SUPPLIED = {"po_line": ("po_header", "po_no"), "prov_line": ("prov_header", "receipt_no")}
+
 # Keys by which the line tables are joined or grouped.
 HEAVY_KEYS: dict[str, tuple[tuple[str, ...], ...]] = {
     "item": (("part_no",),),

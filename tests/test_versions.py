@@ -1,16 +1,17 @@
 import threading
 from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
 from dockledger.functions.storage import create_once, names_in, text_of
 from dockledger.operators import writes
-from dockledger.plans import versions
+from dockledger.plans import reads, versions
 from dockledger.sources.requests import explode_requests
 from dockledger.sources.sample import sample_tables
-from dockledger.tables import TABLE_NAMES
+from dockledger.tables import SUPPLIED, TABLE_NAMES
 
 
 @pytest.fixture(scope="module")
@@ -239,6 +240,47 @@ def test_a_receipt_made_after_its_deletion_stays(spark, few):
     assert t.prov_header.filter(mine).count() == 1
 
 
+def test_a_supplier_reads_a_part_of_the_lines(spark, tmp_path):
+    """Row groups whose range of suppliers lacks the wanted one are skipped; rows are the same as without."""
+    root = str(tmp_path / "whole")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else so little is stored as one file
+    try:
+        versions.publish_version(spark, _small(spark), root)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    for name, (_, document) in SUPPLIED.items():
+        t = versions.load_version(spark, root)
+        groups = []
+        for path in Path(root, name).rglob("*.parquet"):
+            meta = pq.ParquetFile(path).metadata
+            at = meta.schema.to_arrow_schema().names.index("_owner")
+            groups += [(meta.row_group(i).column(at).statistics, meta.row_group(i).num_rows) for i in range(meta.num_row_groups)]
+        read = sum(n for x, n in groups if x.null_count or x.min <= 7 <= x.max)
+        assert 0 < read < 0.3 * sum(n for _, n in groups)
+        mine = t.of_supplier(name, 7)
+        assert "EqualTo(_owner,7)" in mine._jdf.queryExecution().executedPlan().toString()
+        headers = t[SUPPLIED[name][0]].filter("supplier_code = 7").select(document)
+        want = t[name].join(headers, document, "left_semi")
+        assert sorted(map(repr, mine.collect())) == sorted(map(repr, want.select(mine.columns).collect()))
+        assert mine.columns == t[name].columns and t.of_supplier(name, None) is t[name]
+    # Lines added to a receipt of before have no supplier; they are read for each.
+    known = t.prov_header.filter("supplier_code = 7").first().receipt_no
+    raw = spark.createDataFrame([(1, _request(1)[1].replace('"ipgoDate"', f'"ipgoNumb":"{known}","ipgoDate"'))], "request_id int, payload string")
+    versions.run_register(spark, root, raw, "2030-01-01")
+    versions.run_edit(spark, root, spark.createDataFrame([(1, known, "P000000001", 8.0, "Y")], "seq int, receipt_no string, item_code string, qty double, status string"))
+    for again in (False, True):
+        t = versions.load_version(spark, root)
+        added = [r for r in reads.receipt_detail(t, supplier=7).collect() if r.receipt_no == known and r.qty == 8.0 and r.status == "Y"]
+        assert added
+        everyone = sorted(map(repr, reads.receipt_history(t, ordered=False).collect()))
+        mine = sorted(map(repr, reads.receipt_history(t, supplier=7, ordered=False).collect()))
+        assert mine and set(mine) < set(everyone)
+        if not again:
+            versions.compact(spark, root, most=0)
+    assert t.of_supplier("prov_line", 7).filter(F.col("receipt_no") == known).count() == t.prov_line.filter(F.col("receipt_no") == known).count()
+    assert not t.of_supplier("prov_line", 7).filter(F.col("receipt_no") != known).join(t.prov_header.filter("supplier_code <> 7"), "receipt_no").count()
+
+
 def test_registering_scans_no_header_and_no_line(spark, few):
     t = versions.load_version(spark, few)
     raw = spark.createDataFrame([(i, _request(i)[1]) for i in range(3)], "request_id int, payload string")
