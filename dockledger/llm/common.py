@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import functools
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dockledger.functions.storage import shared_folder as scratch  # noqa: F401
+from dockledger.functions.storage import stored  # noqa: F401
+
 #: A word is a run of characters other than space, tab, newline, vertical tab, form feed and return.
 SPACES = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACES}]+"
@@ -21,27 +23,6 @@ _BASE = 0x9E3779B97F4A7C15
 PIECE = 1 << 21
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Only a local session, where driver and executors are one process, may fall back to its warehouse folder.
-    """
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and spark.sparkContext.master.startswith("local["):
-        folder = spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows read back from a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression="zstd")
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -116,18 +116,25 @@ def write_archive(pages: DataFrame, path: str) -> None:
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each record as a gzip member less its last byte, with the number of the task's file it goes to."""
-    file, size = 0, 0
+    file, size, held, out, files = 0, 0, 0, [], []
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(files, pa.int32())], ["member", "file"])
+
     for batch in batches:
-        out, files = [], []
         for record in batch.column(0):
             member = gzip.compress(record.as_py().encode(), 6, mtime=0)
             if member[-1]:  # of a record of 16 MB or more: an empty member ends with zero
                 member += gzip.compress(b"", mtime=0)
             file, size = (file + 1, 0) if size >= FILE_BYTES else (file, size)
-            size += len(member)
+            size, held = size + len(member), held + len(member)
             out.append(member[:-1])
             files.append(file)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(files, pa.int32())], ["member", "file"])
+            if held > 1 << 21 or len(out) >= 2000:
+                yield done()
+                held, out, files = 0, [], []
+    if out:
+        yield done()
 
 
 RECORD = {
