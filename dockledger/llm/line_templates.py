@@ -108,11 +108,12 @@ def recurring(docs: DataFrame, text: str = "text") -> DataFrame:
         F.count("*").alias("docs"), F.min("line").alias("line"), F.min("n").alias("n")
     )
     held = held.drop("line", "n").join(templates(stored(distinct, "distinct-lines")), ["leaf", "own"])
-    held = held.select("template", "doc_id", "doc", "at")
+    held = stored(held.select("template", "doc_id", "doc", "at"), "templated-lines")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("doc"))).alias("first")
     per_doc = held.groupBy("template", "doc").agg(F.min("doc_id").alias("doc_id"))
     shared = per_doc.groupBy("template").agg(F.count("*").alias("docs"), first).filter(F.col("docs") >= MIN_DOCS)
-    again = held.join(shared.select("template", F.col("first.doc").alias("first")), "template")
+    shared = stored(shared.select("template", F.col("first.doc").alias("first")), "templates")  # as the leaves
+    again = held.join(shared, "template")
     again = again.filter(F.col("doc") != F.col("first"))
     return again.groupBy("doc").agg(F.collect_set("at").alias("dropped"))
 
