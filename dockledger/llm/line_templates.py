@@ -107,7 +107,8 @@ def recurring(docs: DataFrame, text: str = "text") -> DataFrame:
     distinct = distinct.groupBy("leaf", "own").agg(
         F.count("*").alias("docs"), F.min("line").alias("line"), F.min("n").alias("n")
     )
-    held = held.drop("line", "n").join(templates(stored(distinct, "distinct-lines")), ["leaf", "own"])
+    found = stored(templates(stored(distinct, "distinct-lines")), "line-templates")
+    held = held.drop("line", "n").join(found, ["leaf", "own"])
     held = stored(held.select("template", "doc_id", "doc", "at"), "templated-lines")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("doc"))).alias("first")
     per_doc = held.groupBy("template", "doc").agg(F.min("doc_id").alias("doc_id"))
