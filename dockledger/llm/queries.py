@@ -121,7 +121,7 @@ ORACLE: dict[str, str] = {
     "op4_line_templates": line_templates.ORACLE_SQL,
     "op7_quality_rules": repetition.ORACLE_SQL,
     "op9_warc": warc.ORACLE_SQL,
-    "op10_backoff": backoff.ORACLE_SQL,
+    "op10_backoff": backoff.oracle_sql(),
     "op11_lookup_clusters": lookup_clusters.oracle_sql(**CLUSTERS),
     "op13_conversation_repair": conversation_repair.ORACLE_SQL,
 }

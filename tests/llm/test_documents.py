@@ -308,20 +308,35 @@ def test_several_passes_find_the_same(spark, docs, items, monkeypatch):
     assert sorted(decontaminate.decontaminate(docs, items, ["doc_id"]).collect()) == one
 
 
-def backoff_by_hand(texts):
+def backoff_by_hand(texts, order):
     low = [WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
-    one = collections.Counter(w for t in low for w in t)
-    two = collections.Counter(p for t in low for p in zip(t, t[1:], strict=False))
-    total = sum(one.values())
+    count = collections.Counter(tuple(t[i : i + k]) for t in low for k in range(1, order + 1) for i in range(len(t) - k + 1))
+    total = sum(map(len, low))
+
+    def log_s(gram):
+        if len(gram) == 1:
+            return math.log(count[gram] / total)
+        return math.log(count[gram] / count[gram[:-1]]) if count[gram] >= 2 else math.log(0.4) + log_s(gram[1:])
+
     for t in low:
-        s = math.log(one[t[0]] / total) if t else 0.0
-        for a, b in zip(t, t[1:], strict=False):
-            s += math.log(two[a, b] / one[a]) if two[a, b] >= 2 else math.log(0.4 * one[b] / total)
-        yield len(t), s
+        yield len(t), sum(log_s(tuple(t[max(0, i - order + 1) : i + 1])) for i in range(len(t)))
+
+
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_backoff_of_any_order_equals_sql(spark, docs, order):
+    few = docs.filter("doc_id % 5 = 0").select("doc_id", "text")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [tuple(r) for r in few.collect()])
+    want = {r[0]: r[1:] for r in con.execute(backoff.oracle_sql(order)).fetchall()}
+    got = {r.doc_id: r for r in backoff.score(few, ["doc_id"], order=order).collect()}
+    assert set(got) == set(want)
+    for i, r in got.items():
+        assert r.n_words == want[i][0] and r.log_score == pytest.approx(want[i][1], abs=1e-5)
 
 
-@pytest.mark.parametrize("words", [1 << 21, 20_000, 300])
-def test_backoff(odd, none, docs, monkeypatch, words):
+@pytest.mark.parametrize(("words", "order"), [(1 << 21, 2), (20_000, 3), (300, 2), (300, 3)])
+def test_backoff(odd, none, docs, monkeypatch, words, order):
     """However many blocks and buckets there are, the scores are the same."""
     monkeypatch.setattr(backoff, "BLOCK_WORDS", words)
     monkeypatch.setattr(backoff, "BUCKET_WORDS", 3 * words)
@@ -329,8 +344,8 @@ def test_backoff(odd, none, docs, monkeypatch, words):
         docs = docs.limit(30)
     for table in (odd, docs):
         texts = [r.text for r in table.collect()]
-        rows = backoff.score(table, ["doc_id", "text"]).collect()
-        wanted = sorted((t or "", n, round(s, 6)) for t, (n, s) in zip(texts, backoff_by_hand(texts), strict=True))
+        rows = backoff.score(table, ["doc_id", "text"], order=order).collect()
+        wanted = sorted((t or "", n, round(s, 6)) for t, (n, s) in zip(texts, backoff_by_hand(texts, order), strict=True))
         found = sorted((r.text or "", r.n_words, r.log_score) for r in rows)
         assert [x[:2] for x in found] == [x[:2] for x in wanted]
         assert [x[2] for x in found] == pytest.approx([x[2] for x in wanted], abs=1e-5)
