@@ -50,10 +50,10 @@ class Block:
             last = made
         self.grams, index, self.counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
         self.index = np.split(index, np.cumsum([len(x) for x in keys])[:-1])
-        bucket = (mix(self.grams + np.uint64(0x77)) % np.uint64(buckets)).astype(np.int64)
-        by_bucket = np.argsort(bucket, kind="stable")
-        self.buckets, first = np.unique(bucket[by_bucket], return_index=True)
-        self.parts = np.split(by_bucket, first[1:]) if len(first) else []
+        # A bucket is a range of hashes, so its n-grams lie next to each other.
+        bucket = ((self.grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        self.buckets, first = np.unique(bucket, return_index=True)
+        self.parts = [slice(a, b) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(bucket)])]
 
     def scores(self, totals: np.ndarray, all_words: int) -> np.ndarray:
         """The sum for each text, from the total count of each distinct n-gram."""
@@ -69,6 +69,17 @@ class Block:
         return np.bincount(self.owner, value, len(self.at) - 1).astype(np.float64)
 
 
+def packed(grams: np.ndarray) -> bytes:
+    """Ascending hashes as their differences, all first bytes, then all second ones: the last are zeros, which compress."""
+    steps = np.diff(grams, prepend=np.uint64(0)).astype("<u8")
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8")[:, 0]
+    return np.cumsum(steps, dtype=np.uint64)
+
+
 def _texts(table: pa.Table, column: str) -> list[bytes]:
     return [t or b"" for t in table.column(column).cast(pa.binary()).to_pylist()]
 
@@ -78,7 +89,7 @@ def ask(table: pa.Table, column: str, block: str, buckets: int, order: int) -> p
     own = Block(_texts(table, column), buckets, order)
     number = table.column(block)[0].as_py()
     rows = [
-        (int(b), number, own.grams[part].tobytes(), zlib.compress(own.counts[part].astype(np.uint32).tobytes(), 1))
+        (int(b), number, packed(own.grams[part]), zlib.compress(own.counts[part].astype(np.uint32).tobytes(), 1))
         for b, part in zip(own.buckets, own.parts, strict=True)
     ]
     kinds = {"bucket": pa.int32(), "block": pa.int32(), "grams": pa.binary(), "counts": pa.binary()}
@@ -87,7 +98,7 @@ def ask(table: pa.Table, column: str, block: str, buckets: int, order: int) -> p
 
 def answer(table: pa.Table) -> pa.Table:
     """For each row of a bucket the total counts of its n-grams, in their order."""
-    grams = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("grams")])
+    grams = np.concatenate([unpacked(x.as_py()) for x in table.column("grams")])
     counts = [np.frombuffer(zlib.decompress(x.as_py()), np.uint32) for x in table.column("counts")]
     ends = np.cumsum([len(c) for c in counts])
     distinct, index = np.unique(grams, return_inverse=True)
