@@ -24,7 +24,7 @@ from dockledger.llm.common import WORD, fresh, joined, mix, span_hashes, word_sp
 
 ALPHA, MIN_COUNT = 0.4, 2
 #: Words of the longest n-grams.
-ORDER = 3
+ORDER = 2
 #: Mean words of a block, and of what arrives in a bucket.
 BLOCK_WORDS, BUCKET_WORDS = 1 << 21, 1 << 22
 _RESULT = {"n_words": pa.int64(), "log_score": pa.float64(), "mean_log_score": pa.float64()}
