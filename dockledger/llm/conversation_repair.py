@@ -18,11 +18,11 @@ string a conversation, so 2 GB at most.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -317,18 +317,20 @@ def _whole(segments: DataFrame) -> DataFrame:
     return segments.select("conv_id", "rows").mapInArrow(lambda batches: _batches(records(batches), kind), schema)
 
 
-def repair(rows: DataFrame) -> DataFrame:
+def repair(rows: DataFrame, shown: Callable[[Column], Column] = F.col) -> DataFrame:
     """Each conversation of rows (conv_id, turn, role, text, copies) with its faults, the cheapest edits and the repaired text.
 
-    Columns: conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired (`role:text` lines). Rows of no
-    copies only make their conversation known.
+    Columns: conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired (`role:text` lines, or what
+    `shown` makes of them, for instance a digest: then they are stored nowhere). Rows of no copies only make their
+    conversation known.
     """
     rows = stored(faults(rows), "conversation-rows")
     head = F.substring("text", 1, 64)  # bounds of ranges need no whole texts
     rows = rows.withColumn("head", head).repartitionByRange("conv_id", "turn", "role", "head").drop("head")
-    found = stored(_segments(rows.sortWithinPartitions("conv_id", "turn", "role", "text")), "conversation-segments")
+    found = _segments(rows.sortWithinPartitions("conv_id", "turn", "role", "text"))
+    found = stored(found.withColumn("repaired", shown("repaired")), "conversation-segments")
     open_ = found.where("rows IS NOT NULL").repartition("conv_id").sortWithinPartitions("conv_id", "part", "seq")
-    return found.where("rows IS NULL").drop("part", "seq", "rows").unionByName(_whole(open_))
+    return found.where("rows IS NULL").drop("part", "seq", "rows").unionByName(_whole(open_).withColumn("repaired", shown("repaired")))
 
 
 ORACLE_SQL = r"""

@@ -98,7 +98,7 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = conversation_repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return conversation_repair.repair(rows).withColumn("repaired_sha256", F.sha2("repaired", 256)).drop("repaired")
+    return conversation_repair.repair(rows, lambda text: F.sha2(text, 256)).withColumnRenamed("repaired", "repaired_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
