@@ -212,14 +212,14 @@ def _line_status(
     balance = balance.select(F.col("po_line_key").alias("balance_key"), F.col("item_code").alias("balance_item"), "ordered_qty", "received_qty", "outstanding_qty", "provisional_qty")
     # One key for all that is joined to the lines: they are shuffled by it once. A line without a key has one of its own.
     spread = F.concat(F.lit("\u0000"), F.concat_ws("\u0000", "po_no", "item_code"))
-    rows = lines.select("po_no", "po_line_key", "item_code", "status", F.coalesce("po_line_key", spread).alias("_key"))
-    rows = rows.join(balance.withColumn("_key", F.col("balance_key")), "_key", "left")
+    rows = lines.select("po_no", "po_line_key", "item_code", "status", F.coalesce("po_line_key", spread).alias("_line_key"))
+    rows = rows.join(balance.withColumn("_line_key", F.col("balance_key")), "_line_key", "left")
     # Different lines can have the same glued key: what is announced is of the line's own item, the balance of the key.
     same = F.when(F.col("balance_item") == F.col("item_code"), F.col("provisional_qty"))
-    rows = rows.withColumn("provisional_qty", F.max(same).over(Window.partitionBy("_key", "item_code"))).drop("balance_item")
+    rows = rows.withColumn("provisional_qty", F.max(same).over(Window.partitionBy("_line_key", "item_code"))).drop("balance_item")
     if with_receipts:
         rows = _with_receipts(t, rows, receipts)
-    rows = fan_out_join(headers.select("po_no", "po_date"), rows.drop("_key", "po_line_key"), "po_no", spread_by=["balance_key"], hot=hot_pos)
+    rows = fan_out_join(headers.select("po_no", "po_date"), rows.drop("_line_key", "po_line_key"), "po_no", spread_by=["balance_key"], hot=hot_pos)
     spread_by = ["po_no", "balance_key"]
     rows = skew_join(rows, blocks.item_with_unit(t), ["item_code"], spread_by=spread_by, hot=hot_items)
     return rows.select(
@@ -232,11 +232,11 @@ def _line_status(
 def _with_receipts(t: Tables, rows: DataFrame, receipts: DataFrame) -> DataFrame:
     """Each line once for every actual receipt of it and each of that receipt's headers, once if there is none."""
     hot = t.hot("receipt_line", "po_line_key")
-    actual = receipts.select(F.col("po_line_key").alias("_key"), "actual_no", F.col("item_code").alias("_item"), F.col("qty").alias("_qty"))
-    rows = fan_out_join(rows, actual, "_key", spread_by=["actual_no", "_item", "_qty"], hot=hot)
+    actual = receipts.select(F.col("po_line_key").alias("_line_key"), "actual_no", F.col("item_code").alias("_item"), F.col("qty").alias("_qty"))
+    rows = fan_out_join(rows, actual, "_line_key", spread_by=["actual_no", "_item", "_qty"], hot=hot)
     headers = t.receipt_header.select("actual_no")
     hot = t.hot("receipt_line", "actual_no")
-    return skew_join(rows, headers, ["actual_no"], spread_by=["_key"], hot=hot).drop("actual_no", "_item", "_qty")
+    return skew_join(rows, headers, ["actual_no"], spread_by=["_line_key"], hot=hot).drop("actual_no", "_item", "_qty")
 
 
 def po_line_status_raw(
