@@ -9,7 +9,7 @@ else stands in the leaf and however much. A line takes the reading that more doc
 stands for itself. Templates that enough documents share are dropped everywhere but in the document with the smallest
 doc_id, so shared text stays once.
 
-Only leaves and words that enough documents share are looked into, and only distinct lines are taken apart.
+Only beginnings and words that enough documents share are looked into, and only distinct lines are taken apart.
 """
 
 from __future__ import annotations
@@ -30,23 +30,36 @@ FIELD = "<*>"
 
 
 def _lines(docs: DataFrame, text: str) -> DataFrame:
-    """(doc_id, doc, at, line, n, leaf) for lines with a token; doc is the same for repeated rows only."""
+    """(doc_id, doc, at, line, head) for lines with a token: head stands for the first tokens, doc is the same for
+    repeated rows only.
+
+    Most lines begin with tokens that single spaces part; these are cut off without regular expressions.
+    """
     value = docs[text].cast("string")
     lines = docs.select(
         F.col("doc_id"), F.xxhash64("doc_id", value).alias("doc"), F.posexplode(F.split(value, "\n")).alias("at", "line")
     )
-    # Most lines have single spaces between tokens only; they are counted and cut without regular expressions.
     line = F.col("line")
-    odd = line.startswith(" ") | line.endswith(" ")
+    first = F.substring_index(line, " ", DEPTH)
+    taken = F.regexp_extract(line, rf"^[{SPACES}]*({WORD}(?:[{SPACES}]+{WORD}){{0,{DEPTH - 1}}})", 1)
+    first = F.when(_odd(first), F.regexp_replace(taken, rf"[{SPACES}]+", " ")).otherwise(first)
+    masked = F.when(F.col("first").rlike("[0-9]"), F.regexp_replace("first", r"[^ ]*[0-9][^ ]*", FIELD)).otherwise(F.col("first"))
+    lines = lines.filter(line != "").withColumn("first", first).filter(F.col("first") != "")
+    return lines.withColumn("head", F.xxhash64(masked)).drop("first")
+
+
+def _odd(text: Column) -> Column:
+    """Whether white space other than single spaces between tokens is in a text."""
+    odd = text.startswith(" ") | text.endswith(" ")
     for gap in ("  ", "\t", "\x0b", "\f", "\r"):
-        odd = odd | line.contains(gap)
+        odd = odd | text.contains(gap)
+    return odd
+
+
+def _tokens(line: Column) -> Column:
+    """The number of tokens of a line."""
     spaces = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
-    n = F.when(odd, F.regexp_count(line, F.lit(WORD))).otherwise(spaces + 1)
-    lines = lines.filter(line != "").withColumn("n", n).filter(F.col("n") > 0)
-    first = F.regexp_extract(line, rf"^[{SPACES}]*({WORD}(?:[{SPACES}]+{WORD}){{0,{DEPTH - 1}}})", 1)
-    first = F.when(odd, F.regexp_replace(first, rf"[{SPACES}]+", " ")).otherwise(F.substring_index(line, " ", DEPTH))
-    masked = F.when(first.rlike("[0-9]"), F.regexp_replace(first, r"[^ ]*[0-9][^ ]*", FIELD)).otherwise(first)
-    return lines.withColumn("leaf", F.xxhash64("n", masked))
+    return F.when(_odd(line), F.regexp_count(line, F.lit(WORD))).otherwise(spaces + 1)
 
 
 def _key(words: Column, order: str) -> Column:
@@ -99,9 +112,11 @@ def templates(distinct: DataFrame) -> DataFrame:
 def recurring(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc, dropped): for each document that loses lines, their places from 0."""
     lines = _lines(docs, text)
-    leaves = lines.select("leaf", "doc").distinct().groupBy("leaf").count().filter(F.col("count") >= MIN_DOCS)
-    leaves = stored(leaves.select("leaf"), "leaves")  # a plain table, so that a join with a heavy leaf can be split
-    held = lines.join(leaves, "leaf").withColumn("own", F.xxhash64("line"))
+    # What begins a line in fewer documents cannot recur; the others are counted and led to their leaves.
+    heads = lines.select("head", "doc").distinct().groupBy("head").count().filter(F.col("count") >= MIN_DOCS)
+    heads = stored(heads.select("head"), "heads")  # a plain table, so that a join with a heavy one can be split
+    held = lines.join(heads, "head").withColumn("n", _tokens(F.col("line")))
+    held = held.withColumn("leaf", F.xxhash64("n", "head")).withColumn("own", F.xxhash64("line"))
     held = stored(held.select("leaf", "own", "line", "n", "doc_id", "doc", "at"), "lines")
     distinct = held.groupBy("leaf", "own", "doc").agg(F.min("line").alias("line"), F.min("n").alias("n"))
     distinct = distinct.groupBy("leaf", "own").agg(
@@ -113,7 +128,7 @@ def recurring(docs: DataFrame, text: str = "text") -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("doc"))).alias("first")
     per_doc = held.groupBy("template", "doc").agg(F.min("doc_id").alias("doc_id"))
     shared = per_doc.groupBy("template").agg(F.count("*").alias("docs"), first).filter(F.col("docs") >= MIN_DOCS)
-    shared = stored(shared.select("template", F.col("first.doc").alias("first")), "templates")  # as the leaves
+    shared = stored(shared.select("template", F.col("first.doc").alias("first")), "templates")  # as the heads
     again = held.join(shared, "template")
     again = again.filter(F.col("doc") != F.col("first"))
     return again.groupBy("doc").agg(F.collect_set("at").alias("dropped"))
