@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dockledger.functions.columns import DEFAULT_UNIT, NO_TEXT, long_date, quantity_text, text_or
@@ -101,9 +101,16 @@ def delivery_sheet_nested(
     lines = delivery_sheet(t, receipts, rows).drop("qty_text")
     part = (F.floor((F.col("line_no") - 1) / rows_per_part) + 1).cast("long")
     line = F.struct("line_no", "item_code", "item_name", "qty", "unit")
+    hot = t.hot("prov_line", "receipt_no")
+    if hot is None:
+        lines = lines.repartition("receipt_no")  # one shuffle for the parts and what they are told of the receipt
     parts = lines.groupBy("receipt_no", part.alias("part")).agg(
         F.sort_array(F.collect_list(line)).alias("lines"), F.sum("qty").alias("part_qty")
     )
+    if hot is None:
+        sheet = Window.partitionBy("receipt_no")
+        told = {"total_qty": F.sum("part_qty").over(sheet), "part_count": F.max("part").over(sheet)}
+        return parts.withColumns(told).withColumn("total_text", quantity_text("total_qty"))
     whole = parts.groupBy("receipt_no").agg(
         F.sum("part_qty").alias("total_qty"), F.max("part").alias("part_count")
     )
