@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dockledger.functions.columns import (
+    CLOSED,
+    OPEN,
     PICKER_SEPARATOR,
     SUMMARY_SEPARATOR,
     compact_date,
@@ -286,15 +288,23 @@ def receipt_history(
     po_lines = _settled(po_lines, restrict)
     orders = po_lines.select("po_no").distinct() if restrict else po_lines
     po_all = _lines_of(t.po_line, orders, "po_no", restrict, t.hot("po_line", "po_no"))
+    # The status of the order comes with its lines; joined to the rows of the result, it would shuffle them once more.
+    rolled = F.when(F.col("status") == OPEN, OPEN).otherwise(CLOSED)  # in alphabetical order: open if one line is
+    po_all = po_all.select("po_no", "po_line_key", "status")
+    po_lines = with_group_min(po_all, ["po_no"], rolled, "po_status", spread_by=["po_line_key"], hot=t.hot("po_line", "po_no"))
     of_orders = skew_join(
-        lines, po_lines, ["po_line_key"],
+        lines, po_lines.drop("status"), ["po_line_key"],
         spread_by=_PROV_ID, hot=t.hot("prov_line", "po_line_key"), blank_matches=False,
     )
+    if hot is None:
+        # By receipt at once: its groups, the comparison of their first lines and its header then need no other shuffle.
+        of_orders = of_orders.repartition("receipt_no")
     groups = of_orders.groupBy("receipt_no", "po_no").agg(
         F.min(F.struct(F.length("line_seq").alias("digits"), "line_seq", "item_code")).alias("first"),
         F.count(F.lit(1)).alias("line_count"),
         F.max("updated_on").alias("last_update"),
         rolled_status("status").alias("status"),
+        F.max("po_status").alias("po_status"),
     )
     if summary_scope == "receipt_first":
         # Ranking is over the receipt, grouping over (receipt, PO): compare the first lines.
@@ -314,12 +324,7 @@ def receipt_history(
     )
     if search:
         named = named.filter(contains_any(["receipt_no", "po_no", "item_name"], search, mode))
-    po_status = blocks.status_rollup(po_all, "po_no").withColumnRenamed("status", "po_status")
-    hot_lines = t.hot("prov_line", "po_line_key")
-    # A blanket order that very many receipts deliver for: its lines are heavy among the receipts' lines.
-    order_of = t.po_line.select(F.col("po_line_key").alias("key"), F.col("po_no").alias("other"))
-    rows = skew_join(named, po_status, ["po_no"], spread_by=spread, hot=hot_lines and hot_lines.through(order_of))
-    result = rows.select(
+    result = named.select(
         "receipt_no",
         "due_date",
         "po_no",
@@ -383,8 +388,9 @@ def receipt_detail(
     announced = _of_keys(t.prov_line, lines, restrict, _PROV_ID, hot_keys)
     found = _with_balances(blocks.quantities(po_lines, received, announced))
     item = F.coalesce("item_code", F.lit("\u0000"))
-    rows, found = rows.withColumn("_item", item), found.withColumn("_item", item).drop("item_code")
+    rows, found = rows.withColumn("_item", item).drop("item_code"), found.withColumn("_item", item).drop("item_code")
     rows = skew_join(rows, found, ["po_line_key", "_item"], spread_by=_PROV_ID, hot=hot_pairs)
+    rows = rows.withColumn("item_code", F.when(F.col("_item") != "\u0000", F.col("_item"))).drop("_item")
     rows = rows.withColumn("open_provisional_qty", F.when(F.col("item_code").isNotNull(), F.col("open_provisional_qty")))
     rows = rows.select("*", F.explode_outer("balances").alias("balance")).select("*", "balance.*")
     units = blocks.item_with_unit(t).select("item_code", "item_name", "unit")
