@@ -12,12 +12,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from dockledger.functions.storage import stored
 
 HEAVY_ROWS = 2_000_000
 SALT_ROWS = 500_000  # rows of a heavy key for each salt
 BROADCAST_KEYS = 500_000  # heavy keys up to this number are broadcast, about 50 bytes each
+STAND_INS = 1 << 20  # stand-in keys over which rows without a key spread
 _SEPARATOR = "\u0000"
 
 
@@ -71,7 +73,7 @@ def skew_join(
     """Equi-join whose left side may have heavy, missing or blank keys.
 
     Left rows without a key match nothing, yet would all meet in one task: they get
-    a stand-in key made of `spread_by`, which starts with a NUL character that no
+    a stand-in key by a hash of `spread_by`, which starts with a NUL character that no
     real key has. The rows of a heavy key are dealt over its salts, and the right
     rows of that key go to each of them. The result has the left columns and the
     right columns that are not keys.
@@ -84,7 +86,8 @@ def skew_join(
     if not blank_matches:
         unmatched = unmatched | (F.col(first) == "")
     if how in ("left", "left_anti"):
-        stand_in = F.concat(F.lit(_SEPARATOR), F.concat_ws(_SEPARATOR, *spread_by))
+        # As many as spread over any number of tasks; the texts themselves would be shuffled twice.
+        stand_in = F.concat(F.lit(_SEPARATOR), F.pmod(F.xxhash64(*spread_by), F.lit(STAND_INS)).cast("string"))
         left_columns = [F.when(unmatched, stand_in).otherwise(F.col(first).cast("string")).alias("_key")]
     else:
         left_columns = [key]
@@ -92,7 +95,15 @@ def skew_join(
             left = left.filter(~unmatched)
     right_columns = [key, *[name for name in right.columns if name != first]]
     join_on = ["_key", *rest]
+    columns = left.columns
+    # Where the key that is joined tells the text it was made of, that text is not shuffled beside it.
+    told = how in ("left", "left_anti") and blank_matches and hot is None and isinstance(left.schema[first].dataType, StringType)
     left, right = left.select("*", *left_columns), right.select(*right_columns)
+    if told and first not in spread_by:
+        found = left.drop(first).join(right, join_on, how)
+        text = F.when(~F.col("_key").startswith(_SEPARATOR), F.col("_key")).alias(first)
+        added = [] if how == "left_anti" else [c for c in right_columns[1:] if c not in rest]
+        return found.select(*[text if c == first else c for c in columns], *added)
     if hot is not None:
         known = hot.salts("_heavy", "_salts")
         left = left.withColumn("_joined", joined_key(on)).join(known, F.col("_joined") == F.col("_heavy"), "left")
