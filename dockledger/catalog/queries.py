@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from dockledger.functions import columns as c
 from dockledger.functions.skew import skew_join
-from dockledger.functions.storage import shared_folder
+from dockledger.functions.storage import shared_folder, stored
 from dockledger.operators import blocks, grid, search_index, sheet, worksheet, writes
 from dockledger.plans import exports, reads, versions
 from dockledger.sources import requests
@@ -29,9 +29,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 def query(make: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
     """Registers a function of the tables under its name."""
-    ON_TABLES[make.__name__] = make
-    QUERIES[make.__name__] = lambda spark, sf_dir: make(sample_tables(spark, sf_dir))
-    return make
+    return query_reading()(make)
+
+
+def query_reading(again: str = "") -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
+    """The same for a query that reads tables of lines more than once: the step they are derived by runs once."""
+
+    def register(make: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        ON_TABLES[make.__name__] = make
+        QUERIES[make.__name__] = lambda spark, sf_dir: make(sample_tables(spark, sf_dir, again))
+        return make
+
+    return register
 
 
 # Reads
@@ -95,12 +104,12 @@ def po_picker_year(t: Tables) -> DataFrame:
     return reads.po_picker(t, date_from=YEAR[0], date_to=YEAR[1], search=SEARCH, separator=c.SUMMARY_SEPARATOR)
 
 
-@query
+@query_reading("shipments")
 def po_line_status(t: Tables) -> DataFrame:
     return reads.po_line_status(t)
 
 
-@query
+@query_reading("shipments")
 def po_line_status_raw(t: Tables) -> DataFrame:
     return reads.po_line_status_raw(t)
 
@@ -141,24 +150,24 @@ def receipt_history_supplier(t: Tables) -> DataFrame:
     return reads.receipt_history(t, supplier=7)
 
 
-@query
+@query_reading("numbered")
 def receipt_detail(t: Tables) -> DataFrame:
     return reads.receipt_detail(t)
 
 
-@query
+@query_reading("numbered")
 def receipt_detail_open(t: Tables) -> DataFrame:
     return reads.receipt_detail(t, status="N")
 
 
-@query
+@query_reading("numbered")
 def receipt_detail_batch(t: Tables) -> DataFrame:
     """Details of every receipt that is not closed, which is most of them."""
     status = blocks.status_rollup(t.prov_line, "receipt_no")
     return reads.receipt_detail(t, receipts=status.filter(F.col("status") == c.OPEN), narrow=False)
 
 
-@query
+@query_reading("numbered")
 def receipt_detail_closed(t: Tables) -> DataFrame:
     """Details of the few closed receipts."""
     status = blocks.status_rollup(t.prov_line, "receipt_no")
@@ -235,7 +244,7 @@ def trim_join_items(t: Tables) -> DataFrame:
 @query
 def receipt_history_by_month(t: Tables) -> DataFrame:
     """The receipt history written by month and read back."""
-    history = reads.receipt_history(t, ordered=False)
+    history = stored(reads.receipt_history(t, ordered=False), "history")  # read twice to be written
     path = f"{shared_folder(history.sparkSession)}/history-{uuid.uuid4().hex}"
     exports.write_by_month(history, path, "due_date")
     schema = T.StructType([*history.schema.fields, T.StructField("month", T.StringType())])
@@ -267,7 +276,7 @@ def worksheet_add_items(t: Tables) -> DataFrame:
     return worksheet.worksheet_add_items(_worksheet(t), picked, AS_OF)
 
 
-@query
+@query_reading("shipments")
 def worksheet_remove_items(t: Tables) -> DataFrame:
     """Every worksheet without its order's first item."""
     return worksheet.worksheet_remove_items(_worksheet(t), _first_items(t))
@@ -312,7 +321,7 @@ def status_label(t: Tables) -> DataFrame:
     )
 
 
-@query
+@query_reading("numbered")
 def bulk_status_change(t: Tables) -> DataFrame:
     """Closes all lines that were never updated."""
     keys = t.prov_line.filter(F.col("updated_on").isNull())
@@ -449,11 +458,11 @@ def rejected_edits(t: Tables) -> DataFrame:
     return requests.rejected_edits(_odd_edits(t))
 
 
-@query
+@query_reading("numbered")
 def edit_outcomes(t: Tables) -> DataFrame:
     """What every edit document is answered: the number of lines it changes, or the reason why not."""
-    documents = _odd_edits(t)
-    accepted = requests.explode_edits(requests.accepted_edits(documents))
+    documents = stored(_odd_edits(t), "edit-documents")
+    accepted = stored(requests.explode_edits(requests.accepted_edits(documents)), "edits")
     return versions.edit_outcomes(t, accepted, requests.rejected_edits(documents))
 
 
@@ -494,15 +503,16 @@ def explode_deletes(t: Tables) -> DataFrame:
 
 
 def _register(t: Tables) -> writes.Registration:
-    return writes.register_receipts(t, _registrations(t), as_of=AS_OF)
+    requested = stored(_registrations(t), "requested-items")  # grouped and numbered
+    return writes.register_receipts(t, requested, as_of=AS_OF)
 
 
-@query
+@query_reading("shipments")
 def register_receipts(t: Tables) -> DataFrame:
     return _register(t).lines
 
 
-@query
+@query_reading("shipments")
 def register_receipts_headers(t: Tables) -> DataFrame:
     new = _register(t)
     return new.headers.join(new.contacts, "receipt_no")
@@ -527,14 +537,14 @@ def _edits(t: Tables) -> DataFrame:
     )
 
 
-@query
+@query_reading("numbered")
 def edit_receipt_lines(t: Tables) -> DataFrame:
     return writes.edit_receipt_lines(t, _edits(t))
 
 
-@query
+@query_reading("numbered")
 def edit_match_count(t: Tables) -> DataFrame:
-    return writes.edit_match_count(t, _edits(t))
+    return writes.edit_match_count(t, stored(_edits(t), "edits"))
 
 
 def _deletes(t: Tables) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dockledger.functions import skew
 from dockledger.functions.columns import line_key
+from dockledger.functions.storage import stored
 from dockledger.tables import QUANTITY, TABLE_NAMES, Tables
 
 # Item type and unit codes of the test data, with their names.
@@ -63,8 +64,8 @@ _LINE_ID = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedp
 class _Sample:
     """One folder of test data; every method derives one table or a shared step."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, again: str = "") -> None:
+        self.spark, self.sf_dir, self.again = spark, sf_dir, (again,) if again else ()
 
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -129,30 +130,49 @@ class _Sample:
     @cached_property
     def shipments(self) -> DataFrame:
         """Lines with their customer and the smallest part of their order line."""
-        smallest = self.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("min_part"))
-        lines = self.lineitem.join(self.customers, "l_orderkey")
-        return lines.join(smallest, ["l_orderkey", "l_linenumber"])
+        # Shuffled once: what is grouped by order and line number, and joined by order, stays where its order is.
+        of_line = Window.partitionBy("l_orderkey", "l_linenumber")
+        lines = self.lineitem.repartition("l_orderkey").withColumn("min_part", F.min("l_partkey").over(of_line))
+        return lines.join(self.customers, "l_orderkey")
+
+    @cached_property
+    def delivered(self) -> DataFrame:
+        """Shipments as they are received and announced, stored if several tables are made of them."""
+        lines = self.shipments.select(
+            "o_custkey", "l_orderkey", *_LINE_ID, "l_linestatus", "l_returnflag", "l_shipdate", "min_part"
+        )
+        return stored(lines, "shipments") if "shipments" in self.again else lines
+
+    @cached_property
+    def numbered(self) -> DataFrame:
+        """The same with receipt number and position in the receipt, stored if they are read more than once."""
+        lines = self.delivered.withColumn("receipt_no", _receipt_no(F.col("o_custkey"), F.year("l_shipdate")))
+        lines = skew.number_within(lines, ["receipt_no"], ["l_orderkey", *_LINE_ID], "position")
+        return stored(lines.drop("l_extendedprice"), "numbered-shipments") if "numbered" in self.again else lines
 
     def receipt_line(self) -> DataFrame:
-        return self.shipments.filter(F.col("l_linestatus") == "F").select(
+        lines = self.numbered if "numbered" in self.again else self.delivered
+        return lines.filter(F.col("l_linestatus") == "F").select(
             _line_key().alias("po_line_key"),
             _delivered_item().alias("item_code"),
             F.col("l_quantity").cast(QUANTITY).alias("qty"),
             _actual_no().alias("actual_no"),
         )
 
+    def _customer_lines(self) -> DataFrame:
+        """Lines with their customer, from where they are stored already."""
+        if "numbered" in self.again:
+            return self.numbered
+        return self.delivered if "shipments" in self.again else self.lineitem.join(self.customers, "l_orderkey")
+
     def receipt_header(self) -> DataFrame:
-        received = self.lineitem.filter(F.col("l_linestatus") == "F").join(self.customers, "l_orderkey", "left_semi")
-        suppliers = received.select("l_suppkey").distinct()
+        received = self._customer_lines() if self.again else self.lineitem.join(self.customers, "l_orderkey", "left_semi")
+        suppliers = received.filter(F.col("l_linestatus") == "F").select("l_suppkey").distinct()
         return suppliers.select(_actual_no().alias("actual_no"), F.lit("1").alias("receipt_type"))
 
     def prov_line(self) -> DataFrame:
-        lines = self.shipments.withColumn(
-            "receipt_no", _receipt_no(F.col("o_custkey"), F.year("l_shipdate"))
-        )
-        lines = skew.number_within(lines, ["receipt_no"], ["l_orderkey", *_LINE_ID], "position")
         orphan = (F.col("l_linenumber") == 7) & (F.col("l_returnflag") == "R")
-        return lines.select(
+        return self.numbered.select(
             "receipt_no",
             _padded(F.col("position"), 4).alias("line_seq"),
             F.when(orphan, "").otherwise(_line_key()).alias("po_line_key"),
@@ -163,9 +183,7 @@ class _Sample:
         )
 
     def prov_header(self) -> DataFrame:
-        grouped = self.lineitem.join(self.customers, "l_orderkey").groupBy(
-            F.col("o_custkey").alias("supplier_code"), F.year("l_shipdate").alias("year")
-        )
+        grouped = self._customer_lines().groupBy(F.col("o_custkey").alias("supplier_code"), F.year("l_shipdate").alias("year"))
         dates = grouped.agg(
             F.to_date(F.min("l_shipdate")).alias("saved_on"), F.to_date(F.max("l_shipdate")).alias("due_date")
         )
@@ -180,6 +198,11 @@ class _Sample:
         )
 
 
-def sample_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    sample = _Sample(spark, sf_dir)
+def sample_tables(spark: SparkSession, sf_dir: str, again: str = "") -> Tables:
+    """The tables, each derived when it is used.
+
+    For a query that reads tables of lines more than once `again` names the step that they share, which is then stored:
+    `shipments`, or `numbered` where they have the lines' numbers in the receipt too.
+    """
+    sample = _Sample(spark, sf_dir, again)
     return Tables({name: getattr(sample, name) for name in TABLE_NAMES})
