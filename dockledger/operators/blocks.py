@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dockledger.functions.columns import OPEN, rolled_status
-from dockledger.functions.skew import HeavyKeys, skew_join
+from dockledger.functions.skew import STAND_INS, HeavyKeys, skew_join
 from dockledger.tables import QUANTITY, Tables, no_quantity
 
 # Code groups and the item types that are bought.
@@ -138,7 +138,7 @@ def quantities(po_lines: DataFrame, receipt_lines: DataFrame, prov_lines: DataFr
 
     every = tagged(po_lines, "ordered").unionByName(tagged(receipt_lines, "received")).unionByName(tagged(prov_lines, "provisional"))
     added = every.groupBy("po_line_key", "item_code").agg(*[F.sum(c).alias(c) for c in ("ordered", "received", "provisional", "open")])
-    received = F.coalesce("received", no_quantity())
+    received = F.coalesce(F.when(F.col("item_code").isNotNull(), F.col("received")), no_quantity())
     return added.select(
         "po_line_key",
         "item_code",
@@ -148,3 +148,45 @@ def quantities(po_lines: DataFrame, receipt_lines: DataFrame, prov_lines: DataFr
         F.col("provisional").alias("provisional_qty"),
         F.col("open").alias("open_provisional_qty"),
     )
+
+
+# Kinds of lines that meet by key: shown only, and those whose quantity is ordered, received or announced.
+SHOWN, ORDERED, RECEIVED, ANNOUNCED = range(4)
+
+
+def meeting_key() -> Column:
+    """Key by which lines of all kinds meet. Hand-added lines share the blank key: they meet by item."""
+    return F.when(F.col("po_line_key") == "", F.concat(F.lit("\u0000"), F.coalesce("item_code", F.lit("")))).otherwise(F.col("po_line_key"))
+
+
+def met_key(key: str) -> Column:
+    """The key of a line of an order from the one by which it met."""
+    return F.when(F.col(key).startswith("\u0000"), "").otherwise(F.col(key))
+
+
+def tagged(lines: DataFrame, kind: int, no_item: bool = False) -> DataFrame:
+    """Lines as `meet` takes them. Without a key they count nowhere, without an item only if `no_item` says so."""
+    counted = lines if no_item else lines.filter(F.col("item_code").isNotNull())
+    spread = F.concat(F.lit("\u0000\u0000"), F.pmod(F.xxhash64("item_code", "qty"), F.lit(STAND_INS)).cast("string"))
+    return counted.select(F.coalesce(meeting_key(), spread).alias("_line_key"), "item_code", "qty", F.lit(kind).alias("_kind"))
+
+
+def meet(lines: DataFrame, key: str) -> DataFrame:
+    """Lines of all kinds with `balances` of their key, one for each item ordered under it, and the quantity `announced`
+    of key and item, NULL where there is none.
+
+    The key is all they are shuffled by. Receipts of another item do not count.
+    """
+    qty = F.coalesce("qty", no_quantity())
+    of_item, of_key = Window.partitionBy(key, "item_code"), Window.partitionBy(key)
+    added = {kind: F.sum(F.when(F.col("_kind") == kind, qty)).over(of_item) for kind in (ORDERED, RECEIVED, ANNOUNCED)}
+    rows = lines.repartition(key).select("*", *[added[k].alias(f"_added_{k}") for k in added])
+    ordered, received = F.col(f"_added_{ORDERED}"), F.coalesce(f"_added_{RECEIVED}", no_quantity())
+    balance = F.struct(
+        "item_code", ordered.alias("ordered_qty"), received.alias("received_qty"), (ordered - received).alias("outstanding_qty")
+    )
+    # The lines of one item have equal balances: as a set, each is there once.
+    balances = F.collect_set(F.when(F.col("_kind") == ORDERED, balance)).over(of_key)
+    rows = rows.select("*", balances.alias("_balances"))
+    balances = F.transform("_balances", lambda x: F.struct(*[x[c].alias(c) for c in ("ordered_qty", "received_qty", "outstanding_qty")]))
+    return rows.select(*lines.columns, balances.alias("balances"), F.col(f"_added_{ANNOUNCED}").alias("announced"))

@@ -31,7 +31,7 @@ from dockledger.functions.columns import (
     rolled_status,
     status_code,
 )
-from dockledger.functions.skew import HeavyKeys, fan_out_join, skew_join, with_group_min
+from dockledger.functions.skew import STAND_INS, HeavyKeys, fan_out_join, skew_join, with_group_min
 from dockledger.functions.storage import stored
 from dockledger.operators import blocks, search_index
 from dockledger.tables import Tables
@@ -210,18 +210,12 @@ def _line_status(
     hot_pos, hot_items = t.hot("po_line", "po_no"), t.hot("po_line", "item_code")
     receipts = _of_keys(t.receipt_line, lines, restrict, _RECEIPT_ID, t.hot("receipt_line", "po_line_key"))
     announced = _of_keys(t.prov_line, lines, restrict, _PROV_ID, t.hot("prov_line", "po_line_key"))
-    balance = blocks.quantities(lines, receipts, announced).filter(F.col("ordered_qty").isNotNull())
-    balance = balance.select(F.col("po_line_key").alias("balance_key"), F.col("item_code").alias("balance_item"), "ordered_qty", "received_qty", "outstanding_qty", "provisional_qty")
-    # One key for all that is joined to the lines: they are shuffled by it once. A line without a key has one of its own.
-    spread = F.concat(F.lit("\u0000"), F.concat_ws("\u0000", "po_no", "item_code"))
-    rows = lines.select("po_no", "po_line_key", "item_code", "status", F.coalesce("po_line_key", spread).alias("_line_key"))
-    rows = rows.join(balance.withColumn("_line_key", F.col("balance_key")), "_line_key", "left")
-    # Different lines can have the same glued key: what is announced is of the line's own item, the balance of the key.
-    same = F.when(F.col("balance_item") == F.col("item_code"), F.col("provisional_qty"))
-    rows = rows.withColumn("provisional_qty", F.max(same).over(Window.partitionBy("_line_key", "item_code"))).drop("balance_item")
+    lines = lines.select("po_no", "po_line_key", "item_code", "status", "qty")
+    rows = _lines_with_quantities if _no_heavy_lines(t) else _lines_by_join
+    rows = rows(lines, receipts, announced)
     if with_receipts:
         rows = _with_receipts(t, rows, receipts)
-    rows = fan_out_join(headers.select("po_no", "po_date"), rows.drop("_line_key", "po_line_key"), "po_no", spread_by=["balance_key"], hot=hot_pos)
+    rows = fan_out_join(headers.select("po_no", "po_date"), rows.drop("_line_key"), "po_no", spread_by=["balance_key"], hot=hot_pos)
     spread_by = ["po_no", "balance_key"]
     rows = skew_join(rows, blocks.item_with_unit(t), ["item_code"], spread_by=spread_by, hot=hot_items)
     return rows.select(
@@ -231,6 +225,45 @@ def _line_status(
     )
 
 
+def _no_heavy_lines(t: Tables) -> bool:
+    return all(t.hot(table, "po_line_key") is None for table in ("po_line", "receipt_line", "prov_line"))
+
+
+def _lines_with_quantities(lines: DataFrame, receipts: DataFrame, announced: DataFrame) -> DataFrame:
+    """Each line with every balance of its key and what is announced of its item: all lines meet by key in one shuffle."""
+    spread = F.concat(F.lit("\u0000\u0000"), F.concat_ws("\u0000", "po_no", "item_code"))
+    keyed = F.col("po_line_key").isNotNull()
+    # A key starts with its order's number, which is then not sent beside it.
+    own = F.startswith("po_line_key", "po_no")
+    shown = lines.select(
+        F.when(keyed, blocks.meeting_key()).otherwise(spread).alias("_line_key"), "item_code", "qty",
+        F.when(keyed, blocks.ORDERED).otherwise(blocks.SHOWN).alias("_kind"), F.lit(True).alias("_shown"), "status",
+        F.when(own & (F.col("po_line_key") != ""), F.length("po_no")).alias("_digits"),
+        F.when(~F.coalesce(own, F.lit(False)) | (F.col("po_line_key") == ""), F.col("po_no")).alias("_po_no"),
+    )
+    other = blocks.tagged(receipts, blocks.RECEIVED).unionByName(blocks.tagged(announced, blocks.ANNOUNCED))
+    met = blocks.meet(shown.unionByName(other, allowMissingColumns=True), "_line_key").filter("_shown")
+    rows = met.select("*", F.explode_outer("balances").alias("balance"))
+    return rows.select(
+        "_line_key", "item_code", "status", F.coalesce("_po_no", F.expr("left(_line_key, _digits)")).alias("po_no"),
+        F.when(F.col("balance").isNotNull(), blocks.met_key("_line_key")).alias("balance_key"),
+        "balance.ordered_qty", "balance.received_qty", "balance.outstanding_qty", F.col("announced").alias("provisional_qty"),
+    )
+
+
+def _lines_by_join(lines: DataFrame, receipts: DataFrame, announced: DataFrame) -> DataFrame:
+    """The same where single keys hold very many lines."""
+    balance = blocks.quantities(lines, receipts, announced).filter(F.col("ordered_qty").isNotNull())
+    balance = balance.select(F.col("po_line_key").alias("balance_key"), F.col("item_code").alias("balance_item"), "ordered_qty", "received_qty", "outstanding_qty", "provisional_qty")
+    # One key for all that is joined to the lines: they are shuffled by it once. A line without a key has one of its own.
+    spread = F.concat(F.lit("\u0000"), F.concat_ws("\u0000", "po_no", "item_code"))
+    rows = lines.select("po_no", "item_code", "status", F.coalesce("po_line_key", spread).alias("_line_key"))
+    rows = rows.join(balance.withColumn("_line_key", F.col("balance_key")), "_line_key", "left")
+    # Different lines can have the same glued key: what is announced is of the line's own item, the balance of the key.
+    same = F.when(F.col("balance_item") == F.col("item_code"), F.col("provisional_qty"))
+    return rows.withColumn("provisional_qty", F.max(same).over(Window.partitionBy("_line_key", "item_code"))).drop("balance_item")
+
+
 def _with_receipts(t: Tables, rows: DataFrame, receipts: DataFrame) -> DataFrame:
     """Each line once for every actual receipt of it and each of that receipt's headers, once if there is none."""
     hot = t.hot("receipt_line", "po_line_key")
@@ -350,6 +383,32 @@ def _with_balances(quantities: DataFrame) -> DataFrame:
     return found.select("po_line_key", "item_code", "open_provisional_qty", "balances")
 
 
+def _details_by_join(rows: DataFrame, found: DataFrame, hot: HeavyKeys | None) -> DataFrame:
+    """Lines with every balance of their key and the open quantity of key and item, where single keys hold very many lines."""
+    item = F.coalesce("item_code", F.lit("\u0000"))
+    rows, found = rows.withColumn("_item", item).drop("item_code"), found.withColumn("_item", item).drop("item_code")
+    rows = skew_join(rows, found, ["po_line_key", "_item"], spread_by=_PROV_ID, hot=hot)
+    rows = rows.withColumn("item_code", F.when(F.col("_item") != "\u0000", F.col("_item"))).drop("_item")
+    rows = rows.withColumn("open_provisional_qty", F.when(F.col("item_code").isNotNull(), F.col("open_provisional_qty")))
+    return rows.select("*", F.explode_outer("balances").alias("balance")).select("*", "balance.*")
+
+
+def _details_with_quantities(rows: DataFrame, po_lines: DataFrame, receipts: DataFrame, announced: DataFrame) -> DataFrame:
+    """The same: all lines meet by key in one shuffle."""
+    spread = F.concat(F.lit("\u0000\u0000"), F.pmod(F.xxhash64(*_PROV_ID), F.lit(STAND_INS)).cast("string"))
+    shown = rows.select(
+        F.coalesce(blocks.meeting_key(), spread).alias("_line_key"), "item_code", "qty", F.lit(blocks.SHOWN).alias("_kind"),
+        F.lit(True).alias("_shown"), "status", "receipt_no", "due_date", "line_seq",
+    )
+    ordered = blocks.tagged(po_lines, blocks.ORDERED, no_item=True).unionByName(blocks.tagged(receipts, blocks.RECEIVED))
+    # Of the blank key there is no balance.
+    other = ordered.filter(~F.col("_line_key").startswith("\u0000"))
+    other = other.unionByName(blocks.tagged(announced.filter(F.col("status") == OPEN), blocks.ANNOUNCED))
+    met = blocks.meet(shown.unionByName(other, allowMissingColumns=True), "_line_key").filter("_shown")
+    met = met.withColumnRenamed("announced", "open_provisional_qty").select("*", F.explode_outer("balances").alias("balance"))
+    return met.select("*", F.when(F.col("balance").isNotNull(), F.col("_line_key")).alias("balance_key"), "balance.*")
+
+
 def receipt_detail(
     t: Tables,
     supplier: Any = None,
@@ -386,13 +445,10 @@ def receipt_detail(
     po_lines = _of_keys(t.po_line, lines, restrict, ["line_seq", "item_code"], None)
     received = _of_keys(t.receipt_line, lines, restrict, _RECEIPT_ID, t.hot("receipt_line", "po_line_key"))
     announced = _of_keys(t.prov_line, lines, restrict, _PROV_ID, hot_keys)
-    found = _with_balances(blocks.quantities(po_lines, received, announced))
-    item = F.coalesce("item_code", F.lit("\u0000"))
-    rows, found = rows.withColumn("_item", item).drop("item_code"), found.withColumn("_item", item).drop("item_code")
-    rows = skew_join(rows, found, ["po_line_key", "_item"], spread_by=_PROV_ID, hot=hot_pairs)
-    rows = rows.withColumn("item_code", F.when(F.col("_item") != "\u0000", F.col("_item"))).drop("_item")
-    rows = rows.withColumn("open_provisional_qty", F.when(F.col("item_code").isNotNull(), F.col("open_provisional_qty")))
-    rows = rows.select("*", F.explode_outer("balances").alias("balance")).select("*", "balance.*")
+    if _no_heavy_lines(t):
+        rows = _details_with_quantities(rows, po_lines, received, announced)
+    else:
+        rows = _details_by_join(rows, _with_balances(blocks.quantities(po_lines, received, announced)), hot_pairs)
     units = blocks.item_with_unit(t).select("item_code", "item_name", "unit")
     rows = skew_join(rows, units, ["item_code"], spread_by=_PROV_ID, hot=t.hot("prov_line", "item_code"))
     return rows.select(
