@@ -44,10 +44,29 @@ def _line_key() -> Column:
     return F.concat(_po_no("l_orderkey"), _padded(F.col("l_linenumber"), 4))
 
 
+# What is read of a line's status and return flag, as bits beside its number in the order.
+_RECEIVED, _RETURNED, _ACCEPTED = 1, 2, 4
+_NO_NUMBER = 1 << 40
+
+
+def _place() -> Column:
+    bits = {_RECEIVED: F.col("l_linestatus") == "F", _RETURNED: F.col("l_returnflag") == "R", _ACCEPTED: F.col("l_returnflag") == "A"}
+    state = sum((F.when(holds, bit).otherwise(0) for bit, holds in bits.items()), F.lit(0))
+    return F.coalesce(F.col("l_linenumber").cast("long"), F.lit(_NO_NUMBER)) * 8 + state
+
+
+def _is(bit: int) -> Column:
+    return F.col("place").bitwiseAND(bit) != 0
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    number = F.shiftright("place", 3)
+    return lines.withColumn("l_linenumber", F.when(number != _NO_NUMBER, number))
+
+
 def _delivered_item() -> Column:
     """A returned line was delivered with another part than ordered."""
-    returned = F.col("l_returnflag") == "R"
-    return _item_code(F.when(returned, F.col("l_partkey")).otherwise(F.col("min_part")))
+    return _item_code(F.when(_is(_RETURNED), F.col("l_partkey")).otherwise(F.coalesce("other_part", "l_partkey")))
 
 
 def _actual_no() -> Column:
@@ -58,7 +77,7 @@ def _receipt_no(customer: Column, year: Column) -> Column:
     return F.concat(F.lit("G"), _padded(customer, 6), year.cast("string"))
 
 
-_LINE_ID = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+_SHIPMENT_ID = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
 
 class _Sample:
@@ -106,22 +125,40 @@ class _Sample:
         )
 
     def po_line(self) -> DataFrame:
-        grouped = self.lineitem.groupBy("l_orderkey", "l_linenumber").agg(
+        if "lines" in self.again:  # lines without an order number are no shipments
+            lines = self._grouped(self.by_order).unionByName(self._grouped(self._lines().filter(F.col("l_orderkey").isNull())))
+        else:
+            lines = self._grouped(self._lines())
+        return lines.withColumn("po_line_key", line_key("po_no", "line_seq"))
+
+    def _grouped(self, lines: DataFrame) -> DataFrame:
+        grouped = _numbered(lines).groupBy("l_orderkey", "l_linenumber").agg(
             F.min("l_partkey").alias("min_part"),
             F.max("l_quantity").alias("qty"),
             F.max("l_shipdate").alias("last_ship"),
-            F.max(F.when(F.col("l_linestatus") == "F", 0).otherwise(1)).alias("any_open"),
+            F.max(F.when(_is(_RECEIVED), 0).otherwise(1)).alias("any_open"),
         )
         stray_blank = (F.col("l_linenumber") == 3) & (F.col("min_part") % 10 == 0)
-        lines = grouped.select(
+        return grouped.select(
             _po_no("l_orderkey").alias("po_no"),
             _padded(F.col("l_linenumber"), 4).alias("line_seq"),
             F.concat(F.when(stray_blank, " ").otherwise(""), _item_code(F.col("min_part"))).alias("item_code"),
             F.col("qty").cast(QUANTITY).alias("qty"),
-            F.to_date("last_ship").alias("delivery_date"),
+            F.col("last_ship").alias("delivery_date"),
             F.when(F.col("any_open") == 1, "N").otherwise("Y").alias("status"),
         )
-        return lines.withColumn("po_line_key", line_key("po_no", "line_seq"))
+
+    def _lines(self) -> DataFrame:
+        """Lines in few bytes: they are shuffled more than once. Their number and state are one column, so that tables
+        made of one and the other read the same columns."""
+        return self.lineitem.select(
+            "l_orderkey", _place().alias("place"), *_SHIPMENT_ID, F.to_date("l_shipdate").alias("l_shipdate")
+        )
+
+    @cached_property
+    def by_order(self) -> DataFrame:
+        """Lines dealt by order. Tables of one query that read the same columns of them share this shuffle."""
+        return self._lines().filter(F.col("l_orderkey").isNotNull()).repartition("l_orderkey")
 
     @cached_property
     def customers(self) -> DataFrame:
@@ -132,27 +169,33 @@ class _Sample:
         """Lines with their customer and the smallest part of their order line."""
         # Shuffled once: what is grouped by order and line number, and joined by order, stays where its order is.
         of_line = Window.partitionBy("l_orderkey", "l_linenumber")
-        lines = self.lineitem.repartition("l_orderkey").withColumn("min_part", F.min("l_partkey").over(of_line))
+        # Shipments of one order line are all here: their place among them is sent on, not what they are ordered by.
+        lines = _numbered(self.by_order).withColumn("nth", F.row_number().over(of_line.orderBy(*_SHIPMENT_ID)))
+        lines = lines.withColumn("min_part", F.min("l_partkey").over(of_line))
+        # Most lines have the smallest part themselves; it is not sent twice.
+        other = F.when(~F.col("min_part").eqNullSafe(F.col("l_partkey")), F.col("min_part"))
+        lines = lines.withColumn("other_part", other).drop("min_part", "l_linenumber", "l_extendedprice")
         return lines.join(self.customers, "l_orderkey")
 
     @cached_property
     def delivered(self) -> DataFrame:
         """Shipments as they are received and announced, stored if several tables are made of them."""
-        lines = self.shipments.select(
-            "o_custkey", "l_orderkey", *_LINE_ID, "l_linestatus", "l_returnflag", "l_shipdate", "min_part"
-        )
+        lines = self.shipments
         return stored(lines, "shipments") if "shipments" in self.again else lines
 
     @cached_property
     def numbered(self) -> DataFrame:
         """The same with receipt number and position in the receipt, stored if they are read more than once."""
-        lines = self.delivered.withColumn("receipt_no", _receipt_no(F.col("o_custkey"), F.year("l_shipdate")))
-        lines = skew.number_within(lines, ["receipt_no"], ["l_orderkey", *_LINE_ID], "position")
-        return stored(lines.drop("l_extendedprice"), "numbered-shipments") if "numbered" in self.again else lines
+        number = _receipt_no(F.col("o_custkey"), F.year("l_shipdate"))
+        # To be stored they are dealt by the number, which is made where they arrive. Else tables without it leave it out.
+        lines = self.delivered.repartition(number) if "numbered" in self.again else self.delivered
+        lines = _numbered(lines).withColumn("receipt_no", number)
+        lines = skew.number_within(lines, ["receipt_no"], ["l_orderkey", "l_linenumber", "nth"], "position")
+        return stored(lines.drop("nth", "l_linenumber"), "numbered-shipments") if "numbered" in self.again else lines
 
     def receipt_line(self) -> DataFrame:
         lines = self.numbered if "numbered" in self.again else self.delivered
-        return lines.filter(F.col("l_linestatus") == "F").select(
+        return _numbered(lines).filter(_is(_RECEIVED)).select(
             _line_key().alias("po_line_key"),
             _delivered_item().alias("item_code"),
             F.col("l_quantity").cast(QUANTITY).alias("qty"),
@@ -163,29 +206,29 @@ class _Sample:
         """Lines with their customer, from where they are stored already."""
         if "numbered" in self.again:
             return self.numbered
-        return self.delivered if "shipments" in self.again else self.lineitem.join(self.customers, "l_orderkey")
+        return self.delivered if "shipments" in self.again else self._lines().join(self.customers, "l_orderkey")
 
     def receipt_header(self) -> DataFrame:
-        received = self._customer_lines() if self.again else self.lineitem.join(self.customers, "l_orderkey", "left_semi")
-        suppliers = received.filter(F.col("l_linestatus") == "F").select("l_suppkey").distinct()
+        received = self._customer_lines() if self.again else self._lines().join(self.customers, "l_orderkey", "left_semi")
+        suppliers = received.filter(_is(_RECEIVED)).select("l_suppkey").distinct()
         return suppliers.select(_actual_no().alias("actual_no"), F.lit("1").alias("receipt_type"))
 
     def prov_line(self) -> DataFrame:
-        orphan = (F.col("l_linenumber") == 7) & (F.col("l_returnflag") == "R")
-        return self.numbered.select(
+        orphan = (F.col("l_linenumber") == 7) & _is(_RETURNED)
+        return _numbered(self.numbered).select(
             "receipt_no",
             _padded(F.col("position"), 4).alias("line_seq"),
             F.when(orphan, "").otherwise(_line_key()).alias("po_line_key"),
             _delivered_item().alias("item_code"),
             F.col("l_quantity").cast(QUANTITY).alias("qty"),
-            F.when(F.col("l_linestatus") == "F", "Y").otherwise("N").alias("status"),
-            F.when(F.col("l_returnflag") != "A", F.to_date("l_shipdate")).alias("updated_on"),
+            F.when(_is(_RECEIVED), "Y").otherwise("N").alias("status"),
+            F.when(~_is(_ACCEPTED), F.col("l_shipdate")).alias("updated_on"),
         )
 
     def prov_header(self) -> DataFrame:
         grouped = self._customer_lines().groupBy(F.col("o_custkey").alias("supplier_code"), F.year("l_shipdate").alias("year"))
         dates = grouped.agg(
-            F.to_date(F.min("l_shipdate")).alias("saved_on"), F.to_date(F.max("l_shipdate")).alias("due_date")
+            F.min("l_shipdate").alias("saved_on"), F.max("l_shipdate").alias("due_date")
         )
         number = _receipt_no(F.col("supplier_code"), F.col("year"))
         return dates.select(number.alias("receipt_no"), "supplier_code", "saved_on", "due_date")
@@ -202,7 +245,8 @@ def sample_tables(spark: SparkSession, sf_dir: str, again: str = "") -> Tables:
     """The tables, each derived when it is used.
 
     For a query that reads tables of lines more than once `again` names the step that they share, which is then stored:
-    `shipments`, or `numbered` where they have the lines' numbers in the receipt too.
+    `shipments`, or `numbered` where they have the lines' numbers in the receipt too. With `lines` nothing is stored: tables
+    that read the same columns of the lines are derived from one shuffle of them by order.
     """
     sample = _Sample(spark, sf_dir, again)
     return Tables({name: getattr(sample, name) for name in TABLE_NAMES})

@@ -1,11 +1,15 @@
 """Lines of all kinds meet by their key in one shuffle, with the rows of the joins that they replace."""
 
 import pytest
+from compare import connect, duck_rows, spark_rows
+from conftest import SMALL
 from test_plans import large, plan_of, shuffles  # noqa: F401
 
+from dockledger.catalog.oracle import ORACLE
 from dockledger.catalog.queries import ON_TABLES
 from dockledger.operators import blocks
 from dockledger.plans import reads
+from dockledger.sources.sample import sample_tables
 
 LINES = "po_no string, po_line_key string, item_code string, status string, qty double"
 RECEIPTS = "po_line_key string, item_code string, qty double, actual_no string"
@@ -65,3 +69,31 @@ def test_receipt_detail_shuffles_lines_by_key_once(stored, large):  # noqa: F811
 
 def test_order_lines_are_shuffled_by_key_once(stored, large):  # noqa: F811
     assert shuffles(reads.po_line_status(stored)) <= 7
+
+
+def test_numbering_sends_no_price(spark, large):  # noqa: F811
+    """Lines get their number in the receipt from their place in the order line."""
+    plan = plan_of(sample_tables(spark, SMALL).prov_line)
+    assert "l_extendedprice" not in "".join(x for x in plan.splitlines() if "receipt_no" in x)
+
+
+@pytest.mark.parametrize("table", ["po_line", "receipt_line", "prov_line", "prov_header", "receipt_header"])
+@pytest.mark.parametrize("again", ["", "lines", "shipments", "numbered"])
+def test_odd_lines_are_derived_as_by_sql(spark, tmp_path, table, again):
+    """Missing and negative line numbers, missing flags, equal shipments, lines and orders without a number."""
+    con = connect(SMALL)
+    con.execute("SET default_null_order = 'nulls_first'")  # Spark's
+    con.execute(f"""
+        COPY (SELECT CASE WHEN n % 19 = 0 THEN NULL ELSE l_orderkey END AS l_orderkey, l_partkey, l_suppkey,
+                     CAST(CASE n % 17 WHEN 0 THEN NULL WHEN 1 THEN -3 ELSE l_linenumber END AS INTEGER) AS l_linenumber,
+                     l_quantity, l_extendedprice, l_discount, l_tax, CASE WHEN n % 23 = 0 THEN NULL ELSE l_returnflag END AS l_returnflag,
+                     l_linestatus, l_shipdate
+              FROM (SELECT *, row_number() OVER () AS n FROM lineitem))
+        TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)""")
+    for name in ("orders", "part"):
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE OR REPLACE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    tables = ORACLE["item_search"].split("SELECT item_code, part_no, item_name, item_group, item_type, t.name")[0]
+    derived = sample_tables(spark, str(tmp_path), again)[table]
+    derived = derived.drop("po_line_key") if table == "po_line" else derived
+    assert spark_rows(derived) == duck_rows(con, f"{tables} SELECT * FROM {table}")
