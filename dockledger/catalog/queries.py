@@ -276,7 +276,7 @@ def worksheet_add_items(t: Tables) -> DataFrame:
     return worksheet.worksheet_add_items(_worksheet(t), picked, AS_OF)
 
 
-@query_reading("shipments")
+@query_reading("lines")
 def worksheet_remove_items(t: Tables) -> DataFrame:
     """Every worksheet without its order's first item."""
     return worksheet.worksheet_remove_items(_worksheet(t), _first_items(t))

@@ -71,6 +71,12 @@ def test_order_lines_are_shuffled_by_key_once(stored, large):  # noqa: F811
     assert shuffles(reads.po_line_status(stored)) <= 7
 
 
+def test_worksheets_share_the_shuffle_of_the_lines(spark, large):  # noqa: F811
+    t = sample_tables(spark, SMALL, "lines")
+    plan = plan_of(reads.po_line_status(t).drop("status"))
+    assert plan.count("REPARTITION_BY_COL") - plan.count("ReusedExchange") <= 2
+
+
 def test_numbering_sends_no_price(spark, large):  # noqa: F811
     """Lines get their number in the receipt from their place in the order line."""
     plan = plan_of(sample_tables(spark, SMALL).prov_line)
