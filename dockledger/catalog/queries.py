@@ -504,21 +504,21 @@ def explode_deletes(t: Tables) -> DataFrame:
 
 def _register(t: Tables) -> writes.Registration:
     requested = stored(_registrations(t), "requested-items")  # grouped and numbered
-    return writes.register_receipts(t, requested, as_of=AS_OF)
+    return writes.register_receipts(t, requested, as_of=AS_OF, settle=True)
 
 
-@query_reading("shipments")
+@query_reading("lines")
 def register_receipts(t: Tables) -> DataFrame:
     return _register(t).lines
 
 
-@query_reading("shipments")
+@query_reading("lines")
 def register_receipts_headers(t: Tables) -> DataFrame:
     new = _register(t)
     return new.headers.join(new.contacts, "receipt_no")
 
 
-@query
+@query_reading("lines")
 def register_receipts_summary(t: Tables) -> DataFrame:
     return _register(t).summary
 

@@ -90,7 +90,8 @@ def register_receipts(
     none, or with a line without item or quantity, is rejected as a whole: no receipt
     without a number can arise. `as_of` is the day of saving; `hot` the heavy keys of
     the registrations (see `heavy_registrations`). `settle` stores the requests before and after they are numbered,
-    so that they are grouped and numbered once; without, the result is lazy.
+    so that they are grouped and numbered once; without, the result is lazy, but for the receipts that requests add to
+    where the tables have no marks.
     """
     hot = hot or {}
     keep = stored if settle else lambda df, _: df
@@ -201,6 +202,10 @@ def _last_sequences(t: Tables, known: DataFrame) -> DataFrame:
     wanted = known.select("receipt_no").distinct()
     if t.marks:
         return t.marks.receipts().join(wanted, "receipt_no", "left_semi").select("receipt_no", "last_sequence")
+    # Settled: where requests add to no receipt no line is read, and where they add to few the lines are not shuffled.
+    wanted = stored(wanted, "continued-receipts")
+    if wanted.isEmpty():
+        return wanted.select("receipt_no", F.lit(None).cast("long").alias("last_sequence"))
     hot = t.hot("prov_line", "receipt_no")
     return last_sequences(skew_join(t.prov_line, wanted, ["receipt_no"], "left_semi", spread_by=["line_seq"], hot=hot))
 

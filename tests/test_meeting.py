@@ -3,11 +3,12 @@
 import pytest
 from compare import connect, duck_rows, spark_rows
 from conftest import SMALL
+from pyspark.sql import functions as F
 from test_plans import large, plan_of, shuffles  # noqa: F401
 
 from dockledger.catalog.oracle import ORACLE
-from dockledger.catalog.queries import ON_TABLES
-from dockledger.operators import blocks
+from dockledger.catalog.queries import ON_TABLES, QUERIES
+from dockledger.operators import blocks, writes
 from dockledger.plans import reads
 from dockledger.sources.sample import sample_tables
 
@@ -71,6 +72,11 @@ def test_order_lines_are_shuffled_by_key_once(stored, large):  # noqa: F811
     assert shuffles(reads.po_line_status(stored)) <= 7
 
 
+@pytest.mark.parametrize("name", ["worksheet_remove_items", "register_receipts", "register_receipts_headers", "register_receipts_summary"])
+def test_rows_with_one_shuffle_of_the_lines(spark, name):
+    assert spark_rows(QUERIES[name](spark, SMALL)) == duck_rows(connect(SMALL), ORACLE[name])
+
+
 def test_worksheets_share_the_shuffle_of_the_lines(spark, large):  # noqa: F811
     t = sample_tables(spark, SMALL, "lines")
     plan = plan_of(reads.po_line_status(t).drop("status"))
@@ -83,6 +89,17 @@ def test_numbering_sends_no_price(spark, large):  # noqa: F811
     assert "l_extendedprice" not in "".join(x for x in plan.splitlines() if "receipt_no" in x)
 
 
+def test_no_line_is_read_where_requests_add_to_no_receipt(spark, large):  # noqa: F811
+    t = sample_tables(spark, SMALL)
+    t = t.changed(prov_line=t.prov_line.withColumn("line_seq", F.concat("line_seq", F.raise_error(F.lit("read")).cast("string"))))
+    items = ON_TABLES["submit_lines"](sample_tables(spark, SMALL)).limit(50)
+    new = writes.register_receipts(t, items, as_of="1997-07-15")
+    assert new.lines.count() == 50
+    added = items.withColumn("receipt_no", F.lit("G0000011997"))
+    with pytest.raises(Exception, match="read"):
+        writes.register_receipts(t, added, as_of="1997-07-15").lines.collect()
+
+
 @pytest.mark.parametrize("table", ["po_line", "receipt_line", "prov_line", "prov_header", "receipt_header"])
 @pytest.mark.parametrize("again", ["", "lines", "shipments", "numbered"])
 def test_odd_lines_are_derived_as_by_sql(spark, tmp_path, table, again):
